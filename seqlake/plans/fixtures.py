@@ -79,3 +79,95 @@ def round6(df: DataFrame) -> DataFrame:
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+# ---------------------------------------------------------------- intervals and sequences
+
+SEGMENT = 256     # interval length of the fixtures (the real default is 2**17)
+TILE = 64         # tile length
+CHUNK = 1000      # chunk size of the sequence table (deliberately not a multiple of TILE)
+OVERLAP = TILE - 1
+BATCH = 8
+
+
+def contig_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as contigs: name = doc_id, sequence = text with every character that is
+    not an ASCII letter replaced by ``N`` (so FASTA lines stay plain ASCII)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("doc_id").cast("string").alias("contig"),
+                    F.regexp_replace("text", "[^A-Za-z]", "N").alias("seq"))
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One interval per full 256-character segment of every document; split ``valid`` if
+    ``doc_id % 10 = 8``, ``test`` if 9, else ``train``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    d = d.filter(F.col("n_chars") >= SEGMENT)
+    k = F.explode(F.sequence(F.lit(0).cast("long"),
+                             (F.floor(F.col("n_chars") / SEGMENT) - 1).cast("long")))
+    iv = d.select("doc_id", k.alias("k"))
+    split = (F.when(F.col("doc_id") % 10 == 8, "valid").when(F.col("doc_id") % 10 == 9, "test")
+             .otherwise("train"))
+    return iv.select("doc_id", F.col("doc_id").cast("string").alias("chr_name"),
+                     (F.col("k") * SEGMENT).alias("start"),
+                     (F.col("k") * SEGMENT + SEGMENT).alias("end"), split.alias("split"))
+
+
+def bad_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals plus, per document of at least 256 characters, one interval running past
+    the contig end, one starting at -1, one of length 255 and one on an unknown contig."""
+    good = intervals(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").filter(F.col("n_chars") >= SEGMENT) \
+        .select("doc_id", "n_chars")
+    name = F.col("doc_id").cast("string")
+    extra = [
+        d.select("doc_id", name.alias("chr_name"), (F.col("n_chars") - 128).alias("start"),
+                 (F.col("n_chars") + 128).alias("end"), F.lit("train").alias("split")),
+        d.select("doc_id", name.alias("chr_name"), F.lit(-1).cast("long").alias("start"),
+                 F.lit(SEGMENT - 1).cast("long").alias("end"), F.lit("valid").alias("split")),
+        d.select("doc_id", name.alias("chr_name"), F.lit(0).cast("long").alias("start"),
+                 F.lit(SEGMENT - 1).cast("long").alias("end"), F.lit("test").alias("split")),
+        d.select("doc_id", F.concat(F.lit("x"), name).alias("chr_name"),
+                 F.lit(0).cast("long").alias("start"), F.lit(SEGMENT).cast("long").alias("end"),
+                 F.lit("train").alias("split")),
+    ]
+    out = good
+    for e in extra:
+        out = out.unionByName(e)
+    return out
+
+
+def derived_path(spark: SparkSession, sf_dir: str, what: str, **params) -> str:
+    """Stable path (per scratch root, table folder and parameters) of a derived file set."""
+    from seqlake.session import ensure_scratch
+    from seqlake.sources.stores import cache_key
+    return f"{ensure_scratch(spark)}/fixtures/{cache_key(what, {'sf': sf_dir, **params})}"
+
+
+def bed_file(spark: SparkSession, sf_dir: str) -> str:
+    """The intervals written once as a BED file set, in (doc_id, start) order."""
+    from seqlake.sources.bed import write_bed
+    from seqlake.sources.stores import _exists
+    path = derived_path(spark, sf_dir, "bed", segment=SEGMENT)
+    if not _exists(spark, path):
+        write_bed(intervals(spark, sf_dir), path, order_by=["doc_id", "start"])
+    return path
+
+
+def fasta_file(spark: SparkSession, sf_dir: str) -> str:
+    """The contigs written once as FASTA, 60 bases per line, in doc_id order."""
+    from seqlake.sources.fasta import write_fasta
+    from seqlake.sources.stores import _exists
+    path = derived_path(spark, sf_dir, "fasta", width=60)
+    if not _exists(spark, path):
+        write_fasta(contig_sequences(spark, sf_dir), path, 60, order_by=["doc_id"])
+    return path
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA scanned once into the chunk table, kept as Parquet (read-through)."""
+    from seqlake.sources.fasta import fasta_scan
+    from seqlake.sources.stores import read_through
+    path = derived_path(spark, sf_dir, "chunks", chunk=CHUNK, overlap=OVERLAP)
+    fa = fasta_file(spark, sf_dir)
+    return read_through(spark, path, lambda: fasta_scan(spark, fa, CHUNK, OVERLAP))
