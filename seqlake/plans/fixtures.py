@@ -171,3 +171,44 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = derived_path(spark, sf_dir, "chunks", chunk=CHUNK, overlap=OVERLAP)
     fa = fasta_file(spark, sf_dir)
     return read_through(spark, path, lambda: fasta_scan(spark, fa, CHUNK, OVERLAP))
+
+
+# ---------------------------------------------------------------- labelled tasks, features
+
+TASK_ORDER = ("quality", "toxic")
+
+
+def labelled_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` unpivoted to ``task_name in (quality, toxic)`` joined to ``documents``;
+    split ``test`` if ``doc_id % 5 = 0`` else ``train``."""
+    lab = table(spark, sf_dir, "labels")
+    long = lab.unpivot(["doc_id"], list(TASK_ORDER), "task_name", "label")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
+    return long.join(docs, "doc_id", "inner").select(
+        "task_name", split.alias("split"), F.col("doc_id").alias("sample_id"),
+        F.col("text").alias("sequence"), "label")
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` joined to ``documents``: score ``n_chars div 500`` (has ties), label
+    ``quality``, hard prediction ``score >= 5``; split as in :func:`labelled_task`."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    score = F.floor(F.col("n_chars") / 500).cast("bigint")
+    return lab.join(docs, "doc_id", "inner").select(
+        "doc_id", "lang", score.alias("score"), F.col("quality").alias("label"),
+        (score >= 5).cast("int").alias("pred"),
+        F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+
+
+def probe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as a feature set: task ``task{label div 5}``, label ``label % 2``,
+    split ``test`` if ``vec_id % 5 = 0``."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.concat(F.lit("task"), F.floor(F.col("label") / 5).cast("string")).alias("task_name"),
+        F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"),
+        F.col("vec_id").alias("sample_id"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("feature"),
+        (F.col("label") % 2).alias("label"))
