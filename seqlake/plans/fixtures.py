@@ -212,3 +212,60 @@ def probe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("sample_id"),
         F.transform("embedding", lambda x: x.cast("double")).alias("feature"),
         (F.col("label") % 2).alias("label"))
+
+
+# ---------------------------------------------------------------- run logs
+
+def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a batch log: ``ts`` as timestamp (UTC), tokens ``round(value)``,
+    device ``user_id % 4``, core utilisation ``round(value) % 101``, memory utilisation the
+    ``k`` field of ``props``."""
+    e = table(spark, sf_dir, "events")
+    tokens = F.round("value").cast("bigint")
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("batch_idx"),
+                    tokens.alias("n_tokens"), (F.col("user_id") % 4).alias("device"),
+                    F.pmod(tokens, F.lit(101)).alias("core_util"),
+                    F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int").alias("mem_util"))
+
+
+def step_log(spark: SparkSession, sf_dir: str, one_run: bool = False) -> DataFrame:
+    """``events`` as a step log: ``batch_idx = event_id``, ``step = event_id div 4``,
+    ``loss = value``, run = ``event_type`` (or one run over all rows)."""
+    e = table(spark, sf_dir, "events")
+    run = F.lit("all") if one_run else F.col("event_type")
+    return e.select(run.alias("run"), F.col("event_id").alias("batch_idx"),
+                    F.floor(F.col("event_id") / 4).cast("bigint").alias("step"),
+                    F.col("value").alias("loss"))
+
+
+# Parameter names of the dump fixture, indexed by embeddings.label: each tracked suffix,
+# the embedding, an untracked name, a name without a layers component, a non-integer layer.
+PARAM_NAMES = (
+    "backbone.layers.0.mixer.submodule.mamba_fwd.in_proj.weight",
+    "backbone.layers.1.mixer.submodule.mamba_fwd.out_proj.weight",
+    "backbone.layers.2.mixer.submodule.mamba_fwd.x_proj.weight",
+    "backbone.layers.3.mixer.submodule.mamba_fwd.dt_proj.weight",
+    "backbone.layers.14.mixer.submodule.mamba_rev.x_proj.weight",
+    "backbone.layers.15.mixer.submodule.mamba_rev.dt_proj.weight",
+    "backbone.embeddings.word_embeddings.embedding.weight",
+    "backbone.norm_f.weight",
+    "head.mamba_fwd.in_proj.weight",
+    "backbone.layers.x.mixer.submodule.mamba_rev.dt_proj.weight",
+)
+NO_GRAD_LABEL = 9
+
+
+def parameter_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` exploded: name from ``label``, step ``vec_id div 50``, value = elements
+    1-32, grad = elements 33-64 (no gradient for label 9)."""
+    e = table(spark, sf_dir, "embeddings")
+    names = F.array(*[F.lit(n) for n in PARAM_NAMES])
+    ex = e.select("vec_id", "label", "embedding",
+                  F.explode(F.sequence(F.lit(1), F.lit(32))).alias("i"))
+    grad = F.when(F.col("label") == NO_GRAD_LABEL, F.lit(None).cast("double")) \
+            .otherwise(F.element_at("embedding", F.col("i") + 32).cast("double"))
+    return ex.select(F.floor(F.col("vec_id") / 50).cast("bigint").alias("step"),
+                     F.element_at(names, F.col("label") + 1).alias("name"),
+                     (F.col("vec_id") * 32 + F.col("i")).alias("pos"),
+                     F.element_at("embedding", F.col("i")).cast("double").alias("value"),
+                     grad.alias("grad"))
