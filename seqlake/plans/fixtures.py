@@ -147,20 +147,22 @@ def derived_path(spark: SparkSession, sf_dir: str, what: str, **params) -> str:
 def bed_file(spark: SparkSession, sf_dir: str) -> str:
     """The intervals written once as a BED file set, in (doc_id, start) order."""
     from seqlake.sources.bed import write_bed
-    from seqlake.sources.stores import _exists
+    from seqlake.sources.stores import is_done, mark_done
     path = derived_path(spark, sf_dir, "bed", segment=SEGMENT)
-    if not _exists(spark, path):
+    if not is_done(spark, path):
         write_bed(intervals(spark, sf_dir), path, order_by=["doc_id", "start"])
+        mark_done(spark, path)
     return path
 
 
 def fasta_file(spark: SparkSession, sf_dir: str) -> str:
     """The contigs written once as FASTA, 60 bases per line, in doc_id order."""
     from seqlake.sources.fasta import write_fasta
-    from seqlake.sources.stores import _exists
+    from seqlake.sources.stores import is_done, mark_done
     path = derived_path(spark, sf_dir, "fasta", width=60)
-    if not _exists(spark, path):
+    if not is_done(spark, path):
         write_fasta(contig_sequences(spark, sf_dir), path, 60, order_by=["doc_id"])
+        mark_done(spark, path)
     return path
 
 

@@ -80,8 +80,9 @@ res AS (UNPIVOT wide ON roc_auc, mcc, accuracy, f1, n_samples, n_positive
 
 def _task_path(spark, sf):
     path = derived_path(spark, sf, "tasks")
-    if not ST._exists(spark, path):
+    if not ST.is_done(spark, path):
         write_tasks(labelled_task(spark, sf), path)
+        ST.mark_done(spark, path)
     return path
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlake.session import ensure_scratch
+
 RESULTS_SCHEMA = T.StructType([
     T.StructField("task_name", T.StringType()),
     T.StructField("model", T.StringType()),
@@ -23,10 +25,25 @@ RESULTS_SCHEMA = T.StructType([
 ])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """A finished Parquet/CSV output has its ``_SUCCESS`` marker."""
+def is_done(spark: SparkSession, path: str) -> bool:
+    """True once :func:`mark_done` ran for ``path``. Spark hides ``_SUCCESS`` from its file
+    listing, so completion is recorded as a visible marker written after the data job
+    committed."""
+    try:
+        return spark.read.text(f"{path.rstrip('/')}.done").count() > 0
+    except AnalysisException:
+        return False
+
+
+def mark_done(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([("done",)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path.rstrip('/')}.done")
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a readable Parquet table."""
     try:
-        spark.read.text(f"{path.rstrip('/')}/_SUCCESS").limit(1).collect()
+        spark.read.parquet(path).schema
         return True
     except AnalysisException:
         return False
@@ -43,29 +60,40 @@ def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                  partition_by: Sequence[str] = ()) -> DataFrame:
     """A5: build and write the table only if ``path`` has no finished output; then read it
     back from storage (lineage is cut there)."""
-    if not _exists(spark, path):
+    if not is_done(spark, path):
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
+        mark_done(spark, path)
     return spark.read.parquet(path)
 
 
 def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
                        key: Sequence[str] = ("sample",)) -> None:
-    """A4: append scored batches to a Parquet store, idempotently.
+    """A4: append scored rows to a Parquet store partitioned by ``batch_col``, idempotently.
 
-    The store is partitioned by ``batch_col`` and written with dynamic partition overwrite:
-    re-running a batch replaces that batch's files instead of duplicating its samples, and
-    a run interrupted half-way keeps every batch that finished. Rows of one batch are
-    written together (one file per batch and task).
+    Keyed merge on ``key``: for every batch present in ``df`` the stored rows of that batch
+    whose key is not sent again are kept, the sent rows replace the rest, and only those
+    batch partitions are rewritten (dynamic partition overwrite). Re-running a batch, or
+    replaying a micro-batch, never duplicates a sample; a batch split over several appends
+    keeps all its rows; an interrupted run keeps every finished append.
     """
     spark = df.sparkSession
+    key = list(key)
+    merged = df
+    if has_data(spark, path):
+        touched = df.select(batch_col).distinct()
+        old = spark.read.parquet(path).join(touched, batch_col, "left_semi")
+        merged = old.join(df.select(*key), key, "left_anti").unionByName(df)
+        # The store is read and rewritten by the same job: cut the lineage first.
+        ensure_scratch(spark)
+        merged = merged.checkpoint(eager=True)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (df.repartition(batch_col).write.mode("overwrite").partitionBy(batch_col)
-           .parquet(path))
+        (merged.repartition(batch_col).write.mode("overwrite").partitionBy(batch_col)
+               .parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
