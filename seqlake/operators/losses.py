@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.constants import COSINE_EPS, PAD_ID, USEFUL_CLASSES
-from seqlake.functions.softmax import dot, kl_terms, log_softmax, logsumexp
+from seqlake.functions.softmax import dot, log_softmax
 
 INF = float("inf")
 
@@ -91,34 +91,80 @@ def log_softmax_columns(df: DataFrame, prefix: str, temperature: float = 1.0,
 
 
 # ---------------------------------------------------------------- per-row terms
+#
+# The terms are built in stages (row max, log-sum-exp, log-probabilities, then KL / CE /
+# cosine) as separate columns. Each stage is referenced several times by the next, so
+# Catalyst keeps the projections apart instead of inlining one huge expression tree, and
+# the generated code stays small enough to be JIT-compiled.
 
-def _kl(temperature: float) -> Column:
-    s = log_softmax([F.col(c) for c in student_cols()], temperature)
-    t = log_softmax([F.col(c) for c in teacher_cols()], temperature)
-    return kl_terms(t, s)
+def _tname(temperature: float) -> str:
+    return repr(float(temperature)).replace(".", "_").replace("-", "m").replace("+", "")
 
 
-def _ce() -> Column:
-    """Cross entropy of the student at the target; no temperature.
+def reduce_sum(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
+
 
-    The non-useful classes are -inf, so a target outside the useful set costs +inf (kept on
-    purpose, see ``n_invalid_targets``).
+def with_terms(df: DataFrame, temperatures: Sequence[float] = (), ce: bool = False,
+               state_dims: int = 0) -> DataFrame:
+    """Add per-row ``_kl_{T}`` for each temperature, ``_ce`` and ``_cos`` as requested.
+
+    Five batched projections: row maxima, log-sum-exp, log-probabilities, then the terms.
     """
-    s = [F.col(c) for c in student_cols()]
-    lse = logsumexp(s)
-    target = F.col("tok")
-    logit_at_target = F.lit(None).cast("double")
-    for k, col in zip(USEFUL_CLASSES, s):
-        logit_at_target = F.when(target == F.lit(k), col).otherwise(logit_at_target)
-    return F.when(target.isin(*USEFUL_CLASSES), lse - logit_at_target).otherwise(F.lit(INF))
+    temps = sorted({float(x) for x in temperatures} | ({1.0} if ce else set()))
+    sides = {"s": student_cols(), "t": teacher_cols()}
+    need = [(p, t) for t in temps for p in ("s", "t")
+            if p == "s" or float(t) in {float(x) for x in temperatures}]
+
+    def tag(p, t):
+        return f"_{p}{_tname(t)}"
+
+    def scaled(p, t):
+        return [F.col(c) / F.lit(t) for c in sides[p]]
+
+    out = df.withColumns({f"{tag(p, t)}_m": F.greatest(*[F.col(c) for c in sides[p]]) / F.lit(t)
+                          for p, t in need})
+    out = out.withColumns({f"{tag(p, t)}_lse": F.col(f"{tag(p, t)}_m") + F.log(reduce_sum(
+        [F.exp(x - F.col(f"{tag(p, t)}_m")) for x in scaled(p, t)])) for p, t in need})
+    out = out.withColumns({f"{tag(p, t)}_lp{k}": x - F.col(f"{tag(p, t)}_lse")
+                           for p, t in need for k, x in zip(USEFUL_CLASSES, scaled(p, t))})
+    terms: dict[str, Column] = {}
+    for temp in temperatures:
+        ts, tt = tag("s", temp), tag("t", temp)
+        terms[f"_kl_{_tname(temp)}"] = reduce_sum([
+            F.exp(F.col(f"{tt}_lp{k}")) * (F.col(f"{tt}_lp{k}") - F.col(f"{ts}_lp{k}"))
+            for k in USEFUL_CLASSES])
+    if ce:
+        target = F.col("tok")
+        lp_at = F.lit(None).cast("double")
+        for k in USEFUL_CLASSES:
+            lp_at = F.when(target == F.lit(k), F.col(f"{tag('s', 1.0)}_lp{k}")).otherwise(lp_at)
+        # a target outside the useful set costs +inf (kept on purpose, see n_invalid_targets)
+        terms["_ce"] = F.when(target.isin(*USEFUL_CLASSES), -lp_at).otherwise(F.lit(INF))
+    if state_dims:
+        s = [F.col(c) for c in state_cols("s", state_dims)]
+        t = [F.col(c) for c in state_cols("t", state_dims)]
+        terms.update({"_dot": dot(s, t), "_ss": dot(s, s), "_tt": dot(t, t)})
+    out = out.withColumns(terms)
+    if state_dims:
+        out = out.withColumn("_cos", F.lit(1.0) - F.col("_dot") / F.sqrt(
+            (F.col("_ss") + F.lit(COSINE_EPS)) * (F.col("_tt") + F.lit(COSINE_EPS))))
+    return out
+
+
+def _kl(temperature: float) -> Column:
+    return F.col(f"_kl_{_tname(temperature)}")
+
+
+def _ce() -> Column:
+    return F.col("_ce")
 
 
 def _cos_loss(state_dims: int) -> Column:
-    """1 - cos(student, teacher) with eps added to each squared norm."""
-    s = [F.col(c) for c in state_cols("s", state_dims)]
-    t = [F.col(c) for c in state_cols("t", state_dims)]
-    denom = F.sqrt((dot(s, s) + F.lit(COSINE_EPS)) * (dot(t, t) + F.lit(COSINE_EPS)))
-    return F.lit(1.0) - dot(s, t) / denom
+    return F.col("_cos")
 
 
 def _invalid_target() -> Column:
@@ -132,14 +178,14 @@ def soft_loss(df: DataFrame, group_cols: Sequence[str], temperature: float,
     """KL(teacher || student) summed over classes, averaged over non-PAD positions;
     times T^2 only when ``alpha_soft != 1``. Not weighted by alpha_soft."""
     scale = temperature ** 2 if alpha_soft != 1.0 else 1.0
-    return (position_mask(df).groupBy(*group_cols)
+    return (with_terms(position_mask(df), [temperature]).groupBy(*group_cols)
             .agg((F.sum(_kl(temperature)) / F.count(F.lit(1)) * F.lit(scale)).alias("soft_loss"),
                  F.count(F.lit(1)).alias("n_positions")))
 
 
 def hard_loss(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """mean cross entropy of the student over non-PAD positions."""
-    return (position_mask(df).groupBy(*group_cols)
+    return (with_terms(position_mask(df), ce=True).groupBy(*group_cols)
             .agg(F.avg(_ce()).alias("hard_loss"), _invalid_target().alias("n_invalid_targets")))
 
 
@@ -148,7 +194,8 @@ def similarity_loss(df: DataFrame, group_cols: Sequence[str], alpha_sim: float,
     """``alpha_sim * mean(1 - cos)``; exactly 0.0 when ``alpha_sim == 0``."""
     value = (F.lit(float(alpha_sim)) * F.avg(_cos_loss(state_dims))
              if alpha_sim > 0 else F.lit(0.0))
-    return position_mask(df).groupBy(*group_cols).agg(value.alias("similarity_loss"))
+    terms = with_terms(position_mask(df), state_dims=state_dims if alpha_sim > 0 else 0)
+    return terms.groupBy(*group_cols).agg(value.alias("similarity_loss"))
 
 
 def _contributions(sum_kl: Column, sum_ce: Column, sum_cos: Column | None, n: Column,
@@ -169,7 +216,9 @@ def distillation_loss(df: DataFrame, group_cols: Sequence[str], temperature: flo
             F.count(F.lit(1)).alias("n_positions"), _invalid_target().alias("n_invalid_targets")]
     if alpha_sim > 0:
         sums.append(F.sum(_cos_loss(state_dims)).alias("_cos"))
-    agg = position_mask(df).groupBy(*group_cols).agg(*sums)
+    terms = with_terms(position_mask(df), [temperature], ce=True,
+                       state_dims=state_dims if alpha_sim > 0 else 0)
+    agg = terms.groupBy(*group_cols).agg(*sums)
     parts = _contributions(F.col("_kl"), F.col("_ce"), F.col("_cos") if alpha_sim > 0 else None,
                            F.col("n_positions"), temperature, alpha_soft, alpha_sim)
     return agg.select(*group_cols,
@@ -205,7 +254,9 @@ def dual_loss_report(df: DataFrame, group_cols: Sequence[str], temperature: floa
             F.count_if(F.col(pos_col) == 0).alias("batch_size")]
     if alpha_sim > 0:
         sums.append(msum(_cos_loss(state_dims)).alias("_cos"))
-    agg = df.groupBy(*group_cols).agg(*sums).filter(F.col("n_positions") > 0)
+    terms = with_terms(df, sorted({1.0, float(temperature)}), ce=True,
+                       state_dims=state_dims if alpha_sim > 0 else 0)
+    agg = terms.groupBy(*group_cols).agg(*sums).filter(F.col("n_positions") > 0)
     n = F.col("n_positions")
     ev = _contributions(F.col("_kl1"), F.col("_ce"), None, n, **EVAL_PARAMS)
     tr = _contributions(F.col("_klt"), F.col("_ce"), F.col("_cos") if alpha_sim > 0 else None,

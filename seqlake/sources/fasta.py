@@ -50,6 +50,13 @@ _LOCAL_SCHEMA = T.StructType([
 ])
 
 
+def _as_str(s: pd.Series) -> pd.Series:
+    """Object dtype with None for missing (an all-missing column would otherwise turn into
+    float NaN and fail the Arrow string conversion)."""
+    s = s.astype(object)
+    return s.where(s.notna(), None)
+
+
 def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per-split running state, vectorised per Arrow batch.
 
@@ -73,8 +80,8 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hdr = v.str.startswith(">")
             n = v.str.len().where(~hdr, 0).astype("int64")
             seg = seg0 + hdr.cumsum().astype("int64")
-            name = v.str[1:].str.strip().str.split(n=1).str[0].where(hdr)
-            contig = name.ffill()
+            name = _as_str(v.str[1:].str.strip().str.split(n=1).str[0].where(hdr))
+            contig = _as_str(name.ffill())
             if contig0 is not None:
                 contig = contig.where(seg != seg0, contig0)
             off = n.groupby(seg).cumsum() - n
@@ -83,7 +90,7 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts.append(pd.DataFrame({
                 "file": f, "block": b, "line_no": line0 + pd.RangeIndex(m).to_numpy(),
                 "is_header": hdr, "header": name, "local_contig": contig, "seg": seg,
-                "local_off": off, "n": n, "line": v.where(~hdr)}))
+                "local_off": off, "n": n, "line": _as_str(v.where(~hdr))}))
             last_seg = int(seg.iat[-1])
             state = (f, b, line0 + m, last_seg, contig.iat[-1] if m else contig0,
                      int(off.iat[-1] + n.iat[-1]))
