@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.constants import HEADLINE_METRICS, RESULT_METRICS
+from seqlake.operators.prefix import running_total
 
 NAN = float("nan")
 RESULT_KEYS = ("task_name", "model", "split", "metric")
@@ -34,25 +35,7 @@ def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str =
     y_pos = F.col(label) > 0
     d = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count_if(y_pos).alias("_pos"), F.count_if(~y_pos).alias("_neg"))
-    spark = df.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = []
-    if nb > 1:
-        qs = [i / nb for i in range(1, nb)]
-        cuts = sorted(set(x for x in d.approxQuantile("_s", qs, 0.001) if x is not None))
-    if cuts:
-        arr = F.array(*[F.lit(float(c)) for c in cuts])
-        bucket = F.size(F.filter(arr, lambda c: c <= F.col("_s").cast("double")))
-    else:
-        bucket = F.lit(0)
-    d = d.withColumn("_b", bucket)
-    per_bucket = d.groupBy(*by, "_b").agg(F.sum("_neg").alias("_bneg"))
-    carry = per_bucket.withColumn("_carry", F.coalesce(F.sum("_bneg").over(
-        Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).drop("_bneg")
-    w = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(carry, [*by, "_b"], "inner").withColumn(
-        "_below", F.col("_carry") + F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    d = running_total(d, by, "_s", "_neg", "_below", inclusive=False, buckets=buckets)
     agg = d.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"),
         F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))

@@ -25,30 +25,49 @@ def _cuts(df: DataFrame, col: str, buckets: int) -> list[float]:
 
 
 def bucket_of(col: Column, cuts: list[float]) -> Column:
+    """Index of the range ``col`` falls in: the number of cut points <= ``col``, as a
+    balanced CASE tree over the sorted cuts (log2 comparisons per row, no lambda)."""
     if not cuts:
         return F.lit(0)
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(arr, lambda c: c <= col.cast("double")))
+    x = col.cast("double")
+
+    def tree(lo: int, hi: int) -> Column:  # answer is in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2          # x >= cuts[mid - 1]  <=>  answer >= mid
+        return F.when(x >= F.lit(float(cuts[mid - 1])), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+
+    return tree(0, len(cuts))
 
 
 def running_total(df: DataFrame, by: Sequence[str], order_col: str, value_col: str,
                   out_col: str, inclusive: bool = True, buckets: int | None = None) -> DataFrame:
     """``out_col`` = sum of ``value_col`` over rows of the same group with a smaller
     ``order_col`` (and the row itself if ``inclusive``). ``order_col`` must be unique inside
-    a group and numeric or timestamp."""
+    a group and numeric or timestamp.
+
+    Rows are cut into ``buckets`` ranges of ``order_col``; the window runs per (group,
+    bucket) and each bucket's carry-in comes from one row per (group, bucket). With a
+    single bucket (or no data) it is the plain per-group window.
+    """
     by = list(by)
     spark = df.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # default: one range per shuffle partition, at most 1024 (the CASE tree stays small)
+    nb = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
+    end = Window.currentRow if inclusive else -1
     key = F.col(order_col)
     if dict(df.dtypes)[order_col].startswith("timestamp"):
         key = F.unix_micros(F.col(order_col).cast("timestamp"))
     d = df.withColumn("_ord", key.cast("double"))
-    d = d.withColumn("_b", bucket_of(F.col("_ord"), _cuts(d, "_ord", nb)))
+    cuts = _cuts(d, "_ord", nb)
+    if not cuts:
+        w = Window.partitionBy(*by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+        return d.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0))).drop("_ord")
+    d = d.withColumn("_b", bucket_of(F.col("_ord"), cuts))
     totals = d.groupBy(*by, "_b").agg(F.sum(value_col).alias("_bt"))
     carry = totals.withColumn("_carry", F.coalesce(F.sum("_bt").over(
         Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_bt")
-    end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
     out = d.join(carry, [*by, "_b"], "inner")
     out = out.withColumn(out_col, F.col("_carry") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
