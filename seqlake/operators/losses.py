@@ -108,50 +108,57 @@ def reduce_sum(cols: list[Column]) -> Column:
     return out
 
 
+def _d(x: float) -> str:
+    """Double literal in Spark SQL."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
 def with_terms(df: DataFrame, temperatures: Sequence[float] = (), ce: bool = False,
                state_dims: int = 0) -> DataFrame:
     """Add per-row ``_kl_{T}`` for each temperature, ``_ce`` and ``_cos`` as requested.
 
     Five batched projections: row maxima, log-sum-exp, log-probabilities, then the terms.
+    They are written as SQL expression strings (``selectExpr``): one call per stage instead
+    of thousands of driver round trips to build the same expression tree.
     """
-    temps = sorted({float(x) for x in temperatures} | ({1.0} if ce else set()))
+    want_t = {float(x) for x in temperatures}
+    temps = sorted(want_t | ({1.0} if ce else set()))
     sides = {"s": student_cols(), "t": teacher_cols()}
-    need = [(p, t) for t in temps for p in ("s", "t")
-            if p == "s" or float(t) in {float(x) for x in temperatures}]
+    need = [(p, t) for t in temps for p in ("s", "t") if p == "s" or t in want_t]
 
     def tag(p, t):
         return f"_{p}{_tname(t)}"
 
     def scaled(p, t):
-        return [F.col(c) / F.lit(t) for c in sides[p]]
-
-    out = df.withColumns({f"{tag(p, t)}_m": F.greatest(*[F.col(c) for c in sides[p]]) / F.lit(t)
-                          for p, t in need})
-    out = out.withColumns({f"{tag(p, t)}_lse": F.col(f"{tag(p, t)}_m") + F.log(reduce_sum(
-        [F.exp(x - F.col(f"{tag(p, t)}_m")) for x in scaled(p, t)])) for p, t in need})
-    out = out.withColumns({f"{tag(p, t)}_lp{k}": x - F.col(f"{tag(p, t)}_lse")
-                           for p, t in need for k, x in zip(USEFUL_CLASSES, scaled(p, t))})
-    terms: dict[str, Column] = {}
-    for temp in temperatures:
+        return [f"({c} / {_d(t)})" for c in sides[p]]
+
+    out = df.selectExpr("*", *[f"greatest({', '.join(sides[p])}) / {_d(t)} AS {tag(p, t)}_m"
+                               for p, t in need])
+    out = out.selectExpr("*", *[
+        f"{tag(p, t)}_m + ln({' + '.join(f'exp({x} - {tag(p, t)}_m)' for x in scaled(p, t))}) "
+        f"AS {tag(p, t)}_lse" for p, t in need])
+    out = out.selectExpr("*", *[f"{x} - {tag(p, t)}_lse AS {tag(p, t)}_lp{k}"
+                                for p, t in need for k, x in zip(USEFUL_CLASSES, scaled(p, t))])
+    terms = []
+    for temp in sorted(want_t):
         ts, tt = tag("s", temp), tag("t", temp)
-        terms[f"_kl_{_tname(temp)}"] = reduce_sum([
-            F.exp(F.col(f"{tt}_lp{k}")) * (F.col(f"{tt}_lp{k}") - F.col(f"{ts}_lp{k}"))
-            for k in USEFUL_CLASSES])
+        kl = " + ".join(f"exp({tt}_lp{k}) * ({tt}_lp{k} - {ts}_lp{k})" for k in USEFUL_CLASSES)
+        terms.append(f"{kl} AS _kl_{_tname(temp)}")
     if ce:
-        target = F.col("tok")
-        lp_at = F.lit(None).cast("double")
-        for k in USEFUL_CLASSES:
-            lp_at = F.when(target == F.lit(k), F.col(f"{tag('s', 1.0)}_lp{k}")).otherwise(lp_at)
         # a target outside the useful set costs +inf (kept on purpose, see n_invalid_targets)
-        terms["_ce"] = F.when(target.isin(*USEFUL_CLASSES), -lp_at).otherwise(F.lit(INF))
+        at = " ".join(f"WHEN {k} THEN -{tag('s', 1.0)}_lp{k}" for k in USEFUL_CLASSES)
+        terms.append(f"CASE tok {at} ELSE CAST('Infinity' AS DOUBLE) END AS _ce")
     if state_dims:
-        s = [F.col(c) for c in state_cols("s", state_dims)]
-        t = [F.col(c) for c in state_cols("t", state_dims)]
-        terms.update({"_dot": dot(s, t), "_ss": dot(s, s), "_tt": dot(t, t)})
-    out = out.withColumns(terms)
+        s, t = state_cols("s", state_dims), state_cols("t", state_dims)
+
+        def dots(a, b):
+            return " + ".join(f"{x} * {y}" for x, y in zip(a, b))
+
+        terms += [f"{dots(s, t)} AS _dot", f"{dots(s, s)} AS _ss", f"{dots(t, t)} AS _tt"]
+    out = out.selectExpr("*", *terms)
     if state_dims:
-        out = out.withColumn("_cos", F.lit(1.0) - F.col("_dot") / F.sqrt(
-            (F.col("_ss") + F.lit(COSINE_EPS)) * (F.col("_tt") + F.lit(COSINE_EPS))))
+        eps = _d(COSINE_EPS)
+        out = out.selectExpr("*", f"1.0D - _dot / sqrt((_ss + {eps}) * (_tt + {eps})) AS _cos")
     return out
 
 

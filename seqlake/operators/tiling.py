@@ -100,22 +100,28 @@ def assert_contract(report: DataFrame) -> None:
 
 
 def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap: int,
-                  contig_col: str = "chr_name") -> DataFrame:
+                  contig_col: str = "chr_name", tile_len: int | None = None) -> DataFrame:
     """Fetch bases ``[start, end)`` of each tile from the chunk table.
 
     A range (theta) join would plan a nested loop. Instead every tile is binned to the
     chunk of its start; when ``end - start <= overlap + 1`` the tile lies inside that chunk,
     so this is one hash/sort-merge equi-join on ``(contig, chunk_id)`` -- keys spread a
     large contig over many tasks. Longer tiles take the general path: one row per chunk
-    touched, then an ordered concat per tile.
+    touched, then an ordered concat per tile. When the (fixed) ``tile_len`` is given only
+    the path it needs is planned; otherwise tiles are routed per row.
     """
     c = int(chunk_size)
     ch = chunks.select(F.col("contig").alias(contig_col), "chunk_id", "chunk_start",
                        F.col("seq").alias("_chunk_seq"))
     k0 = F.floor(F.col("start") / F.lit(c)).cast("long")
     fits = (F.col("end") - F.col("start")) <= F.lit(overlap + 1)
+    if tile_len is not None:
+        fits = F.lit(tile_len <= overlap + 1)
+    # Tiles come from an explode: the optimizer sizes them by the (small) interval file,
+    # not by rows x n_tiles, and would broadcast them. Neither side has a size bound, so
+    # the join is forced to shuffle on (contig, chunk_id).
     direct = tiles.filter(fits).withColumn("chunk_id", k0)
-    joined = direct.join(ch, [contig_col, "chunk_id"], "inner")
+    joined = direct.hint("merge").join(ch, [contig_col, "chunk_id"], "inner")
     seq = F.substring(F.col("_chunk_seq"), (F.col("start") - F.col("chunk_start") + 1).cast("int"),
                       (F.col("end") - F.col("start")).cast("int"))
     fast = joined.withColumn("seq", seq).drop("chunk_id", "chunk_start", "_chunk_seq")
@@ -126,7 +132,7 @@ def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap:
     k1 = F.floor((F.col("end") - 1) / F.lit(c)).cast("long")
     parts = long_tiles.withColumn("_key", F.monotonically_increasing_id()) \
         .withColumn("chunk_id", F.explode(F.sequence(k0, k1)))
-    pj = parts.join(ch, [contig_col, "chunk_id"], "inner")
+    pj = parts.hint("merge").join(ch, [contig_col, "chunk_id"], "inner")
     lo = F.greatest(F.col("start"), F.col("chunk_start"))
     hi = F.least(F.col("end"), F.col("chunk_start") + F.lit(c))
     pj = pj.withColumn("_piece", F.struct(
@@ -135,6 +141,8 @@ def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap:
     keep = [x for x in tiles.columns]
     slow = (pj.groupBy("_key", *keep).agg(F.sort_array(F.collect_list("_piece")).alias("_ps"))
               .select(*keep, F.array_join(F.transform("_ps", lambda x: x["p"]), "").alias("seq")))
+    if tile_len is not None:
+        return fast if tile_len <= overlap + 1 else slow
     return fast.unionByName(slow)
 
 

@@ -33,20 +33,13 @@ def embedding_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``batch_id = vec_id div 10``; ``tok = 4`` when ``vec_id % 10 = 3`` else ``7 + vec_id % 4``.
     """
     e = table(spark, sf_dir, "embeddings")
-    emb = F.col("embedding")
-
-    def el(i: int):  # 1-based element as double
-        return F.element_at(emb, i).cast("double")
-
-    cols = [F.col("vec_id"), F.col("vec_id").alias("sample"), F.lit(0).alias("pos"),
-            F.floor(F.col("vec_id") / 10).cast("bigint").alias("batch_id"),
-            F.when(F.col("vec_id") % 10 == 3, F.lit(4)).otherwise(F.col("vec_id") % 4 + 7)
-             .cast("bigint").alias("tok")]
-    cols += [el(k + 1).alias(f"s_c{k}") for k in USEFUL_CLASSES]
-    cols += [el(17 + k).alias(f"t_c{k}") for k in USEFUL_CLASSES]
-    cols += [el(33 + i).alias(f"s_h{i}") for i in range(EMB_STATE_DIMS)]
-    cols += [el(49 + i).alias(f"t_h{i}") for i in range(EMB_STATE_DIMS)]
-    return e.select(*cols)
+    cols = ["vec_id", "vec_id AS sample", "0 AS pos", "CAST(vec_id DIV 10 AS BIGINT) AS batch_id",
+            "CAST(CASE WHEN vec_id % 10 = 3 THEN 4 ELSE vec_id % 4 + 7 END AS BIGINT) AS tok"]
+    cols += [f"CAST(element_at(embedding, {k + 1}) AS DOUBLE) AS s_c{k}" for k in USEFUL_CLASSES]
+    cols += [f"CAST(element_at(embedding, {17 + k}) AS DOUBLE) AS t_c{k}" for k in USEFUL_CLASSES]
+    cols += [f"CAST(element_at(embedding, {33 + i}) AS DOUBLE) AS s_h{i}" for i in range(EMB_STATE_DIMS)]
+    cols += [f"CAST(element_at(embedding, {49 + i}) AS DOUBLE) AS t_h{i}" for i in range(EMB_STATE_DIMS)]
+    return e.selectExpr(*cols)
 
 
 def lineitem_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +50,15 @@ def lineitem_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``batch_id = l_suppkey``; ``tok`` is element ``l_partkey % 5`` of (4, 7, 8, 9, 10).
     """
     li = table(spark, sf_dir, "lineitem")
-    vals = [F.col("l_quantity") / 10, F.col("l_extendedprice") / 10000,
-            F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_linenumber").cast("double")]
+    vals = ["l_quantity / 10", "l_extendedprice / 10000", "l_discount * 10", "l_tax * 10",
+            "CAST(l_linenumber AS DOUBLE)"]
     rotated = vals[2:] + vals[:2]
-    tok = F.element_at(F.array(*[F.lit(v) for v in (4, 7, 8, 9, 10)]),
-                       (F.col("l_partkey") % 5 + 1).cast("int")).cast("bigint")
-    cols = [F.col("l_orderkey"), F.col("l_linenumber"),
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample"),
-            F.lit(0).alias("pos"), F.col("l_suppkey").alias("batch_id"), tok.alias("tok")]
-    cols += [v.alias(f"s_c{k}") for k, v in zip(USEFUL_CLASSES, vals)]
-    cols += [v.alias(f"t_c{k}") for k, v in zip(USEFUL_CLASSES, rotated)]
-    return li.select(*cols)
+    cols = ["l_orderkey", "l_linenumber", "l_orderkey * 8 + l_linenumber AS sample", "0 AS pos",
+            "l_suppkey AS batch_id",
+            "CAST(element_at(array(4, 7, 8, 9, 10), CAST(l_partkey % 5 + 1 AS INT)) AS BIGINT) AS tok"]
+    cols += [f"CAST({v} AS DOUBLE) AS s_c{k}" for k, v in zip(USEFUL_CLASSES, vals)]
+    cols += [f"CAST({v} AS DOUBLE) AS t_c{k}" for k, v in zip(USEFUL_CLASSES, rotated)]
+    return li.selectExpr(*cols)
 
 
 def round6(df: DataFrame) -> DataFrame:

@@ -78,7 +78,8 @@ def _tiles(spark, sf):
 
 
 def _tile_seqs(spark, sf):
-    return TL.tile_sequence(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP)
+    return TL.tile_sequence(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP,
+                            tile_len=TILE)
 
 
 def _train_indexed(spark, sf):

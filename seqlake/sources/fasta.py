@@ -5,12 +5,14 @@ Finding the contig and the offset of every line needs the lines in order, and a
 usually spans many input splits. The scan therefore runs in two passes, never holding a
 whole contig in one row:
 
-1. ``mapInPandas`` over the text splits: for every line, the header seen so far *inside its
-   split* and the number of bases before it since that header (vectorised cumulative sums).
-2. A summary with one row per input split (last header, bases after it, total bases) gets
-   its carry-in from the previous splits with a window ordered by split start. It has
-   exactly one row per input split -- the scheduler already tracks that many tasks -- so
-   it is broadcast.
+1. ``mapInPandas`` over the text splits emits one summary row per split (headers seen,
+   last header, bases after it, all bases). A window ordered by split start turns these
+   into each split's carry-in (contig and offset at its first line). The table has exactly
+   one row per input split -- the scheduler already tracks that many tasks -- so it is
+   broadcast.
+2. A second ``mapInPandas`` pass gives every line the header seen so far *inside its split*
+   and the bases before it since that header (vectorised cumulative sums); the carry-in
+   completes lines that precede the split's first header.
 
 Lines are then cut into chunks of ``chunk_size`` bases; chunk ``k`` holds
 ``[k*chunk_size, (k+1)*chunk_size + overlap)``. With ``overlap >= tile_len - 1`` every tile
@@ -97,21 +99,59 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(parts, ignore_index=True)
 
 
+_SPLIT_SCHEMA = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("block", T.LongType()),
+    T.StructField("n_headers", T.LongType()),
+    T.StructField("last_header", T.StringType()),
+    T.StructField("tail_len", T.LongType()),
+    T.StructField("total_len", T.LongType()),
+])
+
+
+def _split_summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per input split: headers seen, the last header, bases after it, all bases."""
+    cur = None  # [file, block, n_headers, last_header, tail_len, total_len]
+    done = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        key = pdf["file"].astype(str) + "\x00" + pdf["block"].astype(str)
+        run_id = key.ne(key.shift()).cumsum()
+        for _, g in pdf.groupby(run_id, sort=False):
+            f, b = g["file"].iat[0], int(g["block"].iat[0])
+            if cur is None or (cur[0], cur[1]) != (f, b):
+                if cur is not None:
+                    done.append(cur)
+                cur = [f, b, 0, None, 0, 0]
+            v = g["value"].str.rstrip("\r").reset_index(drop=True)
+            hdr = v.str.startswith(">").to_numpy()
+            n = v.str.len().to_numpy()
+            n[hdr] = 0
+            cur[5] += int(n.sum())
+            if hdr.any():
+                last = int(hdr.nonzero()[0][-1])
+                body = v.iat[last][1:].strip()
+                cur[2] += int(hdr.sum())
+                cur[3] = body.split()[0] if body else ""
+                cur[4] = int(n[last + 1:].sum())
+            else:
+                cur[4] += int(n.sum())
+        if done:
+            yield pd.DataFrame(done, columns=[f.name for f in _SPLIT_SCHEMA.fields])
+            done = []
+    if cur is not None:
+        yield pd.DataFrame([cur], columns=[f.name for f in _SPLIT_SCHEMA.fields])
+
+
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per sequence line: ``(contig, offset, line)``, offsets 0-based per contig."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), "value")
     local = raw.mapInPandas(_local_pass, _LOCAL_SCHEMA)
-
-    # One row per input split, from a per-segment partial aggregate (one pass over lines).
-    segs = local.groupBy("file", "block", "seg").agg(
-        F.sum("n").alias("seg_len"), F.max("local_contig").alias("name"))
-    blocks = segs.groupBy("file", "block").agg(
-        F.max("seg").alias("n_headers"),
-        F.max_by("name", F.when(F.col("seg") > 0, F.col("seg"))).alias("last_header"),
-        F.max_by("seg_len", "seg").alias("tail_len"),
-        F.sum("seg_len").alias("total_len"))
+    # Pass 1: one row per input split (the Python pass emits nothing per line).
+    blocks = raw.mapInPandas(_split_summary, _SPLIT_SCHEMA)
     w = Window.partitionBy("file").orderBy("block")
     has_hdr = F.col("n_headers") > 0
     contrib = F.when(has_hdr, F.coalesce(F.col("tail_len"), F.lit(0))).otherwise(F.col("total_len"))
