@@ -146,7 +146,34 @@ def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap:
     return fast.unionByName(slow)
 
 
-def reject_all_pad(df: DataFrame, ids_col: str = "ids") -> tuple[DataFrame, DataFrame]:
-    """Split tiles into (kept, quarantined) where quarantined tiles hold only PAD."""
+def tile_tokens(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap: int,
+                tile_len: int | None = None, vocab: dict[str, int] | None = None,
+                n_as_pad: bool = True, contig_col: str = "chr_name") -> DataFrame:
+    """C1 + E1 (+ E3): token ids of each tile, as the compact id string ``ids``.
+
+    Tokenizing maps every base to exactly one id character, so it commutes with slicing:
+    chunks are tokenized once (a chunk holds ~chunk_size bases) and tiles are cut from the
+    token string -- instead of running the translation once per tile.
+    """
+    from seqlake.functions.tokens import n_to_pad, tokenize
+    ids = tokenize(F.col("seq"), vocab)
+    if n_as_pad:
+        ids = n_to_pad(ids)
+    tok_chunks = chunks.withColumn("seq", ids)
+    out = tile_sequence(tiles, tok_chunks, chunk_size, overlap, contig_col, tile_len)
+    return out.withColumnRenamed("seq", "ids")
+
+
+def flag_all_pad(df: DataFrame, ids_col: str = "ids", flag: str = "all_pad") -> DataFrame:
+    """B5 as a column: ``all_pad`` is true for tiles that hold only PAD."""
+    return df.withColumn(flag, is_all_pad(F.col(ids_col)))
+
+
+def reject_all_pad(df: DataFrame, ids_col: str = "ids",
+                   strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Split tiles into (kept, quarantined) where quarantined tiles hold only PAD.
+    ``strict`` raises instead when any tile is all PAD (one small job)."""
     bad = is_all_pad(F.col(ids_col))
+    if strict and df.filter(bad).limit(1).count():
+        raise ValueError("a sample contains only PAD tokens")
     return df.filter(~bad), df.filter(bad)

@@ -184,8 +184,9 @@ WITH {IV}, {SEQS}, {TILES}, {TILE_SEQ}
 SELECT chr_name, start, "end", {_tok_sql("seq")} AS ids FROM tseq
 """)
 def q_tokenize(spark, sf):
-    t = _tile_seqs(spark, sf)
-    return t.select("chr_name", "start", "end", TK.tokenize(F.col("seq")).alias("ids"))
+    t = TL.tile_tokens(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE,
+                       n_as_pad=False)
+    return t.select("chr_name", "start", "end", "ids")
 
 
 @query("n_to_pad", f"""
@@ -193,8 +194,8 @@ WITH {IV}, {SEQS}, {TILES}, {TILE_SEQ}
 SELECT chr_name, start, translate({_tok_sql("seq")}, ';', '4') AS ids FROM tseq
 """)
 def q_n_to_pad(spark, sf):
-    t = _tile_seqs(spark, sf)
-    return t.select("chr_name", "start", TK.n_to_pad(TK.tokenize(F.col("seq"))).alias("ids"))
+    t = TL.tile_tokens(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
+    return t.select("chr_name", "start", "ids")
 
 
 PAD_LEN = 128
@@ -216,12 +217,11 @@ SELECT split, count(*) FILTER (WHERE NOT bad) AS n_kept, count(*) FILTER (WHERE
 FROM k GROUP BY split
 """)
 def q_reject_all_pad(spark, sf):
-    t = _tile_seqs(spark, sf).withColumn("ids", TK.n_to_pad(TK.tokenize(F.col("seq"))))
-    kept, bad = TL.reject_all_pad(t, "ids")
-    k = kept.groupBy("split").agg(F.count(F.lit(1)).alias("n_kept"))
-    b = bad.groupBy("split").agg(F.count(F.lit(1)).alias("n_rejected"))
-    return (k.join(b, "split", "full").fillna(0, subset=["n_kept", "n_rejected"])
-             .select("split", "n_kept", "n_rejected"))
+    t = TL.tile_tokens(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
+    # kept and quarantined counted in one pass over the flagged tiles
+    flagged = TL.flag_all_pad(t, "ids")
+    return flagged.groupBy("split").agg(F.count_if(~F.col("all_pad")).alias("n_kept"),
+                                        F.count_if(F.col("all_pad")).alias("n_rejected"))
 
 
 # ---------------------------------------------------------------- D4, D2, B11, B7, B6, C6, B13, B10

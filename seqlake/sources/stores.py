@@ -25,19 +25,29 @@ RESULTS_SCHEMA = T.StructType([
 ])
 
 
+_DONE: set[tuple[str, str]] = set()
+
+
 def is_done(spark: SparkSession, path: str) -> bool:
     """True once :func:`mark_done` ran for ``path``. Spark hides ``_SUCCESS`` from its file
     listing, so completion is recorded as a visible marker written after the data job
-    committed."""
+    committed. Markers are never removed, so a positive answer is remembered."""
+    key = (spark.sparkContext.applicationId, path)
+    if key in _DONE:
+        return True
     try:
-        return spark.read.text(f"{path.rstrip('/')}.done").count() > 0
+        ok = spark.read.text(f"{path.rstrip('/')}.done").count() > 0
     except AnalysisException:
         return False
+    if ok:
+        _DONE.add(key)
+    return ok
 
 
 def mark_done(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([("done",)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path.rstrip('/')}.done")
+    _DONE.add((spark.sparkContext.applicationId, path))
 
 
 def has_data(spark: SparkSession, path: str) -> bool:
