@@ -108,8 +108,10 @@ def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
-def read_soft_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_soft_labels(spark: SparkSession, path: str, batch_col: str = "batch_idx") -> DataFrame:
+    """Read the store back; the partition column is re-typed (discovery infers int)."""
+    df = spark.read.parquet(path)
+    return df.withColumn(batch_col, F.col(batch_col).cast("bigint"))
 
 
 def write_results(df: DataFrame, path: str) -> None:
