@@ -1,7 +1,8 @@
 """Throughput report as a Structured Streaming query.
 
 Batch-log rows arrive as files; the report is a tumbling-window aggregate with a watermark.
-``append`` mode emits a window once the watermark passes its end and drops later rows;
+``append`` mode emits a window once the watermark passes its end and drops rows behind the
+watermark (Spark filters late rows with the previous batch's watermark);
 ``complete`` mode rewrites the whole (small) report every trigger. Output goes through
 ``foreachBatch`` to Parquet on shared storage -- never to the driver.
 """
