@@ -25,8 +25,10 @@ def global_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "i
     spark = df.sparkSession
     from seqlake.session import ensure_scratch
     ensure_scratch(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    # Without an explicit count AQE sizes the range shuffle; coalescing merges adjacent
+    # ranges, so partition order is still the global order.
+    ordered = (df.repartitionByRange(num_partitions, *order_by) if num_partitions
+               else df.repartitionByRange(*order_by)).sortWithinPartitions(*order_by)
     ordered = ordered.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _ROW_BITS)
     counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
