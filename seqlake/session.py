@@ -48,6 +48,10 @@ def ensure_scratch(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder: executors must be "
+                               "able to read what another executor wrote")
         root = tempfile.mkdtemp(prefix="seqlake-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, root)
     sc = spark.sparkContext

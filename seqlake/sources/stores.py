@@ -9,6 +9,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,11 @@ def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
     spark = df.sparkSession
     key = list(key)
     merged = df
+    # The incoming rows are read up to three times below (touched batches, keys, rows);
+    # keep them so an expensive producer (a model) runs once. Recomputed if an executor
+    # is lost -- they are deterministic.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    merged = df
     if has_data(spark, path):
         touched = df.select(batch_col).distinct()
         old = spark.read.parquet(path).join(touched, batch_col, "left_semi")
@@ -102,10 +108,13 @@ def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (merged.repartition(batch_col).write.mode("overwrite").partitionBy(batch_col)
+        # rebalance: rows of a batch go to the same writers, and AQE splits a batch that is
+        # much larger than the others instead of giving it to one task
+        (merged.hint("rebalance", batch_col).write.mode("overwrite").partitionBy(batch_col)
                .parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        df.unpersist()
 
 
 def read_soft_labels(spark: SparkSession, path: str, batch_col: str = "batch_idx") -> DataFrame:

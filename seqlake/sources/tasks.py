@@ -11,13 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_tasks(df: DataFrame, path: str, files_per_split: int = 16,
-                key: str = "sample_id") -> None:
-    """Write partitioned by task and split. Rows are spread over ``files_per_split`` writer
-    tasks per (task, split) by a hash of ``key``, so one huge task is not written by a
-    single task."""
-    salt = F.pmod(F.xxhash64(key), F.lit(files_per_split))
-    (df.repartition("task_name", "split", salt).write.mode("overwrite")
+def write_tasks(df: DataFrame, path: str) -> None:
+    """Write partitioned by task and split. ``rebalance`` groups rows of a (task, split) on
+    few writers, and AQE splits a (task, split) much larger than the rest over several
+    tasks instead of one."""
+    (df.hint("rebalance", "task_name", "split").write.mode("overwrite")
        .partitionBy("task_name", "split").parquet(path))
 
 
