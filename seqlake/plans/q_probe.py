@@ -33,46 +33,48 @@ FEAT = """feat AS (
   FROM embeddings)"""
 
 
-def _auc_sql(src: str, by: str) -> str:
+def _auc_sql(src: str, by: str, sfx: str = "") -> str:
     """Oracle AUC by the rank-sum (Mann-Whitney) formula with average ranks for ties --
-    a different formula from the Spark operator."""
+    a different formula from the Spark operator. CTE names end in ``sfx``."""
     return f"""
-r AS (SELECT {by}, label, rank() OVER (PARTITION BY {by} ORDER BY score)
+r{sfx} AS (SELECT {by}, label, rank() OVER (PARTITION BY {by} ORDER BY score)
              + (count(*) OVER (PARTITION BY {by}, score) - 1) / 2.0 AS avg_rank FROM {src}),
-a AS (SELECT {by}, sum(avg_rank) FILTER (WHERE label > 0) AS rpos,
+a{sfx} AS (SELECT {by}, sum(avg_rank) FILTER (WHERE label > 0) AS rpos,
              count(*) FILTER (WHERE label > 0) AS p, count(*) FILTER (WHERE label <= 0) AS n
-      FROM r GROUP BY {by}),
-auc AS (SELECT {by}, CASE WHEN p > 0 AND n > 0 THEN (rpos - p * (p + 1) / 2.0) / (p * n)
-                          ELSE CAST('nan' AS DOUBLE) END AS roc_auc FROM a)"""
+      FROM r{sfx} GROUP BY {by}),
+auc{sfx} AS (SELECT {by}, CASE WHEN p > 0 AND n > 0 THEN (rpos - p * (p + 1) / 2.0) / (p * n)
+                          ELSE CAST('nan' AS DOUBLE) END AS roc_auc FROM a{sfx})"""
 
 
-def _cls_sql(src: str, by: str) -> str:
+def _cls_sql(src: str, by: str, sfx: str = "") -> str:
     return f"""
-cm AS (SELECT {by},
+cm{sfx} AS (SELECT {by},
          CAST(count(*) FILTER (WHERE label > 0 AND pred > 0) AS DOUBLE) AS tp,
          CAST(count(*) FILTER (WHERE label <= 0 AND pred > 0) AS DOUBLE) AS fp,
          CAST(count(*) FILTER (WHERE label <= 0 AND pred <= 0) AS DOUBLE) AS tn,
          CAST(count(*) FILTER (WHERE label > 0 AND pred <= 0) AS DOUBLE) AS fn,
          count(*) AS n_samples, count(*) FILTER (WHERE label > 0) AS n_positive
        FROM {src} GROUP BY {by}),
-cls AS (SELECT {by},
+cls{sfx} AS (SELECT {by},
          CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0.0
               ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc,
          (tp + tn) / n_samples AS accuracy,
          CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
-         n_samples, n_positive FROM cm)"""
+         n_samples, n_positive FROM cm{sfx})"""
 
 
-def _results_sql(src: str, model: str) -> str:
-    """Long results of ``src`` (needs task_name=lang, split) for one model name."""
+def _results_sql(src: str, model: str, sfx: str = "") -> str:
+    """Long results of ``src`` (needs lang as the task, split) for one model name; the
+    final CTE is ``res{sfx}``."""
     return f"""
-{_auc_sql(src, "lang, split")},
-{_cls_sql(src, "lang, split")},
-wide AS (SELECT auc.lang AS task_name, '{model}' AS model, auc.split, auc.roc_auc,
-                cls.mcc, cls.accuracy, cls.f1, CAST(cls.n_samples AS DOUBLE) AS n_samples,
-                CAST(cls.n_positive AS DOUBLE) AS n_positive
-         FROM auc JOIN cls USING (lang, split)),
-res AS (UNPIVOT wide ON roc_auc, mcc, accuracy, f1, n_samples, n_positive
+{_auc_sql(src, "lang, split", sfx)},
+{_cls_sql(src, "lang, split", sfx)},
+wide{sfx} AS (SELECT auc{sfx}.lang AS task_name, '{model}' AS model, auc{sfx}.split,
+                auc{sfx}.roc_auc, cls{sfx}.mcc, cls{sfx}.accuracy, cls{sfx}.f1,
+                CAST(cls{sfx}.n_samples AS DOUBLE) AS n_samples,
+                CAST(cls{sfx}.n_positive AS DOUBLE) AS n_positive
+         FROM auc{sfx} JOIN cls{sfx} USING (lang, split)),
+res{sfx} AS (UNPIVOT wide{sfx} ON roc_auc, mcc, accuracy, f1, n_samples, n_positive
         INTO NAME metric VALUE value)"""
 
 
@@ -249,26 +251,13 @@ sc3 AS (SELECT doc_id, lang, n_chars AS score, label, pred, split
 
 
 def _cmp_sql() -> str:
-    rnd = _results_sql("sc2", "probe").replace("r AS", "r1 AS").replace("FROM r ", "FROM r1 ")
-    exp = _results_sql("sc", "probe")
-    tea = _results_sql("sc3", "probe")
-
-    def tag(sql, t):
-        for name in ("r", "a", "auc", "cm", "cls", "wide", "res"):
-            sql = sql.replace(f"\n{name} AS", f"\n{name}_{t} AS").replace(f"\n{name}1 AS", f"\n{name}_{t} AS")
-            sql = (sql.replace(f"FROM {name} ", f"FROM {name}_{t} ")
-                      .replace(f"FROM {name}\n", f"FROM {name}_{t}\n")
-                      .replace(f"FROM {name})", f"FROM {name}_{t})")
-                      .replace(f"{name}.", f"{name}_{t}.")
-                      .replace(f"JOIN {name} ", f"JOIN {name}_{t} ")
-                      .replace(f"UNPIVOT {name} ", f"UNPIVOT {name}_{t} "))
-        return sql
-
+    """Three result sets (random-like, experiment, teacher scores); the experiment lacks
+    one key and the teacher has one duplicated."""
     return f"""
 WITH {SCORED}, {_CMP_SRC},
-{tag(_results_sql("sc2", "probe"), "r").strip().lstrip(",")},
-{tag(exp, "e").strip().lstrip(",")},
-{tag(tea, "t").strip().lstrip(",")},
+{_results_sql("sc2", "probe", "_r").strip()},
+{_results_sql("sc", "probe", "_e").strip()},
+{_results_sql("sc3", "probe", "_t").strip()},
 exp AS (SELECT * FROM res_e WHERE NOT (task_name = 'de' AND metric = 'mcc')),
 tea AS (SELECT * FROM res_t UNION ALL SELECT * FROM res_t WHERE task_name = 'en' AND metric = 'f1')
 SELECT r.task_name, r.model, r.split, r.metric, round(r.value, 6) AS random,

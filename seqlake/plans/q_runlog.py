@@ -249,3 +249,17 @@ def q_sanitize_name(spark, sf):
     n = pages.unionByName(extra)
     return n.select("name", sanitize_name(F.col("name"), strict=True).alias("strict_name"),
                     sanitize_name(F.col("name"), strict=False).alias("loose_name"))
+
+
+@query("first_per_step_validation", f"""
+WITH {MAXSTEP}, {LIN},
+sl AS (SELECT 'all' AS run, event_id AS batch_idx, CAST(event_id // 4 AS BIGINT) AS step,
+              value AS loss FROM events),
+j AS (SELECT *, lag(step - 1, 1, -1) OVER (PARTITION BY run ORDER BY batch_idx) AS prev FROM sl)
+SELECT run, batch_idx, step, loss FROM j
+WHERE step - 1 > prev AND step - 1 IN (SELECT step FROM lin)
+""")
+def q_first_per_step_validation(spark, sf):
+    """G1, validation variant: the hook sees ``global_step - 1``."""
+    sl = step_log(spark, sf, one_run=True)
+    return RL.first_per_step(sl, _lin(spark, sf), offset=-1).select("run", "batch_idx", "step", "loss")
