@@ -80,47 +80,53 @@ def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
-def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
-                       key: Sequence[str] = ("sample",)) -> None:
-    """A4: append scored rows to a Parquet store partitioned by ``batch_col``, idempotently.
+GROUP_COL = "batch_group"
+
 
-    Keyed merge on ``key``: for every batch present in ``df`` the stored rows of that batch
-    whose key is not sent again are kept, the sent rows replace the rest, and only those
-    batch partitions are rewritten (dynamic partition overwrite). Re-running a batch, or
+def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
+                       key: Sequence[str] = ("sample",),
+                       batches_per_partition: int = 1024) -> None:
+    """A4: append scored rows to a Parquet store, idempotently.
+
+    The store is partitioned by ``batch_group = batch_idx div batches_per_partition`` (one
+    directory per batch would mean millions of tiny directories when batches are small).
+    Keyed merge on ``key``: for every group present in ``df`` the stored rows whose key is
+    not sent again are kept, the sent rows replace the rest, and only those group
+    partitions are rewritten (dynamic partition overwrite). Re-running a batch, or
     replaying a micro-batch, never duplicates a sample; a batch split over several appends
     keeps all its rows; an interrupted run keeps every finished append.
     """
     spark = df.sparkSession
     key = list(key)
-    merged = df
-    # The incoming rows are read up to three times below (touched batches, keys, rows);
+    grouped = df.withColumn(GROUP_COL, F.floor(F.col(batch_col) / F.lit(batches_per_partition))
+                            .cast("bigint"))
+    # The incoming rows are read up to three times below (touched groups, keys, rows);
     # keep them so an expensive producer (a model) runs once. Recomputed if an executor
     # is lost -- they are deterministic.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    merged = df
+    grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+    merged = grouped
     if has_data(spark, path):
-        touched = df.select(batch_col).distinct()
-        old = spark.read.parquet(path).join(touched, batch_col, "left_semi")
-        merged = old.join(df.select(*key), key, "left_anti").unionByName(df)
+        touched = grouped.select(GROUP_COL).distinct()
+        old = spark.read.parquet(path).join(touched, GROUP_COL, "left_semi")  # partition pruning
+        merged = old.join(grouped.select(*key), key, "left_anti").unionByName(grouped)
         # The store is read and rewritten by the same job: cut the lineage first.
         ensure_scratch(spark)
         merged = merged.checkpoint(eager=True)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        # rebalance: rows of a batch go to the same writers, and AQE splits a batch that is
+        # rebalance: rows of a group go to few writers, and AQE splits a group that is
         # much larger than the others instead of giving it to one task
-        (merged.hint("rebalance", batch_col).write.mode("overwrite").partitionBy(batch_col)
+        (merged.hint("rebalance", GROUP_COL).write.mode("overwrite").partitionBy(GROUP_COL)
                .parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-        df.unpersist()
+        grouped.unpersist()
 
 
-def read_soft_labels(spark: SparkSession, path: str, batch_col: str = "batch_idx") -> DataFrame:
-    """Read the store back; the partition column is re-typed (discovery infers int)."""
-    df = spark.read.parquet(path)
-    return df.withColumn(batch_col, F.col(batch_col).cast("bigint"))
+def read_soft_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Read the store back (without the partition helper column)."""
+    return spark.read.parquet(path).drop(GROUP_COL)
 
 
 def write_results(df: DataFrame, path: str) -> None:
