@@ -19,16 +19,25 @@ def id_char(i: int) -> str:
     return chr(48 + i)
 
 
-def tokenize(seq: Column, vocab: dict[str, int] | None = None, other_id: int = OTHER_ID) -> Column:
+def tokenize(seq: Column, vocab: dict[str, int] | None = None, other_id: int = OTHER_ID,
+             n_as_pad: bool = False, pad_id: int = PAD_ID) -> Column:
     """One id per character, no special tokens. ASCII letters are folded to upper case
-    (never ``upper()``: it changes lengths on some non-ASCII letters)."""
-    vocab = vocab or DEFAULT_VOCAB
+    (never ``upper()``: it changes lengths on some non-ASCII letters). ``n_as_pad`` emits
+    PAD for N directly (E3 folded in).
+
+    Two passes over the string: characters outside the vocabulary (either case) become
+    the "other" id, then one ``translate`` maps both cases to their ids.
+    """
+    vocab = dict(vocab or DEFAULT_VOCAB)
+    if n_as_pad and "N" in vocab:
+        vocab["N"] = pad_id
     letters = "".join(vocab)
-    lower = letters.lower()
-    folded = F.translate(seq, lower, letters) if lower != letters else seq
-    known = "".join(sorted(set(letters)))
-    marked = F.regexp_replace(folded, f"[^{_re_class(known)}]", id_char(other_id))
-    return F.translate(marked, letters, "".join(id_char(vocab[c]) for c in letters))
+    lower = "".join(c.lower() for c in letters if c.lower() != c)
+    src = letters + lower
+    dst = "".join(id_char(vocab[c]) for c in letters) + "".join(
+        id_char(vocab[c.upper()]) for c in lower)
+    marked = F.regexp_replace(seq, f"[^{_re_class(src)}]", id_char(other_id))
+    return F.translate(marked, src, dst)
 
 
 def _re_class(chars: str) -> str:

@@ -146,20 +146,25 @@ def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap:
     return fast.unionByName(slow)
 
 
+def tokenize_chunks(chunks: DataFrame, vocab: dict[str, int] | None = None,
+                    n_as_pad: bool = True) -> DataFrame:
+    """E1 (+ E3) on the chunk table: ``seq`` becomes the compact id string. Tokenizing maps
+    every base to exactly one id character, so it commutes with slicing -- a genome is
+    tokenized once and tiles are cut from the token string."""
+    from seqlake.functions.tokens import tokenize
+    return chunks.withColumn("seq", tokenize(F.col("seq"), vocab, n_as_pad=n_as_pad))
+
+
 def tile_tokens(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap: int,
                 tile_len: int | None = None, vocab: dict[str, int] | None = None,
-                n_as_pad: bool = True, contig_col: str = "chr_name") -> DataFrame:
+                n_as_pad: bool = True, contig_col: str = "chr_name",
+                tokenized: bool = False) -> DataFrame:
     """C1 + E1 (+ E3): token ids of each tile, as the compact id string ``ids``.
 
-    Tokenizing maps every base to exactly one id character, so it commutes with slicing:
-    chunks are tokenized once (a chunk holds ~chunk_size bases) and tiles are cut from the
-    token string -- instead of running the translation once per tile.
+    ``chunks`` is the sequence chunk table, or an already tokenized one
+    (``tokenized=True``, see :func:`tokenize_chunks`).
     """
-    from seqlake.functions.tokens import n_to_pad, tokenize
-    ids = tokenize(F.col("seq"), vocab)
-    if n_as_pad:
-        ids = n_to_pad(ids)
-    tok_chunks = chunks.withColumn("seq", ids)
+    tok_chunks = chunks if tokenized else tokenize_chunks(chunks, vocab, n_as_pad)
     out = tile_sequence(tiles, tok_chunks, chunk_size, overlap, contig_col, tile_len)
     return out.withColumnRenamed("seq", "ids")
 

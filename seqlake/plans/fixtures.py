@@ -262,3 +262,12 @@ def parameter_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("vec_id") * 32 + F.col("i")).alias("pos"),
                      F.element_at("embedding", F.col("i")).cast("double").alias("value"),
                      grad.alias("grad"))
+
+
+def token_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table tokenized once (default vocabulary, N as PAD), kept as Parquet."""
+    from seqlake.operators.tiling import tokenize_chunks
+    from seqlake.sources.stores import read_through
+    path = derived_path(spark, sf_dir, "token-chunks", chunk=CHUNK, overlap=OVERLAP,
+                        vocab="default", n_as_pad=True)
+    return read_through(spark, path, lambda: tokenize_chunks(chunk_table(spark, sf_dir)))

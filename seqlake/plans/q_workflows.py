@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqlake.constants import USEFUL_CLASSES
 from seqlake.functions import tokens as TK
@@ -13,8 +12,8 @@ from seqlake.operators import losses as L
 from seqlake.operators import probes as PR
 from seqlake.operators import tiling as TL
 from seqlake.plans import sqlgen as Q
-from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bed_file, chunk_table,
-                                    round6, table)
+from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bed_file, round6,
+                                    table, token_chunk_table)
 from seqlake.plans.q_tiling import IV, N_TILES, SEQS, TRAIN_IDX
 from seqlake.plans.registry import query
 from seqlake.session import scratch_path
@@ -55,15 +54,17 @@ SELECT idx AS sample, CAST(idx // {BATCH} AS BIGINT) AS batch_idx, chr_name, sta
 FROM tok
 """)
 def q_soft_label_generation(spark, sf):
-    """A1 -> B1 -> D4 -> D1 -> C1 + E1-E3 -> E2 -> D2 -> H1 -> A4 (read back)."""
+    """A1 -> B1 -> D4 -> D1 -> C1 + E1-E3 -> E2 -> D2 -> H1 -> A4 (read back). Token ids stay
+    in the compact string form up to the model."""
     iv = TL.split_filter(bed_scan(spark, bed_file(spark, sf), with_order=True), "train")
     iv = IX.global_index(iv, ["file_order"], "interval_idx").drop("file_order")
     tiles = TL.tile(iv, TILE, SEGMENT, interval_idx="interval_idx")
-    tok = TL.tile_tokens(tiles, chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
+    # the genome is tokenized once (read-through), tiles are cut from the token string
+    tok = TL.tile_tokens(tiles, token_chunk_table(spark, sf), CHUNK, OVERLAP, TILE,
+                         tokenized=True)
     tok = tok.withColumn("ids", TK.pad_truncate(F.col("ids"), TILE))
-    tok = IX.batch(tok, BATCH).withColumn("ids_arr", TK.ids_array(F.col("ids")))
-    scored = PR.score_batches(tok, class_share_model, "ids_arr", TILE, "logits",
-                              return_type=T.ArrayType(T.DoubleType()))
+    tok = IX.batch(tok, BATCH)
+    scored = PR.score_token_batches(tok, class_share_model, "ids", "logits")
     out = scored.select(F.col("idx").alias("sample"), "batch_idx", "chr_name", "start", "end",
                         *[F.element_at("logits", i + 1).alias(c) for i, c in enumerate(_LOGIT_COLS)])
     store = scratch_path(spark, "soft-label-gen")
