@@ -102,10 +102,10 @@ def _results(spark, sf, model="length", score_col="score"):
 
 # ---------------------------------------------------------------- A3, B9, B12, D6, E5
 
-@query("task_scan", f"WITH {TASK} SELECT task_name, split, sample_id, sequence, label FROM task "
-                    f"WHERE task_name = 'toxic'")
+@query("task_scan", f"WITH {TASK} SELECT task_name, split, sample_id, sequence, label FROM task")
 def q_task_scan(spark, sf):
-    return task_scan(spark, _task_path(spark, sf), tasks=["toxic"]).select(
+    # every task, both splits (a task list prunes partitions: see task_group)
+    return task_scan(spark, _task_path(spark, sf), splits=("train", "test")).select(
         "task_name", "split", "sample_id", "sequence", "label")
 
 
@@ -120,12 +120,12 @@ def q_task_group(spark, sf):
         "task_name", "split", "sample_id", "label")
 
 
-@query("assign", "SELECT vec_id AS sample_id, 'emb' AS task_name, 'train' AS split, label "
-                 "FROM embeddings WHERE vec_id % 5 <> 0")
+@query("assign", "SELECT vec_id AS sample_id, 'emb' AS task_name, 'probe' AS model, label "
+                 "FROM embeddings")
 def q_assign(spark, sf):
-    e = table(spark, sf, "embeddings").filter(F.col("vec_id") % 5 != 0)
+    e = table(spark, sf, "embeddings")
     return LB.assign(e.select(F.col("vec_id").alias("sample_id"), "label"),
-                     task_name="emb", split="train").select("sample_id", "task_name", "split", "label")
+                     task_name="emb", model="probe").select("sample_id", "task_name", "model", "label")
 
 
 @query("feature_concat", f"WITH {FEAT} SELECT task_name, split, sample_id, label FROM feat")
