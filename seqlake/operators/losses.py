@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.constants import COSINE_EPS, PAD_ID, USEFUL_CLASSES
-from seqlake.functions.softmax import dot, log_softmax
+from seqlake.functions.softmax import log_softmax
 
 INF = float("inf")
 

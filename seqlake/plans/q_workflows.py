@@ -14,7 +14,7 @@ from seqlake.operators import tiling as TL
 from seqlake.plans import sqlgen as Q
 from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bed_file, round6,
                                     table, token_chunk_table)
-from seqlake.plans.q_tiling import IV, N_TILES, SEQS, TRAIN_IDX
+from seqlake.plans.q_tiling import IV, SEQS, TRAIN_IDX
 from seqlake.plans.registry import query
 from seqlake.session import scratch_path
 from seqlake.sources import stores as ST

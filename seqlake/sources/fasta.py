@@ -41,13 +41,10 @@ CHUNK_SCHEMA = T.StructType([
 _LOCAL_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()),
     T.StructField("block", T.LongType()),
-    T.StructField("line_no", T.LongType()),
     T.StructField("is_header", T.BooleanType()),
-    T.StructField("header", T.StringType()),
     T.StructField("local_contig", T.StringType()),
     T.StructField("seg", T.LongType()),
     T.StructField("local_off", T.LongType()),
-    T.StructField("n", T.LongType()),
     T.StructField("line", T.StringType()),
 ])
 
@@ -65,7 +62,7 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     Rows of one split arrive in order and contiguously; a batch may hold the end of one
     split and the start of the next, and a split may span batches (state carried over).
     """
-    state = None  # (file, block, next line_no, seg, contig, off)
+    state = None  # (file, block, seg, contig, off)
     for pdf in batches:
         if pdf.empty:
             continue
@@ -75,9 +72,9 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in pdf.groupby(run_id, sort=False):
             f, b = g["file"].iat[0], int(g["block"].iat[0])
             if state is not None and state[0] == f and state[1] == b:
-                _, _, line0, seg0, contig0, off0 = state
+                _, _, seg0, contig0, off0 = state
             else:
-                line0, seg0, contig0, off0 = 0, 0, None, 0
+                seg0, contig0, off0 = 0, None, 0
             v = g["value"].str.rstrip("\r").reset_index(drop=True)
             hdr = v.str.startswith(">")
             n = v.str.len().where(~hdr, 0).astype("int64")
@@ -90,11 +87,9 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             off = off + off0 * (seg == seg0).astype("int64")
             m = len(v)
             parts.append(pd.DataFrame({
-                "file": f, "block": b, "line_no": line0 + pd.RangeIndex(m).to_numpy(),
-                "is_header": hdr, "header": name, "local_contig": contig, "seg": seg,
-                "local_off": off, "n": n, "line": _as_str(v.where(~hdr))}))
-            last_seg = int(seg.iat[-1])
-            state = (f, b, line0 + m, last_seg, contig.iat[-1] if m else contig0,
+                "file": f, "block": b, "is_header": hdr, "local_contig": contig, "seg": seg,
+                "local_off": off, "line": _as_str(v.where(~hdr))}))
+            state = (f, b, int(seg.iat[-1]), contig.iat[-1] if m else contig0,
                      int(off.iat[-1] + n.iat[-1]))
         yield pd.concat(parts, ignore_index=True)
 
