@@ -103,8 +103,10 @@ def probe_lreg(train: DataFrame, seed: int = 0, cs: Sequence[float] = tuple(np.l
                             elasticNetParam=0.0)
     pipe = Pipeline(stages=[scaler, lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n, 1)) for c in cs]).build()
+    # the grid's fits are independent Spark jobs: run a few at a time
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label"))
+                        evaluator=BinaryClassificationEvaluator(labelCol="label"),
+                        parallelism=min(4, len(grid)))
     return cv.fit(_vec(train).withColumn("label", F.col("label").cast("double")))
 
 
