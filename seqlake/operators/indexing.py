@@ -91,24 +91,51 @@ def skip_anti(df: DataFrame, skip: Iterable[int] = DEFAULT_SKIP, idx: str = "idx
     return df.join(F.broadcast(_skip_table(df, skip, idx)), idx, "left_anti")
 
 
+def _kth_kept(r: int, skip_sorted: list[int]) -> int:
+    """The ``r``-th (0-based) index of ``0, 1, 2, ...`` that is not in ``skip_sorted``."""
+    x = r
+    for sk in skip_sorted:
+        if sk <= x:
+            x += 1
+        else:
+            break
+    return x
+
+
 def skip_substitute(df: DataFrame, skip: Iterable[int] = DEFAULT_SKIP, idx: str = "idx",
-                    order_idx: str | None = None) -> DataFrame:
+                    dense: bool = True) -> DataFrame:
     """Every row whose index is in the skip list is replaced by another, kept row.
 
     Reproducible rule: among the ``m`` kept rows (ranked by index), take the one of rank
     ``pmod(idx * 1103515245 + 12345, m)``. The replacement keeps the original ``idx``;
     ``source_idx`` says where the content came from.
+
+    ``dense=True`` (indices are ``0..n-1``, as sample indices are): the rank-to-index map
+    follows from the skip list alone, so one count and a join with at most ``len(skip)``
+    target indices do it -- nothing is ranked or checkpointed. Otherwise the kept rows are
+    ranked with :func:`global_index`.
     """
     skip = sorted(set(int(s) for s in skip))
-    skipped = df.filter(F.col(idx).isin(skip))
     kept = df.join(F.broadcast(_skip_table(df, skip, idx)), idx, "left_anti")
-    kept_ranked = global_index(kept, [idx], "_rank")
-    m = kept_ranked.count()
-    out_kept = kept_ranked.drop("_rank").withColumn("source_idx", F.col(idx))
-    if m == 0:
-        return out_kept
-    want = skipped.select(F.col(idx).alias("_orig"), lcg_rank(F.col(idx), m).alias("_rank"))
-    # `want` has at most len(skip) rows: the user's skip list.
-    repl = kept_ranked.join(F.broadcast(want), "_rank", "inner").drop("_rank")
+    out_kept = kept.withColumn("source_idx", F.col(idx))
+    if dense:
+        n = df.count()
+        present = [s for s in skip if 0 <= s < n]
+        m = n - len(present)
+        if m <= 0 or not present:
+            return out_kept
+        pairs = [(s, _kth_kept((s * LCG_A + LCG_C) % m, skip)) for s in present]
+        # at most len(skip) rows: the user's skip list
+        want = df.sparkSession.createDataFrame(pairs, f"_orig bigint, {idx} bigint")
+        repl = df.join(F.broadcast(want), idx, "inner")
+    else:
+        kept_ranked = global_index(kept, [idx], "_rank")
+        m = kept_ranked.count()
+        if m == 0:
+            return out_kept
+        skipped = df.filter(F.col(idx).isin(skip))
+        want = skipped.select(F.col(idx).alias("_orig"), lcg_rank(F.col(idx), m).alias("_rank"))
+        # `want` has at most len(skip) rows: the user's skip list.
+        repl = kept_ranked.join(F.broadcast(want), "_rank", "inner").drop("_rank")
     repl = repl.withColumn("source_idx", F.col(idx)).withColumn(idx, F.col("_orig")).drop("_orig")
     return out_kept.unionByName(repl)

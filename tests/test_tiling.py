@@ -125,12 +125,14 @@ def test_global_index_equals_row_number(spark):
     assert got == {k: k for k in range(5000)}
 
 
-def test_skip_substitute_rule(spark):
+@pytest.mark.parametrize("dense", [True, False])
+def test_skip_substitute_rule(spark, dense):
     df = spark.range(0, 100).withColumnRenamed("id", "idx")
-    out = {r.idx: r.source_idx for r in IX.skip_substitute(df, [3, 50]).collect()}
+    skip = [3, 50, 51, 99, 500]
+    out = {r.idx: r.source_idx for r in IX.skip_substitute(df, skip, dense=dense).collect()}
     assert len(out) == 100
-    kept = [i for i in range(100) if i not in (3, 50)]
-    for s in (3, 50):
+    kept = [i for i in range(100) if i not in skip]
+    for s in (3, 50, 51, 99):
         assert out[s] == kept[(s * 1103515245 + 12345) % len(kept)]
     assert all(out[i] == i for i in kept)
     assert IX.skip_anti(df, [3, 50]).count() == 98
