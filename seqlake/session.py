@@ -37,6 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_scratch(spark)
+    ship_package(spark)
     return spark
 
 
@@ -60,6 +61,27 @@ def ensure_scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``seqlake`` importable by the Python workers (the FASTA pass and the UDFs are
+    pickled by reference): zip the package once per application and add it with
+    ``SparkContext.addPyFile`` -- what ``--py-files`` does at submit time."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="seqlake-pyfiles-")) / "seqlake.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared scratch root."""
     return f"{ensure_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"

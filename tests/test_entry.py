@@ -50,3 +50,25 @@ def test_query_matches_oracle(spark, duck, name):
     a = sorted((tuple(_norm(r[i]) for i in si) for r in df.collect()), key=repr)
     b = sorted((tuple(_norm(r[i]) for i in oi) for r in rel.fetchall()), key=repr)
     assert a == b
+
+
+def test_entry_loads_from_another_directory(tmp_path):
+    """The driver may load __spark_entry__.py by path from any working directory; the
+    Python workers must still import the package (FASTA pass runs in mapInPandas)."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry_mod", "{root}/__spark_entry__.py")
+E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert E.entry(spark).count() > 0
+assert E.queries()["fasta_scan"](spark, "{SF_SMALL}").count() > 0
+print("OK")
+"""
+    r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                       timeout=600)
+    assert r.stdout.strip().endswith("OK"), r.stderr[-2000:]
