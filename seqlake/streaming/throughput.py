@@ -28,12 +28,24 @@ def throughput_stream(log: DataFrame, interval: str, watermark: str) -> DataFram
 
 def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",
                    available_now: bool = True, timeout_s: float | None = None) -> None:
-    """Run ``stream`` into Parquet at ``sink``. ``complete`` overwrites per micro-batch,
-    ``append``/``update`` append. ``available_now`` processes what is there, then stops."""
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        m = "overwrite" if mode == "complete" else "append"
-        batch.write.mode(m).parquet(sink)
+    """Run ``stream`` into Parquet at ``sink``. ``complete`` overwrites the sink per
+    micro-batch; ``append``/``update`` write each micro-batch into its own ``epoch_id``
+    partition with dynamic overwrite, so a micro-batch replayed after a failure replaces
+    what its first attempt wrote instead of adding it twice. ``available_now`` processes
+    what is there, then stops."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(sink)
+            return
+        spark = batch.sparkSession
+        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            (batch.withColumn("epoch_id", F.lit(epoch).cast("bigint")).write.mode("overwrite")
+                  .partitionBy("epoch_id").parquet(sink))
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(write)
