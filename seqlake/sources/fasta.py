@@ -5,7 +5,7 @@ Finding the contig and the offset of every line needs the lines in order, and a
 usually spans many input splits. The scan therefore runs in two passes, never holding a
 whole contig in one row:
 
-1. ``mapInPandas`` over the text splits emits one summary row per split (headers seen,
+1. JVM aggregates over the text splits give one summary row per split (headers seen,
    last header, bases after it, all bases). A window ordered by split start turns these
    into each split's carry-in (contig and offset at its first line). The table has exactly
    one row per input split -- the scheduler already tracks that many tasks -- so it is
@@ -94,49 +94,34 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(parts, ignore_index=True)
 
 
-_SPLIT_SCHEMA = T.StructType([
-    T.StructField("file", T.StringType()),
-    T.StructField("block", T.LongType()),
-    T.StructField("n_headers", T.LongType()),
-    T.StructField("last_header", T.StringType()),
-    T.StructField("tail_len", T.LongType()),
-    T.StructField("total_len", T.LongType()),
-])
-
+def split_summary(raw: DataFrame) -> DataFrame:
+    """One row per input split: ``n_headers``, ``last_header``, ``tail_len`` (bases after
+    the last header) and ``total_len``, from JVM scans of the text only.
 
-def _split_summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per input split: headers seen, the last header, bases after it, all bases."""
-    cur = None  # [file, block, n_headers, last_header, tail_len, total_len]
-    done = []
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        key = pdf["file"].astype(str) + "\x00" + pdf["block"].astype(str)
-        run_id = key.ne(key.shift()).cumsum()
-        for _, g in pdf.groupby(run_id, sort=False):
-            f, b = g["file"].iat[0], int(g["block"].iat[0])
-            if cur is None or (cur[0], cur[1]) != (f, b):
-                if cur is not None:
-                    done.append(cur)
-                cur = [f, b, 0, None, 0, 0]
-            v = g["value"].str.rstrip("\r").reset_index(drop=True)
-            hdr = v.str.startswith(">").to_numpy()
-            n = v.str.len().to_numpy()
-            n[hdr] = 0
-            cur[5] += int(n.sum())
-            if hdr.any():
-                last = int(hdr.nonzero()[0][-1])
-                body = v.iat[last][1:].strip()
-                cur[2] += int(hdr.sum())
-                cur[3] = body.split()[0] if body else ""
-                cur[4] = int(n[last + 1:].sum())
-            else:
-                cur[4] += int(n.sum())
-        if done:
-            yield pd.DataFrame(done, columns=[f.name for f in _SPLIT_SCHEMA.fields])
-            done = []
-    if cur is not None:
-        yield pd.DataFrame([cur], columns=[f.name for f in _SPLIT_SCHEMA.fields])
+    Rows carry ``row`` = ``monotonically_increasing_id()``: inside a split it increases in
+    line order, and every scan of the same files yields the same values. All aggregates
+    are numeric (hash aggregation, partial per task); the header name comes from the few
+    header lines.
+    """
+    v = F.rtrim(F.col("value"), F.lit("\r"))
+    rows = raw.select("file", "block", F.monotonically_increasing_id().alias("row"),
+                      v.startswith(">").alias("hdr"), v.alias("v"))
+    n = F.when(F.col("hdr"), F.lit(0)).otherwise(F.length("v")).cast("long")
+    per = rows.groupBy("file", "block").agg(
+        F.count_if("hdr").alias("n_headers"),
+        F.max(F.when(F.col("hdr"), F.col("row"))).alias("last_row"),
+        F.sum(n).alias("total_len"))
+    # one row per split: bounded by the number of input splits
+    tail = (rows.join(F.broadcast(per.select("file", "block", "last_row")), ["file", "block"])
+                .groupBy("file", "block")
+                .agg(F.sum(F.when(F.col("row") > F.col("last_row"), n).otherwise(F.lit(0)))
+                     .alias("tail_len")))
+    names = rows.filter("hdr").select(
+        "file", "block", F.col("row").alias("last_row"),
+        F.regexp_extract(F.col("v"), r"^>\s*(\S*)", 1).alias("last_header"))
+    return (per.join(tail, ["file", "block"])
+               .join(names, ["file", "block", "last_row"], "left")
+               .select("file", "block", "n_headers", "last_header", "tail_len", "total_len"))
 
 
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -145,8 +130,8 @@ def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), "value")
     local = raw.mapInPandas(_local_pass, _LOCAL_SCHEMA)
-    # Pass 1: one row per input split (the Python pass emits nothing per line).
-    blocks = raw.mapInPandas(_split_summary, _SPLIT_SCHEMA)
+    # Pass 1: one row per input split, JVM aggregates only.
+    blocks = split_summary(raw)
     w = Window.partitionBy("file").orderBy("block")
     has_hdr = F.col("n_headers") > 0
     contrib = F.when(has_hdr, F.coalesce(F.col("tail_len"), F.lit(0))).otherwise(F.col("total_len"))
