@@ -147,18 +147,25 @@ def schedule_semi(step_log: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def first_per_step(step_log: DataFrame, schedule: DataFrame, offset: int = 0,
-                   by: Sequence[str] = ("run",)) -> DataFrame:
+                   by: Sequence[str] = ("run",), dense: bool = True) -> DataFrame:
     """G1: fire once per optimizer step although several batches share it.
 
     A row fires when ``step + offset`` is in the schedule and is greater than the previous
     row's ``step + offset`` (the first row compares with -1). ``offset = -1`` is the
-    validation variant. The previous row is the row with ``batch_idx - 1`` in the same run
-    (batch counters are consecutive), found by an equi-join -- no window over a whole run.
+    validation variant. The previous row is the row with position ``- 1`` in the same run,
+    found by an equi-join -- no window over a whole run. ``dense=True``: ``batch_idx`` counts
+    0, 1, 2, ... inside each run and is the position; otherwise positions are assigned by
+    the global index over ``(run, batch_idx)``.
     """
     by = list(by)
     cur = step_log.withColumn("_s", F.col("step") + F.lit(offset))
-    prev = cur.select(*by, (F.col("batch_idx") + 1).alias("batch_idx"), F.col("_s").alias("_prev"))
-    j = cur.join(prev, [*by, "batch_idx"], "left")
+    if dense:
+        cur = cur.withColumn("_p", F.col("batch_idx"))
+    else:
+        from seqlake.operators.indexing import global_index
+        cur = global_index(cur, [*by, "batch_idx"], "_p")
+    prev = cur.select(*by, (F.col("_p") + 1).alias("_p"), F.col("_s").alias("_prev"))
+    j = cur.join(prev, [*by, "_p"], "left").drop("_p")
     j = j.withColumn("_prev", F.coalesce(F.col("_prev"), F.lit(-1)))
     fired = j.filter(F.col("_s") > F.col("_prev")).drop("_prev")
     sched = schedule.select(F.col("step").alias("_s")).distinct()

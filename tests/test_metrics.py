@@ -99,18 +99,24 @@ def test_running_total_and_top_k_are_exact(spark):
         assert sorted((-(r.v), r.o) for r in tk if r.g == g) == want
 
 
-def test_first_per_step_matches_sequential_rule(spark):
+@pytest.mark.parametrize("dense", [True, False])
+def test_first_per_step_matches_sequential_rule(spark, dense):
     steps = [0, 0, 1, 1, 1, 2, 4, 4, 3, 5, 6, 6, 10, 10]
-    df = spark.createDataFrame([("r", i, s, 0.0) for i, s in enumerate(steps)],
-                               "run string, batch_idx long, step long, loss double")
+    gap = 1 if dense else 3   # non-dense: batch counters with gaps, two runs interleaved
+    rows = [("r", i * gap, s, 0.0) for i, s in enumerate(steps)]
+    if not dense:
+        rows += [("q", i * gap + 1, s, 0.0) for i, s in enumerate(reversed(steps))]
+    df = spark.createDataFrame(rows, "run string, batch_idx long, step long, loss double")
     sched = spark.createDataFrame([(s,) for s in (1, 3, 4, 6, 10)], "step long")
-    got = sorted(r.batch_idx for r in RL.first_per_step(df, sched).collect())
-    last, want = -1, []
-    for i, s in enumerate(steps):
-        if s in (1, 3, 4, 6, 10) and last < s:
-            want.append(i)
-        last = s
-    assert got == want
+    got = sorted((r.run, r.batch_idx) for r in RL.first_per_step(df, sched, dense=dense).collect())
+    want = []
+    for run in sorted({r[0] for r in rows}):
+        last = -1
+        for _, b, s, _ in sorted((r for r in rows if r[0] == run), key=lambda r: r[1]):
+            if s in (1, 3, 4, 6, 10) and last < s:
+                want.append((run, b))
+            last = s
+    assert got == sorted(want)
 
 
 def test_parameter_label(spark):
