@@ -34,20 +34,6 @@ SIGNIFICANT_PARAM_SUFFIXES = (
 EMBEDDING_PARAM_MARKER = "word_embeddings.embedding.weight"
 SUBMODULE_PREFIX = "mixer.submodule."
 
-# Named task groups, each an ordered task list.
-TASK_GROUPS = {
-    "enhancers_only": ["enhancers"],
-    "eric_relevant": ["splice_sites_acceptors", "splice_sites_donors"],
-    "representative_binary_tasks": [
-        "splice_sites_acceptors", "splice_sites_donors", "enhancers", "promoter_all", "H3K4me3",
-    ],
-    "all_binary_tasks": [
-        "splice_sites_acceptors", "splice_sites_donors", "promoter_all", "promoter_tata",
-        "promoter_no_tata", "enhancers", "H2AFZ", "H3K27ac", "H3K27me3", "H3K36me3", "H3K4me1",
-        "H3K4me2", "H3K4me3", "H3K9ac", "H3K9me3", "H4K20me1",
-    ],
-}
-
 # The six metrics reported per (task, model, split), in report order.
 RESULT_METRICS = ("roc_auc", "mcc", "accuracy", "f1", "n_samples", "n_positive")
 

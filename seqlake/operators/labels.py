@@ -11,14 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlake.constants import TASK_GROUPS
-
 KEY = ("task_name", "split")
 
 
-def task_groups(spark: SparkSession, groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """M10 as a dimension table ``(task_group, pos, task_name)``."""
-    groups = TASK_GROUPS if groups is None else groups
+def task_groups(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
+    """M10 as a dimension table ``(task_group, pos, task_name)`` from the caller's named,
+    ordered task lists (configuration)."""
     rows = [(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)]
     return spark.createDataFrame(rows, "task_group string, pos int, task_name string")
 
