@@ -25,8 +25,9 @@ def tokenize(seq: Column, vocab: dict[str, int] | None = None, other_id: int = O
     (never ``upper()``: it changes lengths on some non-ASCII letters). ``n_as_pad`` emits
     PAD for N directly (E3 folded in).
 
-    Two passes over the string: characters outside the vocabulary (either case) become
-    the "other" id, then one ``translate`` maps both cases to their ids.
+    A string of printable ASCII only (the usual FASTA case) is mapped by one ``translate``
+    over all 95 printable characters; anything else takes two passes (characters outside
+    the vocabulary become the "other" id, then ``translate`` maps both cases).
     """
     vocab = dict(vocab or DEFAULT_VOCAB)
     if n_as_pad and "N" in vocab:
@@ -37,7 +38,11 @@ def tokenize(seq: Column, vocab: dict[str, int] | None = None, other_id: int = O
     dst = "".join(id_char(vocab[c]) for c in letters) + "".join(
         id_char(vocab[c.upper()]) for c in lower)
     marked = F.regexp_replace(seq, f"[^{_re_class(src)}]", id_char(other_id))
-    return F.translate(marked, src, dst)
+    general = F.translate(marked, src, dst)
+    table = dict(zip(src, dst))
+    printable = "".join(chr(c) for c in range(32, 127))
+    ascii_map = "".join(table.get(c, id_char(other_id)) for c in printable)
+    return F.when(seq.rlike("[^ -~]"), general).otherwise(F.translate(seq, printable, ascii_map))
 
 
 def _re_class(chars: str) -> str:

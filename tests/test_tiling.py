@@ -114,6 +114,8 @@ def test_tokens(spark):
     pt = df.select(TK.pad_truncate(F.lit("789"), 5).alias("a"),
                    TK.pad_truncate(F.lit("789:;"), 2).alias("b")).first()
     assert (pt.a, pt.b) == ("78944", "78")
+    odd = spark.createDataFrame([("aé\tNg€",)], "s string")   # non-ASCII, control char
+    assert odd.select(TK.tokenize(F.col("s"), n_as_pad=True)).first()[0] == "766496"
     assert df.select(TK.is_all_pad(F.lit("444")), TK.is_all_pad(F.lit("")),
                      TK.is_all_pad(F.lit("474"))).first() == (True, True, False)
 
