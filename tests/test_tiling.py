@@ -145,3 +145,31 @@ def test_chunk_rounded_limit(spark):
     assert IX.chunk_rounded_limit(df, 250, 100).count() == 300
     assert IX.chunk_rounded_limit(df, 0, 100).count() == 1000
     assert IX.chunk_rounded_limit(df, 5000, 100).count() == 1000
+
+
+def test_interval_contract_counts_and_strict_mode(spark):
+    from seqlake.plans.fixtures import bad_intervals
+    lens = spark.createDataFrame([(r.chr_name, r.end + 10_000) for r in
+                                  intervals(spark, SF_SMALL).select("chr_name", "end")
+                                  .groupBy("chr_name").agg(F.max("end").alias("end")).collect()],
+                                 "contig string, length long")
+    good = TL.tile(TL.contig_bounds(intervals(spark, SF_SMALL), lens), 64, 256)
+    rep = TL.interval_contract(good, 64, 256)
+    TL.assert_contract(rep)   # all clean: no exception
+    bad = TL.tile(TL.contig_bounds(bad_intervals(spark, SF_SMALL), lens), 64, 256)
+    totals = TL.interval_contract(bad, 64, 256).agg(
+        *[F.sum(c).alias(c) for c in ("negative_start", "bad_segment_length", "unknown_contig")]).first()
+    n_docs = intervals(spark, SF_SMALL).select("chr_name").distinct().count()
+    assert totals.unknown_contig == n_docs * 4
+    assert totals.negative_start == n_docs            # only the first tile starts at -1
+    assert totals.bad_segment_length == n_docs * 4      # the length-255 interval, 4 tiles
+    with pytest.raises(ValueError):
+        TL.assert_contract(TL.interval_contract(bad, 64, 256))
+
+
+def test_reject_all_pad_strict(spark):
+    df = spark.createDataFrame([("4444",), ("4744",)], "ids string")
+    kept, bad = TL.reject_all_pad(df, "ids")
+    assert (kept.count(), bad.count()) == (1, 1)
+    with pytest.raises(ValueError):
+        TL.reject_all_pad(df, "ids", strict=True)
