@@ -162,6 +162,11 @@ def with_terms(df: DataFrame, temperatures: Sequence[float] = (), ce: bool = Fal
     return out
 
 
+def kl_column(temperature: float) -> Column:
+    """The per-row KL term added by :func:`with_terms` for ``temperature``."""
+    return F.col(f"_kl_{_tname(temperature)}")
+
+
 def _kl(temperature: float) -> Column:
     return F.col(f"_kl_{_tname(temperature)}")
 

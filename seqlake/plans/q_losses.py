@@ -205,8 +205,6 @@ def q_align_teacher_student(spark, sf):
     student = pos.select(F.col("vec_id").alias("sample"), "pos", "batch_id", "tok", *Q.S_COLS)
     teacher = pos.select(F.col("vec_id").alias("sample"), "pos", *Q.T_COLS)
     aligned = L.align_teacher_student(student, teacher, ["sample", "pos"])
-    from seqlake.functions.softmax import kl_terms, log_softmax
-    kl = kl_terms(log_softmax([F.col(c) for c in Q.T_COLS], T),
-                  log_softmax([F.col(c) for c in Q.S_COLS], T))
-    return round6(aligned.select(F.col("sample").alias("vec_id"), "batch_id", "tok",
-                                 *Q.S_COLS, *Q.T_COLS, kl.alias("kl")))
+    kl = L.with_terms(aligned, [T]).select("*", L.kl_column(T).alias("kl"))
+    return round6(kl.select(F.col("sample").alias("vec_id"), "batch_id", "tok",
+                            *Q.S_COLS, *Q.T_COLS, "kl"))
