@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.constants import COSINE_EPS, PAD_ID, USEFUL_CLASSES
-from seqlake.functions.softmax import log_softmax
+from seqlake.functions.softmax import logsumexp
 
 INF = float("inf")
 
@@ -85,9 +85,14 @@ def positions(df: DataFrame, array_cols: Sequence[str], pos_col: str = "pos") ->
 
 def log_softmax_columns(df: DataFrame, prefix: str, temperature: float = 1.0,
                         out_prefix: str = "lp", classes: Sequence[int] = USEFUL_CLASSES) -> DataFrame:
-    """Log-softmax over the useful classes of one model, as ``{out_prefix}_c{k}``."""
-    lps = log_softmax([F.col(f"{prefix}_c{k}") for k in classes], temperature)
-    return df.withColumns({f"{out_prefix}_c{k}": lp for k, lp in zip(classes, lps)})
+    """Log-softmax over the useful classes of one model, as ``{out_prefix}_c{k}``. The
+    log-sum-exp is computed once per row (a column), then subtracted per class."""
+    cols = [F.col(f"{prefix}_c{k}") for k in classes]
+    lse_col = f"_{out_prefix}_lse"
+    out = df.withColumn(lse_col, logsumexp([c / F.lit(float(temperature)) for c in cols]))
+    out = out.withColumns({f"{out_prefix}_c{k}": c / F.lit(float(temperature)) - F.col(lse_col)
+                           for k, c in zip(classes, cols)})
+    return out.drop(lse_col)
 
 
 # ---------------------------------------------------------------- per-row terms
