@@ -64,8 +64,6 @@ class WordTokenizer:
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         """Adds words that are not known yet, by ascending hash."""
-        if len(self.hash) and len(self.hash) + len(hashes) > KNOWN:
-            self.forget()
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         first = len(self.ids) + np.cumsum(count) - count
@@ -90,12 +88,13 @@ class WordTokenizer:
             return np.empty(0, np.uint16), np.zeros(len(group) + 1, np.int64)
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         stop = np.append(start[1:], len(data))
-        known = self._at(distinct)[1]
-        while not known.all():              # again if the table was emptied to make room
-            new = np.flatnonzero(~known)
+        new = np.flatnonzero(~self._at(distinct)[1])
+        if len(self.hash) + len(new) > KNOWN:           # make room: begin with this group's words
+            self.forget()
+            new = np.arange(len(distinct))
+        if len(new):
             self.learn(distinct[new], [data[a:b].rstrip().decode("utf-8", "replace") for a, b in
                                        zip(start[where[new]].tolist(), stop[where[new]].tolist())])
-            known = self._at(distinct)[1]
         at, _ = self._at(distinct)
         first, count = self.first[at][back], self.count[at][back]
         total = np.concatenate(([0], np.cumsum(count)))

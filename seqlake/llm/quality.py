@@ -52,8 +52,9 @@ def feature_sets(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, dtype=np.uint8)
     wide = b.astype(np.uint64)
     grams = (wide[:-2] << np.uint64(16)) | (wide[1:-1] << np.uint64(8)) | wide[2:]
-    values = [_slots(grams, 0)]
-    owner = [np.repeat(np.arange(len(group)), size)[:len(grams)]]
+    own = np.repeat(np.arange(len(group)), size)
+    inside = own[2:] == own[:-2]
+    values, owner = [_slots(grams[inside], 0)], [own[2:][inside]]
 
     start, h = words.word_hashes(data)
     if len(start):

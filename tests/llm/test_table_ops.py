@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -108,10 +109,8 @@ def test_top_k(spark, leaf, block, monkeypatch):
 
 # ---------------------------------------------------------------- archives
 
-def test_archives_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(warc, "CHUNK", 700)
-    monkeypatch.setattr(warc, "SEGMENT", 2000)
-    big, other = "é<p>\r\n\r\nWARC/1.1\r\n" * 300, "x" * 1000
+def test_archives_round_trip(spark):
+    big, other = "é<p>\r\n\r\nWARC/1.1\r\n" * 30_000, "x" * 1000
     rows = [(1, "http://a/1", big), (2, "http://a/2 b", big), (3, None, other), (4, "u", "short"), (5, "u", "short"),
             (6, "u", None), (7, "u", ""), (9, "http://a/9", big), (8, "u", other), (10, "u", "y" * 999),
             (11, "u", "y" * 999), (None, "u", big), (12, "u", "".join(map(str, range(4000))))]
@@ -128,14 +127,33 @@ def test_archives_round_trip(spark, monkeypatch):
     # the chunk table holds the payloads, every chunk with the digest so far
     payload = defaultdict(bytes)
     for r in sorted(chunks.collect(), key=lambda r: (r["record_id"], r["chunk_no"])):
-        assert len(r["chunk"]) <= 700
+        assert len(r["chunk"]) <= warc.CHUNK
         payload[r["record_id"]] += r["chunk"]
         if r["record_type"] == "response":
             assert r["digest"] == hashlib.sha1(payload[r["record_id"]]).hexdigest()
-    assert Counter(payload.values())[big.encode()] == 1
+    assert Counter(payload.values())[big.encode()] == 2 and chunks.filter("chunk_no > 1").count() >= 2
     assert warc.records(warc.read_archives(warc.write_archives(df.limit(0)))).count() == 0
 
 
+def test_small_chunks_and_segments(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 700)
+    monkeypatch.setattr(warc, "SEGMENT", 500)
+    rng = np.random.default_rng(2)
+    data = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 699, 700, 701, 5000, 0, 1400)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(data)), pa.int64()), pa.array(["u"] * len(data)), pa.array(data, pa.binary()),
+         pa.array([hashlib.sha1(d).hexdigest() for d in data]), pa.array([None] * len(data), pa.int64())],
+        names=["page_id", "url", "payload", "digest", "refers_to"])
+    segments = list(warc._write(iter([batch]), str(tmp_path), "2024-01-01T00:00:00Z"))
+    assert sum(s.num_rows for s in segments) > 3
+    rows = [r for b in warc._read(iter(segments)) for r in b.to_pylist()]
+    for i, d in enumerate(data):
+        own = [r for r in rows if r["page_id"] == i]
+        assert [r["chunk_no"] for r in own] == list(range(max(1, -(-len(d) // 700))))
+        assert b"".join(r["chunk"] for r in own) == d and [r["last"] for r in own][-1]
+        assert own[-1]["digest"] == hashlib.sha1(d).hexdigest()
+
+
 # ---------------------------------------------------------------- shards
 
 def test_longest_first_is_lpt():
