@@ -131,7 +131,7 @@ def test_archives_round_trip(spark):
         payload[r["record_id"]] += r["chunk"]
         if r["record_type"] == "response":
             assert r["digest"] == hashlib.sha1(payload[r["record_id"]]).hexdigest()
-    assert Counter(payload.values())[big.encode()] == 2 and chunks.filter("chunk_no > 1").count() >= 2
+    assert Counter(payload.values())[big.encode()] == 1 and chunks.filter("chunk_no > 1").count() >= 1
     assert warc.records(warc.read_archives(warc.write_archives(df.limit(0)))).count() == 0
 
 
