@@ -36,7 +36,7 @@ PARTITION = 1 << 18         # ids per partition, about
 END = 2                     # id behind every document
 KNOWN = 1 << 21             # words whose ids a worker remembers
 BROADCAST_OFFSETS = 200_000  # rows of (task, source) sums up to which they are broadcast
-BATCH_BYTES = 16 << 20      # text tokenized at once
+BATCH_BYTES = 6 << 20       # text tokenized at once
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, source string, partition bigint")
