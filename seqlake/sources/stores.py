@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,24 +94,31 @@ def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
     not sent again are kept, the sent rows replace the rest, and only those group
     partitions are rewritten (dynamic partition overwrite). Re-running a batch, or
     replaying a micro-batch, never duplicates a sample; a batch split over several appends
-    keeps all its rows; an interrupted run keeps every finished append.
+    keeps all its rows. A key sent several times in one append keeps its row of the last
+    batch; a key stored under another batch before moves, so its old group is rewritten too.
     """
     spark = df.sparkSession
     key = list(key)
+    last = Window.partitionBy(*key).orderBy(F.desc(batch_col), F.xxhash64(*df.columns))
+    df = df.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
     grouped = df.withColumn(GROUP_COL, F.floor(F.col(batch_col) / F.lit(batches_per_partition))
                             .cast("bigint"))
     # The incoming rows are read up to three times below (touched groups, keys, rows);
     # keep them so an expensive producer (a model) runs once. Recomputed if an executor
     # is lost -- they are deterministic.
     grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
-    merged = grouped
+    merged, left = grouped, []
     if has_data(spark, path):
-        touched = grouped.select(GROUP_COL).distinct()
+        sent = grouped.select(*key)
+        moved = spark.read.parquet(path).join(sent, key, "left_semi").select(GROUP_COL)
+        touched = grouped.select(GROUP_COL).unionByName(moved).distinct()
         old = spark.read.parquet(path).join(touched, GROUP_COL, "left_semi")  # partition pruning
         merged = old.join(grouped.select(*key), key, "left_anti").unionByName(grouped)
         # The store is read and rewritten by the same job: cut the lineage first.
         ensure_scratch(spark)
         merged = merged.checkpoint(eager=True)
+        # groups of which every row moved away have no rows to overwrite them with
+        left = [r[0] for r in touched.join(merged, GROUP_COL, "left_anti").distinct().collect()]
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
@@ -119,6 +126,9 @@ def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
         # much larger than the others instead of giving it to one task
         (merged.hint("rebalance", GROUP_COL).write.mode("overwrite").partitionBy(GROUP_COL)
                .parquet(path))
+        for group in left:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{GROUP_COL}={group}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
         grouped.unpersist()
