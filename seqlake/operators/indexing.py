@@ -91,10 +91,12 @@ def skip_anti(df: DataFrame, skip: Iterable[int] = DEFAULT_SKIP, idx: str = "idx
     return df.join(F.broadcast(_skip_table(df, skip, idx)), idx, "left_anti")
 
 
-def _kth_kept(r: int, skip_sorted: list[int]) -> int:
-    """The ``r``-th (0-based) index of ``0, 1, 2, ...`` that is not in ``skip_sorted``."""
-    x = r
+def _kth_kept(r: int, skip_sorted: list[int], first: int = 0) -> int:
+    """The ``r``-th (0-based) index of ``first, first + 1, ...`` that is not in ``skip_sorted``."""
+    x = first + r
     for sk in skip_sorted:
+        if sk < first:
+            continue
         if sk <= x:
             x += 1
         else:
@@ -110,21 +112,23 @@ def skip_substitute(df: DataFrame, skip: Iterable[int] = DEFAULT_SKIP, idx: str
     ``pmod(idx * 1103515245 + 12345, m)``. The replacement keeps the original ``idx``;
     ``source_idx`` says where the content came from.
 
-    ``dense=True`` (indices are ``0..n-1``, as sample indices are): the rank-to-index map
-    follows from the skip list alone, so one count and a join with at most ``len(skip)``
-    target indices do it -- nothing is ranked or checkpointed. Otherwise the kept rows are
-    ranked with :func:`global_index`.
+    ``dense=True``: when the indices turn out to be consecutive (from any first index, so also
+    after :func:`resume_offset`), the rank-to-index map follows from the skip list alone: one
+    aggregate and a join with at most ``len(skip)`` target indices do it. Otherwise the kept
+    rows are ranked with :func:`global_index`. Skip indices without a row replace nothing.
     """
     skip = sorted(set(int(s) for s in skip))
     kept = df.join(F.broadcast(_skip_table(df, skip, idx)), idx, "left_anti")
     out_kept = kept.withColumn("source_idx", F.col(idx))
     if dense:
-        n = df.count()
-        present = [s for s in skip if 0 <= s < n]
+        first, last, n = df.agg(F.min(idx), F.max(idx), F.count(F.lit(1))).first()
+        dense = n == 0 or last - first + 1 == n
+    if dense:
+        present = [s for s in skip if n and first <= s <= last]
         m = n - len(present)
         if m <= 0 or not present:
             return out_kept
-        pairs = [(s, _kth_kept((s * LCG_A + LCG_C) % m, skip)) for s in present]
+        pairs = [(s, _kth_kept((s * LCG_A + LCG_C) % m, skip, first)) for s in present]
         # at most len(skip) rows: the user's skip list
         want = df.sparkSession.createDataFrame(pairs, f"_orig bigint, {idx} bigint")
         repl = df.join(F.broadcast(want), idx, "inner")

@@ -68,6 +68,35 @@ def contig_bounds(df: DataFrame, lengths: DataFrame, contig_col: str = "chr_name
     return df.join(lens, contig_col, "left")
 
 
+def tile_status(tiles: DataFrame, lengths: DataFrame, contig_col: str = "chr_name",
+                strict: bool = False) -> DataFrame:
+    """C1 guard: every tile with ``status`` ``ok``, ``unknown_contig`` or ``out_of_bounds``
+    (negative start, or an end past the contig's). No tile is dropped; ``strict`` raises on the
+    first one that is not ``ok`` (one job)."""
+    out = contig_bounds(tiles, lengths, contig_col)
+    status = (F.when(F.col("contig_len").isNull(), "unknown_contig")
+              .when((F.col("start") < 0) | (F.col("end") > F.col("contig_len")), "out_of_bounds")
+              .otherwise("ok"))
+    out = out.withColumn("status", status).drop("contig_len")
+    if strict:
+        bad = out.filter("status <> 'ok'").select(contig_col, "start", "end", "status").first()
+        if bad:
+            raise ValueError(f"tile {bad[0]}:{bad[1]}-{bad[2]} is not in the sequence ({bad[3]})")
+    return out
+
+
+def checked_tile_sequence(tiles: DataFrame, chunks: DataFrame, lengths: DataFrame, chunk_size: int,
+                          overlap: int, contig_col: str = "chr_name", tile_len: int | None = None,
+                          strict: bool = False) -> DataFrame:
+    """C1 without silent loss: :func:`tile_sequence` for the tiles that are ``ok``, the others
+    with their status and a NULL ``seq``."""
+    flagged = tile_status(tiles, lengths, contig_col, strict)
+    good = tile_sequence(flagged.filter("status = 'ok'"), chunks, chunk_size, overlap, contig_col,
+                         tile_len)
+    bad = flagged.filter("status <> 'ok'").withColumn("seq", F.lit(None).cast("string"))
+    return good.unionByName(bad)
+
+
 def interval_contract(tiles: DataFrame, tile_len: int, segment: int = MAX_ALLOWED_LENGTH,
                       by: tuple[str, ...] = ("split",), ids_col: str | None = None) -> DataFrame:
     """B2: the six interval/tile checks as counts of violations, one pass, one row per group.

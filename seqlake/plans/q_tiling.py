@@ -280,6 +280,63 @@ def q_skip_substitute(spark, sf):
     return IX.skip_substitute(_train_indexed(spark, sf), SKIP).select(*_IX_COLS, "source_idx")
 
 
+_FROM = RESUME_STEP * ACCUMULATE * BATCH
+SKIP_LATE = (_FROM, _FROM + 1, _FROM + 5, 10 ** 9)
+_LATE_SQL = ", ".join(str(s) for s in SKIP_LATE)
+
+
+@query("resume_then_skip", f"""
+WITH {IV}, {TRAIN_IDX},
+rest AS (SELECT * FROM ix WHERE idx >= {_FROM}),
+kept AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS rk FROM rest WHERE idx NOT IN ({_LATE_SQL})),
+m AS (SELECT count(*) AS m FROM kept),
+want AS (SELECT idx AS orig,
+                CAST((CAST(idx AS HUGEINT) * 1103515245 + 12345) % m AS BIGINT) AS rk
+         FROM rest, m WHERE idx IN ({_LATE_SQL}))
+SELECT chr_name, tile_idx, start, "end", idx, idx AS source_idx FROM kept
+UNION ALL
+SELECT k.chr_name, k.tile_idx, k.start, k."end", w.orig AS idx, k.idx AS source_idx
+FROM want w JOIN kept k USING (rk)
+""")
+def q_resume_then_skip(spark, sf):
+    """B7 then B6: indices that do not start at 0, and a skip index beyond the last row."""
+    rest = IX.resume_offset(_train_indexed(spark, sf), RESUME_STEP, ACCUMULATE, BATCH)
+    return IX.skip_substitute(rest, SKIP_LATE).select(*_IX_COLS, "source_idx")
+
+
+@query("tile_status", f"""
+WITH {IV}, {BAD_IV},
+t AS (
+  SELECT b.chr_name, b.split, CAST(r.t AS INTEGER) AS tile_idx, CAST(b.start + r.t * {TILE} AS BIGINT) AS start,
+         CAST(b.start + (r.t + 1) * {TILE} AS BIGINT) AS "end", lens.contig_len
+  FROM bad b LEFT JOIN lens USING (chr_name), (SELECT unnest(range(0, {N_TILES})) AS t) r),
+s AS (SELECT *, CASE WHEN contig_len IS NULL THEN 'unknown_contig'
+                     WHEN start < 0 OR "end" > contig_len THEN 'out_of_bounds' ELSE 'ok' END AS status FROM t)
+SELECT chr_name, split, tile_idx, start, "end", status,
+       CASE WHEN status = 'ok' THEN {TILE} END AS n_bases FROM s
+""")
+def q_tile_status(spark, sf):
+    """C1 keeps every tile: those outside the sequences with a status and no bases."""
+    ch = chunk_table(spark, sf)
+    tiles = TL.tile(bad_intervals(spark, sf), TILE, SEGMENT)
+    out = TL.checked_tile_sequence(tiles, ch, contig_lengths(ch), CHUNK, OVERLAP, tile_len=TILE)
+    return out.select("chr_name", "split", "tile_idx", "start", "end", "status",
+                      F.length("seq").alias("n_bases"))
+
+
+@query("tokenize_whole", f"WITH {SEQS} SELECT doc_id, {_tok_sql('seq')} AS ids FROM seqs")
+def q_tokenize_whole(spark, sf):
+    """E1 over every character of every sequence."""
+    return contig_sequences(spark, sf).select("doc_id", TK.tokenize(F.col("seq")).alias("ids"))
+
+
+@query("n_to_pad_whole", f"WITH {SEQS} SELECT doc_id, translate({_tok_sql('seq')}, ';', '4') AS ids FROM seqs")
+def q_n_to_pad_whole(spark, sf):
+    """E3 over every character of every sequence."""
+    return contig_sequences(spark, sf).select(
+        "doc_id", TK.tokenize(F.col("seq"), n_as_pad=True).alias("ids"))
+
+
 WARM = 64
 
 
