@@ -221,19 +221,26 @@ def _contributions(sum_kl: Column, sum_ce: Column, sum_cos: Column | None, n: Co
     soft = F.lit(float(alpha_soft)) * (sum_kl / n * F.lit(scale))
     # 0 * inf is NaN on purpose: a target outside the useful set poisons the total.
     hard = F.lit(1.0 - alpha_soft) * (sum_ce / n)
-    sim = (F.lit(float(alpha_sim)) * (sum_cos / n)) if alpha_sim > 0 else F.lit(0.0)
+    sim = (F.lit(float(alpha_sim)) * (sum_cos / n)) if alpha_sim > 0 else F.when(n > 0, F.lit(0.0))
     return {"total": soft + hard + sim, "soft": soft, "hard": hard, "hidden_state_sim": sim}
 
 
 def distillation_loss(df: DataFrame, group_cols: Sequence[str], temperature: float,
                       alpha_soft: float, alpha_sim: float, state_dims: int = 0) -> DataFrame:
-    """total loss and the three weighted contributions per group, in one aggregation."""
+    """total loss and the three weighted contributions per group, in one aggregation.
+    A group without non-PAD positions keeps its row: ``n_positions`` 0 and NULL losses."""
     validate_loss_args(temperature, alpha_soft, alpha_sim, state_dims, state_dims)
-    sums = [F.sum(_kl(temperature)).alias("_kl"), F.sum(_ce()).alias("_ce"),
-            F.count(F.lit(1)).alias("n_positions"), _invalid_target().alias("n_invalid_targets")]
+    masked = F.col("tok") != F.lit(PAD_ID)
+
+    def msum(col: Column) -> Column:
+        return F.sum(F.when(masked, col))
+
+    sums = [msum(_kl(temperature)).alias("_kl"), msum(_ce()).alias("_ce"),
+            F.count_if(masked).alias("n_positions"),
+            F.count_if(masked & ~F.col("tok").isin(*USEFUL_CLASSES)).alias("n_invalid_targets")]
     if alpha_sim > 0:
-        sums.append(F.sum(_cos_loss(state_dims)).alias("_cos"))
-    terms = with_terms(position_mask(df), [temperature], ce=True,
+        sums.append(msum(_cos_loss(state_dims)).alias("_cos"))
+    terms = with_terms(df, [temperature], ce=True,
                        state_dims=state_dims if alpha_sim > 0 else 0)
     agg = terms.groupBy(*group_cols).agg(*sums)
     parts = _contributions(F.col("_kl"), F.col("_ce"), F.col("_cos") if alpha_sim > 0 else None,
@@ -273,7 +280,8 @@ def dual_loss_report(df: DataFrame, group_cols: Sequence[str], temperature: floa
         sums.append(msum(_cos_loss(state_dims)).alias("_cos"))
     terms = with_terms(df, sorted({1.0, float(temperature)}), ce=True,
                        state_dims=state_dims if alpha_sim > 0 else 0)
-    agg = terms.groupBy(*group_cols).agg(*sums).filter(F.col("n_positions") > 0)
+    # a batch of PAD only keeps its row (n_positions 0, NULL losses): see reject_empty
+    agg = terms.groupBy(*group_cols).agg(*sums)
     n = F.col("n_positions")
     ev = _contributions(F.col("_kl1"), F.col("_ce"), None, n, **EVAL_PARAMS)
     tr = _contributions(F.col("_klt"), F.col("_ce"), F.col("_cos") if alpha_sim > 0 else None,
@@ -283,6 +291,15 @@ def dual_loss_report(df: DataFrame, group_cols: Sequence[str], temperature: floa
     return agg.select(*group_cols, *cols, "n_positions", "batch_size")
 
 
+def reject_empty(report: DataFrame) -> DataFrame:
+    """Strict mode for F6 and F7: raises when a group has no position to average over (one
+    small job), else returns the report."""
+    empty = report.filter(F.col("n_positions") == 0).limit(1).count()
+    if empty:
+        raise ValueError("a group holds PAD positions only, its loss is undefined")
+    return report
+
+
 def metrics_long(report: DataFrame, group_cols: Sequence[str], prefix: str = "val") -> DataFrame:
     """Wide report -> rows named ``{prefix}/loss/{part}`` and
     ``{prefix}/loss_train_temp/{part}``."""
@@ -296,10 +313,12 @@ def metrics_long(report: DataFrame, group_cols: Sequence[str], prefix: str = "va
 
 
 def epoch_metrics(long: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
-    """F8: epoch value = mean of batch values weighted by batch size."""
+    """F8: epoch value = mean of batch values weighted by batch size. Batches without a value
+    (PAD only) weigh nothing and are not counted."""
+    weight = F.sum(F.when(F.col("value").isNotNull(), F.col("batch_size")))
     return long.groupBy(*by).agg(
-        (F.sum(F.col("value") * F.col("batch_size")) / F.sum("batch_size")).alias("value"),
-        F.count(F.lit(1)).alias("n_batches"))
+        F.try_divide(F.sum(F.col("value") * F.col("batch_size")), weight).alias("value"),
+        F.count("value").alias("n_batches"))
 
 
 # ---------------------------------------------------------------- C4

@@ -166,6 +166,24 @@ def _dual(spark, sf):
     return L.dual_loss_report(embedding_positions(spark, sf), ["batch_id"], T, A_SOFT, A_SIM, D)
 
 
+@query("loss_empty_batches", """
+SELECT CAST(vec_id // 10 AS BIGINT) AS batch_id,
+       count(*) FILTER (WHERE vec_id // 10 % 7 <> 0 AND vec_id % 10 <> 3) AS n_positions,
+       vec_id // 10 % 7 <> 0 AS has_loss, count(*) AS batch_size
+FROM embeddings GROUP BY ALL
+""")
+def q_loss_empty_batches(spark, sf):
+    """F6 and F7 on batches of which every seventh holds PAD only: no batch disappears."""
+    p = embedding_positions(spark, sf)
+    p = p.withColumn("tok", F.when(F.col("batch_id") % 7 == 0, F.lit(4).cast("bigint")).otherwise(F.col("tok")))
+    one = L.distillation_loss(p, ["batch_id"], 2.0, 0.7, 0.5, EMB_STATE_DIMS)
+    two = L.dual_loss_report(p, ["batch_id"], 2.0, 0.7, 0.5, EMB_STATE_DIMS)
+    two = two.select("batch_id", "batch_size", F.col("n_positions").alias("_n"),
+                     F.col("loss_train_temp_total").isNotNull().alias("_has"))
+    j = one.join(two, "batch_id", "full").filter("n_positions <=> _n AND (loss_total IS NOT NULL) <=> _has")
+    return j.select("batch_id", "n_positions", F.col("loss_total").isNotNull().alias("has_loss"), "batch_size")
+
+
 @query("dual_loss_report", _dual_sql() + "SELECT * FROM report")
 def q_dual_loss_report(spark, sf):
     return round6(_dual(spark, sf))
