@@ -20,7 +20,8 @@ RESULT_KEYS = ("task_name", "model", "split", "metric")
 
 def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label",
             buckets: int | None = None) -> DataFrame:
-    """ROC AUC per group from a positive-class score; tied scores count one half.
+    """ROC AUC per group from a positive-class score; tied scores count one half. NaN
+    for a group of one class or with a NULL score; a NULL group key is a group.
 
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2), divided by P * N.
 
@@ -37,9 +38,10 @@ def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str =
         F.count_if(y_pos).alias("_pos"), F.count_if(~y_pos).alias("_neg"))
     d = running_total(d, by, "_s", "_neg", "_below", inclusive=False, buckets=buckets)
     agg = d.groupBy(*by).agg(
+        F.count_if(F.col("_s").isNull()).alias("_missing"),
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"),
         F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0),
+    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0) & (F.col("_missing") == 0),
                  F.col("_u") / (F.col("_p") * F.col("_n")).cast("double")).otherwise(F.lit(NAN))
     return agg.select(*by, auc.alias("roc_auc"))
 
@@ -86,8 +88,14 @@ def classification_metrics(df: DataFrame, by: Sequence[str], pred: str = "pred",
 def evaluate(df: DataFrame, by: Sequence[str], score: str = "score", pred: str = "pred",
              label: str = "label") -> DataFrame:
     """All six metrics per group (wide)."""
-    return roc_auc(df, by, score, label).join(classification_metrics(df, by, pred, label),
-                                              list(by), "inner")
+    auc = roc_auc(df, by, score, label)
+    side = classification_metrics(df, by, pred, label)
+    side = side.select(*[F.col(c).alias(f"_k_{c}") for c in by],
+                       *[c for c in side.columns if c not in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return auc.join(side, same, "inner").drop(*[f"_k_{c}" for c in by])
 
 
 def results_long(wide: DataFrame, by: Sequence[str] = ("task_name", "model", "split")) -> DataFrame:

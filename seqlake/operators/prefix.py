@@ -69,7 +69,12 @@ def running_total(df: DataFrame, by: Sequence[str], order_col: str, value_col: s
         Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_bt")
     w = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    out = d.join(carry, [*by, "_b"], "inner")
+    # null-safe: a NULL group key is a group like any other
+    side = carry.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]], "_carry")
+    same = F.lit(True)
+    for c in [*by, "_b"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = d.join(side, same, "inner").drop(*[f"_k_{c}" for c in [*by, "_b"]])
     out = out.withColumn(out_col, F.col("_carry") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
     return out.drop("_ord", "_b", "_carry")
 

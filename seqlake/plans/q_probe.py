@@ -191,7 +191,8 @@ def q_distinct_tasks(spark, sf):
     t = _tasks(spark, sf)
     order = [F.when(F.col("task_name") == "quality", 0).otherwise(1),
              F.when(F.col("split") == "train", 0).otherwise(1), F.col("sample_id")]
-    t = t.withColumns({"_t": order[0], "_s": order[1]})
+    # only the keys are indexed, never the sequences
+    t = t.select("task_name", "sample_id", order[0].alias("_t"), order[1].alias("_s"))
     ix = IX.global_index(t, ["_t", "_s", "sample_id"], "sample_idx")
     return LB.distinct_tasks(ix).select("task_name", "first_idx",
                                         F.col("task_pos").cast("bigint").alias("task_pos"))
@@ -218,6 +219,15 @@ def q_roc_auc(spark, sf):
     return round6(M.roc_auc(scored_documents(spark, sf), ["lang"]))
 
 
+@query("roc_auc_null_group", f"WITH {SCORED}, scn AS (SELECT * REPLACE (CASE WHEN lang = 'en' THEN NULL "
+                             f"ELSE lang END AS lang) FROM sc), {_auc_sql('scn', 'lang')} "
+                             f"SELECT lang, round(roc_auc, 6) AS roc_auc FROM auc")
+def q_roc_auc_null_group(spark, sf):
+    """F15 with a NULL group key, the largest group at that."""
+    d = scored_documents(spark, sf)
+    return round6(M.roc_auc(d.withColumn("lang", F.nullif("lang", F.lit("en"))), ["lang"]))
+
+
 @query("roc_auc_single_class", f"WITH {SCORED}, {_auc_sql('sc', 'lang, label')} "
                                f"SELECT lang, label, roc_auc FROM auc")
 def q_roc_auc_single_class(spark, sf):
