@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.constants import UPDATE_RATIO_EPS
-from seqlake.operators.prefix import running_total, top_k
+from seqlake.operators.prefix import running_total
 
 
 def _seconds(interval: str) -> float:
@@ -121,18 +121,21 @@ def schedule_linear(step_log: DataFrame, interval: int, accumulate: int, epochs:
 def schedule_log(step_log: DataFrame, lo: float, accumulate: int, epochs: int = 1,
                  every: int = 100) -> DataFrame:
     """Distinct ``floor(10^x)`` for ``num`` evenly spaced exponents ``x`` in
-    ``[lo, hi]``; ``hi`` is ``log10(max_step - 1)`` cut to one decimal and
+    ``[lo, hi]``; ``hi`` is ``log10(max_step - 1)``, so the last step is ``max_step - 1``, and
     ``num = max_step // every`` (explicit exponents, see Q8)."""
     m = step_log.agg(_max_step(F.count(F.lit(1)), accumulate, epochs).alias("m"))
-    m = m.select((F.floor(F.log10(F.col("m") - 1) * 10) / 10).alias("hi"),
+    m = m.filter("m > 1").select("m", F.log10(F.col("m") - 1).alias("hi"),
                  F.floor(F.col("m") / every).cast("int").alias("num"))
     i = F.explode(F.sequence(F.lit(0), F.col("num") - 1)).alias("i")
-    x = m.filter(F.col("num") > 0).select("hi", "num", i)
+    x = m.filter(F.col("num") > 0).select("m", "hi", "num", i)
     step = (F.col("hi") - F.lit(lo)) / (F.col("num") - 1)
     expo = F.when(F.col("i") == F.col("num") - 1, F.col("hi")) \
             .otherwise(F.lit(lo) + F.col("i") * step)
     expo = F.when(F.col("num") == 1, F.lit(lo)).otherwise(expo)
-    return x.select(F.floor(F.pow(F.lit(10.0), expo)).cast("bigint").alias("step")).distinct()
+    # the end point is exact, whatever 10 ** log10 rounds to
+    last = (F.col("num") > 1) & (F.col("i") == F.col("num") - 1)
+    return x.select(F.when(last, F.col("m") - 1).otherwise(F.floor(F.pow(F.lit(10.0), expo)))
+                    .cast("bigint").alias("step")).distinct()
 
 
 def sorted_schedule(schedule: DataFrame) -> DataFrame:
@@ -147,17 +150,22 @@ def schedule_semi(step_log: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def first_per_step(step_log: DataFrame, schedule: DataFrame, offset: int = 0,
-                   by: Sequence[str] = ("run",), dense: bool = True) -> DataFrame:
+                   by: Sequence[str] = ("run",), dense: bool | None = None) -> DataFrame:
     """G1: fire once per optimizer step although several batches share it.
 
     A row fires when ``step + offset`` is in the schedule and is greater than the previous
     row's ``step + offset`` (the first row compares with -1). ``offset = -1`` is the
     validation variant. The previous row is the row with position ``- 1`` in the same run,
     found by an equi-join -- no window over a whole run. ``dense=True``: ``batch_idx`` counts
-    0, 1, 2, ... inside each run and is the position; otherwise positions are assigned by
-    the global index over ``(run, batch_idx)``.
+    without gaps inside each run and is the position; ``False``: positions are assigned by the
+    global index over ``(run, batch_idx)``; ``None``: the counters are checked first (one
+    aggregate per run).
     """
     by = list(by)
+    if dense is None:
+        per = step_log.groupBy(*by).agg(
+            (F.max("batch_idx") - F.min("batch_idx") + 1 != F.count(F.lit(1))).alias("_gap"))
+        dense = per.filter(F.coalesce("_gap", F.lit(True))).isEmpty()
     cur = step_log.withColumn("_s", F.col("step") + F.lit(offset))
     if dense:
         cur = cur.withColumn("_p", F.col("batch_idx"))
@@ -176,7 +184,9 @@ def best_checkpoints(val_log: DataFrame, k: int = 3, by: Sequence[str] = ("run",
     """The ``k`` rows with the smallest validation loss per run (ties by step, then
     batch), plus the latest step's row (``kind = 'last'``)."""
     by = list(by)
-    best = top_k(val_log, by, ["loss", "step", "batch_idx"], k, "rank") \
+    # k rows per task survive the shuffle (window group limit); NULL and NaN losses rank last
+    order = Window.partitionBy(*by).orderBy(F.col("loss").asc_nulls_last(), "step", "batch_idx")
+    best = val_log.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
         .withColumn("kind", F.lit("top"))
     last_row = val_log.groupBy(*by).agg(
         F.max_by(F.struct(*[c for c in val_log.columns if c not in by]),

@@ -28,13 +28,13 @@ SLOG = """slog AS (SELECT event_type AS run, event_id AS batch_idx, CAST(event_i
 
 MAXSTEP = f"mx AS (SELECT CAST(ceil(count(*) / {ACCUMULATE}) AS BIGINT) AS m FROM events)"
 LIN = f"lin AS (SELECT CAST(unnest(range({SCHED_INTERVAL}, m, {SCHED_INTERVAL})) AS BIGINT) AS step FROM mx)"
-LOG = f"""p AS (SELECT floor(log10(m - 1) * 10) / 10 AS hi, CAST(floor(m / {LOG_EVERY}) AS INTEGER) AS num
-      FROM mx),
-xs AS (SELECT hi, num, unnest(range(0, num)) AS i FROM p WHERE num > 0),
-logs AS (SELECT DISTINCT CAST(floor(pow(10.0, CASE WHEN num = 1 THEN CAST('{LOG_LO}' AS DOUBLE)
-                  WHEN i = num - 1 THEN hi
+LOG = f"""p AS (SELECT m, log10(m - 1) AS hi, CAST(floor(m / {LOG_EVERY}) AS INTEGER) AS num
+      FROM mx WHERE m > 1),
+xs AS (SELECT m, hi, num, unnest(range(0, num)) AS i FROM p WHERE num > 0),
+logs AS (SELECT DISTINCT CASE WHEN num > 1 AND i = num - 1 THEN m - 1 ELSE CAST(floor(pow(10.0,
+                  CASE WHEN num = 1 THEN CAST('{LOG_LO}' AS DOUBLE)
                   ELSE CAST('{LOG_LO}' AS DOUBLE) + i * ((hi - CAST('{LOG_LO}' AS DOUBLE)) / (num - 1)) END))
-                  AS BIGINT) AS step FROM xs)"""
+                  AS BIGINT) END AS step FROM xs)"""
 
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in PARAM_NAMES) + "]"
 _RE = r"^(?:[^.]*\.)*?layers\.([^.]*)(?:\.(.*))?$"
@@ -176,6 +176,19 @@ def q_first_per_step(spark, sf):
     return RL.first_per_step(sl, _lin(spark, sf)).select("run", "batch_idx", "step", "loss")
 
 
+@query("first_per_step_gaps", f"""
+WITH {MAXSTEP}, {LIN},
+sl AS (SELECT event_type AS run, event_id AS batch_idx, CAST(event_id // 4 AS BIGINT) AS step,
+              value AS loss FROM events WHERE event_id % 5 <> 2),
+j AS (SELECT *, lag(step, 1, -1) OVER (PARTITION BY run ORDER BY batch_idx) AS prev FROM sl)
+SELECT run, batch_idx, step, loss FROM j WHERE step > prev AND step IN (SELECT step FROM lin)
+""")
+def q_first_per_step_gaps(spark, sf):
+    """G1 on counters with gaps: a run per event type, every fifth batch missing."""
+    sl = step_log(spark, sf).filter("batch_idx % 5 <> 2")
+    return RL.first_per_step(sl, _lin(spark, sf)).select("run", "batch_idx", "step", "loss")
+
+
 BEST = f"""{SLOG},
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY loss, step, batch_idx) AS INTEGER)
                AS rank, 'top' AS kind FROM slog QUALIFY rank <= 3),
