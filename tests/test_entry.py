@@ -1,6 +1,7 @@
 """Driver contract: entry smoke check and every query against its DuckDB oracle."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -22,7 +23,8 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_declared():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == SLOW
+    # the corpus operators (op<N>_*, pipeline) have tests of their own in tests/llm
+    assert {n for n in set(q) - set(o) if not re.match(r"op\d+_|pipeline$", n)} == SLOW
 
 
 def _norm(v):
