@@ -11,8 +11,8 @@ threshold; a line goes when its class has an earlier line or matches an earlier
   each. Length filter, positional filter, and an upper bound of the overlap from 128-bit word
   parity marks and from the number of shared prefix words. None of them loses a match.
 * Groups of near copies of one line would give quadratically many pairs. So each class is first
-  compared with the earliest class under each frequent prefix word; where that verifies, the
-  class is settled, and pairs of settled classes are not looked at again.
+  compared with the earliest class under its rarest frequent prefix words; where one verifies,
+  the class is settled, and pairs of settled classes are not looked at again.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from seqlake.llm.near_dedup import verify
 
 COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any size of the corpus)
 FREQUENT = 64          # lines from which a prefix word's earliest class is tried first
+TRIED = 2              # so many of a line's frequent prefix words, rarest first, are tried
 
 CLASS_SCHEMA = ("cls bigint, row_key bigint, doc_id bigint, line int, n int, mark0 bigint, "
                 "mark1 bigint, prefix array<int>, frequent array<int>")
@@ -101,6 +102,8 @@ def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray,
             prefix = pa.ListArray.from_arrays(
                 pa.array(at, pa.int32()), pa.array(pre, pa.int32(), mask=pre_often < 2))
             hot = pre_often >= FREQUENT
+            seen = np.concatenate(([0], np.cumsum(hot)))
+            hot &= seen[:-1] - np.repeat(seen[at[:-1]], size[full]) < TRIED
             hot_at = np.concatenate(([0], np.cumsum(hot)))[at]
             frequent = pa.ListArray.from_arrays(pa.array(hot_at, pa.int32()),
                                                 pa.array(pre[hot], pa.int32()))
@@ -181,7 +184,7 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     enough = (f"shared + ({t} * greatest(x_n, y_n) + 99) DIV 100 - 1 >= "
               f"(({t} * (x_n + y_n)) + {t + 99}) DIV {100 + t}")
 
-    # 1. the earliest class under each frequent prefix word
+    # 1. the earliest class under frequent prefix words
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / t))).cast("int").alias("band")
     often = classes.select("cls", "place", "n", "mark0", "mark1", band,
                            F.explode("frequent").alias("word"))
