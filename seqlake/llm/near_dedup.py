@@ -7,13 +7,16 @@
    each selected coordinate's value. A pair at the threshold keeps one common child per level
    on average, dissimilar pairs part quickly. ``TREES`` trees bring the chance that a pair at
    the threshold never meets in a leaf to about ``0.476 ** 16``, under one in 100,000.
-3. In each leaf every class is linked with the leaf's anchor (one candidate per class), and
-   the candidates are verified on the full sets. This joins large groups of copies without
-   looking at the pairs within them.
-4. Leaves whose classes are still in more than one component are compared exhaustively
-   across components (leaves over ``LEAF`` classes are first branched further); these pairs
-   are verified on the full sets as well. Every pair of a leaf is then either connected or
-   verified.
+   Leaves with the same members are one leaf.
+3. In each leaf every class is linked with the leaf's anchor (at most one candidate per
+   class), and the candidates are verified on the full sets. This joins large groups of
+   copies without looking at the pairs within them.
+4. Leaves whose classes are still in more than one component are compared exhaustively: every
+   class outside the leaf's largest component with all others, in blocks of ``BLOCK`` classes
+   (leaves over ``LEAF`` classes are first branched further). A task counts overlaps on 32-bit
+   shingles, which can only overrate them, and returns a spanning forest of what it finds,
+   which is verified on the full sets. So every pair of a leaf is either connected or compared,
+   and never emitted as a pair for that.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ SKETCH = 96        # minwise values per class
 TREES = 16         # independent trees
 DEPTH = 5          # levels of the first pass
 MAX_DEPTH = 14     # levels at which branching large leaves ends
-LEAF = 256         # classes up to which a leaf is compared without further branching
+LEAF = 4096        # classes up to which a leaf is compared without further branching
+BLOCK = 1024       # classes that a task compares others with
 
 _rng = np.random.default_rng(97)
 _XOR = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -131,11 +135,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         for _, group in words.blocks(batch.column(0).to_pylist()):
             flat, bounds = _sets(group, k)
             digest, _ = words.set_digests(flat, bounds)
-            at = bounds.tolist()
+            at, short = bounds.tolist(), (flat >> _u(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digest.view(np.int64)),
-                 pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                names=["cls", "members"])
+                 pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                 pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                names=["cls", "members", "short"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -155,6 +160,42 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
                                          names=["a", "b"])
 
 
+def _compare(table: pa.Table, threshold: int) -> pa.Table:
+    """Probes of a group against its builds: links that join different components, one per
+    join. Overlaps come from the builds' postings of each shingle."""
+    cls, n, label = (table[c].to_numpy() for c in ("cls", "n", "label"))
+    build, probe = (table[c].to_numpy(zero_copy_only=False) for c in ("build", "probe"))
+    values = [np.frombuffer(v, dtype=np.uint32) for v in table["short"].to_pylist()]
+    there = np.flatnonzero(build)
+    _, group = np.unique(label, return_inverse=True)
+    parent = list(range(group.max() + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    if len(there):
+        flat = np.concatenate([values[i] for i in there])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(there, [len(values[i]) for i in there])[order]
+        for p in np.flatnonzero(probe).tolist():
+            lo = np.searchsorted(flat, values[p], side="left")
+            count = np.searchsorted(flat, values[p], side="right") - lo
+            place = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owner[place], minlength=len(cls))
+            near = np.flatnonzero((100 * common >= threshold * (n + n[p] - common)) & (label != label[p]))
+            for q in near[np.argsort(-common[near], kind="stable")].tolist():
+                x, y = root(group[p]), root(group[q])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((p, q))
+    at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": cls[at[:, 0]], "b": cls[at[:, 1]]})
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs ``(a, b)`` confirmed on the full sets. Sets travel once per pair; a class in very
     many pairs is a skewed join key, which adaptive execution splits."""
@@ -191,40 +232,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = classes.select("cls", "sig", "n").mapInArrow(
         lambda it: _paths(it, threshold), "node bigint, cls bigint, n bigint")
-    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("anchor")) \
-                 .filter("size > 1")
-    met = stored(rows.join(shared, "node"), "met")
+    shared = rows.groupBy("node").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor("cls").alias("members"),
+        F.min(F.struct(F.xxhash64("cls", "node"), "cls")).getField("cls").alias("anchor")).filter("size > 1")
+    shared = shared.groupBy("size", "members").agg(F.min(F.struct("node", "anchor")).alias("s"))
+    met = stored(rows.join(shared.select("s.node", "s.anchor"), "node"), "met")
 
     wanted = met.select("cls").distinct()
     reps = classes.join(wanted, "cls", "left_semi").select("row_key")
     sets = stored(maybe_among(src, "row_key", reps).select("text").mapInArrow(
-        lambda it: _full_sets(it, shingle), "cls bigint, members binary")
+        lambda it: _full_sets(it, shingle), "cls bigint, members binary, short binary")
         .join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     size = classes.select(F.col("cls").alias("anchor"), F.col("n").alias("anchor_n"))
-    first = met.filter("cls <> anchor").groupBy("cls", "n", "anchor").count() \
-               .groupBy("cls", "n").agg(F.max_by("anchor", F.struct("count", "anchor")).alias("anchor"))
-    first = first.join(size, "anchor").filter(
+    first = met.filter("cls <> anchor").join(size, "anchor").filter(
         f"100 * least(n, anchor_n) >= {threshold} * greatest(n, anchor_n)")
+    first = first.groupBy("cls", "anchor").count().groupBy("cls").agg(
+        F.max_by("anchor", F.struct("count", "anchor")).alias("anchor"))
     links = stored(verify(first.selectExpr("cls AS a", "anchor AS b"), sets, threshold), "linked")
     label = components(links)
 
     # leaves that still hold several components
     rows = met.join(label.selectExpr("id AS cls", "component"), "cls", "left") \
               .selectExpr("node", "cls", "n", "coalesce(component, cls) AS label")
-    pairs, depth = [], DEPTH
+    leaves, depth = [], DEPTH
     while True:
-        mixed = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_lo"),
-                                         F.max("label").alias("_hi")) \
-                    .filter("_lo <> _hi").select("node", "size")
-        rows = stored(rows.join(mixed, "node").select("node", "cls", "n", "label", "size"), "mixed")
+        per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
+        mixed = per.groupBy("node").agg(
+            F.sum("k").alias("size"), F.count(F.lit(1)).alias("labels"),
+            F.max_by("label", F.struct("k", "label")).alias("major")).filter("labels > 1").drop("labels")
+        rows = stored(rows.join(mixed, "node"), "mixed")
         last = depth >= MAX_DEPTH
-        leaf = rows if last else rows.filter(F.col("size") <= LEAF)
-        x = leaf.selectExpr("node", "cls AS a", "n AS n_a", "label AS label_a")
-        y = leaf.selectExpr("node", "cls AS b", "n AS n_b", "label AS label_b")
-        pairs.append(x.join(y, "node").filter(
-            "a < b AND label_a <> label_b AND "
-            f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b").distinct())
+        leaves.append(rows if last else rows.filter(F.col("size") <= LEAF))
         large = rows.filter(F.col("size") > LEAF)
         if last or large.isEmpty():
             break
@@ -233,10 +272,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         lambda it: _deeper(it, threshold),
                         "node bigint, cls bigint, n bigint, label bigint")
         depth += 1
-    rest = pairs[0]
-    for p in pairs[1:]:
-        rest = rest.unionAll(p)
-    label = components(links.unionAll(verify(rest.distinct(), sets, threshold)))
+    leaf = leaves[0]
+    for more in leaves[1:]:
+        leaf = leaf.unionAll(more)
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    leaf = leaf.withColumns({"own": own, "probe": F.col("label") != F.col("major")})
+    leaf = leaf.withColumn("block", F.explode(F.when(
+        F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
+    pairs = leaf.withColumn("build", F.col("own") == F.col("block")) \
+        .join(sets.select("cls", "short"), "cls") \
+        .select("node", "block", "cls", "n", "label", "build", "probe", "short") \
+        .groupBy("node", "block").applyInArrow(lambda t: _compare(t, threshold), "a bigint, b bigint")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                   "pairs")
+    label = components(links.unionAll(verify(pairs, sets, threshold)))
 
     member = sk.select("doc_id", "row_key", "n_shingles", "cls") \
         .join(label.selectExpr("id AS cls", "component"), "cls", "left")

@@ -77,7 +77,8 @@ def test_flag_keeps_every_key(spark):
 @pytest.mark.parametrize("k,small", [(2, False), (5, False), (2, True)])
 def test_near_duplicates(docs, doc_rows, k, small, monkeypatch):
     if small:   # every leaf is large: branch down to the last level
-        monkeypatch.setattr(near_dedup, "LEAF", 1)
+        monkeypatch.setattr(near_dedup, "LEAF", 3)
+        monkeypatch.setattr(near_dedup, "BLOCK", 2)
         monkeypatch.setattr(near_dedup, "MAX_DEPTH", 6)
     got = near_dedup.near_duplicates(docs, shingle=k).collect()
     sets = {r[0]: shingle_set(r[1], k) for r in doc_rows}
