@@ -126,11 +126,16 @@ def test_mask_drops_exactly_pad_positions(spark):
     assert r["n_positions"] == B * S - 2
 
 
-def test_mask_all_gives_empty_result(spark):
+def test_mask_all_keeps_the_batch_without_a_loss(spark):
     df = _positions(spark, tok=np.full((B, S), 4))
     assert L.position_mask(df).count() == 0
-    assert L.distillation_loss(df, ["batch_id"], 2.0, 0.5, 1.0, D).count() == 0
-    assert L.dual_loss_report(df, ["batch_id"], 2.0, 0.5, 1.0, D).count() == 0
+    one = L.distillation_loss(df, ["batch_id"], 2.0, 0.5, 1.0, D)
+    two = L.dual_loss_report(df, ["batch_id"], 2.0, 0.5, 0.0, D)
+    for r in (_one(one), _one(two)):
+        assert r["n_positions"] == 0
+        assert all(v is None for c, v in r.items() if c.startswith("loss_"))
+    with pytest.raises(ValueError):
+        L.reject_empty(one)
 
 
 def test_invalid_target_is_inf_and_nan_total(spark):
