@@ -69,8 +69,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([r[2] for r in rows], pa.binary())], names=["kind", "slice", "data"])
 
 
-def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray,
-             threshold: int) -> Iterator[pa.RecordBatch]:
+def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, threshold: int,
+             frequent_from: int) -> Iterator[pa.RecordBatch]:
     """One row per line that has words: its class, place, marks and prefix."""
     top = np.uint64((1 << 20) - 1)
     for batch in batches:
@@ -101,7 +101,7 @@ def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray,
             pre, pre_often = word[place], often[place]
             prefix = pa.ListArray.from_arrays(
                 pa.array(at, pa.int32()), pa.array(pre, pa.int32(), mask=pre_often < 2))
-            hot = pre_often >= FREQUENT
+            hot = pre_often >= frequent_from
             seen = np.concatenate(([0], np.cumsum(hot)))
             hot &= seen[:-1] - np.repeat(seen[at[:-1]], size[full]) < TRIED
             hot_at = np.concatenate(([0], np.cumsum(hot)))[at]
@@ -170,7 +170,8 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rarity = summed(src.select("text").mapInArrow(_frequencies, SLICE_SCHEMA), 1, COUNTERS)[0]
     table = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint32))
-    lines = src.mapInArrow(lambda it: _classes(it, table.value, t), CLASS_SCHEMA)
+    often_from = FREQUENT       # the driver's value travels to the workers
+    lines = src.mapInArrow(lambda it: _classes(it, table.value, t, often_from), CLASS_SCHEMA)
     classes = stored(lines.groupBy("cls").agg(
         F.min(F.struct("doc_id", "row_key", "line")).alias("place"), F.max("n").alias("n"),
         F.max("mark0").alias("mark0"), F.max("mark1").alias("mark1"),
