@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 from seqlake.session import ensure_scratch, scratch_path, ship_package
 
 FILTER_BITS = 1 << 25          # size of the membership filter: 4 MB whatever the data
+BATCH_BYTES = 4 << 20          # of an Arrow batch, beyond which it takes no more rows
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = "67108864b"    # Spark's own value of it
 
 
 def prepare(spark: SparkSession) -> None:
+    """Scratch folder, code for the workers, and Arrow batches of ``BATCH_BYTES`` unless the
+    session sets its own size: texts differ in length by a factor of 10,000, so a number of
+    rows bounds no memory."""
     ensure_scratch(spark)
     ship_package(spark)
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from seqlake.llm import words
-from seqlake.llm.common import (SLICE_SCHEMA, fresh, maybe_among, row_key, slices_of, stored,
+from seqlake.llm.common import (SLICE, SLICE_SCHEMA, fresh, maybe_among, row_key, slices_of, stored,
                                 summed)
 from seqlake.llm.near_dedup import verify
 
@@ -51,22 +51,18 @@ def _line_sets(texts: list[str | None]):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, dtype=np.int64)
-    waiting, n = [], 0
+    total = np.zeros(COUNTERS, dtype=np.uint32)
     for batch in batches:
         for _, _, flat, _ in _line_sets(batch.column(0).to_pylist()):
-            waiting.append((flat & np.uint64(COUNTERS - 1)).astype(np.int32))
-            n += len(flat)
-            if n > COUNTERS:
-                total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-                waiting, n = [], 0
-    if waiting:
-        total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-    rows = slices_of(total)
-    if rows:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-             pa.array([r[2] for r in rows], pa.binary())], names=["kind", "slice", "data"])
+            np.add.at(total, (flat & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+    step = 64 * SLICE
+    for at in range(0, COUNTERS, step):
+        rows = slices_of(total[at:at + step])
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()),
+                 pa.array([r[1] + at // SLICE for r in rows], pa.int32()),
+                 pa.array([r[2] for r in rows], pa.binary())], names=["kind", "slice", "data"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, threshold: int,
