@@ -21,19 +21,3 @@ def logsumexp(cols: list[Column]) -> Column:
     """``log(sum(exp(x)))`` shifted by the row maximum."""
     m = F.greatest(*cols) if len(cols) > 1 else cols[0]
     return m + F.log(_sum([F.exp(c - m) for c in cols]))
-
-
-def log_softmax(cols: list[Column], temperature: float = 1.0) -> list[Column]:
-    """``x/T - logsumexp(x/T)`` for each column."""
-    scaled = [c / F.lit(float(temperature)) for c in cols]
-    lse = logsumexp(scaled)
-    return [s - lse for s in scaled]
-
-
-def kl_terms(teacher_lp: list[Column], student_lp: list[Column]) -> Column:
-    """Per-row KL(teacher || student) from log-probabilities: sum exp(t) * (t - s)."""
-    return _sum([F.exp(t) * (t - s) for t, s in zip(teacher_lp, student_lp)])
-
-
-def dot(a: list[Column], b: list[Column]) -> Column:
-    return _sum([x * y for x, y in zip(a, b)])

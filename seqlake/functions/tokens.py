@@ -67,13 +67,3 @@ def is_all_pad(ids: Column, pad_id: int = PAD_ID) -> Column:
 def ids_array(ids: Column) -> Column:
     """Compact string -> ``array<int>`` (the API-edge form)."""
     return F.transform(F.split(ids, ""), lambda c: (F.ascii(c) - F.lit(48)).cast("int"))
-
-
-def id_sum(ids: Column) -> Column:
-    """Sum of the ids without building the array (for checks)."""
-    return F.aggregate(F.split(ids, ""), F.lit(0).cast("long"),
-                       lambda acc, c: acc + (F.ascii(c) - F.lit(48)))
-
-
-def count_id(ids: Column, token_id: int) -> Column:
-    return F.length(ids) - F.length(F.replace(ids, F.lit(id_char(token_id)), F.lit("")))

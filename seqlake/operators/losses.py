@@ -106,13 +106,6 @@ def _tname(temperature: float) -> str:
     return repr(float(temperature)).replace(".", "_").replace("-", "m").replace("+", "")
 
 
-def reduce_sum(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out + c
-    return out
-
-
 def _d(x: float) -> str:
     """Double literal in Spark SQL."""
     return f"CAST('{float(x)!r}' AS DOUBLE)"

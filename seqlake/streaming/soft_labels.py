@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from seqlake.sources.stores import append_soft_labels
+from seqlake.streaming.throughput import finish
 
 
 def run_soft_label_stream(scored: DataFrame, store: str, checkpoint: str,
@@ -20,4 +21,4 @@ def run_soft_label_stream(scored: DataFrame, store: str, checkpoint: str,
 
     q = (scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    finish(q, timeout_s)

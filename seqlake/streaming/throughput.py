@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 
 def throughput_stream(log: DataFrame, interval: str, watermark: str) -> DataFrame:
@@ -38,20 +39,24 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "a
         if mode == "complete":
             batch.write.mode("overwrite").parquet(sink)
             return
-        spark = batch.sparkSession
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            (batch.withColumn("epoch_id", F.lit(epoch).cast("bigint")).write.mode("overwrite")
-                  .partitionBy("epoch_id").parquet(sink))
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        (batch.withColumn("epoch_id", F.lit(epoch).cast("bigint")).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("epoch_id").parquet(sink))
 
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    q = w.start()
-    q.awaitTermination(timeout_s)
+    finish(w.start(), timeout_s)
+
+
+def finish(query: StreamingQuery, timeout_s: float | None) -> None:
+    """Waits for a stream; one that is still running after ``timeout_s`` seconds is stopped
+    and reported, so that a partial result is never taken for a whole one."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not finish within {timeout_s} s; "
+                           "its checkpoint lets it go on from there")
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType,

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqlake.operators import probes as PR
@@ -57,3 +58,13 @@ def test_soft_label_stream_replay_is_idempotent(spark):
     assert back.select("sample").distinct().count() == 200
     r = back.filter(F.col("sample") == 10).first()
     assert abs(r.score - (10 + 1.5 * 10)) < 1e-6 and r.batch_idx == 0
+
+
+def test_unfinished_stream_is_an_error(spark):
+    src = scratch_path(spark, "t1-slow")
+    _write(spark, src, [10])
+    schema = spark.createDataFrame([], SCHEMA).schema
+    stream = file_stream(spark, src, schema, lambda df: throughput_stream(df, "1 hour", "10 minutes"))
+    with pytest.raises(TimeoutError):
+        run_to_parquet(stream, scratch_path(spark, "t1-sink"), scratch_path(spark, "t1-ckpt"),
+                       timeout_s=0.001)
