@@ -1,18 +1,20 @@
 """Personal data by patterns, and terms that disclose it by corpus co-occurrence.
 
-Protected entities are the values found by the patterns (kind and value). Around every mention
-the words within ``REACH`` words are its context. Over the whole corpus this gives, with
-documents as the unit, the information content of an entity ``IC(e) = -log2(df(e) / N)`` and
-the pointwise mutual information of entity and term ``PMI(e, t) = log2(N df(e, t) / (df(e)
-df(t)))``: how much of the entity the term gives away. In documents that mention the entity, a
-term of its context with ``PMI >= REMOVE * IC`` is to be removed, one with ``PMI >= GENERALISE
-* IC`` to be generalised. Entities and pairs that occur in one document only prove nothing:
-both counts must reach ``SUPPORT``.
+Protected entities are the values found by the patterns (kind and value). With documents as
+the unit, the information content of an entity is ``IC(e) = -log2(df(e) / N)`` and the
+pointwise mutual information of entity and term ``PMI(e, t) = log2(N df(e, t) / (df(e)
+df(t)))``: how much of the entity the term gives away, wherever the two stand in a document. In
+every document that mentions the entity, a term with ``PMI >= REMOVE * IC`` is to be removed,
+one with ``PMI >= GENERALISE * IC`` to be generalised. Entities and pairs that occur in one
+document only prove nothing. Others count if so many common documents come about by chance
+(hypergeometric tail) with a probability of ``ALPHA`` at most, shared among the terms that were
+looked at for the entity.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm import words
-from seqlake.llm.common import flag_among, row_key, stored
+from seqlake.llm.common import flag_among, maybe_among, row_key, stored
 
-REACH = 12          # words on either side of a mention
-SUPPORT = 3         # documents
+ALPHA = 0.05        # chance that an entity gets any term by coincidence
+TERMS = 4096        # terms per row
 GENERALISE = 0.8
 REMOVE = 0.95
 KINDS = ("email", "ip", "card", "phone")
@@ -102,41 +104,38 @@ def _words(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
         words.word_hashes(text.encode("utf-8", "surrogatepass"))[1].view(np.int64)
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[int, int]]:
-    """``(entity, term)`` of a text. Terms hold a letter and no part of any base span."""
-    at, h = _words(text)
-    begin = np.array([a for a, _ in at])
-    end = np.array([b for _, b in at])
-    free = np.array([any(c.isalpha() for c in text[a:b]) for a, b in at])
+def _free(at: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which of the words ``at`` hold no part of any span."""
+    begin, end = np.array(at, dtype=np.int64).reshape(-1, 2).T
+    free = np.ones(len(at), dtype=bool)
     for _, a, b in spans:
-        free &= (end <= a) | (begin >= b)
-    out = set()
-    for kind, a, b in spans:
-        first, last = np.searchsorted(end, a, side="right"), np.searchsorted(begin, b, side="left")
-        near = np.arange(max(first - REACH, 0), min(last + REACH, len(at)))
-        near = near[free[near]]
-        e = _entity(kind, text[a:b])
-        out.update((e, t) for t in h[near].tolist())
-    return out
+        free[np.searchsorted(end, a, side="right"):np.searchsorted(begin, b, side="left")] = False
+    return free
+
+
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Distinct terms of a text. Terms hold a letter and no part of any base span."""
+    at, h = _words(text)
+    letter = np.array([any(c.isalpha() for c in text[a:b]) for a, b in at], dtype=bool)
+    return np.unique(h[_free(at, spans) & letter])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(row_key, text, doc_id)`` -> spans per text, its distinct entities, and the entities
-    and terms of its contexts in step."""
+    """``(row_key, text, doc_id)`` -> spans per text, its distinct entities and terms, their
+    number, and ``TERMS`` of the terms; the further ones follow in rows without spans."""
+    ints = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("base", pa.string()),
+                        ("entities", ints), ("n_terms", pa.int64()), ("terms", ints)])
     for batch in batches:
-        spans_out, e_out, ce_out, ct_out = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        rows = []
+        for key, text, doc_id in zip(*(batch.column(i).to_pylist() for i in range(3))):
             spans = base_spans(text or "")
-            context = sorted(_context(text, spans)) if spans else []
-            spans_out.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
-            e_out.append(sorted({_entity(k, text[a:b]) for k, a, b in spans}))
-            ce_out.append([c[0] for c in context])
-            ct_out.append([c[1] for c in context])
-        ints = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(2), batch.column(0), pa.array(spans_out, pa.string()), pa.array(e_out, ints),
-             pa.array(ce_out, ints), pa.array(ct_out, ints)],
-            names=["doc_id", "row_key", "base", "entities", "context_entity", "context_term"])
+            terms = _terms(text, spans) if spans else np.empty(0, np.int64)
+            rows.append((doc_id, key, ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
+                         sorted({_entity(k, text[a:b]) for k, a, b in spans}), len(terms), terms[:TERMS]))
+            rows += [(doc_id, key, None, [], 0, terms[i:i + TERMS]) for i in range(TERMS, len(terms), TERMS)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]
+                                         if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,25 +154,68 @@ def _mark(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
         out = []
         for text, gone, general in zip(*(batch.column(i).to_pylist() for i in range(3))):
             at, h = _words(text)
-            sets = (("removed", set(gone or ())), ("term", set(general or ()) - set(gone or ())))
             spans = base_spans(text)
-            busy = [(a, b) for _, a, b in spans]
-            free = [all(y <= a or x >= b for x, y in busy) for a, b in at]
+            sets = (("removed", set(gone or ())), ("term", set(general or ()) - set(gone or ())))
+            free = _free(at, spans)
             out.append(",".join(f"{k}:{a}:{b}" for k, terms in sets
                                 for (a, b), t, f in zip(at, h.tolist(), free) if f and t in terms))
         yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, pa.string())], names=names)
 
 
+def chance(n: int, n_e: int, n_t: int, both: int) -> float:
+    """Probability that sets of ``n_e`` and ``n_t`` of ``n`` documents, drawn independently,
+    have ``both`` or more in common."""
+    def log_choose(a: int, b: int) -> float:
+        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+    first = max(both, n_e + n_t - n, 0)
+    if first > min(n_e, n_t):
+        return 0.0
+    p = math.exp(log_choose(n_t, first) + log_choose(n - n_t, n_e - first) - log_choose(n, n_e))
+    total = 0.0
+    for i in range(first, min(n_e, n_t) + 1):
+        total += p
+        step = (n_e - i) * (n_t - i) / ((i + 1) * (n - n_e - n_t + i + 1))
+        p *= step
+        if step < 1 and p <= 1e-12 * total:
+            break
+    return min(total, 1.0)
+
+
+def _significant(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``(df_e, df_t, df_et, tested, ...)`` that are no coincidence, without these."""
+    for batch in batches:
+        keep = [chance(n, *row[:3]) * row[3] <= ALPHA
+                for row in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+        yield batch.select(range(4, batch.num_columns)).filter(pa.array(keep, pa.bool_()))
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``entity, term, share``: terms whose mutual information with an entity is at least
-    ``GENERALISE`` of the entity's information; ``share`` is that part."""
-    n = found.count()
-    entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("df_e")).filter(F.col("df_e") >= SUPPORT)
-    pair = found.select(F.explode(F.arrays_zip("context_entity", "context_term")).alias("c")) \
-        .groupBy(F.col("c.context_entity").alias("entity"), F.col("c.context_term").alias("term")) \
-        .agg(F.count(F.lit(1)).alias("df_et")).filter(F.col("df_et") >= SUPPORT)
-    pair = stored(pair.join(entity, "entity"), "pairs")
+    """``row_key, term, share``: the terms of each text whose mutual information with one of its
+    entities is at least ``GENERALISE`` of the entity's information; ``share`` is that part.
+
+    Entities of the same documents have the same figures and are handled as one ``group``, so a
+    list of many addresses that comes twice is counted once.
+    """
+    rows = found.filter("base IS NOT NULL")
+    n = rows.count()
+    mention = rows.select("row_key", "n_terms", F.explode("entities").alias("entity"))
+
+    def total(seed: int):
+        return F.sum(F.xxhash64(F.lit(seed), "row_key").cast("decimal(20,0)"))
+
+    entity = mention.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("df_e"), F.sum("n_terms").alias("tested"), total(1).alias("t1"),
+        total(2).alias("t2")).filter("df_e > 1") \
+        .select("entity", "df_e", "tested", F.xxhash64("df_e", "t1", "t2").alias("group"))
+    member = stored(mention.join(entity, "entity").groupBy("row_key", "group").agg(
+        F.first("df_e").alias("df_e"), F.first("tested").alias("tested")), "mentions")
+    lists = maybe_among(found.filter(F.size("terms") > 0).select("row_key", "terms"), "row_key",
+                        member).join(member, "row_key")
+    each = lists.select("row_key", "group", "df_e", "tested", F.explode("terms").alias("term"))
+    pair = stored(each.groupBy("group", "term").agg(
+        F.count(F.lit(1)).alias("df_et"), F.first("df_e").alias("df_e"),
+        F.first("tested").alias("tested")).filter("df_et > 1"), "pairs")
     terms = pair.select("term").distinct()
     # documents per candidate term, over all texts
     counted = texts.mapInArrow(_count_terms, "term bigint, n bigint")
@@ -181,8 +223,14 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("df_t")).join(terms, "term", "left_semi")
     ic = -F.log2(F.col("df_e") / F.lit(float(max(n, 1))))
     pmi = F.log2(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
-    return pair.join(df, "term").select("entity", "term", (pmi / F.nullif(ic, F.lit(0.0))).alias("share")) \
-               .filter(F.col("share") >= GENERALISE)
+    share = pair.join(df, "term").withColumn("share", pmi / F.nullif(ic, F.lit(0.0))) \
+        .filter(F.col("share") >= GENERALISE) \
+        .select("df_e", "df_t", "df_et", "tested", "group", "term", "share") \
+        .mapInArrow(lambda it: _significant(it, n), "group bigint, term bigint, share double")
+    share = stored(share.withColumn("pair", F.xxhash64("group", "term")), "shares")
+    return maybe_among(each.select("row_key", "group", "term", F.xxhash64("group", "term").alias("pair")),
+                       "pair", share).join(share.drop("pair"), ["group", "term"]) \
+        .select("row_key", "term", "share")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,20 +248,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(row_key(id_col, text_col).alias("row_key"),
                       F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = stored(src.select("row_key", "text", "doc_id").mapInArrow(
-        _find, "doc_id bigint, row_key bigint, base string, entities array<bigint>, "
-               "context_entity array<bigint>, context_term array<bigint>"), "found")
-    share = disclosing_terms(found, src.select("text"))
-    per = found.select("row_key", F.explode(F.arrays_zip("context_entity", "context_term")).alias("c")) \
-        .select("row_key", F.col("c.context_entity").alias("entity"), F.col("c.context_term").alias("term")) \
-        .join(share, ["entity", "term"]).groupBy("row_key").agg(
-            F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"),
-            F.collect_set(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general"))
+        _find, "doc_id bigint, row_key bigint, base string, entities array<bigint>, n_terms bigint, "
+               "terms array<bigint>"), "found")
+    per = disclosing_terms(found, src.select("text")).groupBy("row_key").agg(
+        F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"),
+        F.collect_set(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general"))
     per = stored(per, "terms")
     marked = flag_among(src, "row_key", per, "_maybe").filter("_maybe").join(per, "row_key") \
         .select("text", "gone", "general", "row_key") \
         .mapInArrow(lambda it: _mark(it, ["row_key", "terms"]), "row_key bigint, terms string") \
         .dropDuplicates(["row_key"])
-    out = found.select("doc_id", "row_key", "base").join(marked, "row_key", "left")
+    out = found.filter("base IS NOT NULL").select("doc_id", "row_key", "base").join(marked, "row_key", "left")
     base, terms = F.col("base"), F.coalesce("terms", F.lit(""))
 
     def count(column, kind: str):

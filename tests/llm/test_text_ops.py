@@ -246,6 +246,67 @@ def test_personal_data(spark, no_docs):
     assert pii.find_personal_data(no_docs).count() == 0
 
 
+def brute_marks(rows):
+    """Words to remove and to generalise per row, by sets of documents."""
+    from math import comb, log2
+    n, ents, terms = len(rows), [], []
+    for _, text, _ in rows:
+        spans = plain_spans(text or "")
+        ents.append({(k, text[a:b]) for k, a, b in spans})
+        terms.append({lower(m.group()) for m in SPACE.finditer(text or "")
+                      if all(m.end() <= a or m.start() >= b for _, a, b in spans)
+                      and any(c.isalpha() for c in m.group())})
+    out = [(set(), set()) for _ in rows]
+    for e in set().union(*ents):
+        at = [i for i in range(n) if e in ents[i]]
+        for t in set().union(*(terms[i] for i in at)):
+            both, df = sum(t in terms[i] for i in at), sum(t in x for x in terms)
+            tail = sum(comb(df, k) * comb(n - df, len(at) - k) for k in range(both, min(df, len(at)) + 1))
+            if both < 2 or len(at) == n or tail / comb(n, len(at)) * sum(len(terms[i]) for i in at) > 0.05:
+                continue
+            share = log2(n * both / (len(at) * df)) / log2(n / len(at))
+            for i in at:
+                if share >= 0.8 and t in terms[i]:
+                    out[i][0 if share >= 0.95 else 1].add(t)
+    return [(a, b - a) for a, b in out]
+
+
+def private_rows():
+    rng = __import__("random").Random(8)
+    common = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(common, k=40)), "x") for i in range(200)]
+    far = " ".join(rng.choices(common, k=30))
+    for i, mail in ((3, "a@b.org"), (90, "a@b.org"), (7, "c@d.org"), (50, "c@d.org"), (51, "c@d.org")):
+        rows[i] = (i, f"Zorblax{mail[0]} {far} write {mail} or 10.0.0.{ord(mail[0])} only{i}", "x")
+    rows[120] = (120, far + " zorblaxc", "x")            # also where the entity is not
+    rows[130] = (130, "once e@f.org " + " ".join(f"long{i}" for i in range(9000)), "x")
+    return rows
+
+
+def marked(r, text):
+    got = {"removed": set(), "term": set()}
+    for s in filter(None, r["spans"].split(",")):
+        kind, a, b = s.split(":")
+        got.get(kind, set()).add(lower(text[int(a):int(b)]))
+    return got["removed"], got["term"]
+
+
+def test_disclosing_terms_anywhere_in_two_documents(spark):
+    rows = private_rows()
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string, x string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
+    want = {r[0]: w for r, w in zip(rows, brute_marks(rows))}
+    assert {r["doc_id"]: marked(r, rows[r["doc_id"]][1]) for r in got} == want
+    assert "zorblaxa" in want[3][0] and "zorblaxc" in want[7][1] and not any(want[130])
+
+
+def test_chance_is_the_hypergeometric_tail():
+    from math import comb
+    for n, e, t, k in ((10, 3, 4, 2), (50, 20, 30, 15), (7, 7, 3, 3), (100, 2, 2, 2), (9, 5, 6, 0), (9, 2, 3, 4)):
+        tail = sum(comb(t, i) * comb(n - t, e - i) for i in range(k, min(e, t) + 1)) / comb(n, e)
+        assert pii.chance(n, e, t, k) == pytest.approx(tail, rel=1e-9)
+
+
 # ---------------------------------------------------------------- packing
 
 @pytest.fixture(scope="module")
