@@ -121,21 +121,21 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(row_key, text, doc_id)`` -> spans per text, its distinct entities and terms, their
-    number, and ``TERMS`` of the terms; the further ones follow in rows without spans."""
+    """``(row_key, text)`` -> for texts with base spans, the distinct entities, the number of
+    terms and ``TERMS`` of them; the further ones follow in rows without entities."""
     ints = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("base", pa.string()),
-                        ("entities", ints), ("n_terms", pa.int64()), ("terms", ints)])
+    schema = pa.schema([("row_key", pa.int64()), ("entities", ints), ("n_terms", pa.int64()), ("terms", ints)])
     for batch in batches:
         rows = []
-        for key, text, doc_id in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for key, text in zip(*(c.to_pylist() for c in batch.columns)):
             spans = base_spans(text or "")
-            terms = _terms(text, spans) if spans else np.empty(0, np.int64)
-            rows.append((doc_id, key, ",".join(f"{k}:{a}:{b}" for k, a, b in spans),
-                         sorted({_entity(k, text[a:b]) for k, a, b in spans}), len(terms), terms[:TERMS]))
-            rows += [(doc_id, key, None, [], 0, terms[i:i + TERMS]) for i in range(TERMS, len(terms), TERMS)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]
-                                         if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            if spans:
+                terms = _terms(text, spans)
+                rows.append((key, sorted({_entity(k, text[a:b]) for k, a, b in spans}), len(terms), terms[:TERMS]))
+                rows += [(key, [], 0, terms[i:i + TERMS]) for i in range(TERMS, len(terms), TERMS)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)],
+                                             schema=schema)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +148,48 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["term", "n"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Adds the spans of the listed terms: ``(text, removed, generalised)`` first."""
+def _placeholder(word: str) -> str:
+    """The class of a word by its form, which stands for a generalised term."""
+    if any(c.isdigit() for c in word):
+        return "[code]"
+    return "[name]" if next(c for c in word if c.isalpha()).isupper() else "[word]"
+
+
+def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with the spans of the patterns replaced by their kind (those that overlap, by
+    the kind of the first), terms to remove cut and terms to generalise replaced by their class."""
+    out, done = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= done:
+            out.append(text[done:a])
+            if kind != "removed":
+                out.append(_placeholder(text[a:b]) if kind == "term" else f"[{kind}]")
+        done = max(done, b)
+    return "".join(out) + text[done:]
+
+
+def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, text, removed, generalised)`` -> spans of the patterns, spans of the listed
+    terms, and the text without them."""
+    def listed(spans):
+        return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
     for batch in batches:
-        out = []
-        for text, gone, general in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            at, h = _words(text)
-            spans = base_spans(text)
-            sets = (("removed", set(gone or ())), ("term", set(general or ()) - set(gone or ())))
-            free = _free(at, spans)
-            out.append(",".join(f"{k}:{a}:{b}" for k, terms in sets
-                                for (a, b), t, f in zip(at, h.tolist(), free) if f and t in terms))
-        yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, pa.string())], names=names)
+        base_out, term_out, text_out = [], [], []
+        for text, gone, general in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            base, marks = base_spans(text or ""), []
+            if gone or general:
+                at, h = _words(text)
+                sets = (("removed", set(gone or ())), ("term", set(general or ()) - set(gone or ())))
+                free = _free(at, base).tolist()
+                marks = [(k, a, b) for k, terms in sets
+                         for (a, b), t, f in zip(at, h.tolist(), free) if f and t in terms]
+            base_out.append(listed(base))
+            term_out.append(listed(marks))
+            text_out.append(sanitised(text, base + marks) if base or marks else text)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, pa.string()) for c in (base_out, term_out, text_out))],
+            names=["doc_id", "base", "terms", "sanitised"])
 
 
 def chance(n: int, n_e: int, n_t: int, both: int) -> float:
@@ -197,9 +227,8 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     Entities of the same documents have the same figures and are handled as one ``group``, so a
     list of many addresses that comes twice is counted once.
     """
-    rows = found.filter("base IS NOT NULL")
-    n = rows.count()
-    mention = rows.select("row_key", "n_terms", F.explode("entities").alias("entity"))
+    n = texts.count()
+    mention = found.select("row_key", "n_terms", F.explode("entities").alias("entity"))
 
     def total(seed: int):
         return F.sum(F.xxhash64(F.lit(seed), "row_key").cast("decimal(20,0)"))
@@ -233,33 +262,34 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
         .select("row_key", "term", "share")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
-    n_removed, n_terms``.
+    n_removed, n_terms, sanitised``.
 
     ``spans`` lists ``kind:start:end`` of all spans: the patterns' by kind and start, then the
     terms to remove (``removed``) and to generalise (``term``). ``base_sha256`` is over the
-    patterns' spans alone.
+    patterns' spans alone. ``sanitised`` is the whole text after :func:`sanitised` on these spans.
 
-    Defined cases: null and empty texts have no spans. Statistics count every row, repeated
-    ones too. A null id is kept. Rows that share an id and a text are marked alike. Other
-    columns are not read. An empty table gives an empty result.
+    Defined cases: null and empty texts have no spans and stay. Statistics count every row,
+    repeated ones too. A null id is kept. Rows that share an id and a text are marked alike.
+    Other columns are not read. An empty table gives an empty result.
     """
     src = docs.select(row_key(id_col, text_col).alias("row_key"),
                       F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(src.select("row_key", "text", "doc_id").mapInArrow(
-        _find, "doc_id bigint, row_key bigint, base string, entities array<bigint>, n_terms bigint, "
-               "terms array<bigint>"), "found")
+    found = stored(src.select("row_key", "text").mapInArrow(
+        _find, "row_key bigint, entities array<bigint>, n_terms bigint, terms array<bigint>"), "found")
     per = disclosing_terms(found, src.select("text")).groupBy("row_key").agg(
         F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"),
         F.collect_set(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general"))
     per = stored(per, "terms")
-    marked = flag_among(src, "row_key", per, "_maybe").filter("_maybe").join(per, "row_key") \
-        .select("text", "gone", "general", "row_key") \
-        .mapInArrow(lambda it: _mark(it, ["row_key", "terms"]), "row_key bigint, terms string") \
-        .dropDuplicates(["row_key"])
-    out = found.filter("base IS NOT NULL").select("doc_id", "row_key", "base").join(marked, "row_key", "left")
-    base, terms = F.col("base"), F.coalesce("terms", F.lit(""))
+    # only texts that may have such terms are shuffled
+    maybe = flag_among(src, "row_key", per, "_maybe")
+    none = F.lit(None).cast("array<bigint>")
+    plain = maybe.filter("NOT _maybe").select("doc_id", "text", none.alias("gone"), none.alias("general"))
+    listed = maybe.filter("_maybe").join(per, "row_key", "left").select("doc_id", "text", "gone", "general")
+    out = plain.unionByName(listed).mapInArrow(
+        _sanitise, "doc_id bigint, base string, terms string, sanitised string")
+    base, terms = F.col("base"), F.col("terms")
 
     def count(column, kind: str):
         return F.regexp_count(column, F.lit(f"(^|,){kind}:")).cast("bigint")
@@ -268,5 +298,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(
         "doc_id", *[count(base, k).alias(f"n_{k}") for k in KINDS],
         F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), both.alias("spans"),
-        count(terms, "removed").alias("n_removed"), count(terms, "term").alias("n_terms"))
+        count(terms, "removed").alias("n_removed"), count(terms, "term").alias("n_terms"), "sanitised")
 
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans and counts of :func:`sanitise_personal_data`, without the texts."""
+    return sanitise_personal_data(docs, id_col, text_col).drop("sanitised")

@@ -300,6 +300,25 @@ def test_disclosing_terms_anywhere_in_two_documents(spark):
     assert "zorblaxa" in want[3][0] and "zorblaxc" in want[7][1] and not any(want[130])
 
 
+def test_sanitised_texts(spark):
+    rows = private_rows() + [(900, None, "x"), (901, "", "x"), (902, "Tél\U0001f600 +1 555 010 9999, x@y.z", "x")]
+    got = {r["doc_id"]: r for r in pii.sanitise_personal_data(
+        spark.createDataFrame(rows, "doc_id bigint, text string, x string")).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s)]
+        want = text
+        for k, a, b in sorted(spans, key=lambda s: -s[1]):      # from the end: places stay valid
+            form = "code" if re.search(r"\d", text[a:b]) else "name" if text[a:b][0].isupper() else "word"
+            want = want[:a] + {"removed": "", "term": f"[{form}]"}.get(k, f"[{k}]") + want[b:]
+        assert got[i]["sanitised"] == want
+    assert "zorblax" not in got[3]["sanitised"].lower() and "a@b.org" not in got[3]["sanitised"]
+    assert got[7]["sanitised"].startswith("[name] ") and got[900]["sanitised"] is None
+    assert got[902]["sanitised"] == "Tél\U0001f600 [phone], [email]" and got[0]["sanitised"] == rows[0][1]
+    both = [("ip", 4, 12), ("card", 2, 9), ("removed", 13, 14)]
+    assert pii.sanitised("a 45.67.8.90 b c", both) == "a [card]  c"
+
+
 def test_chance_is_the_hypergeometric_tail():
     from math import comb
     for n, e, t, k in ((10, 3, 4, 2), (50, 20, 30, 15), (7, 7, 3, 3), (100, 2, 2, 2), (9, 5, 6, 0), (9, 2, 3, 4)):
