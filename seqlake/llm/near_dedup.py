@@ -1,19 +1,22 @@
 """MinHash near-duplicates by chosen-path set similarity join.
 
-1. Every document becomes the set of its distinct word shingles and a sketch of ``SKETCH``
-   minwise values. Equal sets are one *class* from here on.
+1. Every document becomes the set of its distinct word shingles and a sketch of ``FAMILY``
+   minwise values (16 bits of each) for every tree. Equal sets are one *class* from here on.
 2. Independent trees: at each node a hash of the node's path selects the minwise coordinates
    to branch on -- ``1 / threshold`` of them on average -- and a class goes to the child of
    each selected coordinate's value. A pair at the threshold keeps one common child per level
-   on average, dissimilar pairs part quickly. ``TREES`` trees bring the chance that a pair at
-   the threshold never meets in a leaf to about ``0.476 ** 16``, under one in 100,000.
-   Leaves with the same members are one leaf.
+   on average, dissimilar pairs part quickly. Trees share no minwise values. A pair at
+   threshold 80 misses the leaves of one tree with a chance of 0.450 (simulated), those of
+   ``TREES`` trees with ``0.450 ** 16 = 3e-6``. Leaves of up to ``LEAF`` classes with the same
+   members are one leaf.
 3. In each leaf every class is linked with the leaf's anchor (at most one candidate per
    class), and the candidates are verified on the full sets. This joins large groups of
    copies without looking at the pairs within them.
 4. Leaves whose classes are still in more than one component are compared exhaustively: every
    class outside the leaf's largest component with all others, in blocks of ``BLOCK`` classes
-   (leaves over ``LEAF`` classes are first branched further). A task counts overlaps on 32-bit
+   (leaves over ``LEAF`` classes are first branched further, to ``MAX_DEPTH`` at most). As
+   branching loses pairs, the classes of such leaves get ``EXTRA`` more trees: at ``MAX_DEPTH``
+   one tree misses with 0.622 (simulated), all of them with ``0.622 ** 26 = 4e-6``. A task counts overlaps on 32-bit
    shingles, which can only overrate them, and returns a spanning forest of what it finds,
    which is verified on the full sets. So every pair of a leaf is either connected or compared,
    and never emitted as a pair for that.
@@ -31,28 +34,33 @@ from pyspark.sql import functions as F
 from seqlake.llm import words
 from seqlake.llm.common import components, maybe_among, row_key, stored
 
-SKETCH = 96        # minwise values per class
+FAMILY = 12        # minwise values per class and tree
 TREES = 16         # independent trees
+EXTRA = 10         # further ones for the classes of large leaves
 DEPTH = 5          # levels of the first pass
 MAX_DEPTH = 14     # levels at which branching large leaves ends
 LEAF = 4096        # classes up to which a leaf is compared without further branching
 BLOCK = 1024       # classes that a task compares others with
 
 _rng = np.random.default_rng(97)
-_XOR = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-_MUL = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES = FAMILY * (TREES + EXTRA)
+_XOR = _rng.integers(0, 1 << 63, _VALUES, dtype=np.uint64)
+_MUL = _rng.integers(1, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TREE = np.uint64(31)      # bits of a node that hold its tree
 
 
 def _u(x: int) -> np.uint64:
     return np.uint64(x)
 
 
-def sketch_sets(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Minwise values (top 32 bits) of non-empty sets, one row per set."""
-    out = np.empty((len(bounds) - 1, SKETCH), dtype=np.uint32)
-    for j in range(SKETCH):
-        low = np.minimum.reduceat((flat ^ _XOR[j]) * _MUL[j], bounds[:-1])
-        out[:, j] = (low >> _u(32)).astype(np.uint32)
+def sketch_sets(flat: np.ndarray, bounds: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """Minwise values (bits 32 to 47) of non-empty sets for ``trees`` trees, one row per set."""
+    out = np.empty((len(bounds) - 1, FAMILY * trees), dtype=np.uint16)
+    h = np.empty_like(flat)
+    for j in range(FAMILY * trees):
+        np.bitwise_xor(flat, _XOR[j], out=h)
+        np.multiply(h, _MUL[j], out=h)
+        out[:, j] = (np.minimum.reduceat(h, bounds[:-1]) >> _u(32)).astype(np.uint16)
     return out
 
 
@@ -82,18 +90,20 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def descend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, levels: int,
             threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Branch ``(node, row)`` pairs ``levels`` times. A node's path hash selects one coordinate,
-    and a second one with probability ``100 / threshold - 1``."""
+    """Branch ``(node, row)`` pairs ``levels`` times. A node's path hash selects one coordinate
+    of its tree, and a second one with probability ``100 / threshold - 1``."""
     second = _u(int((100 / threshold - 1) * (1 << 20)))
     for _ in range(levels):
         h = words.mix(node + _u(0x9E3779B97F4A7C15))
-        c1 = (h % _u(SKETCH)).astype(np.int64)
+        c1 = (h % _u(FAMILY)).astype(np.int64)
         two = ((h >> _u(40)) & _u((1 << 20) - 1)) < second
-        c2 = (c1 + 1 + ((h >> _u(20)) % _u(SKETCH - 1)).astype(np.int64)) % SKETCH
+        c2 = (c1 + 1 + ((h >> _u(20)) % _u(FAMILY - 1)).astype(np.int64)) % FAMILY
+        first = (node & _TREE).astype(np.int64) * FAMILY
 
         def child(at: np.ndarray, c: np.ndarray) -> np.ndarray:
-            value = sig[row[at], c].astype(np.uint64) | (c.astype(np.uint64) << _u(32))
-            return words.mix(words.mix(value) ^ (node[at] * _u(0xD6E8FEB86659FD93)))
+            value = sig[row[at], first[at] + c].astype(np.uint64) | (c.astype(np.uint64) << _u(32))
+            to = words.mix(words.mix(value) ^ (node[at] * _u(0xD6E8FEB86659FD93)))
+            return (to & ~_TREE) | (node[at] & _TREE)
 
         every = np.arange(len(node))
         some = np.flatnonzero(two)
@@ -102,19 +112,32 @@ def descend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, levels: int,
     return node, row
 
 
-def _paths(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Leaves of every tree for each class: ``(cls, sig, n)`` -> ``(node, cls, n)``."""
+def _paths(batches: Iterator[pa.RecordBatch], threshold: int, trees: range,
+           levels: int) -> Iterator[pa.RecordBatch]:
+    """Nodes of each class after ``levels`` levels of ``trees``: ``(cls, sig, n)`` ->
+    ``(node, cls, n)``."""
     for batch in batches:
         sig = _matrix(batch.column(1))
         cls, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        for tree in range(TREES):
-            root = np.full(len(cls), words.mix(np.array([tree + 1], dtype=np.uint64))[0])
-            node, row = descend(root, np.arange(len(cls)), sig, DEPTH, threshold)
+        for tree in trees:
+            root = words.mix(np.array([tree + 1], dtype=np.uint64))[0] & ~_TREE | _u(tree)
+            node, row = descend(np.full(len(cls), root), np.arange(len(cls)), sig, levels, threshold)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node.view(np.int64)), pa.array(cls[row]), pa.array(n[row])],
                 names=["node", "cls", "n"])
 
 
+def _all_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(cls, n, label, members)`` -> ``(cls, n, label, sig)`` with the values of all trees."""
+    for batch in batches:
+        sig = []
+        for members in batch.column(3):
+            flat = np.frombuffer(members.as_buffer(), dtype=np.uint64)
+            sig.append(sketch_sets(flat, np.array([0, len(flat)]), TREES + EXTRA).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sig, pa.binary())],
+                                         names=["cls", "n", "label", "sig"])
+
+
 def _deeper(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """One more level: ``(node, cls, n, label, sig)`` -> ``(node, cls, n, label)``."""
     for batch in batches:
@@ -127,7 +150,8 @@ def _deeper(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SKETCH)
+    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -231,11 +255,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.any_value("sig").alias("sig")), "classes")
 
     rows = classes.select("cls", "sig", "n").mapInArrow(
-        lambda it: _paths(it, threshold), "node bigint, cls bigint, n bigint")
+        lambda it: _paths(it, threshold, range(TREES), DEPTH), "node bigint, cls bigint, n bigint")
     shared = rows.groupBy("node").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor("cls").alias("members"),
         F.min(F.struct(F.xxhash64("cls", "node"), "cls")).getField("cls").alias("anchor")).filter("size > 1")
-    shared = shared.groupBy("size", "members").agg(F.min(F.struct("node", "anchor")).alias("s"))
+    # large leaves all stay: each may be branched further, with a chance to lose a pair
+    shared = shared.groupBy("size", "members", F.when(F.col("size") > LEAF, F.col("node"))).agg(F.min(F.struct("node", "anchor")).alias("s"))
     met = stored(rows.join(shared.select("s.node", "s.anchor"), "node"), "met")
 
     wanted = met.select("cls").distinct()
@@ -267,10 +292,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = rows.filter(F.col("size") > LEAF)
         if last or large.isEmpty():
             break
-        rows = large.join(classes.select("cls", "sig"), "cls") \
+        if depth == DEPTH:
+            deep = stored(large.select("cls", "n", "label").distinct()
+                          .join(sets.select("cls", "members"), "cls").select("cls", "n", "label", "members")
+                          .mapInArrow(_all_trees, "cls bigint, n bigint, label bigint, sig binary"), "deep")
+        rows = large.join(deep.select("cls", "sig"), "cls") \
                     .select("node", "cls", "n", "label", "sig").mapInArrow(
                         lambda it: _deeper(it, threshold),
                         "node bigint, cls bigint, n bigint, label bigint")
+        if depth == DEPTH:
+            rows = rows.unionByName(deep.select("cls", "sig", "n").mapInArrow(
+                lambda it: _paths(it, threshold, range(TREES, TREES + EXTRA), DEPTH + 1),
+                "node bigint, cls bigint, n bigint").join(deep.select("cls", "label"), "cls"))
         depth += 1
     leaf = leaves[0]
     for more in leaves[1:]:

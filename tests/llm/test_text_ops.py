@@ -126,6 +126,33 @@ def test_hot_near_copies_stay_linear(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_pairs_in_large_leaves_are_found(spark, monkeypatch):
+    """Pairs at the threshold among texts with much boilerplate: every leaf is large and mixed
+    and branched down to the last level, where few pairs are left in one tree."""
+    monkeypatch.setattr(near_dedup, "LEAF", 3)
+    common = [f"c{i}" for i in range(76)]
+    rows = []
+    for i in range(300):
+        own = common + [f"o{i}x{j}" for j in range(4)]
+        rows += [(2 * i + k, " ".join(own + [f"d{i}x{k}x{j}" for j in range(10)])) for k in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=1)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_trees_share_no_values():
+    """Nodes of different trees depend on different minwise values."""
+    sig = near_dedup.sketch_sets(np.arange(50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15),
+                                 np.array([0, 50]), near_dedup.TREES + near_dedup.EXTRA)
+    for tree in (0, near_dedup.TREES, near_dedup.TREES + near_dedup.EXTRA - 1):
+        other = np.zeros_like(sig)
+        own = slice(tree * near_dedup.FAMILY, (tree + 1) * near_dedup.FAMILY)
+        other[:, own] = sig[:, own]
+        nodes = [near_dedup.descend(np.array([tree + 64], dtype=np.uint64), np.zeros(1, np.int64), s, 8, 80)[0]
+                 for s in (sig, other)]
+        assert sorted(nodes[0].tolist()) == sorted(nodes[1].tolist())
+        assert set((nodes[0] & np.uint64(31)).tolist()) == {tree}
+
+
 # ---------------------------------------------------------------- lines
 
 def brute_lines(rows, order):
