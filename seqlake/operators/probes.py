@@ -110,7 +110,7 @@ def probe_lreg(train: DataFrame, seed: int = 0, cs: Sequence[float] = tuple(np.l
     return cv.fit(_vec(train).withColumn("label", F.col("label").cast("double")))
 
 
-def probe_gbrt(train: DataFrame, seed: int = 0, max_iter: int = 20):
+def probe_gbrt(train: DataFrame, seed: int = 0, max_iter: int = 100):
     """H3: gradient-boosted trees, seeded."""
     gbt = GBTClassifier(featuresCol="_features", labelCol="label", seed=seed, maxIter=max_iter)
     return gbt.fit(_vec(train).withColumn("label", F.col("label").cast("double")))
@@ -128,7 +128,7 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 def run_probes(features: DataFrame, seed: int = 0, gbrt_only: bool = False,
                lreg_cs: Sequence[float] = tuple(np.logspace(-4, 4, 10)), folds: int = 5,
-               gbrt_iter: int = 20) -> DataFrame:
+               gbrt_iter: int = 100) -> DataFrame:
     """H4: per task, fit on ``split = 'train'`` and score train and everything else as
     ``test``; six metrics per (task, model, split) as long rows.
 

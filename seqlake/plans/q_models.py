@@ -65,7 +65,7 @@ def q_read_through(spark, sf):
 @query("probe_lreg")
 def q_probe_lreg(spark, sf):
     f = probe_features(spark, sf)
-    model = PR.probe_lreg(f.filter(F.col("split") == "train"), seed=0, cs=(0.01, 1.0, 100.0))
+    model = PR.probe_lreg(f.filter(F.col("split") == "train"), seed=0)
     return round6(PR.predict(model, f).select("sample_id", "split", "label", "score", "pred"))
 
 
@@ -78,7 +78,7 @@ def q_probe_gbrt(spark, sf):
 
 @query("run_probes")
 def q_run_probes(spark, sf):
-    return round6(PR.run_probes(probe_features(spark, sf), seed=0, lreg_cs=(0.01, 1.0, 100.0)))
+    return round6(PR.run_probes(probe_features(spark, sf), seed=0))
 
 
 @query("stream_throughput", r"""

@@ -31,3 +31,31 @@ def test_run_probes_shape_and_gate(spark):
     bad = f.withColumn("label", F.col("sample_id") % 3)
     with pytest.raises(ValueError):
         PR.run_probes(bad, gbrt_only=True, gbrt_iter=2)
+
+
+def test_probe_queries_do_the_whole_fit(spark, monkeypatch):
+    """The registered queries try ten regularisation strengths and boost 100 rounds."""
+    from seqlake.plans import q_models
+    asked = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, df):
+        asked.append(self)
+        raise Fitted
+
+    monkeypatch.setattr(PR.CrossValidator, "fit", fit)
+    with pytest.raises(Fitted):
+        q_models.q_probe_lreg(spark, SF_SMALL)
+    monkeypatch.setattr(PR.GBTClassifier, "fit", fit)
+    for query in (q_models.q_probe_gbrt, q_models.q_run_probes):
+        with pytest.raises(Fitted):
+            query(spark, SF_SMALL)
+    monkeypatch.setattr(PR, "probe_gbrt", lambda *a: None)
+    with pytest.raises(Fitted):
+        q_models.q_run_probes(spark, SF_SMALL)
+    assert [a.getMaxIter() for a in asked[1:3]] == [100, 100]
+    for cv in (asked[0], asked[3]):
+        grid = sorted(v for m in cv.getEstimatorParamMaps() for v in m.values())
+        assert len(grid) == 10 and grid[-1] / grid[0] == pytest.approx(1e8)
