@@ -9,6 +9,7 @@ PAD_ID = 4
 
 # Classes kept for the losses, in this order: PAD (stands for N), T, G, C, A.
 USEFUL_CLASSES = (4, 10, 9, 8, 7)
+POSITION_BLOCK = 4096      # positions per row of a soft-label store (M6)
 
 # Length of one interval ("segment"); tiles must divide it.
 MAX_ALLOWED_LENGTH = 2 ** 17

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.constants import COSINE_EPS, PAD_ID, USEFUL_CLASSES
+from seqlake.constants import COSINE_EPS, PAD_ID, POSITION_BLOCK, USEFUL_CLASSES
 from seqlake.functions.softmax import logsumexp
 
 INF = float("inf")
@@ -83,6 +83,24 @@ def positions(df: DataFrame, array_cols: Sequence[str], pos_col: str = "pos") ->
               .select(*keep, pos_col, *[F.col("_z")[c].alias(c) for c in array_cols]))
 
 
+def block_positions(df: DataFrame, logits: dict[str, str], ids_col: str = "input_ids",
+                    classes: Sequence[int] = USEFUL_CLASSES, block: int = POSITION_BLOCK) -> DataFrame:
+    """M6 rows -> one row per position: ``pos`` in the sample, ``tok``, and for each
+    ``prefix: column`` of ``logits`` the position's logits as ``{prefix}_c{k}``."""
+    keep = [c for c in df.columns if c not in (ids_col, "block", *logits.values())]
+    width = len(classes)
+
+    def one(i):
+        return F.struct(F.get(ids_col, i).cast("bigint").alias("tok"), *[
+            F.get(column, i * width + j).cast("double").alias(f"{prefix}_c{k}")
+            for prefix, column in logits.items() for j, k in enumerate(classes)])
+
+    n = F.size(ids_col)
+    each = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one))
+    out = df.select(*keep, "block", F.posexplode(each).alias("_i", "_z"))
+    return out.select(*keep, (F.col("block") * F.lit(block) + F.col("_i")).alias("pos"), "_z.*")
+
+
 def log_softmax_columns(df: DataFrame, prefix: str, temperature: float = 1.0,
                         out_prefix: str = "lp", classes: Sequence[int] = USEFUL_CLASSES) -> DataFrame:
     """Log-softmax over the useful classes of one model, as ``{out_prefix}_c{k}``. The

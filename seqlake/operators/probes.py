@@ -9,10 +9,11 @@ tasks runs on the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlake.constants import POSITION_BLOCK
 from seqlake.operators.labels import label_gate
 from seqlake.operators.metrics import evaluate, results_long
 
@@ -75,6 +77,50 @@ def score_token_batches(df: DataFrame, make_predict_fn: Callable[[], Callable[[n
     return df.withColumn(output_col, _score(F.col(ids_col)))
 
 
+def score_token_positions(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
+                          keep: Sequence[str], ids_col: str = "ids", batch_size: int = 8,
+                          block: int = POSITION_BLOCK) -> DataFrame:
+    """H1 with per-position outputs (M6): one row per tile and ``block`` positions with the
+    columns ``keep``, ``block``, ``input_ids`` and ``logits`` (position by position, flattened).
+
+    ``make_predict_fn`` runs once per task and returns ``f(x: ndarray[B, L]) -> ndarray[B, L, C]``;
+    it gets up to ``batch_size`` tiles of one length, whatever the Arrow batches hold. Tiles
+    without ids keep one row with empty arrays.
+    """
+    names = list(keep)
+    schema = T.StructType([df.schema[c] for c in names] + [
+        T.StructField("block", T.IntegerType()), T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("logits", T.ArrayType(T.FloatType()))])
+
+    def lists(values: np.ndarray) -> pa.Array:
+        flat = values.reshape(len(values), int(np.prod(values.shape[1:])))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]),
+                                        pa.array(flat.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make_predict_fn()
+        for batch in batches:
+            ids = [s or "" for s in batch.column(len(names)).to_pylist()]
+            lens = np.array([len(s) for s in ids])
+            for length in np.unique(lens).tolist():
+                rows = np.flatnonzero(lens == length)
+                for i in range(0, len(rows), batch_size):
+                    some = rows[i:i + batch_size]
+                    x = np.frombuffer("".join(ids[r] for r in some).encode("ascii"), dtype=np.uint8)
+                    x = x.reshape(len(some), length).astype(np.int32) - 48
+                    y = np.asarray(fn(x), dtype=np.float32) if length else np.empty((len(some), 0, 0), np.float32)
+                    kept = [batch.column(c).take(pa.array(some)) for c in range(len(names))]
+                    for b in range(max(-(-length // block), 1)):
+                        part = slice(b * block, (b + 1) * block)
+                        yield pa.RecordBatch.from_arrays(
+                            [*kept, pa.array(np.full(len(some), b, dtype=np.int32)),
+                             lists(x[:, part]),
+                             lists(y[:, part])],
+                            names=[*names, "block", "input_ids", "logits"])
+
+    return df.select(*names, ids_col).mapInArrow(run, schema)
+
+
 def linear_scorer(weights: Sequence[float]) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """A fixed linear map, packaged as a model factory for :func:`score_batches`."""
     w = np.asarray(weights, dtype=np.float64)

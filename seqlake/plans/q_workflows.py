@@ -23,13 +23,12 @@ from seqlake.sources.bed import bed_scan
 # ---------------------------------------------------------------- §3.1 soft-label generation
 
 
-def class_share_model():
-    """A frozen toy model: for each useful class, the share of the tile's positions that
-    hold that token id (5 "logits" per tile)."""
+def one_hot_model():
+    """A frozen toy model: the 5 logits of a position are 1 for the class it holds, else 0."""
     classes = np.asarray(USEFUL_CLASSES)
 
     def predict(x: np.ndarray) -> np.ndarray:
-        return (x[:, :, None] == classes[None, None, :]).mean(axis=1)
+        return (x[:, :, None] == classes[None, None, :]).astype(np.float32)
 
     return predict
 
@@ -64,13 +63,20 @@ def q_soft_label_generation(spark, sf):
                          tokenized=True)
     tok = tok.withColumn("ids", TK.pad_truncate(F.col("ids"), TILE))
     tok = IX.batch(tok, BATCH)
-    scored = PR.score_token_batches(tok, class_share_model, "ids", "logits")
-    out = scored.select(F.col("idx").alias("sample"), "batch_idx", "chr_name", "start", "end",
-                        *[F.element_at("logits", i + 1).alias(c) for i, c in enumerate(_LOGIT_COLS)])
+    tok = tok.withColumnRenamed("idx", "sample")
+    tile = ["sample", "batch_idx", "chr_name", "start", "end"]
     store = scratch_path(spark, "soft-label-gen")
-    ST.append_soft_labels(out, store, key=["sample"])
-    return round6(ST.read_soft_labels(spark, store).select(
-        "sample", "batch_idx", "chr_name", "start", "end", *_LOGIT_COLS))
+    ST.append_soft_labels(PR.score_token_positions(tok, one_hot_model, tile), store, key=["sample", "block"])
+    # read back: the stored logits of a tile, averaged over its positions
+    width = len(_LOGIT_COLS)
+
+    def total(j: int):
+        own = F.filter("logits", lambda x, i: i % width == j)
+        return F.sum(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x))
+
+    n = F.sum(F.size("input_ids"))
+    return round6(ST.read_soft_labels(spark, store).groupBy(*tile).agg(
+        *[(total(j) / n).alias(c) for j, c in enumerate(_LOGIT_COLS)]).select(*tile, *_LOGIT_COLS))
 
 
 # ---------------------------------------------------------------- §3.2 validation report
@@ -84,23 +90,22 @@ def _tok_expr(pos_expr: str) -> str:
 
 
 def _write_outputs(spark, sf):
-    """Student and teacher outputs stored in block layout (one row per sample, nested
-    arrays ``[T][16]``), as a scoring job would have written them. Position p of sample
-    ``vec_id`` has student logits at elements 1+32p.., teacher logits at 17+32p.., target
-    ``4`` if ``(2*vec_id + p) % 10 = 3`` else ``7 + (2*vec_id + p) % 4``."""
+    """Paths of a student and a teacher store in block layout (M6), as scoring jobs would
+    have written them. Position p of sample ``vec_id`` has student logits at elements 1+32p..,
+    teacher logits at 17+32p.., target ``4`` if ``(2*vec_id + p) % 10 = 3`` else
+    ``7 + (2*vec_id + p) % 4``."""
     e = table(spark, sf, "embeddings")
-    emb = F.transform("embedding", lambda x: x.cast("double"))
     ids = F.array(*[F.expr(_tok_expr(f"vec_id * {T_POS} + {p}")).cast("int") for p in range(T_POS)])
-    student = e.select(F.col("vec_id").alias("sample"),
-                       F.floor(F.col("vec_id") / 10).cast("bigint").alias("batch_idx"),
-                       F.array(*[F.slice(emb, 1 + 32 * p, 16) for p in range(T_POS)]).alias("logits"),
-                       ids.alias("input_ids"))
-    teacher = e.select(F.col("vec_id").alias("sample"),
-                       F.array(*[F.slice(emb, 17 + 32 * p, 16) for p in range(T_POS)]).alias("logits"))
-    sp, tp = scratch_path(spark, "student-out"), scratch_path(spark, "teacher-out")
-    student.write.parquet(sp)
-    teacher.write.parquet(tp)
-    return spark.read.parquet(sp), spark.read.parquet(tp)
+    paths = []
+    for name, first in (("student", 1), ("teacher", 17)):
+        logits = F.array(*[F.element_at("embedding", first + 32 * p + k).cast("float")
+                           for p in range(T_POS) for k in USEFUL_CLASSES])
+        rows = e.select(F.col("vec_id").alias("sample"), F.lit(0).alias("block"),
+                        F.floor(F.col("vec_id") / 10).cast("bigint").alias("batch_idx"),
+                        ids.alias("input_ids"), logits.alias("logits"))
+        paths.append(scratch_path(spark, f"{name}-out"))
+        ST.append_soft_labels(rows, paths[-1], key=["sample", "block"])
+    return paths
 
 
 def _val_positions_sql() -> str:
@@ -142,15 +147,12 @@ FROM named GROUP BY metric
 @query("validation_report", _validation_sql())
 def q_validation_report(spark, sf):
     """Stored outputs -> C4 -> D3 -> B4 -> B3 -> F7 -> D5 -> F8 (final validation)."""
-    student, teacher = _write_outputs(spark, sf)
+    student, teacher = (ST.read_soft_labels(spark, path) for path in _write_outputs(spark, sf))
     aligned = L.align_teacher_student(
-        student.select("sample", "batch_idx", F.col("logits").alias("s_logits"), "input_ids"),
-        teacher.select("sample", F.col("logits").alias("t_logits")), keys=["sample"])
-    pos = L.positions(aligned, ["s_logits", "t_logits", "input_ids"])
-    pos = L.useful_classes(pos, "s_logits", "s")
-    pos = L.useful_classes(pos, "t_logits", "t")
-    pos = pos.select("sample", "pos", F.col("batch_idx").alias("batch_id"),
-                     F.col("input_ids").cast("bigint").alias("tok"),
+        student.withColumnRenamed("logits", "s_logits"),
+        teacher.select("sample", "block", F.col("logits").alias("t_logits")), keys=["sample", "block"])
+    pos = L.block_positions(aligned, {"s": "s_logits", "t": "t_logits"})
+    pos = pos.select("sample", "pos", F.col("batch_idx").alias("batch_id"), "tok",
                      *L.student_cols(), *L.teacher_cols())
     report = L.dual_loss_report(pos, ["batch_id"], TEMP, A_SOFT, 0.0, 0)
     long = L.metrics_long(report, ["batch_id"], "final_val")

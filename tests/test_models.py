@@ -59,3 +59,45 @@ def test_probe_queries_do_the_whole_fit(spark, monkeypatch):
     for cv in (asked[0], asked[3]):
         grid = sorted(v for m in cv.getEstimatorParamMaps() for v in m.values())
         assert len(grid) == 10 and grid[-1] / grid[0] == pytest.approx(1e8)
+
+
+def test_position_store_keeps_ids_and_logits(spark):
+    """Rows per (tile, block) with the ids and 5 logits of every position, in the model's own
+    batches; position rows come back whole."""
+    from seqlake.operators import losses as L
+    texts = ["789:;67", "4", "", None, "77887799:", "9999999", "7", "89:4789:4789"]
+    seen = []
+
+    def make():
+        def predict(x):
+            assert len(x) <= 2
+            return x[:, :, None] * 10.0 + np.arange(5)
+        return predict
+
+    df = spark.createDataFrame(list(enumerate(texts)), "sample bigint, ids string").coalesce(1)
+    stored = PR.score_token_positions(df, make, ["sample"], batch_size=2, block=4)
+    blocks = {(r.sample, r.block): r for r in stored.collect()}
+    for i, t in enumerate(texts):
+        x = [ord(c) - 48 for c in t or ""]
+        for b in range(max(-(-len(x) // 4), 1)):
+            r = blocks.pop((i, b))
+            assert r.input_ids == x[4 * b:4 * b + 4]
+            assert r.logits == [v * 10.0 + j for v in r.input_ids for j in range(5)]
+            seen += [(i, 4 * b + p, v, v * 10.0, v * 10.0 + 4) for p, v in enumerate(r.input_ids)]
+    assert not blocks
+    pos = L.block_positions(stored, {"s": "logits"}, block=4).collect()
+    assert sorted((r.sample, r.pos, r.tok, r.s_c4, r.s_c7) for r in pos) == sorted(seen)
+
+
+def test_workflow_stores_hold_positions(spark, monkeypatch):
+    from seqlake.plans import q_workflows as W
+    kept = []
+    append = W.ST.append_soft_labels
+    monkeypatch.setattr(W.ST, "append_soft_labels", lambda df, path, **k: (kept.append(path), append(df, path, **k)))
+    W.q_soft_label_generation(spark, SF_SMALL)
+    W.q_validation_report(spark, SF_SMALL)
+    assert len(kept) == 3
+    for path in kept:
+        r = W.ST.read_soft_labels(spark, path).selectExpr(
+            "count(*) n", "count(DISTINCT sample, block) k", "min(5 * size(input_ids) = size(logits)) ok").first()
+        assert r.n == r.k > 0 and r.ok
