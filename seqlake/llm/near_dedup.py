@@ -16,10 +16,9 @@
    class outside the leaf's largest component with all others, in blocks of ``BLOCK`` classes
    (leaves over ``LEAF`` classes are first branched further, to ``MAX_DEPTH`` at most). As
    branching loses pairs, the classes of such leaves get ``EXTRA`` more trees: at ``MAX_DEPTH``
-   one tree misses with 0.622 (simulated), all of them with ``0.622 ** 26 = 4e-6``. A task counts overlaps on 32-bit
-   shingles, which can only overrate them, and returns a spanning forest of what it finds,
-   which is verified on the full sets. So every pair of a leaf is either connected or compared,
-   and never emitted as a pair for that.
+   one tree misses with 0.622 (simulated), all of them with ``0.622 ** 26 = 4e-6``. A task
+   counts overlaps of the full sets and returns a spanning forest of what it finds. So every
+   pair of a leaf is either connected or compared, and never emitted as a pair for that.
 """
 
 from __future__ import annotations
@@ -159,12 +158,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         for _, group in words.blocks(batch.column(0).to_pylist()):
             flat, bounds = _sets(group, k)
             digest, _ = words.set_digests(flat, bounds)
-            at, short = bounds.tolist(), (flat >> _u(32)).astype(np.uint32)
+            at = bounds.tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digest.view(np.int64)),
-                 pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                 pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                names=["cls", "members", "short"])
+                 pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                names=["cls", "members"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +187,7 @@ def _compare(table: pa.Table, threshold: int) -> pa.Table:
     join. Overlaps come from the builds' postings of each shingle."""
     cls, n, label = (table[c].to_numpy() for c in ("cls", "n", "label"))
     build, probe = (table[c].to_numpy(zero_copy_only=False) for c in ("build", "probe"))
-    values = [np.frombuffer(v, dtype=np.uint32) for v in table["short"].to_pylist()]
+    values = [np.frombuffer(v, dtype=np.uint64) for v in table["members"].to_pylist()]
     there = np.flatnonzero(build)
     _, group = np.unique(label, return_inverse=True)
     parent = list(range(group.max() + 1))
@@ -266,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = met.select("cls").distinct()
     reps = classes.join(wanted, "cls", "left_semi").select("row_key")
     sets = stored(maybe_among(src, "row_key", reps).select("text").mapInArrow(
-        lambda it: _full_sets(it, shingle), "cls bigint, members binary, short binary")
+        lambda it: _full_sets(it, shingle), "cls bigint, members binary")
         .join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     size = classes.select(F.col("cls").alias("anchor"), F.col("n").alias("anchor_n"))
@@ -314,12 +312,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaf = leaf.withColumn("block", F.explode(F.when(
         F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
     pairs = leaf.withColumn("build", F.col("own") == F.col("block")) \
-        .join(sets.select("cls", "short"), "cls") \
-        .select("node", "block", "cls", "n", "label", "build", "probe", "short") \
+        .join(sets.select("cls", "members"), "cls") \
+        .select("node", "block", "cls", "n", "label", "build", "probe", "members") \
         .groupBy("node", "block").applyInArrow(lambda t: _compare(t, threshold), "a bigint, b bigint")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                    "pairs")
-    label = components(links.unionAll(verify(pairs, sets, threshold)))
+    label = components(links.unionAll(pairs))
 
     member = sk.select("doc_id", "row_key", "n_shingles", "cls") \
         .join(label.selectExpr("id AS cls", "component"), "cls", "left")

@@ -139,6 +139,21 @@ def test_pairs_in_large_leaves_are_found(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_true_link_between_components_beside_a_false_one():
+    """Sets that agree in the upper halves of their values only are not linked, and do not keep
+    a true link between the same components from being found."""
+    import pyarrow as pa
+    p = [(i << 32) + 5 for i in range(10)]
+    false = p[:8] + [(8 << 32) + 6, (9 << 32) + 6]
+    true = p[:9] + [(77 << 32) + 5]
+    sets = [np.array(x, dtype=np.uint64) for x in (p, false, true)]
+    table = pa.table({
+        "cls": [1, 2, 3], "n": [10, 10, 10], "label": [1, 2, 2], "build": [False, True, True],
+        "probe": [True, False, False], "members": [x.tobytes() for x in sets],
+        "short": [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]})
+    assert near_dedup._compare(table, 80).to_pylist() == [{"a": 1, "b": 3}]
+
+
 def test_trees_share_no_values():
     """Nodes of different trees depend on different minwise values."""
     sig = near_dedup.sketch_sets(np.arange(50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15),
