@@ -28,7 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labelled = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     model = fit(labelled, docs)
-    return score_quality(docs, model, score_col="_score").filter("_score >= 0.5").drop("_score")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
+    return score_quality(docs, model, score_col="_score").filter((F.col("_score") >= 0.5) | wordless) \
+        .drop("_score")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,6 +249,18 @@ def test_mix_oracle(spark):
 
 # ---------------------------------------------------------------- pipeline
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_quality_keeps_documents_without_a_word(spark, tmp_path, label):
+    """Whatever the sign of the bias, which is all that such documents have."""
+    import corpus_pipeline as cp
+    texts = [None, "", " \n\t\x0b\r ", "some words", "é", "\xa0"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spark.createDataFrame([(i, label) for i in range(18)], "doc_id bigint, quality int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in cp.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i in range(18) if label or i % 6 < 3}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
