@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import table
+from seqlake.llm.divergence import divergence_oracle_sql, source_divergence
+from seqlake.llm.licences import licence_digest, licence_oracle_sql, scan_licences
 from seqlake.llm.line_dedup import dedup_lines
 from seqlake.llm.mixing import mix_oracle_sql, poisson_mix
 from seqlake.llm.near_dedup import near_duplicates
@@ -14,6 +16,7 @@ from seqlake.llm.pii import find_personal_data
 from seqlake.llm.quality import fit, held_out, score_quality
 from seqlake.llm.sharding import shard_by_size
 from seqlake.llm.topk_search import top_k
+from seqlake.llm.variants import spelling_variants
 from seqlake.llm.vector_dedup import near_vectors
 from seqlake.llm.warc import read_archives, records, write_archives
 
@@ -72,8 +75,21 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(scan_licences(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_personal_data, op3_topk_search, op4_near_dedup, op5_packing, op6_sharding,
-    op7_mixing, op8_quality, op9_warc, op10_vector_dedup)}
+    op7_mixing, op8_quality, op9_warc, op10_vector_dedup, op11_source_divergence, op12_spelling_variants, op13_licences)}
 
-ORACLE = {"op7_mixing": mix_oracle_sql()}
+ORACLE = {"op7_mixing": mix_oracle_sql(), "op11_source_divergence": divergence_oracle_sql(),
+          "op13_licences": licence_oracle_sql()}
