@@ -96,7 +96,7 @@ def _local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def split_summary(raw: DataFrame) -> DataFrame:
     """One row per input split: ``n_headers``, ``last_header``, ``tail_len`` (bases after
-    the last header) and ``total_len``, from JVM scans of the text only.
+    the last header), ``lead_len`` (bases before the first) and ``total_len``, from JVM scans of the text only.
 
     Rows carry ``row`` = ``monotonically_increasing_id()``: inside a split it increases in
     line order, and every scan of the same files yields the same values. All aggregates
@@ -109,19 +109,38 @@ def split_summary(raw: DataFrame) -> DataFrame:
     n = F.when(F.col("hdr"), F.lit(0)).otherwise(F.length("v")).cast("long")
     per = rows.groupBy("file", "block").agg(
         F.count_if("hdr").alias("n_headers"),
+        F.min(F.when(F.col("hdr"), F.col("row"))).alias("first_row"),
         F.max(F.when(F.col("hdr"), F.col("row"))).alias("last_row"),
         F.sum(n).alias("total_len"))
     # one row per split: bounded by the number of input splits
-    tail = (rows.join(F.broadcast(per.select("file", "block", "last_row")), ["file", "block"])
+    tail = (rows.join(F.broadcast(per.select("file", "block", "first_row", "last_row")), ["file", "block"])
                 .groupBy("file", "block")
                 .agg(F.sum(F.when(F.col("row") > F.col("last_row"), n).otherwise(F.lit(0)))
-                     .alias("tail_len")))
+                     .alias("tail_len"),
+                     F.sum(F.when(F.col("first_row").isNull() | (F.col("row") < F.col("first_row")), n)
+                           .otherwise(F.lit(0))).alias("lead_len")))
     names = rows.filter("hdr").select(
         "file", "block", F.col("row").alias("last_row"),
         F.regexp_extract(F.col("v"), r"^>\s*(\S*)", 1).alias("last_header"))
     return (per.join(tail, ["file", "block"])
                .join(names, ["file", "block", "last_row"], "left")
-               .select("file", "block", "n_headers", "last_header", "tail_len", "total_len"))
+               .select("file", "block", "n_headers", "last_header", "tail_len", "lead_len", "total_len"))
+
+
+def check_records(raw: DataFrame, blocks: DataFrame) -> None:
+    """ValueError for records that would make sequences ambiguous: a header without a name, a
+    name given twice (in any two files), bases before the first header of a file."""
+    v = F.rtrim(F.col("value"), F.lit("\r"))
+    names = raw.filter(v.startswith(">")).groupBy(F.regexp_extract(v, r"^>\s*(\S*)", 1).alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("file").alias("file"))
+    bad = names.filter("name = '' OR n > 1").first()
+    if bad and not bad.name:
+        raise ValueError(f"{bad.file}: a record without a name")
+    if bad:
+        raise ValueError(f"{bad.file}: {bad.n} records are named {bad.name!r}")
+    first = blocks.groupBy("file").agg(F.min_by("lead_len", "block").alias("lead")).filter("lead > 0").first()
+    if first:
+        raise ValueError(f"{first.file}: bases before the first header")
 
 
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -130,8 +149,9 @@ def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), "value")
     local = raw.mapInPandas(_local_pass, _LOCAL_SCHEMA)
-    # Pass 1: one row per input split, JVM aggregates only.
-    blocks = split_summary(raw)
+    # Pass 1: one row per input split, JVM aggregates only; read by the check and by pass 2.
+    blocks = split_summary(raw).checkpoint()
+    check_records(raw, blocks)
     w = Window.partitionBy("file").orderBy("block")
     has_hdr = F.col("n_headers") > 0
     contrib = F.when(has_hdr, F.coalesce(F.col("tail_len"), F.lit(0))).otherwise(F.col("total_len"))
