@@ -7,7 +7,7 @@ tiles of ``tile_len`` bases; tile sequences come from the chunk table of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqlake.constants import MAX_ALLOWED_LENGTH
@@ -70,11 +70,13 @@ def contig_bounds(df: DataFrame, lengths: DataFrame, contig_col: str = "chr_name
 
 def tile_status(tiles: DataFrame, lengths: DataFrame, contig_col: str = "chr_name",
                 strict: bool = False) -> DataFrame:
-    """C1 guard: every tile with ``status`` ``ok``, ``unknown_contig`` or ``out_of_bounds``
-    (negative start, or an end past the contig's). No tile is dropped; ``strict`` raises on the
-    first one that is not ``ok`` (one job)."""
+    """C1 guard: every tile with ``status`` ``ok``, ``bad_bounds`` (a NULL start or end, or an end
+    that is not after the start), ``unknown_contig`` or ``out_of_bounds`` (negative start, or an
+    end past the contig's). No tile is dropped; ``strict`` raises on the first one that is not
+    ``ok`` (one job)."""
     out = contig_bounds(tiles, lengths, contig_col)
-    status = (F.when(F.col("contig_len").isNull(), "unknown_contig")
+    status = (F.when(~F.coalesce(F.col("end") > F.col("start"), F.lit(False)), "bad_bounds")
+              .when(F.col("contig_len").isNull(), "unknown_contig")
               .when((F.col("start") < 0) | (F.col("end") > F.col("contig_len")), "out_of_bounds")
               .otherwise("ok"))
     out = out.withColumn("status", status).drop("contig_len")
@@ -88,32 +90,89 @@ def tile_status(tiles: DataFrame, lengths: DataFrame, contig_col: str = "chr_nam
 def checked_tile_sequence(tiles: DataFrame, chunks: DataFrame, lengths: DataFrame, chunk_size: int,
                           overlap: int, contig_col: str = "chr_name", tile_len: int | None = None,
                           strict: bool = False) -> DataFrame:
-    """C1 without silent loss: :func:`tile_sequence` for the tiles that are ``ok``, the others
-    with their status and a NULL ``seq``."""
+    """C1 without silent loss: every tile with its status (see :func:`tile_status`) and its
+    bases if that is ``ok``, else a NULL ``seq``. ``missing_bases``: the lengths promise bases that
+    the chunk table does not hold. One pass: tiles that are not ``ok`` match no chunk."""
     flagged = tile_status(tiles, lengths, contig_col, strict)
-    good = tile_sequence(flagged.filter("status = 'ok'"), chunks, chunk_size, overlap, contig_col,
-                         tile_len)
-    bad = flagged.filter("status <> 'ok'").withColumn("seq", F.lit(None).cast("string"))
-    return good.unionByName(bad)
-
-
-def interval_contract(tiles: DataFrame, tile_len: int, segment: int = MAX_ALLOWED_LENGTH,
-                      by: tuple[str, ...] = ("split",), ids_col: str | None = None) -> DataFrame:
-    """B2: the six interval/tile checks as counts of violations, one pass, one row per group.
-
-    ``tiles`` carries ``start/end`` (tile), ``interval_start/interval_end`` and
-    ``contig_len`` (NULL = unknown contig, counted apart).
-    """
+    out = tile_sequence(flagged, chunks, chunk_size, overlap, contig_col, tile_len, how="left",
+                        wanted=F.col("status") == "ok")
+    short = (F.col("status") == "ok") & (F.coalesce(F.length("seq"), F.lit(-1)) != F.col("end") - F.col("start"))
+    out = out.withColumn("status", F.when(short, "missing_bases").otherwise(F.col("status")))
+    return out.withColumn("seq", F.when(F.col("status") == "ok", F.col("seq")))
+
+
+def contract_checks(tile_len: int, segment: int = MAX_ALLOWED_LENGTH, ids_col: str | None = None,
+                    pad_tail: bool = False) -> dict[str, Column]:
+    """B2: violations by name, as conditions on tiles with ``start/end``,
+    ``interval_start/interval_end`` and ``contig_len`` (NULL = unknown contig, a check of its
+    own). With ``ids_col`` (compact ids) the token count is checked, too. ``pad_tail``: a tile
+    that begins inside the contig may run past its end, to be padded."""
+    past = F.col("start") >= F.col("contig_len") if pad_tail else F.col("end") > F.col("contig_len")
     checks = {
         "bad_segment_length": (F.col("interval_end") - F.col("interval_start")) != F.lit(segment),
         "tile_past_interval_end": F.col("end") > F.col("interval_end"),
         "tile_before_interval_start": F.col("start") < F.col("interval_start"),
         "negative_start": F.col("start") < 0,
-        "tile_past_contig_end": F.col("end") > F.col("contig_len"),
+        "tile_past_contig_end": past,
         "unknown_contig": F.col("contig_len").isNull(),
     }
     if ids_col:
         checks["bad_token_count"] = F.length(ids_col) != F.lit(tile_len)
+    return checks
+
+
+def tile_reasons(tile_len: int, segment: int = MAX_ALLOWED_LENGTH, ids_col: str = "ids",
+                 pad_tail: bool = False) -> Column:
+    """Everything that speaks against a tile, by name: NULL or empty bounds (C1), the violated
+    checks (B2) and a tile of PAD only (B5). An empty array for a good tile. A tile without ids
+    has a ``bad_token_count``; PAD is looked for where there are ids."""
+    ids = F.coalesce(F.col(ids_col), F.lit(""))
+    checks = {"bad_bounds": ~F.coalesce((F.col("end") > F.col("start"))
+                                        & (F.col("interval_end") > F.col("interval_start")), F.lit(False))}
+    checks |= contract_checks(tile_len, segment, None, pad_tail)
+    checks |= {"bad_token_count": F.length(ids) != F.lit(tile_len),
+               "all_pad": (F.length(ids) > 0) & is_all_pad(ids)}
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+
+
+REASONS = ("bad_bounds", "bad_segment_length", "tile_past_interval_end", "tile_before_interval_start",
+           "negative_start", "tile_past_contig_end", "unknown_contig", "bad_token_count", "all_pad")
+
+
+def enforce_contract(tiles: DataFrame, path: str, tile_len: int, segment: int = MAX_ALLOWED_LENGTH,
+                     ids_col: str = "ids", pad_tail: bool = False,
+                     strict: bool = False) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """B2, B5 and C1's guard in one pass: ``(kept, rejected, counts)``.
+
+    Tiles (with their ids, NULL if they have none) are written once, in the kept and in the
+    quarantine folder of ``path``, and counted by reason on the way (``observe``), so nothing
+    is scanned twice. ``rejected`` has the column ``reasons``; ``counts`` has the number of tiles
+    under ``n_tiles``, of rejected ones under ``n_rejected`` and of tiles per reason. ``strict``
+    raises if a tile was rejected; both tables stay for inspection.
+    """
+    flagged = tiles.withColumn("reasons", tile_reasons(tile_len, segment, ids_col, pad_tail))
+    flagged = flagged.withColumn("kept", F.size("reasons") == 0)
+    seen = Observation("contract")
+    watched = flagged.observe(
+        seen, F.count(F.lit(1)).alias("n_tiles"), F.count_if(~F.col("kept")).alias("n_rejected"),
+        *[F.count_if(F.array_contains("reasons", r)).alias(r) for r in REASONS])
+    watched.write.partitionBy("kept").parquet(path)
+    counts = {k: int(v) for k, v in seen.get.items()}
+    if strict and counts["n_rejected"]:
+        raise ValueError(f"{counts['n_rejected']} of {counts['n_tiles']} tiles violate the contract: "
+                         f"{ {r: counts[r] for r in REASONS if counts[r]} }")
+    back = tiles.sparkSession.read.schema(flagged.schema).parquet(path)
+    return back.filter("kept").drop("kept", "reasons"), back.filter("NOT kept").drop("kept"), counts
+
+
+def interval_contract(tiles: DataFrame, tile_len: int, segment: int = MAX_ALLOWED_LENGTH,
+                      by: tuple[str, ...] = ("split",), ids_col: str | None = None) -> DataFrame:
+    """B2: the six interval/tile checks as counts of violations, one pass, one row per group.
+
+    ``tiles`` carries ``start/end`` (tile), ``interval_start/interval_end`` and
+    ``contig_len`` (NULL = unknown contig, counted apart).
+    """
+    checks = contract_checks(tile_len, segment, ids_col)
     aggs = [F.count(F.lit(1)).alias("n_tiles")]
     aggs += [F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()]
     return tiles.groupBy(*by).agg(*aggs)
@@ -129,7 +188,8 @@ def assert_contract(report: DataFrame) -> None:
 
 
 def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap: int,
-                  contig_col: str = "chr_name", tile_len: int | None = None) -> DataFrame:
+                  contig_col: str = "chr_name", tile_len: int | None = None, how: str = "inner",
+                  wanted: Column | None = None) -> DataFrame:
     """Fetch bases ``[start, end)`` of each tile from the chunk table.
 
     A range (theta) join would plan a nested loop. Instead every tile is binned to the
@@ -138,28 +198,36 @@ def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap:
     large contig over many tasks. Longer tiles take the general path: one row per chunk
     touched, then an ordered concat per tile. When the (fixed) ``tile_len`` is given only
     the path it needs is planned; otherwise tiles are routed per row.
+
+    ``how="left"`` keeps tiles without bases (NULL ``seq``); bases are looked up only for tiles
+    that are ``wanted`` (default all).
     """
     c = int(chunk_size)
     ch = chunks.select(F.col("contig").alias(contig_col), "chunk_id", "chunk_start",
                        F.col("seq").alias("_chunk_seq"))
+    look = F.lit(True) if wanted is None else wanted
     k0 = F.floor(F.col("start") / F.lit(c)).cast("long")
     fits = (F.col("end") - F.col("start")) <= F.lit(overlap + 1)
     if tile_len is not None:
         fits = F.lit(tile_len <= overlap + 1)
+    fits = F.coalesce(fits, F.lit(True))
     # Tiles come from an explode: the optimizer sizes them by the (small) interval file,
     # not by rows x n_tiles, and would broadcast them. Neither side has a size bound, so
     # the join is forced to shuffle on (contig, chunk_id).
-    direct = tiles.filter(fits).withColumn("chunk_id", k0)
-    joined = direct.hint("merge").join(ch, [contig_col, "chunk_id"], "inner")
+    direct = tiles.filter(fits).withColumn("chunk_id", F.when(look, k0))
+    joined = direct.hint("merge").join(ch, [contig_col, "chunk_id"], how)
     seq = F.substring(F.col("_chunk_seq"), (F.col("start") - F.col("chunk_start") + 1).cast("int"),
                       (F.col("end") - F.col("start")).cast("int"))
-    fast = joined.withColumn("seq", seq).drop("chunk_id", "chunk_start", "_chunk_seq")
+    fast = joined.withColumn("seq", seq).select(*tiles.columns, "seq")
+    if tile_len is not None and tile_len <= overlap + 1:
+        return fast
 
     # General path: tiles longer than overlap + 1 (never taken when the chunk table was
-    # built for this tile length). Output rows are whole tiles either way.
+    # built for this tile length). Bases are fetched once per place and joined to its tiles.
     long_tiles = tiles.filter(~fits)
+    place = [contig_col, "start", "end"]
     k1 = F.floor((F.col("end") - 1) / F.lit(c)).cast("long")
-    parts = long_tiles.withColumn("_key", F.monotonically_increasing_id()) \
+    parts = long_tiles.filter(look).select(*place).distinct() \
         .withColumn("chunk_id", F.explode(F.sequence(k0, k1)))
     pj = parts.hint("merge").join(ch, [contig_col, "chunk_id"], "inner")
     lo = F.greatest(F.col("start"), F.col("chunk_start"))
@@ -167,12 +235,10 @@ def tile_sequence(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap:
     pj = pj.withColumn("_piece", F.struct(
         F.col("chunk_id"), F.substring("_chunk_seq", (lo - F.col("chunk_start") + 1).cast("int"),
                                        (hi - lo).cast("int")).alias("p")))
-    keep = [x for x in tiles.columns]
-    slow = (pj.groupBy("_key", *keep).agg(F.sort_array(F.collect_list("_piece")).alias("_ps"))
-              .select(*keep, F.array_join(F.transform("_ps", lambda x: x["p"]), "").alias("seq")))
-    if tile_len is not None:
-        return fast if tile_len <= overlap + 1 else slow
-    return fast.unionByName(slow)
+    found = (pj.groupBy(*place).agg(F.sort_array(F.collect_list("_piece")).alias("_ps"))
+               .select(*place, F.array_join(F.transform("_ps", lambda x: x["p"]), "").alias("seq")))
+    slow = long_tiles.join(found, place, how).select(*tiles.columns, "seq")
+    return slow if tile_len is not None else fast.unionByName(slow)
 
 
 def tokenize_chunks(chunks: DataFrame, vocab: dict[str, int] | None = None,
@@ -187,14 +253,14 @@ def tokenize_chunks(chunks: DataFrame, vocab: dict[str, int] | None = None,
 def tile_tokens(tiles: DataFrame, chunks: DataFrame, chunk_size: int, overlap: int,
                 tile_len: int | None = None, vocab: dict[str, int] | None = None,
                 n_as_pad: bool = True, contig_col: str = "chr_name",
-                tokenized: bool = False) -> DataFrame:
+                tokenized: bool = False, how: str = "inner") -> DataFrame:
     """C1 + E1 (+ E3): token ids of each tile, as the compact id string ``ids``.
 
     ``chunks`` is the sequence chunk table, or an already tokenized one
     (``tokenized=True``, see :func:`tokenize_chunks`).
     """
     tok_chunks = chunks if tokenized else tokenize_chunks(chunks, vocab, n_as_pad)
-    out = tile_sequence(tiles, tok_chunks, chunk_size, overlap, contig_col, tile_len)
+    out = tile_sequence(tiles, tok_chunks, chunk_size, overlap, contig_col, tile_len, how)
     return out.withColumnRenamed("seq", "ids")
 
 

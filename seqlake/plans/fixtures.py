@@ -1,7 +1,7 @@
 """Derived fixtures: the test tables re-read as the data model of each operator.
 
 Every fixture is a plain Spark derivation of the given tables, so its size grows with them.
-The same derivations are written in SQL in ``seqlake.plans.oracle``.
+The same derivations are written in SQL beside the queries that read them.
 """
 
 from __future__ import annotations
@@ -104,6 +104,18 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("k") * SEGMENT + SEGMENT).alias("end"), split.alias("split"))
 
 
+def whole_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`intervals`, but over every character: the last segment of a document may run
+    past its end, and documents shorter than a segment have one, too."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").filter("n_chars > 0")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_chars") - 1) / SEGMENT).cast("long")))
+    split = (F.when(F.col("doc_id") % 10 == 8, "valid").when(F.col("doc_id") % 10 == 9, "test")
+             .otherwise("train"))
+    return d.select("doc_id", k.alias("k"), F.col("doc_id").cast("string").alias("chr_name"), split.alias("split")) \
+        .select("doc_id", "chr_name", (F.col("k") * SEGMENT).alias("start"),
+                (F.col("k") * SEGMENT + SEGMENT).alias("end"), "split")
+
+
 def bad_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intervals plus, per document of at least 256 characters, one interval running past
     the contig end, one starting at -1, one of length 255 and one on an unknown contig."""
@@ -135,13 +147,14 @@ def derived_path(spark: SparkSession, sf_dir: str, what: str, **params) -> str:
     return f"{ensure_scratch(spark)}/fixtures/{cache_key(what, {'sf': sf_dir, **params})}"
 
 
-def bed_file(spark: SparkSession, sf_dir: str) -> str:
-    """The intervals written once as a BED file set, in (doc_id, start) order."""
+def bed_file(spark: SparkSession, sf_dir: str, make=intervals) -> str:
+    """The intervals that ``make`` derives, written once as a BED file set, in (doc_id, start)
+    order."""
     from seqlake.sources.bed import write_bed
     from seqlake.sources.stores import is_done, mark_done
-    path = derived_path(spark, sf_dir, "bed", segment=SEGMENT)
+    path = derived_path(spark, sf_dir, "bed", segment=SEGMENT, intervals=make.__name__)
     if not is_done(spark, path):
-        write_bed(intervals(spark, sf_dir), path, order_by=["doc_id", "start"])
+        write_bed(make(spark, sf_dir), path, order_by=["doc_id", "start"])
         mark_done(spark, path)
     return path
 
@@ -157,13 +170,30 @@ def fasta_file(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def fasta_index(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the index of the FASTA file set, built once."""
+    from seqlake.sources.fasta_index import build_index
+    from seqlake.sources.stores import is_done, mark_done
+    path = derived_path(spark, sf_dir, "fasta-index", width=60)
+    if not is_done(spark, path):
+        build_index(spark, fasta_file(spark, sf_dir), path)
+        mark_done(spark, path)
+    return path
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FASTA scanned once into the chunk table, kept as Parquet (read-through)."""
-    from seqlake.sources.fasta import fasta_scan
+    """FASTA read once by its index into the chunk table, kept as Parquet (read-through)."""
+    from seqlake.sources.fasta_index import fasta_indexed
     from seqlake.sources.stores import read_through
     path = derived_path(spark, sf_dir, "chunks", chunk=CHUNK, overlap=OVERLAP)
-    fa = fasta_file(spark, sf_dir)
-    return read_through(spark, path, lambda: fasta_scan(spark, fa, CHUNK, OVERLAP))
+    fa, index = fasta_file(spark, sf_dir), fasta_index(spark, sf_dir)
+    return read_through(spark, path, lambda: fasta_indexed(spark, fa, index, CHUNK, OVERLAP))
+
+
+def contig_length_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contig, length`` from the index."""
+    from seqlake.sources.fasta_index import indexed_lengths
+    return indexed_lengths(spark.read.parquet(fasta_index(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- labelled tasks, features

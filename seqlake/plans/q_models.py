@@ -9,6 +9,7 @@ from seqlake.operators import probes as PR
 from seqlake.plans.fixtures import (batch_log, derived_path, probe_features, round6, table)
 from seqlake.plans.registry import query
 from seqlake.session import scratch_path
+from seqlake.sources import delta_store as DS
 from seqlake.sources import stores as ST
 from seqlake.streaming.soft_labels import run_soft_label_stream
 from seqlake.streaming.throughput import file_stream, run_to_parquet, throughput_stream
@@ -38,10 +39,59 @@ def q_append_soft_labels(spark, sf):
                                .alias("batch_idx"), "score")
     store = scratch_path(spark, "soft-labels")
     # an interrupted first run (odd samples only), then the full run over the same batches
-    ST.append_soft_labels(scored.filter(F.col("sample") % 2 == 1), store, key=["sample"])
-    ST.append_soft_labels(scored, store, key=["sample"])
-    ST.append_soft_labels(scored.filter(F.col("batch_idx") < 3), store, key=["sample"])
-    return round6(ST.read_soft_labels(spark, store).select("sample", "batch_idx", "score"))
+    DS.append_soft_labels(scored.filter(F.col("sample") % 2 == 1), store, ["sample"])
+    DS.append_soft_labels(scored, store, ["sample"])
+    DS.append_soft_labels(scored.filter(F.col("batch_idx") < 3), store, ["sample"])
+    return round6(DS.read_soft_labels(spark, store, ["sample"]).select("sample", "batch_idx", "score"))
+
+
+BLOCKS, BLOCK_LEN = 3, 16      # blocks per sample, values per block
+_BLOCK_KEY = ["sample", "block"]
+
+
+def _blocks(e, run: str):
+    """Rows per (sample, block): its values times the number of the run that wrote them."""
+    b = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+    rows = e.select(F.col("vec_id").alias("sample"), "embedding", b)
+    return rows.select("sample", "block", F.expr(run).alias("run"), F.transform(
+        F.slice("embedding", F.col("block") * BLOCK_LEN + 1, BLOCK_LEN), lambda x: x.cast("double")).alias("logits"))
+
+
+def _blocks_sql(run: str) -> str:
+    return f"""
+SELECT vec_id AS sample, CAST(b AS INTEGER) AS block, CAST({run} AS INTEGER) AS run, round(list_sum(list_transform(
+    range(b * {BLOCK_LEN} + 1, (b + 1) * {BLOCK_LEN} + 1), lambda i: CAST(embedding[i] AS DOUBLE))), 6) AS total
+FROM embeddings, range(0, {BLOCKS}) r(b)"""
+
+
+def _block_totals(rows):
+    total = F.aggregate("logits", F.lit(0.0), lambda a, x: a + x)
+    return round6(rows.select("sample", "block", "run", total.alias("total")))
+
+
+@query("append_blocks", _blocks_sql("CASE WHEN vec_id % 5 = 0 THEN 2 WHEN b = 1 THEN 3 ELSE 1 END"))
+def q_append_blocks(spark, sf):
+    """A4 with several rows per sample: a full run, a rerun of it under its own name (nothing
+    happens), block 1 written anew, a compaction, and every fifth sample written anew."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    store = scratch_path(spark, "blocks")
+    for _ in range(2):
+        DS.append_soft_labels(_blocks(e, "1"), store, _BLOCK_KEY, commit="first run")
+    DS.append_soft_labels(_blocks(e, "3").filter("block = 1"), store, _BLOCK_KEY)
+    DS.compact(spark, store, _BLOCK_KEY)
+    DS.append_soft_labels(_blocks(e, "2").filter("sample % 5 = 0"), store, _BLOCK_KEY)
+    return _block_totals(DS.read_soft_labels(spark, store, _BLOCK_KEY))
+
+
+@query("stream_blocks", _blocks_sql("1"))
+def q_stream_blocks(spark, sf):
+    """T2 with several rows per sample."""
+    src, store = scratch_path(spark, "blocks-in"), scratch_path(spark, "blocks-store")
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    e.repartition(4, F.col("vec_id") % 4).write.parquet(src)
+    stream = file_stream(spark, src, e.schema, lambda df: _blocks(df, "1"))
+    run_soft_label_stream(stream, store, scratch_path(spark, "blocks-ckpt"), _BLOCK_KEY)
+    return _block_totals(DS.read_soft_labels(spark, store, _BLOCK_KEY))
 
 
 @query("read_through", """
@@ -110,5 +160,5 @@ def q_stream_soft_labels(spark, sf):
     stream = file_stream(spark, src, e.schema, lambda df: _scored(df).select(
         "sample", (F.col("sample") / STORE_BATCH).cast("bigint").alias("batch_idx"), "score"))
     store = scratch_path(spark, "soft-label-store")
-    run_soft_label_stream(stream, store, scratch_path(spark, "soft-label-ckpt"))
-    return round6(ST.read_soft_labels(spark, store).select("sample", "batch_idx", "score"))
+    run_soft_label_stream(stream, store, scratch_path(spark, "soft-label-ckpt"), ["sample"])
+    return round6(DS.read_soft_labels(spark, store, ["sample"]).select("sample", "batch_idx", "score"))

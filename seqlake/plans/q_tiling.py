@@ -8,10 +8,12 @@ from seqlake.functions import tokens as TK
 from seqlake.operators import indexing as IX
 from seqlake.operators import tiling as TL
 from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bad_intervals,
-                                    bed_file, chunk_table, contig_sequences, fasta_file)
+                                    bed_file, chunk_table, contig_length_table, contig_sequences,
+                                    fasta_file, fasta_index)
 from seqlake.plans.registry import query
 from seqlake.sources.bed import bed_scan
 from seqlake.sources.fasta import contig_lengths, fasta_scan
+from seqlake.sources.fasta_index import fasta_indexed
 
 N_TILES = SEGMENT // TILE
 SKIP = (3, 17, 8590)
@@ -109,15 +111,31 @@ def q_split_filter(spark, sf):
 @query("contig_lengths", "SELECT CAST(doc_id AS VARCHAR) AS contig, "
                          "CAST(length(text) AS BIGINT) AS length FROM documents")
 def q_contig_lengths(spark, sf):
+    return contig_length_table(spark, sf)
+
+
+@query("contig_lengths_scan", "SELECT CAST(doc_id AS VARCHAR) AS contig, "
+                              "CAST(length(text) AS BIGINT) AS length FROM documents WHERE length(text) > 0")
+def q_contig_lengths_scan(spark, sf):
+    """F1 from the chunks, for sources without an index (contigs without bases have no chunk)."""
     return contig_lengths(chunk_table(spark, sf))
 
 
-@query("fasta_scan", f"""
+_CHUNKS_SQL = f"""
 WITH {SEQS}
 SELECT contig, CAST(k AS BIGINT) AS chunk_id, CAST(k * {CHUNK} AS BIGINT) AS chunk_start,
        substring(seq, CAST(k * {CHUNK} + 1 AS BIGINT), {CHUNK + OVERLAP}) AS seq
 FROM (SELECT contig, seq, unnest(range(0, (length(seq) + {CHUNK - 1}) // {CHUNK})) AS k FROM seqs)
-""")
+"""
+
+
+@query("fasta_indexed", _CHUNKS_SQL)
+def q_fasta_indexed(spark, sf):
+    """A2 by byte ranges: one scan of the FASTA file set through its index."""
+    return fasta_indexed(spark, fasta_file(spark, sf), fasta_index(spark, sf), CHUNK, OVERLAP)
+
+
+@query("fasta_scan", _CHUNKS_SQL)
 def q_fasta_scan(spark, sf):
     # Scans the FASTA file set directly (no cached chunk table).
     return fasta_scan(spark, fasta_file(spark, sf), CHUNK, OVERLAP)
@@ -143,7 +161,7 @@ SELECT bad.chr_name, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "e
 FROM bad LEFT JOIN lens USING (chr_name)
 """)
 def q_contig_bounds(spark, sf):
-    lens = contig_lengths(chunk_table(spark, sf))
+    lens = contig_length_table(spark, sf)
     return TL.contig_bounds(bad_intervals(spark, sf), lens).select(
         "chr_name", "start", "end", "split", "contig_len")
 
@@ -164,7 +182,7 @@ SELECT split, count(*) AS n_tiles,
 FROM t GROUP BY split
 """)
 def q_interval_contract(spark, sf):
-    lens = contig_lengths(chunk_table(spark, sf))
+    lens = contig_length_table(spark, sf)
     tiles = TL.tile(TL.contig_bounds(bad_intervals(spark, sf), lens), TILE, SEGMENT)
     return TL.interval_contract(tiles, TILE, SEGMENT)
 
@@ -319,7 +337,7 @@ def q_tile_status(spark, sf):
     """C1 keeps every tile: those outside the sequences with a status and no bases."""
     ch = chunk_table(spark, sf)
     tiles = TL.tile(bad_intervals(spark, sf), TILE, SEGMENT)
-    out = TL.checked_tile_sequence(tiles, ch, contig_lengths(ch), CHUNK, OVERLAP, tile_len=TILE)
+    out = TL.checked_tile_sequence(tiles, ch, contig_length_table(spark, sf), CHUNK, OVERLAP, tile_len=TILE)
     return out.select("chr_name", "split", "tile_idx", "start", "end", "status",
                       F.length("seq").alias("n_bases"))
 

@@ -12,12 +12,13 @@ from seqlake.operators import losses as L
 from seqlake.operators import probes as PR
 from seqlake.operators import tiling as TL
 from seqlake.plans import sqlgen as Q
-from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bed_file, round6,
-                                    table, token_chunk_table)
-from seqlake.plans.q_tiling import IV, SEQS, TRAIN_IDX
+from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bad_intervals, bed_file,
+                                    contig_length_table, intervals, round6, table, token_chunk_table,
+                                    whole_intervals)
+from seqlake.plans.q_tiling import BAD_IV, SEQS, TRAIN_IDX
 from seqlake.plans.registry import query
 from seqlake.session import scratch_path
-from seqlake.sources import stores as ST
+from seqlake.sources import delta_store as DS
 from seqlake.sources.bed import bed_scan
 
 # ---------------------------------------------------------------- §3.1 soft-label generation
@@ -33,6 +34,7 @@ def one_hot_model():
     return predict
 
 
+BLOCK_KEY = ["sample", "block"]
 _LOGIT_COLS = [f"logit_c{k}" for k in USEFUL_CLASSES]
 
 
@@ -40,43 +42,107 @@ def _count_sql(ids: str, ch: str) -> str:
     return f"(length({ids}) - length(replace({ids}, '{ch}', '')))"
 
 
+IV_WHOLE = f"""iv AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS chr_name, CAST(k * {SEGMENT} AS BIGINT) AS start,
+         CAST(k * {SEGMENT} + {SEGMENT} AS BIGINT) AS "end",
+         CASE WHEN doc_id % 10 = 8 THEN 'valid' WHEN doc_id % 10 = 9 THEN 'test'
+              ELSE 'train' END AS split
+  FROM (SELECT doc_id, unnest(range(0, (n_chars + {SEGMENT - 1}) // {SEGMENT})) AS k FROM documents))"""
+
+_IDS_SQL = f"""translate(translate(regexp_replace(translate(substring(seqs.seq, CAST(start + 1 AS BIGINT), {TILE}),
+                   'acgtn', 'ACGTN'), '[^ACGNT]', '6', 'g'), 'ACGTN', '789:;'), ';', '4')"""
+
+
+def label_tiles(spark, sf, intervals, path, strict=False):
+    """Tiles with their token ids, checked: D1 -> C2 -> C1 + E1-E3 -> E2 -> B2, B5 and C1's guard
+    -> kept tiles, quarantined tiles and counts (:func:`enforce_contract`). Tails of contigs are
+    padded. The genome is tokenized once (read-through), tiles are cut from the token string."""
+    tiles = TL.contig_bounds(TL.tile(intervals, TILE, SEGMENT, interval_idx="interval_idx"),
+                             contig_length_table(spark, sf))
+    tok = TL.tile_tokens(tiles, token_chunk_table(spark, sf), CHUNK, OVERLAP, TILE, tokenized=True, how="left")
+    inside = (F.col("start") >= 0) & (F.length("ids") > 0)      # an empty or foreign piece is not padded
+    tok = tok.withColumn("ids", F.when(inside, TK.pad_truncate(F.col("ids"), TILE)))
+    return TL.enforce_contract(tok, path, TILE, SEGMENT, pad_tail=True, strict=strict)
+
+
 @query("soft_label_generation", f"""
-WITH {IV}, {SEQS}, {TRAIN_IDX},
+WITH {IV_WHOLE}, {SEQS}, {TRAIN_IDX},
 tok AS (
-  SELECT ix.chr_name, ix.start, ix."end", ix.idx,
-         translate(translate(regexp_replace(translate(substring(seqs.seq, CAST(ix.start + 1 AS BIGINT), {TILE}),
-                   'acgtn', 'ACGTN'), '[^ACGNT]', '6', 'g'), 'ACGTN', '789:;'), ';', '4') AS ids
-  FROM ix JOIN seqs ON seqs.contig = ix.chr_name)
+  SELECT ix.chr_name, ix.start, ix."end", ix.idx, rpad({_IDS_SQL}, {TILE}, '4') AS ids
+  FROM ix JOIN seqs ON seqs.contig = ix.chr_name WHERE ix.start < length(seqs.seq))
 SELECT idx AS sample, CAST(idx // {BATCH} AS BIGINT) AS batch_idx, chr_name, start, "end",
        {", ".join(f"round({_count_sql('ids', TK.id_char(k))} / {float(TILE)!r}, 6) AS logit_c{k}"
                   for k in USEFUL_CLASSES)}
-FROM tok
+FROM tok WHERE replace(ids, '4', '') <> ''
 """)
 def q_soft_label_generation(spark, sf):
-    """A1 -> B1 -> D4 -> D1 -> C1 + E1-E3 -> E2 -> D2 -> H1 -> A4 (read back). Token ids stay
-    in the compact string form up to the model."""
-    iv = TL.split_filter(bed_scan(spark, bed_file(spark, sf), with_order=True), "train")
+    """A1 -> B1 -> D4 -> D1 -> C1 + E1-E3 -> E2 -> B2, B5 -> D2 -> H1 -> A4 (read back), over every
+    character of the train documents. Token ids stay in the compact string form up to the model."""
+    iv = TL.split_filter(bed_scan(spark, bed_file(spark, sf, whole_intervals), with_order=True), "train")
     iv = IX.global_index(iv, ["file_order"], "interval_idx").drop("file_order")
-    tiles = TL.tile(iv, TILE, SEGMENT, interval_idx="interval_idx")
-    # the genome is tokenized once (read-through), tiles are cut from the token string
-    tok = TL.tile_tokens(tiles, token_chunk_table(spark, sf), CHUNK, OVERLAP, TILE,
-                         tokenized=True)
-    tok = tok.withColumn("ids", TK.pad_truncate(F.col("ids"), TILE))
-    tok = IX.batch(tok, BATCH)
-    tok = tok.withColumnRenamed("idx", "sample")
+    kept, _, _ = label_tiles(spark, sf, iv, scratch_path(spark, "tiles"))
+    tok = IX.batch(kept, BATCH).withColumnRenamed("idx", "sample")
     tile = ["sample", "batch_idx", "chr_name", "start", "end"]
     store = scratch_path(spark, "soft-label-gen")
-    ST.append_soft_labels(PR.score_token_positions(tok, one_hot_model, tile), store, key=["sample", "block"])
+    DS.append_soft_labels(PR.score_token_positions(tok, one_hot_model, tile), store, BLOCK_KEY)
     # read back: the stored logits of a tile, averaged over its positions
-    width = len(_LOGIT_COLS)
+    per = L.block_positions(DS.read_soft_labels(spark, store, BLOCK_KEY), {"logit": "logits"})
+    return round6(per.groupBy(*tile).agg(*[F.avg(c).alias(c) for c in _LOGIT_COLS]).select(*tile, *_LOGIT_COLS))
+
+
+def _reasons_sql() -> str:
+    checks = {
+        "bad_segment_length": f"interval_end - interval_start <> {SEGMENT}",
+        "tile_past_interval_end": '"end" > interval_end', "tile_before_interval_start": "start < interval_start",
+        "negative_start": "start < 0", "tile_past_contig_end": "start >= contig_len",
+        "unknown_contig": "contig_len IS NULL", "bad_token_count": f"length(ids) <> {TILE}",
+        "all_pad": "ids <> '' AND replace(ids, '4', '') = ''"}
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in checks.items()) + ")"
+
+
+def _tested_tiles_sql() -> str:
+    return f"""
+WITH {IV_WHOLE}, {SEQS}, {BAD_IV},
+t AS (
+  SELECT b.chr_name, b.split, b.start AS interval_start, b."end" AS interval_end, b.start + r.t * {TILE} AS start,
+         b.start + (r.t + 1) * {TILE} AS "end", CAST(r.t AS INTEGER) AS tile_idx, lens.contig_len
+  FROM bad b LEFT JOIN lens USING (chr_name), (SELECT unnest(range(0, {SEGMENT // TILE})) AS t) r),
+i AS (
+  SELECT t.*, CASE WHEN start >= 0 AND start < contig_len THEN rpad({_IDS_SQL}, {TILE}, '4') ELSE '' END AS ids
+  FROM t LEFT JOIN seqs ON seqs.contig = t.chr_name),
+c AS (SELECT *, {_reasons_sql()} AS reasons FROM i)"""
+
+
+def _tested_intervals(spark, sf):
+    """Whole documents, and the intervals that break the contract."""
+    extra = bad_intervals(spark, sf).exceptAll(intervals(spark, sf).select("doc_id", "chr_name", "start", "end", "split"))
+    return whole_intervals(spark, sf).unionByName(extra)
+
+
+def _tested(spark, sf):
+    iv = bed_scan(spark, bed_file(spark, sf, _tested_intervals)).withColumn("interval_idx", F.lit(0).cast("bigint"))
+    return label_tiles(spark, sf, iv, scratch_path(spark, "tested-tiles"))
+
+
+@query("workflow_rejects", _tested_tiles_sql() + """
+SELECT chr_name, split, tile_idx, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", reasons
+FROM c WHERE reasons <> ''""")
+def q_workflow_rejects(spark, sf):
+    """B2, B5 and C1's guard in the workflow: the quarantined tiles with all their reasons."""
+    _, rejected, _ = _tested(spark, sf)
+    return rejected.select("chr_name", "split", "tile_idx", "start", "end",
+                           F.array_join("reasons", ",").alias("reasons"))
 
-    def total(j: int):
-        own = F.filter("logits", lambda x, i: i % width == j)
-        return F.sum(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x))
 
-    n = F.sum(F.size("input_ids"))
-    return round6(ST.read_soft_labels(spark, store).groupBy(*tile).agg(
-        *[(total(j) / n).alias(c) for j, c in enumerate(_LOGIT_COLS)]).select(*tile, *_LOGIT_COLS))
+@query("workflow_reasons", _tested_tiles_sql() + """,
+r AS (SELECT unnest(string_split(reasons, ',')) AS reason FROM c WHERE reasons <> '')
+SELECT reason, count(*) AS n_tiles FROM r GROUP BY reason
+UNION ALL SELECT 'n_rejected', count(*) FROM c WHERE reasons <> ''
+UNION ALL SELECT 'n_tiles', count(*) FROM c""")
+def q_workflow_reasons(spark, sf):
+    """The counts that the same pass observes, by reason."""
+    _, _, counts = _tested(spark, sf)
+    return spark.createDataFrame(sorted((k, v) for k, v in counts.items() if v), "reason string, n_tiles bigint")
 
 
 # ---------------------------------------------------------------- §3.2 validation report
@@ -104,7 +170,7 @@ def _write_outputs(spark, sf):
                         F.floor(F.col("vec_id") / 10).cast("bigint").alias("batch_idx"),
                         ids.alias("input_ids"), logits.alias("logits"))
         paths.append(scratch_path(spark, f"{name}-out"))
-        ST.append_soft_labels(rows, paths[-1], key=["sample", "block"])
+        DS.append_soft_labels(rows, paths[-1], BLOCK_KEY)
     return paths
 
 
@@ -147,7 +213,7 @@ FROM named GROUP BY metric
 @query("validation_report", _validation_sql())
 def q_validation_report(spark, sf):
     """Stored outputs -> C4 -> D3 -> B4 -> B3 -> F7 -> D5 -> F8 (final validation)."""
-    student, teacher = (ST.read_soft_labels(spark, path) for path in _write_outputs(spark, sf))
+    student, teacher = (DS.read_soft_labels(spark, path, BLOCK_KEY) for path in _write_outputs(spark, sf))
     aligned = L.align_teacher_student(
         student.withColumnRenamed("logits", "s_logits"),
         teacher.select("sample", "block", F.col("logits").alias("t_logits")), keys=["sample", "block"])

@@ -1,4 +1,5 @@
-"""Stores: idempotent soft-label append (A4), read-through cache (A5), results CSV.
+"""Stores: read-through cache (A5), results CSV (A6). The soft-label store (A4) is in
+:mod:`seqlake.sources.delta_store`.
 
 All paths live on shared storage (by default below ``spark.checkpoint.dir``).
 """
@@ -9,14 +10,11 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.session import ensure_scratch
-
 RESULTS_SCHEMA = T.StructType([
     T.StructField("task_name", T.StringType()),
     T.StructField("model", T.StringType()),
@@ -51,15 +49,6 @@ def mark_done(spark: SparkSession, path: str) -> None:
     _DONE.add((spark.sparkContext.applicationId, path))
 
 
-def has_data(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a readable Parquet table."""
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
-
-
 def cache_key(name: str, params: dict) -> str:
     """Path component that changes with every parameter (a different task group or limit
     never silently reuses old features)."""
@@ -80,65 +69,6 @@ def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
-GROUP_COL = "batch_group"
-
-
-def append_soft_labels(df: DataFrame, path: str, batch_col: str = "batch_idx",
-                       key: Sequence[str] = ("sample",),
-                       batches_per_partition: int = 1024) -> None:
-    """A4: append scored rows to a Parquet store, idempotently.
-
-    The store is partitioned by ``batch_group = batch_idx div batches_per_partition`` (one
-    directory per batch would mean millions of tiny directories when batches are small).
-    Keyed merge on ``key``: for every group present in ``df`` the stored rows whose key is
-    not sent again are kept, the sent rows replace the rest, and only those group
-    partitions are rewritten (dynamic partition overwrite). Re-running a batch, or
-    replaying a micro-batch, never duplicates a sample; a batch split over several appends
-    keeps all its rows. A key sent several times in one append keeps its row of the last
-    batch; a key stored under another batch before moves, so its old group is rewritten too.
-    """
-    spark = df.sparkSession
-    key = list(key)
-    last = Window.partitionBy(*key).orderBy(F.desc(batch_col), F.xxhash64(*df.columns))
-    df = df.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    grouped = df.withColumn(GROUP_COL, F.floor(F.col(batch_col) / F.lit(batches_per_partition))
-                            .cast("bigint"))
-    # The incoming rows are read up to three times below (touched groups, keys, rows);
-    # keep them so an expensive producer (a model) runs once. Recomputed if an executor
-    # is lost -- they are deterministic.
-    grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
-    merged, left = grouped, []
-    if has_data(spark, path):
-        sent = grouped.select(*key)
-        moved = spark.read.parquet(path).join(sent, key, "left_semi").select(GROUP_COL)
-        touched = grouped.select(GROUP_COL).unionByName(moved).distinct()
-        old = spark.read.parquet(path).join(touched, GROUP_COL, "left_semi")  # partition pruning
-        merged = old.join(grouped.select(*key), key, "left_anti").unionByName(grouped)
-        # The store is read and rewritten by the same job: cut the lineage first.
-        ensure_scratch(spark)
-        merged = merged.checkpoint(eager=True)
-        # groups of which every row moved away have no rows to overwrite them with
-        left = [r[0] for r in touched.join(merged, GROUP_COL, "left_anti").distinct().collect()]
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        # rebalance: rows of a group go to few writers, and AQE splits a group that is
-        # much larger than the others instead of giving it to one task
-        (merged.hint("rebalance", GROUP_COL).write.mode("overwrite").partitionBy(GROUP_COL)
-               .parquet(path))
-        for group in left:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{GROUP_COL}={group}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-        grouped.unpersist()
-
-
-def read_soft_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Read the store back (without the partition helper column)."""
-    return spark.read.parquet(path).drop(GROUP_COL)
-
-
 def write_results(df: DataFrame, path: str) -> None:
     """A6 sink: CSV with a header, no index column."""
     (df.select(*[F.col(f.name).cast(f.dataType) for f in RESULTS_SCHEMA.fields])

@@ -92,12 +92,12 @@ def test_position_store_keeps_ids_and_logits(spark):
 def test_workflow_stores_hold_positions(spark, monkeypatch):
     from seqlake.plans import q_workflows as W
     kept = []
-    append = W.ST.append_soft_labels
-    monkeypatch.setattr(W.ST, "append_soft_labels", lambda df, path, **k: (kept.append(path), append(df, path, **k)))
+    append = W.DS.append_soft_labels
+    monkeypatch.setattr(W.DS, "append_soft_labels", lambda df, path, key: (kept.append(path), append(df, path, key)))
     W.q_soft_label_generation(spark, SF_SMALL)
     W.q_validation_report(spark, SF_SMALL)
     assert len(kept) == 3
     for path in kept:
-        r = W.ST.read_soft_labels(spark, path).selectExpr(
+        r = W.DS.read_soft_labels(spark, path, W.BLOCK_KEY).selectExpr(
             "count(*) n", "count(DISTINCT sample, block) k", "min(5 * size(input_ids) = size(logits)) ok").first()
         assert r.n == r.k > 0 and r.ok

@@ -7,18 +7,18 @@ from seqlake.operators import losses as L
 from seqlake.operators import metrics as M
 from seqlake.operators import runlog as RL
 from seqlake.operators import tiling as TL
-from seqlake.sources.stores import append_soft_labels, read_soft_labels
+from seqlake.sources.delta_store import append_soft_labels, read_soft_labels
 
 
 def test_append_moves_and_deduplicates(spark, tmp_path):
     path = str(tmp_path / "store")
     schema = "sample bigint, batch_idx bigint, v bigint"
     append_soft_labels(spark.createDataFrame([(i, 0, 1) for i in range(10)], schema), path,
-                       batches_per_partition=1)
+                       ["sample"])
     # the same samples under another batch, some of them twice
     append_soft_labels(spark.createDataFrame([(i, 5, 2) for i in range(10)] + [(3, 4, 9)], schema), path,
-                       batches_per_partition=1)
-    rows = read_soft_labels(spark, path).collect()
+                       ["sample"])
+    rows = read_soft_labels(spark, path, ["sample"], ["batch_idx"]).collect()
     assert sorted((r["sample"], r["batch_idx"], r["v"]) for r in rows) == [(i, 5, 2) for i in range(10)]
 
 

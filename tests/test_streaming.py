@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlake.operators import probes as PR
 from seqlake.session import scratch_path
-from seqlake.sources import stores as ST
+from seqlake.sources import delta_store as DS
 from seqlake.streaming.soft_labels import run_soft_label_stream
 from seqlake.streaming.throughput import file_stream, run_to_parquet, throughput_stream
 
@@ -52,8 +52,8 @@ def test_soft_label_stream_replay_is_idempotent(spark):
     store = scratch_path(spark, "t2-store")
     for _ in range(2):   # second run = full replay with a fresh checkpoint
         stream = file_stream(spark, src, df.schema, prepare)
-        run_soft_label_stream(stream, store, scratch_path(spark, "t2-ckpt"))
-    back = ST.read_soft_labels(spark, store)
+        run_soft_label_stream(stream, store, scratch_path(spark, "t2-ckpt"), ["sample"])
+    back = DS.read_soft_labels(spark, store, ["sample"])
     assert back.count() == 200
     assert back.select("sample").distinct().count() == 200
     r = back.filter(F.col("sample") == 10).first()

@@ -173,3 +173,80 @@ def test_reject_all_pad_strict(spark):
     assert (kept.count(), bad.count()) == (1, 1)
     with pytest.raises(ValueError):
         TL.reject_all_pad(df, "ids", strict=True)
+
+
+def _small_chunks(spark, length=20, size=8, overlap=3, skip=()):
+    s = "".join("ACGT"[i % 4] for i in range(length))
+    rows = [("c", k, k * size, s[k * size:k * size + size + overlap]) for k in range(-(-length // size)) if k not in skip]
+    return s, spark.createDataFrame(rows, "contig string, chunk_id bigint, chunk_start bigint, seq string")
+
+
+@pytest.mark.parametrize("tile_len", [4, 9])     # 9 takes the general path
+def test_no_tile_is_lost(spark, tile_len):
+    s, chunks = _small_chunks(spark, skip=(1,))
+    lengths = spark.createDataFrame([("c", 20)], "contig string, length bigint")
+    starts = [0, 9, 16, 0, -1, 19]
+    rows = [("c", a, a + tile_len) for a in starts] + [
+        ("c", None, 4), ("c", 3, None), ("c", 20, 20), ("c", 5, 2), ("x", 0, tile_len), (None, 0, tile_len)]
+    tiles = spark.createDataFrame(rows, "chr_name string, start bigint, end bigint")
+    out = TL.checked_tile_sequence(tiles, chunks, lengths, 8, 3, tile_len=tile_len).collect()
+    assert sorted((r.chr_name, r.start, r.end) for r in out if r.start is not None and r.end is not None and r.chr_name) \
+        == sorted(r for r in rows if None not in r) and len(out) == len(rows)
+    status = {(r.chr_name, r.start, r.end): r.status for r in out}
+    assert status["c", 0, tile_len] == ("ok" if tile_len == 4 else "missing_bases")    # chunk 1 is not there
+    assert status["c", 9, 9 + tile_len] == "missing_bases"
+    assert status["c", -1, tile_len - 1] == status["c", 19, 19 + tile_len] == "out_of_bounds"
+    assert {status[k] for k in (("c", None, 4), ("c", 3, None), ("c", 20, 20), ("c", 5, 2))} == {"bad_bounds"}
+    assert status["x", 0, tile_len] == status[None, 0, tile_len] == "unknown_contig"
+    assert all((r.seq is not None) == (r.status == "ok") for r in out)
+    assert all(r.seq == s[r.start:r.end] for r in out if r.seq)
+    with pytest.raises(ValueError, match="is not in the sequence"):
+        TL.checked_tile_sequence(tiles, chunks, lengths, 8, 3, tile_len=tile_len, strict=True)
+
+
+def test_long_tiles_that_repeat(spark):
+    s, chunks = _small_chunks(spark)
+    tiles = spark.createDataFrame([("c", 2, 17, i % 2) for i in range(4)], "chr_name string, start bigint, end bigint, n int")
+    out = TL.tile_sequence(tiles, chunks, 8, 3).collect()
+    assert [r.seq for r in out] == [s[2:17]] * 4 and sorted(r.n for r in out) == [0, 0, 1, 1]
+
+
+def test_contract_is_enforced_in_one_pass(spark):
+    rows = [(0, 256, 0, 64, 300, "7" * 64), (0, 256, 64, 128, 300, "4" * 64), (0, 256, 192, 256, 200, "7" * 64),
+            (0, 255, 192, 256, 300, "7" * 63), (-1, 255, -1, 63, 300, None), (0, 256, 0, 64, None, None),
+            (0, 256, None, 64, 300, None), (0, 256, 256, 320, 300, "7" * 64), (0, 256, 64, 0, 300, "")]
+    schema = "interval_start bigint, interval_end bigint, start bigint, end bigint, contig_len bigint, ids string"
+    tiles = spark.createDataFrame(rows, schema)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    path = scratch_path(spark, "contract")
+    kept, rejected, counts = TL.enforce_contract(tiles.mapInArrow(counted, schema), path, 64, 256)
+    assert kept.columns == tiles.columns and kept.count() == 1 and rejected.count() == 8
+    assert read.value == len(rows)
+    reasons = {(r.interval_start, r.interval_end, r.start, r.contig_len): r.reasons for r in rejected.collect()}
+    assert reasons[0, 256, 64, 300] in (["all_pad"], ["bad_bounds", "bad_token_count"])
+    assert reasons[0, 256, 192, 200] == ["tile_past_contig_end"]
+    assert reasons[0, 255, 192, 300] == ["bad_segment_length", "tile_past_interval_end", "bad_token_count"]
+    assert reasons[-1, 255, -1, 300] == ["negative_start", "bad_token_count"]
+    assert reasons[0, 256, 0, None] == ["unknown_contig", "bad_token_count"]
+    assert reasons[0, 256, None, 300] == ["bad_bounds", "bad_token_count"]
+    assert reasons[0, 256, 256, 300] == ["tile_past_interval_end", "tile_past_contig_end"]
+    assert counts["n_tiles"] == 9 and counts["n_rejected"] == 8 and counts["all_pad"] == 1
+    assert {r: counts[r] for r in TL.REASONS} == {
+        r: sum(r in x.reasons for x in rejected.collect()) for r in TL.REASONS}
+    with pytest.raises(ValueError, match="8 of 9 tiles"):
+        TL.enforce_contract(tiles, scratch_path(spark, "contract"), 64, 256, strict=True)
+    tail = TL.enforce_contract(tiles.filter("contig_len = 200"), scratch_path(spark, "contract"), 64, 256, pad_tail=True)
+    assert tail[0].count() == 1 and tail[2]["n_rejected"] == 0
+
+
+def test_strict_contract_passes_on_good_tiles(spark):
+    tiles = spark.createDataFrame([(0, 64, 0, 64, 64, "7" * 64)], "interval_start bigint, interval_end bigint, "
+                                  "start bigint, end bigint, contig_len bigint, ids string")
+    kept, rejected, counts = TL.enforce_contract(tiles, scratch_path(spark, "contract"), 64, 64, strict=True)
+    assert (kept.count(), rejected.count(), counts["n_rejected"]) == (1, 0, 0)
