@@ -120,31 +120,38 @@ def slices_of(vector, kind: int = 0) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def _add_slices(batches):
+def _add_slices(batches, kind_of_number: str):
     import numpy as np
     import pyarrow as pa
+    most = np.iinfo(kind_of_number).max
     total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for kind, s, data in zip(*(c.to_pylist() for c in batch.columns)):
             n = len(data) // 6
             v = total.setdefault((kind, s), np.zeros(SLICE, dtype=np.int64))
             v[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.uint32, n, 2 * n)
-    if total:
+    names = list(total)
+    for at in range(0, len(names), 64):         # small batches: the receiver holds one at a time
+        part = names[at:at + 64]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in total], pa.int32()), pa.array([s for _, s in total], pa.int32()),
-             pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["kind", "slice", "data"])
+            [pa.array([k for k, _ in part], pa.int32()), pa.array([s for _, s in part], pa.int32()),
+             pa.array([np.minimum(total.pop(k), most).astype(kind_of_number).tobytes() for k in part],
+                      pa.binary())], names=["kind", "slice", "data"])
 
 
 SLICE_SCHEMA = "kind int, slice int, data binary"
 
 
-def summed(parts: DataFrame, kinds: int, size: int):
+def summed(parts: DataFrame, kinds: int, size: int, numbers: str = "int64"):
     """Sum of the vectors whose slices ``parts`` holds (``SLICE_SCHEMA``): one array of
-    ``size`` per kind. Slices are added up by the executors; the driver gets ``kinds * size``
-    numbers, a bound that the caller sets and that does not depend on the data."""
+    ``size`` per kind, of the numpy type ``numbers`` (larger sums become its largest number).
+    Slices are added up by the executors; the driver gets ``kinds * size`` numbers, a bound
+    that the caller sets and that does not depend on the data."""
     import numpy as np
-    out = np.zeros((kinds, size), dtype=np.int64)
-    rows = parts.repartition("kind", "slice").mapInArrow(_add_slices, SLICE_SCHEMA)
-    for kind, s, data in zip(*(c.to_pylist() for c in rows.toArrow().columns)):
-        out[kind, s * SLICE:(s + 1) * SLICE] = np.frombuffer(data, np.int64)
+    out = np.zeros((kinds, size), dtype=numbers)
+    rows = parts.repartition("kind", "slice").mapInArrow(lambda it: _add_slices(it, numbers), SLICE_SCHEMA)
+    for batch in rows.toArrow().to_batches():
+        for kind, s, data in zip(*batch.columns):
+            s = s.as_py()
+            out[kind.as_py(), s * SLICE:(s + 1) * SLICE] = np.frombuffer(data.as_buffer(), numbers)
     return out

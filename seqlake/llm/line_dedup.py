@@ -164,14 +164,15 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     src = docs.select(row_key(id_col, text_col).alias("row_key"),
                       F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rarity = summed(src.select("text").mapInArrow(_frequencies, SLICE_SCHEMA), 1, COUNTERS)[0]
-    table = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint32))
+    table = spark.sparkContext.broadcast(
+        summed(src.select("text").mapInArrow(_frequencies, SLICE_SCHEMA), 1, COUNTERS, "uint32")[0])
     often_from = FREQUENT       # the driver's value travels to the workers
     lines = src.mapInArrow(lambda it: _classes(it, table.value, t, often_from), CLASS_SCHEMA)
     classes = stored(lines.groupBy("cls").agg(
         F.min(F.struct("doc_id", "row_key", "line")).alias("place"), F.max("n").alias("n"),
         F.max("mark0").alias("mark0"), F.max("mark1").alias("mark1"),
         F.any_value("prefix").alias("prefix"), F.any_value("frequent").alias("frequent")), "lines")
+    table.destroy()             # the lines are stored, nothing reads it again
 
     need = f"((({t} * (x.n + y.n)) + {t + 99}) DIV {100 + t})"
     fits = (f"100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n) AND "
