@@ -31,7 +31,7 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_KEEP).split()
 
 
-def _fold(batches):
+def _fold(batches, limit: int = FOLD):
     """Cells ``(lang, term, source, documents, occurrences)`` of the documents of a partition."""
     from collections import Counter
 
@@ -71,7 +71,7 @@ def _fold(batches):
             if words:
                 seen.setdefault(lang, Counter()).update(set(words))
                 count.setdefault((lang, source), Counter()).update(words)
-                if sum(map(len, count.values())) >= FOLD:
+                if sum(map(len, count.values())) >= limit:
                     yield from spill()
     yield from spill()
 
@@ -98,7 +98,7 @@ def parts_of(count, total):
     return whole + 1
 
 
-def _block(leading: int):
+def _block(leading: int, dense: int = DENSE):
     """Divergences of one block: the sums between any two sources of the language (each pair in
     both directions), and the ``leading`` terms of every source by value, then by term."""
     def run(left, right):
@@ -114,7 +114,7 @@ def _block(leading: int):
         s_n, t_n = len(sources), left.num_rows
         sums = np.zeros((s_n, s_n), dtype=np.int64)
         best: list[list[tuple[int, bytes]]] = [[] for _ in sources]
-        step = max(1, DENSE // max(s_n, 1))
+        step = max(1, dense // max(s_n, 1))
         for at in range(0, t_n, step):
             piece = left.slice(at, step)
             names = [t.encode() for t in piece.column("term").to_pylist()]

@@ -37,18 +37,15 @@ def runs(text: str) -> list[bytes]:
     return text.encode("latin-1", "replace").translate(_RUN).split()
 
 
-def spelled(doc_id: str, run: bytes) -> bytes:
-    """The run as the document has it: for one run in 97, by a checksum of document and run,
-    a letter is left out."""
-    return _spelled(run, _start(doc_id))
-
-
 def _start(doc_id: str) -> int:
+    """The checksum of a document's part of its runs' keys."""
     from zlib import crc32
     return crc32(f"{doc_id}:".encode())
 
 
 def _spelled(run: bytes, start: int) -> bytes:
+    """The run as the document has it: for one run in 97, by a checksum of document and run, a
+    letter is left out."""
     from zlib import crc32
     h = crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
     if h % 97:
@@ -57,7 +54,7 @@ def _spelled(run: bytes, start: int) -> bytes:
     return run[:at] + run[at + 1:]
 
 
-def _count(shortest: int):
+def _count(shortest: int, limit: int = FOLD):
     def fold(batches):
         from collections import Counter
 
@@ -86,7 +83,7 @@ def _count(shortest: int):
                     word = _spelled(run, start)
                     if len(word) >= shortest:
                         total[word] += n
-                if len(total) >= FOLD:
+                if len(total) >= limit:
                     yield from spill()
         yield from spill()
     return fold
