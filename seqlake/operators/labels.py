@@ -45,6 +45,58 @@ def feature_concat(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def task_outcomes(features: DataFrame, tasks: DataFrame, splits: Sequence[str] = ("train", "test")) -> DataFrame:
+    """D6, what became of every listed task: ``task_name, status, n_samples, n_failed, detail``.
+
+    ``failed``: a sample has an ``error``, no feature, or a feature whose length differs from
+    others of its task (``detail``: the smallest error text, ``no feature`` or ``ragged``);
+    ``empty``: it has no sample in one of ``splits`` (``detail``: those splits); else ``ok``. A
+    failure outranks an empty split. ``error`` is the text that the featuriser left, NULL if it
+    had no trouble with the sample. ``tasks`` (``task_name``) is the caller's list.
+    """
+    width = F.size("feature")
+    per = features.groupBy("task_name").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.count_if(F.col("error").isNotNull() | F.col("feature").isNull()).alias("n_failed"),
+        F.min(F.coalesce("error", F.when(F.col("feature").isNull(), "no feature"))).alias("_why"),
+        (F.min(F.when(F.col("feature").isNotNull(), width)) != F.max(width)).alias("_ragged"),
+        *[F.count_if(F.col("split") == s).alias(f"_in_{s}") for s in splits])
+    out = tasks.select("task_name").distinct().join(per, "task_name", "left")
+    bad = (F.coalesce("n_failed", F.lit(0)) > 0) | F.coalesce("_ragged", F.lit(False))
+    missing = F.concat_ws(",", *[F.when(F.coalesce(F.col(f"_in_{s}"), F.lit(0)) == 0, s) for s in splits])
+    status = F.when(bad, "failed").when(missing != "", "empty").otherwise("ok")
+    return out.select(
+        "task_name", status.alias("status"), F.coalesce("n_samples", F.lit(0)).alias("n_samples"),
+        F.coalesce("n_failed", F.lit(0)).alias("n_failed"),
+        F.when(bad, F.coalesce("_why", F.lit("ragged"))).when(missing != "", missing).alias("detail"))
+
+
+def concat_tasks(parts: Sequence[DataFrame], tasks: DataFrame,
+                 splits: Sequence[str] = ("train", "test")) -> tuple[DataFrame, DataFrame]:
+    """D6 with roll-back: the stacked features of the listed tasks that are ``ok``, and the
+    outcome of all (:func:`task_outcomes`). A task that failed in any split goes as a whole.
+    The outcomes have one row per listed task (the caller's configuration): broadcast."""
+    rows = feature_concat(parts)
+    outcomes = task_outcomes(rows, tasks, splits)
+    good = outcomes.filter("status = 'ok'").select("task_name")
+    return rows.join(F.broadcast(good), "task_name", "left_semi").drop("error"), outcomes
+
+
+def max_pool_blocks(blocks: DataFrame, keys: Sequence[str], dims: int, states: str = "states") -> DataFrame:
+    """E5 over states that are stored in blocks of positions: ``keys, dim, value``.
+
+    A row holds the states of some positions of a sample, position by position, flattened to
+    ``dims`` numbers each. Every task keeps the maximum per (sample, dimension) of what it has
+    read and one aggregate merges them, so no row ever holds a whole ``[T][D]`` state. NULL
+    numbers are left out; a dimension with none but NULLs has a NULL maximum. A block whose
+    length is no multiple of ``dims`` raises.
+    """
+    whole = F.when(F.size(states) % dims != 0, F.raise_error(F.concat(
+        F.lit(f"a block has a length that is no multiple of {dims}: "), F.size(states)))).otherwise(F.col(states))
+    each = blocks.select(*keys, F.posexplode(whole).alias("_i", "_v"))
+    return each.groupBy(*keys, F.pmod("_i", F.lit(dims)).alias("dim")).agg(F.max("_v").alias("value"))
+
+
 def max_pool(states: Column) -> Column:
     """E5: element-wise max over the sequence axis of ``array<array<double>>`` ``[T][D]``,
     in-row (no shuffle, no PAD mask)."""
@@ -97,16 +149,19 @@ def distinct_tasks(df: DataFrame, order_col: str = "sample_idx") -> DataFrame:
     return first.withColumn("task_pos", (F.row_number().over(Window.orderBy("first_idx")) - 1))
 
 
-def label_gate(df: DataFrame) -> DataFrame:
+def label_gate(df: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """per task, the decision taken before fitting probes.
 
     ``error`` if the task has no samples, if its train split has more than two labels, or if
     (with several tasks) it holds every sample; ``skip`` if fewer than two train labels;
-    else ``ok``.
+    else ``ok``. ``tasks`` (``task_name``) lists the tasks to decide on, by default those that
+    occur; only a listed one can be without samples.
     """
     per_task = df.groupBy("task_name").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.count_distinct(F.when(F.col("split") == "train", F.col("label"))).alias("n_train_labels"))
+    if tasks is not None:
+        per_task = tasks.select("task_name").distinct().join(per_task, "task_name", "left").fillna(0)
     # One row per task: the totals window is as small as the task list.
     everything = Window.partitionBy()
     out = per_task.withColumns({"n_total": F.sum("n_samples").over(everything),

@@ -18,41 +18,51 @@ NAN = float("nan")
 RESULT_KEYS = ("task_name", "model", "split", "metric")
 
 
+def _below(df: DataFrame, by: Sequence[str], score: str, label: str, buckets: int | None = None,
+           **counts: Column) -> DataFrame:
+    """One row per (group, distinct score): ``_pos``, ``_neg``, the further ``counts`` and
+    ``_below``, the negatives with a smaller score. The collapse is a partial aggregation and
+    the only reading of ``df``; a group of any size is spread over range partitions."""
+    y_pos = F.col(label) > 0
+    d = df.groupBy(*by, F.col(score).alias("_s")).agg(
+        F.count_if(y_pos).alias("_pos"), F.count_if(~y_pos).alias("_neg"),
+        *[c.alias(n) for n, c in counts.items()])
+    return running_total(d, by, "_s", "_neg", "_below", inclusive=False, buckets=buckets)
+
+
+def _auc_sums() -> list[Column]:
+    return [F.count_if(F.col("_s").isNull()).alias("_missing"),
+            F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"),
+            F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")]
+
+
+def _auc() -> Column:
+    return F.when((F.col("_p") > 0) & (F.col("_n") > 0) & (F.col("_missing") == 0),
+                  F.col("_u") / (F.col("_p") * F.col("_n")).cast("double")).otherwise(F.lit(NAN))
+
+
 def roc_auc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label",
             buckets: int | None = None) -> DataFrame:
     """ROC AUC per group from a positive-class score; tied scores count one half. NaN
     for a group of one class or with a NULL score; a NULL group key is a group.
 
-    AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2), divided by P * N.
-
-    1. Collapse to one row per (group, distinct score) -- partial aggregation.
-    2. The cumulative negatives need an order inside each group. A plain window per group
-       would put a whole group in one task, so distinct scores are cut into ``buckets``
-       score ranges (approximate quantiles; they only decide where the cuts are, the result
-       stays exact). The window then runs per (group, bucket) and the carry-in of each
-       bucket comes from a per-bucket total -- one row per (group, bucket).
+    AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2), divided by P * N, with
+    the running negatives of :func:`seqlake.operators.prefix.running_total`.
     """
     by = list(by)
-    y_pos = F.col(label) > 0
-    d = df.groupBy(*by, F.col(score).alias("_s")).agg(
-        F.count_if(y_pos).alias("_pos"), F.count_if(~y_pos).alias("_neg"))
-    d = running_total(d, by, "_s", "_neg", "_below", inclusive=False, buckets=buckets)
-    agg = d.groupBy(*by).agg(
-        F.count_if(F.col("_s").isNull()).alias("_missing"),
-        F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"),
-        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0) & (F.col("_missing") == 0),
-                 F.col("_u") / (F.col("_p") * F.col("_n")).cast("double")).otherwise(F.lit(NAN))
-    return agg.select(*by, auc.alias("roc_auc"))
+    return _below(df, by, score, label, buckets).groupBy(*by).agg(*_auc_sums()).select(
+        *by, _auc().alias("roc_auc"))
+
+
+def _confusion(pred: str, label: str) -> dict[str, Column]:
+    y, p = F.col(label) > 0, F.col(pred) > 0
+    return {"tp": F.count_if(y & p), "fp": F.count_if(~y & p), "tn": F.count_if(~y & ~p),
+            "fn": F.count_if(y & ~p), "n_samples": F.count(F.lit(1)), "n_positive": F.count_if(y)}
 
 
 def confusion_counts(df: DataFrame, by: Sequence[str], pred: str = "pred",
                      label: str = "label") -> DataFrame:
-    y, p = F.col(label) > 0, F.col(pred) > 0
-    return df.groupBy(*by).agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
-        F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"),
-        F.count(F.lit(1)).alias("n_samples"), F.count_if(y).alias("n_positive"))
+    return df.groupBy(*by).agg(*[c.alias(n) for n, c in _confusion(pred, label).items()])
 
 
 def _d(c: str) -> Column:
@@ -87,15 +97,13 @@ def classification_metrics(df: DataFrame, by: Sequence[str], pred: str = "pred",
 
 def evaluate(df: DataFrame, by: Sequence[str], score: str = "score", pred: str = "pred",
              label: str = "label") -> DataFrame:
-    """All six metrics per group (wide)."""
-    auc = roc_auc(df, by, score, label)
-    side = classification_metrics(df, by, pred, label)
-    side = side.select(*[F.col(c).alias(f"_k_{c}") for c in by],
-                       *[c for c in side.columns if c not in by])
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return auc.join(side, same, "inner").drop(*[f"_k_{c}" for c in by])
+    """All six metrics per group (wide). The confusion counts ride on the collapse that the AUC
+    needs, so the input is read once and nothing is joined."""
+    by, counts = list(by), _confusion(pred, label)
+    agg = _below(df, by, score, label, **counts).groupBy(*by).agg(
+        *_auc_sums(), *[F.sum(n).alias(n) for n in counts])
+    return agg.select(*by, _auc().alias("roc_auc"), mcc().alias("mcc"), accuracy().alias("accuracy"),
+                      f1().alias("f1"), "n_samples", "n_positive")
 
 
 def results_long(wide: DataFrame, by: Sequence[str] = ("task_name", "model", "split")) -> DataFrame:

@@ -14,69 +14,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cuts(df: DataFrame, col: str, buckets: int) -> list[float]:
-    """Approximate quantiles of ``col`` (``buckets - 1`` numbers on the driver). They only
-    decide where groups are cut, never a result."""
-    if buckets <= 1:
-        return []
-    qs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(x for x in df.approxQuantile(col, qs, 0.001) if x is not None))
-
-
-def bucket_of(col: Column, cuts: list[float]) -> Column:
-    """Index of the range ``col`` falls in: the number of cut points <= ``col``, as a
-    balanced CASE tree over the sorted cuts (log2 comparisons per row, no lambda)."""
-    if not cuts:
-        return F.lit(0)
-    x = col.cast("double")
-
-    def tree(lo: int, hi: int) -> Column:  # answer is in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2          # x >= cuts[mid - 1]  <=>  answer >= mid
-        return F.when(x >= F.lit(float(cuts[mid - 1])), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-
-    return tree(0, len(cuts))
+from seqlake.session import ensure_scratch
 
 
 def running_total(df: DataFrame, by: Sequence[str], order_col: str, value_col: str,
                   out_col: str, inclusive: bool = True, buckets: int | None = None) -> DataFrame:
     """``out_col`` = sum of ``value_col`` over rows of the same group with a smaller
-    ``order_col`` (and the row itself if ``inclusive``). ``order_col`` must be unique inside
-    a group and numeric or timestamp.
-
-    Rows are cut into ``buckets`` ranges of ``order_col``; the window runs per (group,
-    bucket) and each bucket's carry-in comes from one row per (group, bucket). With a
-    single bucket (or no data) it is the plain per-group window.
+    ``order_col`` (and the row itself if ``inclusive``). ``order_col`` must be unique inside a
+    group and may be of any type that sorts; a NULL group key is a group like any other.
+
+    Rows are range-partitioned by group and order, so a group may span any number of
+    partitions, and written to the checkpoint folder with their partition's number. The window
+    runs per (partition, group); what a group has in earlier partitions is carried in. Only the
+    first group of a partition can go on from an earlier one, so the carry table has at most
+    one row per partition and is broadcast. ``df`` is evaluated once. ``buckets`` fixes the
+    number of ranges, by default adaptive execution sizes them.
     """
     by = list(by)
-    spark = df.sparkSession
-    # default: one range per shuffle partition, at most 1024 (the CASE tree stays small)
-    nb = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
-    end = Window.currentRow if inclusive else -1
-    key = F.col(order_col)
-    if dict(df.dtypes)[order_col].startswith("timestamp"):
-        key = F.unix_micros(F.col(order_col).cast("timestamp"))
-    d = df.withColumn("_ord", key.cast("double"))
-    cuts = _cuts(d, "_ord", nb)
-    if not cuts:
-        w = Window.partitionBy(*by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-        return d.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0))).drop("_ord")
-    d = d.withColumn("_b", bucket_of(F.col("_ord"), cuts))
-    totals = d.groupBy(*by, "_b").agg(F.sum(value_col).alias("_bt"))
-    carry = totals.withColumn("_carry", F.coalesce(F.sum("_bt").over(
-        Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).drop("_bt")
-    w = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    # null-safe: a NULL group key is a group like any other
-    side = carry.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]], "_carry")
+    ensure_scratch(df.sparkSession)
+    keys = [*by, order_col]
+    ranged = df.repartitionByRange(buckets, *keys) if buckets else df.repartitionByRange(*keys)
+    parts = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = parts.groupBy("_pid", *by).agg(F.sum(value_col).alias("_bt"))
+    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumn("_carry", F.sum("_bt").over(earlier)).filter("_carry IS NOT NULL")
+    side = F.broadcast(carry.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_pid"]], "_carry"))
     same = F.lit(True)
-    for c in [*by, "_b"]:
+    for c in [*by, "_pid"]:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    out = d.join(side, same, "inner").drop(*[f"_k_{c}" for c in [*by, "_b"]])
-    out = out.withColumn(out_col, F.col("_carry") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
-    return out.drop("_ord", "_b", "_carry")
+    end = Window.currentRow if inclusive else -1
+    w = Window.partitionBy("_pid", *by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    out = parts.join(side, same, "left").withColumn(
+        out_col, F.coalesce("_carry", F.lit(0)) + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
+    return out.select(*df.columns, out_col)
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int,

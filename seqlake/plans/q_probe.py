@@ -150,6 +150,63 @@ def q_max_pool(spark, sf):
     return round6(pooled.select("vec_id", F.posexplode("pooled").alias("dim", "value")))
 
 
+POOL_ROWS = 3      # positions per stored block, the last block of a sample is short
+
+
+@query("max_pool_blocks", """
+SELECT vec_id, CAST(d AS INTEGER) AS dim, round(max(CAST(embedding[p * 8 + d + 1] AS DOUBLE)), 6) AS value
+FROM embeddings, range(0, 8) pp(p), range(0, 8) dd(d) GROUP BY vec_id, d
+""")
+def q_max_pool_blocks(spark, sf):
+    """E5 from blocks of positions, as M6 stores them."""
+    e = table(spark, sf, "embeddings")
+    b = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7 // POOL_ROWS))).alias("block"))
+    states = F.transform(F.slice("embedding", F.col("block") * (8 * POOL_ROWS) + 1, 8 * POOL_ROWS),
+                         lambda x: x.cast("double"))
+    return round6(LB.max_pool_blocks(b.select("vec_id", "block", states.alias("states")), ["vec_id"], 8))
+
+
+# Stand-in feature sets of five tasks (label % 5), of which the featuriser cannot make some
+# samples: task 3 where the first number is over 0.3, and task 4 has no test split.
+_TASK5, _ERR = "'task' || CAST(label % 5 AS VARCHAR)", "label % 5 = 3 AND embedding[1] > 0.3"
+OUTCOME = f"""f AS (
+  SELECT {_TASK5} AS task_name, CASE WHEN vec_id % 5 = 0 AND label % 5 <> 4 THEN 'test' ELSE 'train' END AS split,
+         vec_id AS sample_id, label % 2 AS label, CASE WHEN {_ERR} THEN 'out of range' END AS error FROM embeddings),
+t AS (SELECT 'task' || CAST(i AS VARCHAR) AS task_name FROM range(0, 7) r(i)),
+o AS (
+  SELECT task_name, count(sample_id) AS n_samples, count(error) AS n_failed, min(error) AS why,
+    concat_ws(',', CASE WHEN count(*) FILTER (WHERE split = 'train') = 0 THEN 'train' END,
+                   CASE WHEN count(*) FILTER (WHERE split = 'test') = 0 THEN 'test' END) AS missing
+  FROM t LEFT JOIN f USING (task_name) GROUP BY task_name),
+out AS (SELECT task_name, CASE WHEN n_failed > 0 THEN 'failed' WHEN missing <> '' THEN 'empty' ELSE 'ok' END AS status,
+    n_samples, n_failed, CASE WHEN n_failed > 0 THEN why WHEN missing <> '' THEN missing END AS detail FROM o)"""
+
+
+def _outcome_parts(spark, sf):
+    e = table(spark, sf, "embeddings")
+    task = F.concat(F.lit("task"), (F.col("label") % 5).cast("string"))
+    split = F.when((F.col("vec_id") % 5 == 0) & (F.col("label") % 5 != 4), "test").otherwise("train")
+    error = F.when((F.col("label") % 5 == 3) & (F.element_at("embedding", 1) > 0.3), "out of range")
+    rows = e.select(task.alias("task_name"), split.alias("split"), F.col("vec_id").alias("sample_id"),
+                    F.when(error.isNull(), F.col("embedding")).alias("feature"),
+                    (F.col("label") % 2).alias("label"), error.alias("error"))
+    listed = spark.createDataFrame([(f"task{i}",) for i in range(7)], "task_name string")
+    return [rows.filter(F.col("split") == s) for s in ("train", "test")], listed
+
+
+@query("task_outcomes", f"WITH {OUTCOME} SELECT * FROM out")
+def q_task_outcomes(spark, sf):
+    """Good, failed and empty tasks of a list."""
+    return LB.concat_tasks(*_outcome_parts(spark, sf))[1]
+
+
+@query("concat_tasks", f"WITH {OUTCOME} SELECT task_name, split, sample_id, label FROM f JOIN out USING (task_name) "
+                       f"WHERE status = 'ok'")
+def q_concat_tasks(spark, sf):
+    """The features of the good tasks; a task that failed in one split goes as a whole."""
+    return LB.concat_tasks(*_outcome_parts(spark, sf))[0].select("task_name", "split", "sample_id", "label")
+
+
 # ---------------------------------------------------------------- F9-F14
 
 @query("label_unique", f"WITH {TASK} SELECT task_name, split, "
@@ -211,6 +268,35 @@ def q_label_gate(spark, sf):
     return LB.label_gate(_tasks(spark, sf))
 
 
+_GATE_SQL = """
+n AS (SELECT task_name, count(sample_id) AS n_samples,
+        count(DISTINCT label) FILTER (WHERE split = 'train') AS n_train_labels
+      FROM listed LEFT JOIN src USING (task_name) GROUP BY task_name)
+SELECT task_name, n_samples, n_train_labels,
+  CASE WHEN n_samples = 0 OR n_samples = (SELECT sum(n_samples) FROM n) THEN 'error'
+       WHEN n_train_labels > 2 THEN 'error' WHEN n_train_labels < 2 THEN 'skip' ELSE 'ok' END AS status FROM n
+"""
+
+
+def _listed(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "task_name string")
+
+
+@query("label_gate_listed", f"WITH {TASK}, src AS (SELECT * FROM task), listed AS (SELECT unnest("
+                            f"['quality', 'toxic', 'absent']) AS task_name),{_GATE_SQL}")
+def q_label_gate_listed(spark, sf):
+    """F14 with a list: a task without samples is an error."""
+    return LB.label_gate(_tasks(spark, sf), _listed(spark, "quality", "toxic", "absent"))
+
+
+@query("label_gate_whole", f"WITH {TASK}, src AS (SELECT * FROM task WHERE task_name = 'quality'), listed AS "
+                           f"(SELECT unnest(['quality', 'absent']) AS task_name),{_GATE_SQL}")
+def q_label_gate_whole(spark, sf):
+    """F14 with a list: of several tasks none may hold every sample."""
+    only = _tasks(spark, sf).filter(F.col("task_name") == "quality")
+    return LB.label_gate(only, _listed(spark, "quality", "absent"))
+
+
 # ---------------------------------------------------------------- F15-F20, B8, C3, A6
 
 @query("roc_auc", f"WITH {SCORED}, {_auc_sql('sc', 'lang')} "
