@@ -195,34 +195,39 @@ def _cos_loss(state_dims: int) -> Column:
     return F.col("_cos")
 
 
-def _invalid_target() -> Column:
-    return F.count_if(~F.col("tok").isin(*USEFUL_CLASSES))
+# ---------------------------------------------------------------- F3-F6
 
+def _masked(col: Column) -> Column:
+    """``col`` on non-PAD positions, NULL on the others: the mask sits inside the aggregates, so
+    that a group without any position left keeps its row."""
+    return F.when(F.col("tok") != F.lit(PAD_ID), col)
 
-# ---------------------------------------------------------------- F3-F6
 
 def soft_loss(df: DataFrame, group_cols: Sequence[str], temperature: float,
               alpha_soft: float) -> DataFrame:
     """KL(teacher || student) summed over classes, averaged over non-PAD positions;
-    times T^2 only when ``alpha_soft != 1``. Not weighted by alpha_soft."""
+    times T^2 only when ``alpha_soft != 1``. Not weighted by alpha_soft. A group of PAD only
+    keeps its row, with a NULL loss over 0 positions."""
     scale = temperature ** 2 if alpha_soft != 1.0 else 1.0
-    return (with_terms(position_mask(df), [temperature]).groupBy(*group_cols)
-            .agg((F.sum(_kl(temperature)) / F.count(F.lit(1)) * F.lit(scale)).alias("soft_loss"),
-                 F.count(F.lit(1)).alias("n_positions")))
+    return (with_terms(df, [temperature]).groupBy(*group_cols)
+            .agg((F.avg(_masked(_kl(temperature))) * F.lit(scale)).alias("soft_loss"),
+                 F.count(_masked(F.lit(1))).alias("n_positions")))
 
 
 def hard_loss(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """mean cross entropy of the student over non-PAD positions."""
-    return (with_terms(position_mask(df), ce=True).groupBy(*group_cols)
-            .agg(F.avg(_ce()).alias("hard_loss"), _invalid_target().alias("n_invalid_targets")))
+    """mean cross entropy of the student over non-PAD positions (NULL without any)."""
+    invalid = F.count_if(F.coalesce(_masked(~F.col("tok").isin(*USEFUL_CLASSES)), F.lit(False)))
+    return (with_terms(df, ce=True).groupBy(*group_cols)
+            .agg(F.avg(_masked(_ce())).alias("hard_loss"), invalid.alias("n_invalid_targets")))
 
 
 def similarity_loss(df: DataFrame, group_cols: Sequence[str], alpha_sim: float,
                     state_dims: int) -> DataFrame:
-    """``alpha_sim * mean(1 - cos)``; exactly 0.0 when ``alpha_sim == 0``."""
-    value = (F.lit(float(alpha_sim)) * F.avg(_cos_loss(state_dims))
-             if alpha_sim > 0 else F.lit(0.0))
-    terms = with_terms(position_mask(df), state_dims=state_dims if alpha_sim > 0 else 0)
+    """``alpha_sim * mean(1 - cos)`` over non-PAD positions (NULL without any); exactly 0.0
+    when ``alpha_sim == 0``."""
+    value = (F.lit(float(alpha_sim)) * F.avg(_masked(_cos_loss(state_dims)))
+             if alpha_sim > 0 else F.max(_masked(F.lit(0.0))))
+    terms = with_terms(df, state_dims=state_dims if alpha_sim > 0 else 0)
     return terms.groupBy(*group_cols).agg(value.alias("similarity_loss"))
 
 
@@ -338,7 +343,7 @@ def align_teacher_student(student: DataFrame, teacher: DataFrame,
                           keys: Sequence[str] = ("sample", "pos")) -> DataFrame:
     """C4: put both models' outputs for the same positions on one row (inner equi-join).
 
-    Both sides are large; the join shuffles on the full key. When the stores are written
-    bucketed or partitioned by ``sample`` the shuffle disappears.
+    Both sides are large; the join shuffles on the full key. Stores that are read as tables
+    bucketed by it (:func:`seqlake.sources.delta_store.bucketed`) are joined without a shuffle.
     """
     return student.join(teacher, on=list(keys), how="inner")

@@ -140,11 +140,14 @@ def bad_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def derived_path(spark: SparkSession, sf_dir: str, what: str, **params) -> str:
-    """Stable path (per scratch root, table folder and parameters) of a derived file set."""
+def derived_path(spark: SparkSession, sf_dir: str, what: str, tables: tuple[str, ...] = ("documents",),
+                 **params) -> str:
+    """Path of a file set derived from ``tables``: another one for other parameters, another
+    table folder or changed tables."""
     from seqlake.session import ensure_scratch
-    from seqlake.sources.stores import cache_key
-    return f"{ensure_scratch(spark)}/fixtures/{cache_key(what, {'sf': sf_dir, **params})}"
+    from seqlake.sources.stores import cache_key, source_fingerprint
+    data = source_fingerprint(spark, *[f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables])
+    return f"{ensure_scratch(spark)}/fixtures/{cache_key(what, {'sf': sf_dir, 'data': data, **params})}"
 
 
 def bed_file(spark: SparkSession, sf_dir: str, make=intervals) -> str:

@@ -184,6 +184,26 @@ def q_loss_empty_batches(spark, sf):
     return j.select("batch_id", "n_positions", F.col("loss_total").isNotNull().alias("has_loss"), "batch_size")
 
 
+_EVERY_7TH = "CASE WHEN vec_id // 10 % 7 = 0 THEN 4 ELSE tok END"
+
+
+@query("loss_empty_parts", f"""
+WITH {POS}, p AS (SELECT * REPLACE ({_EVERY_7TH} AS tok) FROM pos_rows)
+SELECT batch_id, {Q.r6(f"avg(CASE WHEN tok <> 4 THEN {Q.kl(T)} END) * {Q.dbl(T * T)}", "soft_loss")},
+       count(*) FILTER (WHERE tok <> 4) AS n_positions,
+       {Q.r6(f"avg(CASE WHEN tok <> 4 THEN {Q.ce()} END)", "hard_loss")},
+       {Q.r6(f"{Q.dbl(A_SIM)} * avg(CASE WHEN tok <> 4 THEN {Q.cos_loss(D)} END)", "similarity_loss")}
+FROM p GROUP BY batch_id
+""")
+def q_loss_empty_parts(spark, sf):
+    """F3, F4 and F5 on batches of which every seventh holds PAD only: no batch disappears."""
+    p = embedding_positions(spark, sf)
+    p = p.withColumn("tok", F.when(F.col("batch_id") % 7 == 0, F.lit(4).cast("bigint")).otherwise(F.col("tok")))
+    out = L.soft_loss(p, ["batch_id"], T, A_SOFT).join(L.hard_loss(p, ["batch_id"]), "batch_id") \
+        .join(L.similarity_loss(p, ["batch_id"], A_SIM, D), "batch_id")
+    return round6(out.drop("n_invalid_targets"))
+
+
 @query("dual_loss_report", _dual_sql() + "SELECT * FROM report")
 def q_dual_loss_report(spark, sf):
     return round6(_dual(spark, sf))

@@ -12,7 +12,7 @@ from seqlake.session import scratch_path
 from seqlake.sources import delta_store as DS
 from seqlake.sources import stores as ST
 from seqlake.streaming.soft_labels import run_soft_label_stream
-from seqlake.streaming.throughput import file_stream, run_to_parquet, throughput_stream
+from seqlake.streaming.throughput import file_stream, late_rows, run_to_parquet, throughput_stream
 
 # Linear scorer of the fixtures: weight of element i (1-based) is ((i % 7) - 3) / 10.
 WEIGHTS = [((i % 7) - 3) / 10 for i in range(1, 65)]
@@ -100,7 +100,7 @@ FROM embeddings, range(0, 8) pp(p), range(0, 8) dd(d) GROUP BY vec_id, d
 """)
 def q_read_through(spark, sf):
     params = {"model": "max_pool", "rows": 8, "cols": 8}
-    path = derived_path(spark, sf, "features", **params)
+    path = derived_path(spark, sf, "features", ("embeddings",), **params)
 
     def build():
         e = table(spark, sf, "embeddings")
@@ -150,6 +150,53 @@ def q_stream_throughput(spark, sf):
                              "n_batches", "tokens", "tokens_per_sec"))
 
 
+# Rows of the first half that come when the watermark is past them; and those that move it there.
+_LATE = "event_id % 10 = 7 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
+_PER = f"""
+WITH b AS (SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(round(value) AS BIGINT) AS n_tokens, {_LATE} AS late FROM events),
+per AS (SELECT date_trunc('hour', ts) AS window_start, count(*) FILTER (WHERE NOT late) AS n_batches,
+          CAST(sum(n_tokens) FILTER (WHERE NOT late) AS BIGINT) AS tokens, count(*) FILTER (WHERE late) AS n_late
+        FROM b GROUP BY 1),
+closed AS (SELECT * FROM per
+           WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FILTER (WHERE NOT late) FROM b) - INTERVAL 2 HOUR)"""
+
+
+def _run_append(spark, sf):
+    """The log with its late rows in three deliveries, each a run of the same stream: all that
+    is in time, a second delivery that sees the moved watermark, the late rows."""
+    log = batch_log(spark, sf).select("ts", "batch_idx", "n_tokens")
+    ends = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    late = (F.col("batch_idx") % 10 == 7) & (F.col("ts") < F.lit(ends.a + (ends.b - ends.a) / 2))
+    second = F.col("ts") > F.lit(ends.b) - F.expr("INTERVAL 1 HOUR")
+    src, sink, ckpt = (scratch_path(spark, f"append-{x}") for x in ("in", "out", "ckpt"))
+    for part in (~late & ~second, ~late & second, late):
+        log.filter(part).write.mode("append").parquet(src)
+        stream = file_stream(spark, src, log.schema, lambda df: throughput_stream(df, "1 hour", "2 hours"),
+                             max_files=1_000_000)
+        run_to_parquet(stream, sink, ckpt, mode="append")
+    return spark.read.parquet(src), spark.read.parquet(sink)
+
+
+@query("stream_throughput_append", _PER + """
+SELECT window_start, n_batches, tokens, round(CAST(tokens AS DOUBLE) / 3600.0, 6) AS tokens_per_sec
+FROM closed WHERE n_batches > 0""")
+def q_stream_throughput_append(spark, sf):
+    """T1 in append mode: windows come out once, when the watermark has passed them."""
+    _, out = _run_append(spark, sf)
+    return round6(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                             "n_batches", "tokens", "tokens_per_sec"))
+
+
+@query("stream_late_rows", _PER + """
+SELECT window_start, n_batches + n_late AS n_logged, n_batches AS n_counted, n_late FROM closed WHERE n_late > 0""")
+def q_stream_late_rows(spark, sf):
+    """T1, the report of rows that came behind the watermark."""
+    log, out = _run_append(spark, sf)
+    rep = late_rows(log, out, "1 hour")
+    return rep.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_logged", "n_counted",
+                      "n_late")
+
+
 @query("stream_soft_labels", f"SELECT vec_id AS sample, vec_id // {STORE_BATCH} AS batch_idx, "
                              f"round({SCORE_SQL}, 6) AS score FROM embeddings")
 def q_stream_soft_labels(spark, sf):

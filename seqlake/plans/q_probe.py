@@ -81,7 +81,7 @@ res{sfx} AS (UNPIVOT wide{sfx} ON roc_auc, mcc, accuracy, f1, n_samples, n_posit
 # ---------------------------------------------------------------- Spark helpers
 
 def _task_path(spark, sf):
-    path = derived_path(spark, sf, "tasks")
+    path = derived_path(spark, sf, "tasks", ("documents", "labels"))
     if not ST.is_done(spark, path):
         write_tasks(labelled_task(spark, sf), path)
         ST.mark_done(spark, path)

@@ -213,7 +213,7 @@ FROM named GROUP BY metric
 @query("validation_report", _validation_sql())
 def q_validation_report(spark, sf):
     """Stored outputs -> C4 -> D3 -> B4 -> B3 -> F7 -> D5 -> F8 (final validation)."""
-    student, teacher = (DS.read_soft_labels(spark, path, BLOCK_KEY) for path in _write_outputs(spark, sf))
+    student, teacher = (DS.bucketed(spark, path, BLOCK_KEY) for path in _write_outputs(spark, sf))
     aligned = L.align_teacher_student(
         student.withColumnRenamed("logits", "s_logits"),
         teacher.select("sample", "block", F.col("logits").alias("t_logits")), keys=["sample", "block"])

@@ -139,6 +139,19 @@ def compact(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[
     _write(rows, path, f"compaction-{uuid.uuid4().hex[:12]}", through, through, through)
 
 
+def bucketed(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = (),
+             buckets: int | None = None) -> DataFrame:
+    """The resolved rows as a table bucketed and sorted by ``key``, written next to the store.
+    Two stores bucketed alike (default: as many buckets as shuffle partitions) are joined on
+    the key without another shuffle, as often as they are needed."""
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"soft_labels_{uuid.uuid4().hex[:16]}"
+    rows = read_soft_labels(spark, path, key, order)
+    rows.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).format("parquet") \
+        .option("path", f"{path}/bucketed/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Removes data folders that no reader can need any more: those that a compaction stands
     for and those of appends that never finished. Not while an append is running. Returns

@@ -56,10 +56,25 @@ def cache_key(name: str, params: dict) -> str:
     return f"{name}-{hashlib.sha1(blob).hexdigest()[:16]}"
 
 
+def source_fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes whenever a file behind ``paths`` is added, removed or written anew: a hash of the
+    names, sizes and modification times that the file system lists (no data is read)."""
+    sc, seen = spark.sparkContext, []
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha1(json.dumps(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                  partition_by: Sequence[str] = ()) -> DataFrame:
     """A5: build and write the table only if ``path`` has no finished output; then read it
-    back from storage (lineage is cut there)."""
+    back from storage (lineage is cut there). What the table is made of belongs into ``path``: the
+    parameters by :func:`cache_key`, the data by :func:`source_fingerprint`."""
     if not is_done(spark, path):
         w = build().write.mode("overwrite")
         if partition_by:

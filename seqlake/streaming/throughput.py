@@ -48,6 +48,16 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "a
     finish(w.start(), timeout_s)
 
 
+def late_rows(log: DataFrame, report: DataFrame, interval: str) -> DataFrame:
+    """What the watermark cost: ``window_start, n_logged, n_counted, n_late`` of the windows that
+    an append-mode ``report`` has closed and that miss rows of the ``log`` they were made from.
+    Late rows leave no trace in the stream; the log, which stays, still has them."""
+    logged = log.groupBy(F.window("ts", interval)["start"].alias("window_start")).agg(
+        F.count(F.lit(1)).alias("n_logged"))
+    both = logged.join(report.select("window_start", F.col("n_batches").alias("n_counted")), "window_start")
+    return both.withColumn("n_late", F.col("n_logged") - F.col("n_counted")).filter("n_late > 0")
+
+
 def finish(query: StreamingQuery, timeout_s: float | None) -> None:
     """Waits for a stream; one that is still running after ``timeout_s`` seconds is stopped
     and reported, so that a partial result is never taken for a whole one."""

@@ -146,3 +146,83 @@ def test_sanitize_name_raises_on_empty(spark):
     df = spark.createDataFrame([("---",)], "n string")
     with pytest.raises(Exception):
         df.select(sanitize_name(F.col("n"), on_empty="raise")).collect()
+
+
+def test_roc_auc_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(2000).selectExpr("id % 3 AS g", "(id * 7919) % 501 AS score", "CAST(id % 2 AS int) AS label",
+                                      "CAST(id % 5 = 0 AS int) AS pred").repartition(4)
+    df = df.mapInArrow(counted, df.schema)
+    M.evaluate(df, ["g"]).collect()
+    assert read.value == 2000
+
+
+def test_evaluate_equals_its_parts(spark):
+    df = spark.range(500).selectExpr("nullif(id % 3, 0) AS g", "CAST((id * 37) % 23 AS double) AS score",
+                                     "CAST(id % 7 < 3 AS int) AS label", "CAST(id % 5 = 0 AS int) AS pred")
+    rows = {r.g: r for r in M.evaluate(df, ["g"]).collect()}
+    auc = {r.g: r.roc_auc for r in M.roc_auc(df, ["g"]).collect()}
+    rest = {r.g: r for r in M.classification_metrics(df, ["g"]).collect()}
+    assert set(rows) == {None, 1, 2}
+    for g, r in rows.items():
+        assert r.roc_auc == pytest.approx(auc[g])
+        assert all(r[m] == pytest.approx(rest[g][m]) for m in ("mcc", "accuracy", "f1", "n_samples", "n_positive"))
+
+
+def test_running_total_over_strings_and_one_large_group(spark):
+    df = spark.range(3000).selectExpr("'a' AS g", "lpad(CAST(id AS string), 6, '0') AS o", "id AS v")
+    got = {r.o: r.t for r in running_total(df, ["g"], "o", "v", "t", buckets=16).collect()}
+    assert all(got[f"{i:06d}"] == i * (i + 1) // 2 for i in range(3000))
+    plan = running_total(df, ["g"], "o", "v", "t", buckets=16)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def _features(spark, rows):
+    return spark.createDataFrame(rows, "task_name string, split string, sample_id int, feature array<double>, "
+                                       "label int, error string")
+
+
+def test_task_outcomes_roll_back_whole_tasks(spark):
+    ok = [("a", s, i, [1.0, 2.0], 1, None) for i, s in enumerate(("train", "test", "train"))]
+    bad = [("b", "train", 1, [1.0, 2.0], 1, None), ("b", "test", 2, None, 1, "too long"),
+           ("c", "train", 1, [1.0], 1, None), ("c", "test", 2, [1.0, 2.0], 0, None),
+           ("d", "train", 1, [1.0], 1, None), ("e", "train", 1, None, 1, None), ("f", "test", 9, [1.0], 1, None)]
+    parts = [_features(spark, ok), _features(spark, bad)]
+    listed = spark.createDataFrame([(t,) for t in "abcdeg"], "task_name string")
+    kept, out = LB.concat_tasks(parts, listed)
+    assert {r.sample_id for r in kept.collect()} == {0, 1, 2} and "error" not in kept.columns
+    got = {r.task_name: (r.status, r.n_samples, r.n_failed, r.detail) for r in out.collect()}
+    assert got == {"a": ("ok", 3, 0, None), "b": ("failed", 2, 1, "too long"), "c": ("failed", 2, 0, "ragged"),
+                   "d": ("empty", 1, 0, "test"), "e": ("failed", 1, 1, "no feature"),
+                   "g": ("empty", 0, 0, "train,test")}
+
+
+def test_label_gate_reaches_every_branch(spark):
+    rows = [("one", "train", 0), ("one", "train", 1), ("three", "train", 0), ("three", "train", 1),
+            ("three", "train", 2), ("single", "train", 1), ("single", "test", 0)]
+    df = spark.createDataFrame(rows, "task_name string, split string, label int")
+    listed = spark.createDataFrame([(t,) for t in ("one", "three", "single", "none")], "task_name string")
+    got = {r.task_name: r.status for r in LB.label_gate(df, listed).collect()}
+    assert got == {"one": "ok", "three": "error", "single": "skip", "none": "error"}
+    whole = LB.label_gate(df.filter("task_name = 'one'"), listed.filter("task_name IN ('one', 'none')"))
+    assert {r.task_name: r.status for r in whole.collect()} == {"one": "error", "none": "error"}
+
+
+def test_block_pooling_equals_pooling_of_the_whole(spark):
+    t, d = 37, 5
+    states = [[float((i * 31 + j * 17) % 101) for j in range(d)] for i in range(t)]
+    blocks = [(1, b, [x for row in states[b * 8:b * 8 + 8] for x in row]) for b in range(5)]
+    blocks += [(2, 0, [None, 3.0, None, 1.0, 2.0, None, 4.0, None, 0.0, 9.0]), (3, 0, [])]
+    df = spark.createDataFrame(blocks, "sample int, block int, states array<double>")
+    got = {(r.sample, r.dim): r.value for r in LB.max_pool_blocks(df, ["sample"], d).collect()}
+    want = {(1, j): max(row[j] for row in states) for j in range(d)}
+    want |= {(2, 0): None, (2, 1): 4.0, (2, 2): None, (2, 3): 1.0, (2, 4): 9.0}
+    assert got == want
+    with pytest.raises(Exception, match="no multiple of 5"):
+        LB.max_pool_blocks(spark.createDataFrame([(1, [1.0] * 7)], "sample int, states array<double>"), ["sample"], d).collect()

@@ -142,3 +142,41 @@ def test_results_csv_roundtrip(spark):
     back = ST.read_results(spark, path)
     assert back.schema == ST.RESULTS_SCHEMA
     assert back.count() == 2
+
+
+def test_bucketed_stores_join_without_a_shuffle(spark):
+    tables = []
+    for v in (1.0, 2.0):
+        path = scratch_path(spark, "store-bucketed")
+        for part in range(2):       # the second append replaces half of the first
+            DS.append_soft_labels(_rows(spark, [(i, b, part, v + part) for i in range(0, 40, 1 + part)
+                                                for b in range(2)]), path, KEY)
+        tables.append(DS.bucketed(spark, path, KEY, buckets=4))
+    joined = tables[0].alias("x").hint("merge").join(tables[1].alias("y"), KEY)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    rows = joined.select("sample", "block", "x.v", "y.v").collect()
+    assert sorted(map(tuple, rows)) == [(i, b, 2.0 - i % 2, 3.0 - i % 2) for i in range(40) for b in range(2)]
+
+
+def test_fingerprint_follows_the_data(spark):
+    path = scratch_path(spark, "fp")
+    spark.range(0, 5).coalesce(1).write.parquet(path)
+    a = ST.source_fingerprint(spark, path)
+    assert a == ST.source_fingerprint(spark, path)
+    spark.range(5, 6).coalesce(1).write.mode("append").parquet(path)
+    b = ST.source_fingerprint(spark, path)
+    spark.range(0, 5).coalesce(1).write.mode("overwrite").parquet(path)
+    assert len({a, b, ST.source_fingerprint(spark, path)}) == 3
+
+
+def test_changed_table_rebuilds_what_is_derived(spark, tmp_path):
+    from seqlake.plans.fixtures import contig_length_table
+
+    def write(text):
+        spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1).write.mode("overwrite") \
+            .parquet(f"{tmp_path}/documents.parquet")
+
+    for text in ("ACGT", "ACGTACGT"):
+        write(text)
+        assert [r.length for r in contig_length_table(spark, str(tmp_path)).collect()] == [len(text)]
