@@ -8,15 +8,14 @@ tasks runs on the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -27,6 +26,7 @@ from pyspark.sql import types as T
 from seqlake.constants import POSITION_BLOCK
 from seqlake.operators.labels import label_gate
 from seqlake.operators.metrics import evaluate, results_long
+from seqlake.session import scratch_path
 
 
 def score_batches(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
@@ -41,42 +41,6 @@ def score_batches(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndar
     return df.withColumn(output_col, udf(F.col(input_col)))
 
 
-_MODELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {}
-
-
-def score_token_batches(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
-                        ids_col: str = "ids", output_col: str = "logits") -> DataFrame:
-    """H1 on token tiles kept in the compact id form (one character per id).
-
-    An Arrow-batched pandas UDF decodes a batch of id strings straight into an int array
-    ``[B, L]`` (``frombuffer`` on the ASCII bytes, no per-row work and no ``array<int>``
-    built in the JVM) and feeds the model; tiles of unequal length are scored one by one.
-    The model is built once per Python worker (cached under a key fixed at plan time).
-    Batch size = ``spark.sql.execution.arrow.maxRecordsPerBatch``.
-    """
-    key = uuid.uuid4().hex
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _score(ids: pd.Series) -> pd.Series:
-        fn = _MODELS.get(key)
-        if fn is None:
-            fn = _MODELS[key] = make_predict_fn()
-        if ids.empty:
-            return pd.Series([], dtype=object)
-        lens = ids.str.len().to_numpy()
-        if (lens == lens[0]).all():
-            x = np.frombuffer("".join(ids.tolist()).encode("ascii"), dtype=np.uint8)
-            y = fn(x.reshape(len(ids), int(lens[0])).astype(np.int64) - 48)
-            return pd.Series(list(np.asarray(y, dtype=np.float64)))
-        out = []
-        for s in ids.tolist():
-            x = np.frombuffer(s.encode("ascii"), dtype=np.uint8).astype(np.int64) - 48
-            out.append(np.asarray(fn(x[None, :])[0], dtype=np.float64))
-        return pd.Series(out)
-
-    return df.withColumn(output_col, _score(F.col(ids_col)))
-
-
 def score_token_positions(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
                           keep: Sequence[str], ids_col: str = "ids", batch_size: int = 8,
                           block: int = POSITION_BLOCK) -> DataFrame:
@@ -142,7 +106,7 @@ def _vec(df: DataFrame, col: str = "feature") -> DataFrame:
 def probe_lreg(train: DataFrame, seed: int = 0, cs: Sequence[float] = tuple(np.logspace(-4, 4, 10)),
                folds: int = 5, max_iter: int = 1000):
     """H2: standardise, then L2 logistic regression with ``folds``-fold CV over inverse
-    regularisation strengths ``cs`` (``regParam = 1 / (C * n)``)."""
+    regularisation strengths ``cs`` (``regParam = 1 / (C * n)``), selected by accuracy."""
     n = train.count()
     scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     lr = LogisticRegression(featuresCol="_scaled", labelCol="label", maxIter=max_iter,
@@ -151,7 +115,7 @@ def probe_lreg(train: DataFrame, seed: int = 0, cs: Sequence[float] = tuple(np.l
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n, 1)) for c in cs]).build()
     # the grid's fits are independent Spark jobs: run a few at a time
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label"),
+                        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
                         parallelism=min(4, len(grid)))
     return cv.fit(_vec(train).withColumn("label", F.col("label").cast("double")))
 
@@ -172,11 +136,25 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- H4
 
-def run_probes(features: DataFrame, seed: int = 0, gbrt_only: bool = False,
-               lreg_cs: Sequence[float] = tuple(np.logspace(-4, 4, 10)), folds: int = 5,
-               gbrt_iter: int = 100) -> DataFrame:
-    """H4: per task, fit on ``split = 'train'`` and score train and everything else as
-    ``test``; six metrics per (task, model, split) as long rows.
+#: Fits on a train split; the result adds ``score`` and ``pred`` to any feature set.
+Fitter = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+SCORE_COLUMNS = ("task_name", "model", "split", "sample_id", "label", "score", "pred")
+
+
+def standard_fitters(seed: int = 0, gbrt_only: bool = False, lreg_cs: Sequence[float] = tuple(np.logspace(-4, 4, 10)),
+                     folds: int = 5, gbrt_iter: int = 100) -> dict[str, Fitter]:
+    """H2 and H3 as fitters for :func:`score_probes`."""
+    out: dict[str, Fitter] = {"gbrt": lambda train: partial(predict, probe_gbrt(train, seed, gbrt_iter))}
+    if not gbrt_only:
+        out["lreg"] = lambda train: partial(predict, probe_lreg(train, seed, lreg_cs, folds))
+    return out
+
+
+def score_probes(features: DataFrame, path: str, fitters: dict[str, Fitter]) -> DataFrame:
+    """H4 up to the metrics: the score table (:data:`SCORE_COLUMNS`), written to ``path`` and read
+    back. Per task every model is fitted on ``split = 'train'`` and applied once to every row;
+    everything that is not train counts as ``test``.
 
     The label gate (F14) decides first: ``skip`` tasks are left out, ``error`` raises.
     """
@@ -184,24 +162,29 @@ def run_probes(features: DataFrame, seed: int = 0, gbrt_only: bool = False,
     errors = [r.task_name for r in gate if r.status == "error"]
     if errors:
         raise ValueError(f"label gate failed for tasks {errors}")
-    parts = []
-    for row in sorted(gate, key=lambda r: r.task_name):
-        if row.status != "ok":
-            continue
-        ds = features.filter(F.col("task_name") == row.task_name)
+    kinds = features.select("task_name", F.lit("").alias("model"), "split", "sample_id", "label",
+                            F.lit(0.0).alias("score"), F.lit(0).alias("pred"))
+    kinds.limit(0).write.parquet(path)
+    for task in sorted(r.task_name for r in gate if r.status == "ok"):
+        ds = features.filter(F.col("task_name") == task)
         ds = ds.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
-        train = ds.filter(F.col("split") == "train")
-        models = {"gbrt": probe_gbrt(train, seed, gbrt_iter)}
-        if not gbrt_only:
-            models["lreg"] = probe_lreg(train, seed, lreg_cs, folds)
-        for name, model in models.items():
-            scored = predict(model, ds)
-            wide = evaluate(scored, ["task_name", "split"]).withColumn("model", F.lit(name))
-            parts.append(results_long(wide))
-    if not parts:
-        return features.sparkSession.createDataFrame(
-            [], "task_name string, model string, split string, metric string, value double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for name, fit in fitters.items():
+            scored = fit(ds.filter(F.col("split") == "train"))(ds).withColumn("model", F.lit(name))
+            scored.select(*[F.col(c).cast(kinds.schema[c].dataType) for c in SCORE_COLUMNS]) \
+                .write.mode("append").parquet(path)
+    return features.sparkSession.read.schema(kinds.schema).parquet(path)
+
+
+def probe_results(scores: DataFrame) -> DataFrame:
+    """H4, the metrics: six per (task, model, split) as long rows, from one reading of the score
+    table."""
+    return results_long(evaluate(scores, ["task_name", "model", "split"]))
+
+
+def run_probes(features: DataFrame, seed: int = 0, gbrt_only: bool = False,
+               lreg_cs: Sequence[float] = tuple(np.logspace(-4, 4, 10)), folds: int = 5,
+               gbrt_iter: int = 100, path: str | None = None) -> DataFrame:
+    """H4: :func:`score_probes` with H2 and H3, then :func:`probe_results`. The score table stays
+    at ``path`` (default: a new folder below the scratch root)."""
+    fitters = standard_fitters(seed, gbrt_only, lreg_cs, folds, gbrt_iter)
+    return probe_results(score_probes(features, path or scratch_path(features.sparkSession, "scores"), fitters))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqlake.operators import labels as LB
 from seqlake.operators import probes as PR
 from seqlake.plans.fixtures import (batch_log, derived_path, probe_features, round6, table)
+from seqlake.plans.q_probe import _results_sql
 from seqlake.plans.registry import query
 from seqlake.session import scratch_path
 from seqlake.sources import delta_store as DS
@@ -131,6 +132,64 @@ def q_run_probes(spark, sf):
     return round6(PR.run_probes(probe_features(spark, sf), seed=0))
 
 
+def _centroid(train):
+    """A probe in closed form, as a user would pass one: the nearer class mean. The means are two
+    numbers per dimension."""
+    means = {(r.label, r.i): r.m for r in train.select("label", F.posexplode("feature").alias("i", "v"))
+             .groupBy("label", "i").agg(F.avg("v").alias("m")).collect()}
+    dims = 1 + max(i for _, i in means)
+
+    def apply(df):
+        def far(label):
+            mean = F.array(*[F.lit(means[label, i]) for i in range(dims)])
+            return F.aggregate(F.zip_with("feature", mean, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x)
+
+        out = df.withColumn("score", far(0) - far(1))
+        return out.withColumn("pred", (F.col("score") > 0).cast("int"))
+    return apply
+
+
+_CENTROID = """
+feat AS (SELECT 'task' || CAST(label // 5 AS VARCHAR) AS task_name, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END
+           AS split, vec_id AS sample_id, label % 2 AS label, embedding FROM embeddings),
+x AS (SELECT task_name, split, sample_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM feat, range(1, 65) r(i)),
+mean AS (SELECT task_name, label AS k, i, avg(v) AS m FROM x WHERE split = 'train' GROUP BY ALL),
+far AS (SELECT task_name, split, sample_id, label, k, sum((v - m) * (v - m)) AS d FROM x JOIN mean USING (task_name, i)
+        GROUP BY ALL),
+sc AS (SELECT task_name, split, sample_id, label, sum(CASE k WHEN 0 THEN d ELSE -d END) AS score FROM far GROUP BY ALL),
+scp AS (SELECT *, task_name AS lang, CAST(score > 0 AS INTEGER) AS pred FROM sc)"""
+
+
+@query("score_probes", f"WITH {_CENTROID} SELECT task_name, 'centroid' AS model, split, sample_id, label, "
+                       f"round(score, 6) AS score, pred FROM scp")
+def q_score_probes(spark, sf):
+    """H4 up to the score table, with a probe that SQL can fit, too."""
+    return round6(PR.score_probes(probe_features(spark, sf), scratch_path(spark, "scores"), {"centroid": _centroid}))
+
+
+@query("probe_results", f"WITH {_CENTROID}, {_results_sql('scp', 'centroid')} "
+                        f"SELECT task_name, model, split, metric, round(value, 6) AS value FROM res")
+def q_probe_results(spark, sf):
+    """H4, the six metrics of that probe from its score table."""
+    return round6(PR.probe_results(PR.score_probes(probe_features(spark, sf), scratch_path(spark, "scores"),
+                                                   {"centroid": _centroid})))
+
+
+@query("probe_score_checks", """
+SELECT 'task' || CAST(label // 5 AS VARCHAR) AS task_name, m.model, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END
+    AS split, count(*) AS n, count(*) AS n_probabilities, count(*) AS n_decided_by_score,
+  count(*) FILTER (WHERE label % 2 = 1) AS n_positive
+FROM embeddings, (SELECT unnest(['gbrt', 'lreg']) AS model) m GROUP BY ALL""")
+def q_probe_score_checks(spark, sf):
+    """H2, H3 and H4 with the fitted models, as far as SQL can follow: every sample is scored once
+    by either, with a probability that decides its prediction."""
+    scores = PR.score_probes(probe_features(spark, sf), scratch_path(spark, "scores"), PR.standard_fitters(seed=0))
+    return scores.groupBy("task_name", "model", "split").agg(
+        F.count("*").alias("n"), F.count_if(F.col("score").between(0, 1)).alias("n_probabilities"),
+        F.count_if((F.col("score") > 0.5) == (F.col("pred") == 1)).alias("n_decided_by_score"),
+        F.count_if(F.col("label") == 1).alias("n_positive"))
+
+
 @query("stream_throughput", r"""
 WITH blog AS (SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(round(value) AS BIGINT) AS n_tokens FROM events),
 per AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_batches,
