@@ -8,11 +8,14 @@ threshold; a line goes when its class has an earlier line or matches an earlier
   counters). Any total order of the words gives exact results; how rare words come out only
   decides how many candidates there are. A counter of 1 proves that a word occurs in one line.
 * Prefix filter: two matching lines share a word among the first ``n - ceil(t n) + 1`` words of
-  each. Length filter, positional filter, and an upper bound of the overlap from 128-bit word
-  parity marks and from the number of shared prefix words. None of them loses a match.
+  each. Length filter, positional filter, and an upper bound of the overlap from word parity
+  marks (128 bits, and for lines over ``WIDE_FROM`` words as many as they need) and from the number
+  of shared prefix words. None of them loses a match.
 * Groups of near copies of one line would give quadratically many pairs. So each class is first
   compared with the earliest class under its rarest frequent prefix words; where one verifies,
-  the class is settled, and pairs of settled classes are not looked at again.
+  the class is settled. Further pairs are looked for only where the class that may be the later
+  one is not settled, and of those the most promising one of each class is verified first: whole
+  sets travel for one pair per class, and for the other pairs of classes that this leaves open.
 """
 
 from __future__ import annotations
@@ -33,9 +36,25 @@ from seqlake.llm.near_dedup import verify
 COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any size of the corpus)
 FREQUENT = 64          # lines from which a prefix word's earliest class is tried first
 TRIED = 2              # so many of a line's frequent prefix words, rarest first, are tried
+WIDE_FROM = 192        # words from which 128 parity bits say too little
 
 CLASS_SCHEMA = ("cls bigint, row_key bigint, doc_id bigint, line int, n int, mark0 bigint, "
-                "mark1 bigint, prefix array<int>, frequent array<int>")
+                "mark1 bigint, prefix array<int>, frequent array<int>, wide array<bigint>")
+
+
+def _wide_marks(flat: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Parity marks of the lines over ``WIDE_FROM`` words, null for the others: a power of two of
+    bits, four to eight per word."""
+    marks = []
+    for i in range(len(n)):
+        if n[i] <= WIDE_FROM:
+            marks.append(None)
+            continue
+        bits = 4 << int(n[i] - 1).bit_length()
+        own = np.bincount((flat[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.int64) & (bits - 1),
+                          minlength=bits) & 1
+        marks.append(np.packbits(own.astype(np.uint8)).view(np.int64))
+    return pa.array(marks, pa.list_(pa.int64()))
 
 
 def _line_sets(texts: list[str | None]):
@@ -109,7 +128,8 @@ def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, threshold: i
                 [pa.array(cls[full].view(np.int64)), pa.array(keys[first + doc[full]]),
                  ids.take(pa.array(first + doc[full])), pa.array(line[full], pa.int32()),
                  pa.array(n[full], pa.int32()), pa.array(parity[0, full].view(np.int64)),
-                 pa.array(parity[1, full].view(np.int64)), prefix, frequent],
+                 pa.array(parity[1, full].view(np.int64)), prefix, frequent,
+                 _wide_marks(flat, np.append(bounds[:-1][full], bounds[-1]), n[full])],
                 names=[c.split()[0] for c in CLASS_SCHEMA.split(", ")])
 
 
@@ -171,7 +191,8 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stored(lines.groupBy("cls").agg(
         F.min(F.struct("doc_id", "row_key", "line")).alias("place"), F.max("n").alias("n"),
         F.max("mark0").alias("mark0"), F.max("mark1").alias("mark1"),
-        F.any_value("prefix").alias("prefix"), F.any_value("frequent").alias("frequent")), "lines")
+        F.any_value("prefix").alias("prefix"), F.any_value("frequent").alias("frequent"),
+        F.any_value("wide").alias("wide")), "lines")
     table.destroy()             # the lines are stored, nothing reads it again
 
     need = f"((({t} * (x.n + y.n)) + {t + 99}) DIV {100 + t})"
@@ -195,19 +216,37 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _verified(spark, src, classes, stored(tried, "tried"), t)
     settled = found.select(F.col("later").alias("cls"), F.lit(True).alias("settled")).distinct()
 
-    # 2. all pairs of which at least one class is not settled
+    # 2. all pairs of which a class that may be the later one is not settled
+    doc = F.coalesce(F.col("place.doc_id"), F.lit(-(1 << 63)))      # a null id sorts first
     rows = classes.join(settled, "cls", "left").select(
-        "cls", "n", "mark0", "mark1", F.col("settled").isNull().alias("open"),
+        "cls", "n", "mark0", "mark1", "wide", doc.alias("doc"), F.col("settled").isNull().alias("open"),
         F.posexplode("prefix").alias("j", "word")).filter("word IS NOT NULL")
     x, y = rows.alias("x"), rows.alias("y")
     reach = f"least(x.j, y.j) + least(x.n - x.j, y.n - y.j) >= {need}"
-    pairs = x.join(y, F.expr("x.word = y.word AND x.cls < y.cls AND (x.open OR y.open)") & F.expr(fits)
-                   & F.expr(reach))
-    pairs = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"),
-                          F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n")) \
-                 .agg(F.count(F.lit(1)).alias("shared")).filter(enough).select("a", "b")
-    rest = _verified(spark, src, classes, stored(pairs, "pairs"), t)
-    return classes, found.unionAll(rest)
+    late = "((x.open AND y.doc <= x.doc) OR (y.open AND x.doc <= y.doc))"
+    wide = ("(x.wide IS NULL OR y.wide IS NULL OR size(x.wide) <> size(y.wide) OR (x.n + y.n - aggregate("
+            f"zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)) DIV 2 >= {need})")
+    pairs = x.join(y, F.expr(f"x.word = y.word AND x.cls < y.cls AND {late}") & F.expr(fits)
+                   & F.expr(reach) & F.expr(wide))
+    # the same for all rows of a pair: sizes, and which of the two has to be settled
+    pairs = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.any_value("x.n").alias("x_n"), F.any_value("y.n").alias("y_n"),
+        F.any_value(F.expr("x.open AND y.doc <= x.doc")).alias("for_a"),
+        F.any_value(F.expr("y.open AND x.doc <= y.doc")).alias("for_b")).filter(enough)
+    pairs = stored(pairs.select("a", "b", "for_a", "for_b", (F.col("shared") / (F.col("x_n") + F.col("y_n"))).alias("hope")),
+                   "pairs")
+    ends = pairs.filter("for_a").selectExpr("a AS cls", "a", "b", "hope").unionAll(
+        pairs.filter("for_b").selectExpr("b AS cls", "a", "b", "hope"))
+    best = ends.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("hope", "a", "b")).alias("p"))
+    first = _verified(spark, src, classes, stored(best.select("p.a", "p.b").distinct(), "best"), t)
+    # 3. the other pairs of classes that are still open
+    done = first.select(F.col("later").alias("cls")).distinct()
+    left = pairs.join(best.select("p.a", "p.b").distinct(), ["a", "b"], "left_anti")
+    left = left.join(done.selectExpr("cls AS a", "true AS a_done"), "a", "left") \
+               .join(done.selectExpr("cls AS b", "true AS b_done"), "b", "left") \
+               .filter("(for_a AND a_done IS NULL) OR (for_b AND b_done IS NULL)")
+    rest = _verified(spark, src, classes, stored(left.select("a", "b"), "left"), t)
+    return classes, found.unionAll(first).unionAll(rest)
 
 
 def _verified(spark, src: DataFrame, classes: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
@@ -245,8 +284,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep the same lines. Other columns are passed through; the two new ones are named by the
     caller and must not exist. An empty table gives an empty result.
     """
+    taken = {c.lower() for c in docs.columns}
     for c in (lines_col, removed_col):
-        if c in docs.columns:
+        if c.lower() in taken:
             raise ValueError(f"column {c!r} exists already")
     classes, matches = matching_lines(docs, id_col, text_col, threshold)
     stay = classes.join(matches.select(F.col("later").alias("cls")).distinct(), "cls", "left_anti")
