@@ -226,6 +226,47 @@ def test_line_filters_keep_all_matches(spark):
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == want
 
 
+def test_long_lines_around_the_threshold(spark):
+    """Lines that need wide parity marks, of sizes on both sides of their steps, with few words."""
+    rng = __import__("random").Random(8)
+    rows = []
+    for size in (150, 191, 193, 250, 256, 257, 300, 520, 900):
+        base = [f"w{rng.randrange(1500)}" for _ in range(size)]
+        for k in range(6):
+            line = list(base)
+            for i in rng.sample(range(size), int(size * rng.choice([0.01, 0.03, 0.05, 0.08, 0.1]))):
+                line[i] = f"w{rng.randrange(1500)}"
+            rows.append((len(rows), " ".join(line[:rng.randint(int(size * 0.92), size)])))
+    rng.shuffle(rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_lines(rows, lambda r: r[0])
+    assert 8 < sum(v[1] for v in want.values()) < len(rows) - 8
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == want
+
+
+def test_family_of_near_copies_is_verified_once_per_line(spark, monkeypatch):
+    """Pairs whose whole sets are compared grow with the family, not with its square."""
+    rng = __import__("random").Random(9)
+    rows, seen = [], []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(400):
+        line = list(base)
+        line[rng.randrange(60)] = f"v{i}"
+        rows.append((i, " ".join(line)))
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda s, d, c, pairs, t: (
+        seen.append(pairs.count()), verified(s, d, c, pairs, t))[1])
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sum(r.n_removed for r in got.collect()) == 399
+    assert sum(seen) <= 3 * 400
+
+
+def test_names_that_clash_by_case(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, N_Lines int")
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df)
+
+
 # ---------------------------------------------------------------- personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
