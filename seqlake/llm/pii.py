@@ -1,7 +1,8 @@
 """Personal data by patterns, and terms that disclose it by corpus co-occurrence.
 
-Protected entities are the values found by the patterns (kind and value). With documents as
-the unit, the information content of an entity is ``IC(e) = -log2(df(e) / N)`` and the
+Protected entities are the values found by the patterns (kind and value). With distinct texts as
+the unit (a copy of a document is no further evidence, and neither is a third), the information
+content of an entity is ``IC(e) = -log2(df(e) / N)`` and the
 pointwise mutual information of entity and term ``PMI(e, t) = log2(N df(e, t) / (df(e)
 df(t)))``: how much of the entity the term gives away, wherever the two stand in a document. In
 every document that mentions the entity, a term with ``PMI >= REMOVE * IC`` is to be removed,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm import words
-from seqlake.llm.common import flag_among, maybe_among, row_key, stored
+from seqlake.llm.common import flag_among, maybe_among, stored
 
 ALPHA = 0.05        # chance that an entity gets any term by coincidence
 TERMS = 4096        # terms per row
@@ -220,14 +221,23 @@ def _significant(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
         yield batch.select(range(4, batch.num_columns)).filter(pa.array(keep, pa.bool_()))
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """``row_key, text``, every text once. Only texts that may have a copy are shuffled (and
+    each task sends one of its copies); the others stay where they are."""
+    copied = texts.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    flagged = flag_among(texts, "row_key", stored(copied.select("row_key"), "copied"), "_copied")
+    return flagged.filter("NOT _copied").select("row_key", "text").unionAll(
+        flagged.filter("_copied").groupBy("row_key").agg(F.first("text").alias("text")))
+
+
+def disclosing_terms(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """``row_key, term, share``: the terms of each text whose mutual information with one of its
     entities is at least ``GENERALISE`` of the entity's information; ``share`` is that part.
 
     Entities of the same documents have the same figures and are handled as one ``group``, so a
-    list of many addresses that comes twice is counted once.
+    list of many addresses that comes twice is counted once. ``texts`` are the ``n`` distinct
+    texts that the figures are about.
     """
-    n = texts.count()
     mention = found.select("row_key", "n_terms", F.explode("entities").alias("entity"))
 
     def total(seed: int):
@@ -270,15 +280,16 @@ def sanitise_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: st
     terms to remove (``removed``) and to generalise (``term``). ``base_sha256`` is over the
     patterns' spans alone. ``sanitised`` is the whole text after :func:`sanitised` on these spans.
 
-    Defined cases: null and empty texts have no spans and stay. Statistics count every row,
-    repeated ones too. A null id is kept. Rows that share an id and a text are marked alike.
-    Other columns are not read. An empty table gives an empty result.
+    Defined cases: null and empty texts have no spans and stay. Statistics count every distinct
+    text once, so copies neither add nor take away a span. A null id is kept. Rows that share a
+    text are marked alike. Other columns are not read. An empty table gives an empty result.
     """
-    src = docs.select(row_key(id_col, text_col).alias("row_key"),
+    src = docs.select(F.xxhash64(F.col(text_col)).alias("row_key"),
                       F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(src.select("row_key", "text").mapInArrow(
+    once = distinct_texts(src.select("row_key", "text"))
+    found = stored(once.mapInArrow(
         _find, "row_key bigint, entities array<bigint>, n_terms bigint, terms array<bigint>"), "found")
-    per = disclosing_terms(found, src.select("text")).groupBy("row_key").agg(
+    per = disclosing_terms(found, once.select("text"), src.select("row_key").distinct().count()).groupBy("row_key").agg(
         F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"),
         F.collect_set(F.when(F.col("share") < REMOVE, F.col("term"))).alias("general"))
     per = stored(per, "terms")

@@ -383,6 +383,22 @@ def test_disclosing_terms_anywhere_in_two_documents(spark):
     assert "zorblaxa" in want[3][0] and "zorblaxc" in want[7][1] and not any(want[130])
 
 
+def test_copies_are_no_evidence(spark):
+    """Copies of documents, with and without entities, change no mark and earn none themselves."""
+    rows = private_rows()
+    own = [(500 + i, f"alone{i} once{i} with g{i}@h.org", "x") for i in range(3)]
+    rows += own
+    copies = [(1000 + 10 * k + i, rows[i][1], "y") for i in (3, 7, 0, 120) for k in range(5)]
+    copies += [(2000 + 10 * k + i, r[1], "y") for i, r in enumerate(own) for k in range(1 + 3 * i)]
+    got = pii.find_personal_data(spark.createDataFrame(rows + copies, "doc_id bigint, text string, x string")).collect()
+    marks = dict(zip([r[1] for r in rows], brute_marks(rows)))
+    texts = {r[0]: r[1] for r in rows + copies}
+    assert len(got) == len(texts)
+    for r in got:
+        assert marked(r, texts[r["doc_id"]]) == marks[texts[r["doc_id"]]]
+    assert not any(marks[r[1]][k] for r in own for k in range(2)) and any(marks[rows[3][1]])
+
+
 def test_sanitised_texts(spark):
     rows = private_rows() + [(900, None, "x"), (901, "", "x"), (902, "Tél\U0001f600 +1 555 010 9999, x@y.z", "x")]
     got = {r["doc_id"]: r for r in pii.sanitise_personal_data(
