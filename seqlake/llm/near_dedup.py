@@ -335,7 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one of the smallest id.
-    All columns stay as they are. Rows repeated in every column stay once."""
+    All columns stay as they are. Rows that share id and text are one document: one row of it
+    stays, whichever is met first if they differ in other columns."""
     found = near_duplicates(docs, id_col, text_col, shingle, threshold)
     key = "_key"
     while key in docs.columns:

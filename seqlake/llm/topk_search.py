@@ -23,6 +23,7 @@ from seqlake.llm.vectors import matrix, usable
 SHARD = 8192          # candidates per tree
 MIN_SHARDS = 12       # so that small tables keep all executors busy too
 LEAF = 256            # candidates per leaf
+MOST = 2.0 ** 500     # components beyond it count as it: their products exceed a long anyhow
 QUERY_BLOCK = 4096    # queries that one task answers over one tree
 
 
@@ -60,16 +61,34 @@ class KDTree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
+EXACT = float(1 << 53)      # products up to which doubles hold every integer
+LONG = (1 << 63) - 1
+
+
+def _whole_scores(x: np.ndarray, q: list[int]) -> np.ndarray:
+    """Inner products by integers of any size, kept in the range of a long."""
+    scores = (sum(int(a) * b for a, b in zip(row, q)) for row in x.tolist())
+    return np.array([max(-LONG, min(LONG, s)) for s in scores], dtype=np.int64)
+
+
 def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int,
            floor: np.ndarray) -> list[tuple[int, int, int]]:
     """``(query_id, vec_id, score)`` of each query's ``k`` best candidates of the tree that can
-    be among its ``k`` best overall: ``floor`` is a score its k-th best is known to reach."""
+    be among its ``k`` best overall: ``floor`` is a score its k-th best is known to reach.
+
+    Where products can leave the integers that doubles hold, scores are taken from integers and
+    the bounds get room for their rounding, so that nothing is cut off too early."""
     ids = ids[tree.order]
     bounds = tree.bounds(queries)
+    far = np.abs(queries).sum(1) * max(np.abs(tree.low).max(), np.abs(tree.high).max())
     out = []
     for qi, q in enumerate(queries):
+        large = far[qi] >= EXACT
         least, bound = float(floor[qi]), bounds[qi]
-        best_score, best_id = np.empty(0), np.empty(0, dtype=np.int64)
+        if large:
+            room, whole = far[qi] * 1e-9, [int(v) for v in q.tolist()]
+            least, bound = max(least, -float(LONG)) - room if np.isfinite(least) else -np.inf, bound + room
+        best_score, best_id = np.empty(0, dtype=np.int64 if large else np.float64), np.empty(0, dtype=np.int64)
         heap = [(-bound[0], 0)]
         while heap:
             b, node = heapq.heappop(heap)
@@ -82,7 +101,7 @@ def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.nda
                         heapq.heappush(heap, (-bound[c], c))
                 continue
             start, end = tree.span[node]
-            score = tree.x[start:end] @ q
+            score = _whole_scores(tree.x[start:end], whole) if large else tree.x[start:end] @ q
             hit = np.flatnonzero((score >= least) & (ids[start:end] != query_ids[qi]))
             if len(hit):
                 best_score = np.concatenate((best_score, score[hit]))
@@ -90,7 +109,8 @@ def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.nda
                 top = np.lexsort((best_id, -best_score))[:k]
                 best_score, best_id = best_score[top], best_id[top]
                 if len(top) == k:
-                    least = max(least, float(best_score[-1]))
+                    last = float(best_score[-1])
+                    least = max(least, last - room if large else last)
         out += [(int(query_ids[qi]), int(i), int(s)) for i, s in zip(best_id, best_score)]
     return out
 
@@ -111,7 +131,8 @@ def _search_group(table: pa.Table, k: int) -> pa.Table:
 
 def _quantized(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data = [np.floor(scale * np.frombuffer(v)).tobytes() for v in batch.column(2).to_pylist()]
+        data = [np.clip(np.floor(scale * np.clip(np.frombuffer(v), -MOST, MOST)), -MOST, MOST).tobytes()
+                for v in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())],
                                          names=["vec_id", "dim", "vec"])
 

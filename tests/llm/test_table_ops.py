@@ -107,6 +107,67 @@ def test_top_k(spark, leaf, block, monkeypatch):
     assert topk_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("leaf,size", [(1, 1), (3, 1.0), (8, 1e9), (5, 1e14)])
+def test_tree_search_is_exact(leaf, size, monkeypatch):
+    """Splits, boxes and the best-first walk in this process, where the leaf size is really set;
+    products from small ones to ones beyond the integers that doubles hold and beyond a long."""
+    monkeypatch.setattr(topk_search, "LEAF", leaf)
+    rng = np.random.default_rng(int(size) % 7)
+    x = np.floor(rng.normal(size=(700, 6)) * 40 * size)
+    x[::9] = x[4]                               # repeated vectors: ties go to the smaller id
+    ids = rng.permutation(700)
+    tree = topk_search.KDTree(x)
+    assert len(tree.span) > 700 // leaf // 3 and sorted(tree.order.tolist()) == list(range(700))
+    for (a, b), low, high in zip(tree.span, tree.low, tree.high):
+        assert (tree.x[a:b].min(0) == low).all() and (tree.x[a:b].max(0) == high).all()
+    queries, qids = x[:40], ids[:40]
+    whole = [[int(v) for v in row] for row in x.tolist()]
+    most = (1 << 63) - 1
+    floor = np.full(40, -np.inf)
+    for k in (1, 5):
+        got = defaultdict(list)
+        for q, i, s in topk_search.search(tree, ids, queries, qids, k, floor):
+            got[q].append((i, s))
+        for n, q in enumerate(qids.tolist()):
+            scores = [(-max(-most, min(most, sum(a * b for a, b in zip(whole[n], row)))), int(i))
+                      for row, i in zip(whole, ids) if i != q]
+            assert got[q] == [(i, -s) for s, i in sorted(scores)[:k]]
+            floor[n] = -sorted(scores)[k - 1][0] if k == 1 else floor[n]
+        floor[:] = -np.inf
+
+
+def test_top_k_of_huge_vectors(spark):
+    rows = [(i, [1e12 * (i % 7 - 3), float(i), 1.0]) for i in range(60)] + [(60, [1e300, -1e300, 0.0]), (61, [1e308, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 5 == 0).collect()}
+    most, big = (1 << 63) - 1, 2.0 ** 500
+    q = {i: [int(max(-big, min(big, math.floor(256 * max(-big, min(big, x)))))) for x in v] for i, v in rows}
+    for i in range(0, 60, 5):
+        best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(q[i], w)))), j) for j, w in q.items() if j != i)
+        assert [got[i, r + 1] for r in range(5)] == [(j, -s) for s, j in best[:5]]
+
+
+def test_tiles_and_blocks_of_any_size(monkeypatch):
+    """Blocks in this process, where tile and leading dimensions are really set."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(30, 12))
+    x = np.repeat(centre, 8, axis=0) + rng.normal(size=(240, 12)) * 0.25
+    x[17] = x[3] * 2
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    link = (cos >= 0.9) & ~np.eye(240, dtype=bool)
+    assert 200 < link.sum() < 240 * 60
+    axes = {12: np.linalg.qr(rng.normal(size=(12, 12)))[0]}
+    for tile, lead in ((512, 8), (7, 3), (33, 12)):
+        monkeypatch.setattr(vector_dedup, "TILE", tile)
+        monkeypatch.setattr(vector_dedup, "LEAD", lead)
+        table = pa.table({"cls": np.arange(240), "copies": np.ones(240, np.int64), "dim": np.full(240, 12, np.int32),
+                          "block": np.zeros(240, np.int32), "lo": np.zeros(240, np.int32), "hi": np.zeros(240, np.int32),
+                          "vec": pa.array([v.tobytes() for v in x], pa.binary())})
+        out = vector_dedup._compare(table, axes, 0.9)
+        found = dict(zip(out["cls"].to_pylist(), out["links"].to_pylist()))
+        assert found == {i: int(n) for i, n in enumerate(link.sum(1)) if n}
+
+
 # ---------------------------------------------------------------- archives
 
 def test_archives_round_trip(spark):

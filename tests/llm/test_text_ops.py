@@ -107,8 +107,8 @@ def test_drop_near_duplicates(docs, doc_rows, no_docs):
     sets = {r[0]: shingle_set(r[1], 2) for r in doc_rows}
     ids = sorted(sets)
     comp = union_find(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if similar(sets[a], sets[b])])
-    assert sorted(tuple(r) for r in got.collect()) == sorted({r for r in doc_rows if comp[r[0]] == r[0]}) or \
-        sorted(r[0] for r in got.collect()) == sorted(i for i in ids if comp[i] == i)
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted({r for r in doc_rows if comp[r[0]] == r[0]}, key=repr)
     assert near_dedup.drop_near_duplicates(no_docs).count() == 0
 
 
