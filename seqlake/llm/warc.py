@@ -29,6 +29,7 @@ from seqlake.session import scratch_path
 
 CHUNK = 256 << 10       # bytes of payload per chunk row
 SEGMENT = 32 << 20      # bytes of archive read by one task
+READ_TASKS = 100_000     # tasks that read archives back, at most
 BATCH = 4 << 20         # payload bytes per Arrow batch
 LEAST = 1000            # payloads from this size on are written once
 
@@ -214,9 +215,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def read_archives(segments: DataFrame) -> DataFrame:
     """The chunked record table of the archives: ``CHUNKS``. A record has at least one chunk,
-    an empty one if it has no payload; revisit records have no payload."""
-    spread = segments.repartition(F.col("archive"), F.col("start"))
-    return spread.mapInArrow(_read, CHUNKS)
+    an empty one if it has no payload; revisit records have no payload. One task per segment
+    (several per task beyond ``READ_TASKS`` of them): the number is given, for the rows are so
+    small that adaptive execution would put them all into one task."""
+    tasks = max(1, min(segments.count(), READ_TASKS))
+    return segments.repartition(tasks).mapInArrow(_read, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:

@@ -196,6 +196,17 @@ def test_archives_round_trip(spark):
     assert warc.records(warc.read_archives(warc.write_archives(df.limit(0)))).count() == 0
 
 
+def test_segments_are_read_by_tasks_of_their_own(spark):
+    """Also with adaptive execution, which would put so few rows into one task."""
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(3)], "page_id bigint, url string, html string")
+    one = warc.write_archives(pages.coalesce(1)).first()
+    segments = spark.createDataFrame([tuple(one)] * 37, "archive string, start bigint, length bigint")
+    chunks = warc.read_archives(segments)
+    assert chunks.rdd.getNumPartitions() == 37
+    per = chunks.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per) >= 20 and sum(r["count"] for r in per) == 37 * 3
+
+
 def test_small_chunks_and_segments(tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK", 700)
     monkeypatch.setattr(warc, "SEGMENT", 500)
