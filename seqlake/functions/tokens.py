@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from seqlake.constants import DEFAULT_VOCAB, OTHER_ID, PAD_ID
 
 
+MAX_ID = 78         # chr(48 + 78) is the last printable ASCII character: one byte per id
+
+
 def id_char(i: int) -> str:
+    if not 0 <= i <= MAX_ID:
+        raise ValueError(f"token id {i}: the compact form holds ids from 0 to {MAX_ID}")
     return chr(48 + i)
 
 

@@ -122,7 +122,8 @@ def schedule_log(step_log: DataFrame, lo: float, accumulate: int, epochs: int =
                  every: int = 100) -> DataFrame:
     """Distinct ``floor(10^x)`` for ``num`` evenly spaced exponents ``x`` in
     ``[lo, hi]``; ``hi`` is ``log10(max_step - 1)``, so the last step is ``max_step - 1``, and
-    ``num = max_step // every`` (explicit exponents, see Q8)."""
+    ``num = max_step // every`` (explicit exponents, see Q8). Fewer than ``every`` steps give no
+    row and fewer than ``2 * every`` the first step only, as there is one exponent then."""
     m = step_log.agg(_max_step(F.count(F.lit(1)), accumulate, epochs).alias("m"))
     m = m.filter("m > 1").select("m", F.log10(F.col("m") - 1).alias("hi"),
                  F.floor(F.col("m") / every).cast("int").alias("num"))

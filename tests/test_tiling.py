@@ -120,6 +120,13 @@ def test_tokens(spark):
                      TK.is_all_pad(F.lit("474"))).first() == (True, True, False)
 
 
+def test_ids_beyond_the_compact_form_fail(spark):
+    assert TK.id_char(78) == "~"
+    for bad in (-1, 79, 300):
+        with pytest.raises(ValueError, match="compact form"):
+            TK.tokenize(F.lit("A"), {"A": bad})
+
+
 def test_global_index_equals_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"),
                                      F.col("id").alias("v"))
