@@ -43,17 +43,17 @@ def validate_loss_args(temperature: float, alpha_soft: float, alpha_sim: float =
                        student_state_dims: int = 0, teacher_state_dims: int = 0) -> None:
     """Driver-side checks made before any job is planned."""
     if not temperature > 0:
-        raise ValueError("temperature must be positive")
+        raise ValueError(f"temperature {temperature!r}: logits are divided by it, choose a number above 0")
     if not 0.0 <= alpha_soft <= 1.0:
-        raise ValueError("alpha_soft must be in [0, 1]")
+        raise ValueError(f"alpha_soft {alpha_soft!r}: it is the soft loss's share of 1, choose 0 to 1")
     if alpha_sim < 0:
-        raise ValueError("alpha_sim must be >= 0")
+        raise ValueError(f"alpha_sim {alpha_sim!r}: a negative weight rewards distance, choose 0 (off) or more")
     if (student_state_dims > 0) != (teacher_state_dims > 0):
-        raise ValueError("student and teacher hidden states must be both given or both absent")
+        raise ValueError(f"hidden states of {student_state_dims} and {teacher_state_dims} dimensions: pass those of both models or of neither")
     if student_state_dims != teacher_state_dims:
-        raise ValueError("student and teacher hidden states must have the same width")
+        raise ValueError(f"hidden states of {student_state_dims} and {teacher_state_dims} dimensions cannot be compared: project one side first")
     if alpha_sim > 0 and student_state_dims == 0:
-        raise ValueError("alpha_sim > 0 needs hidden states")
+        raise ValueError(f"alpha_sim {alpha_sim!r} weighs hidden states, but none are given: pass them or set it to 0")
 
 
 # ---------------------------------------------------------------- B3, B4, D3, E4

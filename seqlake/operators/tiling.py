@@ -27,7 +27,7 @@ def split_filter(intervals: DataFrame, split: str, strict: bool = False) -> Data
     """B1: rows of one split. ``strict`` fails when none is left (one tiny job)."""
     out = intervals.filter(F.col("split") == F.lit(split))
     if strict and not out.limit(1).count():
-        raise ValueError(f"no data found for split {split!r}")
+        raise ValueError(f"no interval belongs to split {split!r}: is it spelled as in the interval file?")
     return out
 
 

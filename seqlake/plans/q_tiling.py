@@ -9,7 +9,7 @@ from seqlake.operators import indexing as IX
 from seqlake.operators import tiling as TL
 from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bad_intervals,
                                     bed_file, chunk_table, contig_length_table, contig_sequences,
-                                    fasta_file, fasta_index)
+                                    fasta_file, fasta_index, whole_intervals)
 from seqlake.plans.registry import query
 from seqlake.sources.bed import bed_scan
 from seqlake.sources.fasta import contig_lengths, fasta_scan
@@ -28,6 +28,14 @@ IV = f"""iv AS (
   FROM (SELECT doc_id, unnest(range(0, n_chars // {SEGMENT})) AS k
         FROM documents WHERE n_chars >= {SEGMENT}))"""
 
+# every character of every document: the last segment may run past the end
+IV_WHOLE = f"""iv AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS chr_name, CAST(k * {SEGMENT} AS BIGINT) AS start,
+         CAST(k * {SEGMENT} + {SEGMENT} AS BIGINT) AS "end",
+         CASE WHEN doc_id % 10 = 8 THEN 'valid' WHEN doc_id % 10 = 9 THEN 'test'
+              ELSE 'train' END AS split
+  FROM (SELECT doc_id, unnest(range(0, (n_chars + {SEGMENT - 1}) // {SEGMENT})) AS k FROM documents))"""
+
 SEQS = """seqs AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS contig,
          regexp_replace(text, '[^A-Za-z]', 'N', 'g') AS seq FROM documents)"""
@@ -40,7 +48,7 @@ TILES = f"""tiles AS (
 
 TILE_SEQ = f"""tseq AS (
   SELECT tiles.*, substring(seqs.seq, CAST(tiles.start + 1 AS BIGINT), {TILE}) AS seq
-  FROM tiles JOIN seqs ON seqs.contig = tiles.chr_name)"""
+  FROM tiles JOIN seqs ON seqs.contig = tiles.chr_name WHERE tiles.start < length(seqs.seq))"""
 
 
 def _tok_sql(x: str) -> str:
@@ -79,8 +87,15 @@ def _tiles(spark, sf):
     return TL.tile(_intervals(spark, sf), TILE, SEGMENT)
 
 
+def _whole_tiles(spark, sf):
+    """The tiles that hold a character of a document; the last one may run past its end."""
+    tiles = TL.tile(bed_scan(spark, bed_file(spark, sf, whole_intervals)), TILE, SEGMENT)
+    lens = contig_length_table(spark, sf)
+    return TL.contig_bounds(tiles, lens).filter("start < contig_len").drop("contig_len")
+
+
 def _tile_seqs(spark, sf):
-    return TL.tile_sequence(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP,
+    return TL.tile_sequence(_whole_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP,
                             tile_len=TILE)
 
 
@@ -190,7 +205,7 @@ def q_interval_contract(spark, sf):
 # ---------------------------------------------------------------- C1, E1, E2, E3, B5
 
 @query("tile_sequence", f"""
-WITH {IV}, {SEQS}, {TILES}, {TILE_SEQ}
+WITH {IV_WHOLE}, {SEQS}, {TILES}, {TILE_SEQ}
 SELECT chr_name, tile_idx, start, "end", seq FROM tseq
 """)
 def q_tile_sequence(spark, sf):
@@ -198,21 +213,21 @@ def q_tile_sequence(spark, sf):
 
 
 @query("tokenize", f"""
-WITH {IV}, {SEQS}, {TILES}, {TILE_SEQ}
+WITH {IV_WHOLE}, {SEQS}, {TILES}, {TILE_SEQ}
 SELECT chr_name, start, "end", {_tok_sql("seq")} AS ids FROM tseq
 """)
 def q_tokenize(spark, sf):
-    t = TL.tile_tokens(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE,
+    t = TL.tile_tokens(_whole_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE,
                        n_as_pad=False)
     return t.select("chr_name", "start", "end", "ids")
 
 
 @query("n_to_pad", f"""
-WITH {IV}, {SEQS}, {TILES}, {TILE_SEQ}
+WITH {IV_WHOLE}, {SEQS}, {TILES}, {TILE_SEQ}
 SELECT chr_name, start, translate({_tok_sql("seq")}, ';', '4') AS ids FROM tseq
 """)
 def q_n_to_pad(spark, sf):
-    t = TL.tile_tokens(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
+    t = TL.tile_tokens(_whole_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
     return t.select("chr_name", "start", "ids")
 
 
@@ -229,13 +244,13 @@ def q_pad_truncate(spark, sf):
 
 
 @query("reject_all_pad", f"""
-WITH {IV}, {SEQS}, {TILES}, {TILE_SEQ},
+WITH {IV_WHOLE}, {SEQS}, {TILES}, {TILE_SEQ},
 k AS (SELECT split, replace(translate({_tok_sql("seq")}, ';', '4'), '4', '') = '' AS bad FROM tseq)
 SELECT split, count(*) FILTER (WHERE NOT bad) AS n_kept, count(*) FILTER (WHERE bad) AS n_rejected
 FROM k GROUP BY split
 """)
 def q_reject_all_pad(spark, sf):
-    t = TL.tile_tokens(_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
+    t = TL.tile_tokens(_whole_tiles(spark, sf), chunk_table(spark, sf), CHUNK, OVERLAP, TILE)
     # kept and quarantined counted in one pass over the flagged tiles
     flagged = TL.flag_all_pad(t, "ids")
     return flagged.groupBy("split").agg(F.count_if(~F.col("all_pad")).alias("n_kept"),

@@ -15,7 +15,7 @@ from seqlake.plans import sqlgen as Q
 from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bad_intervals, bed_file,
                                     contig_length_table, intervals, round6, table, token_chunk_table,
                                     whole_intervals)
-from seqlake.plans.q_tiling import BAD_IV, SEQS, TRAIN_IDX
+from seqlake.plans.q_tiling import BAD_IV, IV_WHOLE, SEQS, TRAIN_IDX
 from seqlake.plans.registry import query
 from seqlake.session import scratch_path
 from seqlake.sources import delta_store as DS
@@ -42,13 +42,6 @@ def _count_sql(ids: str, ch: str) -> str:
     return f"(length({ids}) - length(replace({ids}, '{ch}', '')))"
 
 
-IV_WHOLE = f"""iv AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS chr_name, CAST(k * {SEGMENT} AS BIGINT) AS start,
-         CAST(k * {SEGMENT} + {SEGMENT} AS BIGINT) AS "end",
-         CASE WHEN doc_id % 10 = 8 THEN 'valid' WHEN doc_id % 10 = 9 THEN 'test'
-              ELSE 'train' END AS split
-  FROM (SELECT doc_id, unnest(range(0, (n_chars + {SEGMENT - 1}) // {SEGMENT})) AS k FROM documents))"""
-
 _IDS_SQL = f"""translate(translate(regexp_replace(translate(substring(seqs.seq, CAST(start + 1 AS BIGINT), {TILE}),
                    'acgtn', 'ACGTN'), '[^ACGNT]', '6', 'g'), 'ACGTN', '789:;'), ';', '4')"""
 
