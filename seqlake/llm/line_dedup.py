@@ -37,6 +37,7 @@ COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any siz
 FREQUENT = 64          # lines from which a prefix word's earliest class is tried first
 TRIED = 2              # so many of a line's frequent prefix words, rarest first, are tried
 WIDE_FROM = 192        # words from which 128 parity bits say too little
+WIDE_LONGS = 16        # 64-bit words of the longer marks that are compared at most
 
 CLASS_SCHEMA = ("cls bigint, row_key bigint, doc_id bigint, line int, n int, mark0 bigint, "
                 "mark1 bigint, prefix array<int>, frequent array<int>, wide array<bigint>")
@@ -44,13 +45,13 @@ CLASS_SCHEMA = ("cls bigint, row_key bigint, doc_id bigint, line int, n int, mar
 
 def _wide_marks(flat: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> pa.ListArray:
     """Parity marks of the lines over ``WIDE_FROM`` words, null for the others: a power of two of
-    bits, four to eight per word."""
+    bits, one to two per word up to ``64 * WIDE_LONGS``."""
     marks = []
     for i in range(len(n)):
         if n[i] <= WIDE_FROM:
             marks.append(None)
             continue
-        bits = 4 << int(n[i] - 1).bit_length()
+        bits = min(1 << int(n[i] - 1).bit_length(), 64 * WIDE_LONGS)
         own = np.bincount((flat[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.int64) & (bits - 1),
                           minlength=bits) & 1
         marks.append(np.packbits(own.astype(np.uint8)).view(np.int64))
@@ -224,8 +225,11 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     x, y = rows.alias("x"), rows.alias("y")
     reach = f"least(x.j, y.j) + least(x.n - x.j, y.n - y.j) >= {need}"
     late = "((x.open AND y.doc <= x.doc) OR (y.open AND x.doc <= y.doc))"
-    wide = ("(x.wide IS NULL OR y.wide IS NULL OR size(x.wide) <> size(y.wide) OR (x.n + y.n - aggregate("
-            f"zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)) DIV 2 >= {need})")
+    # written out, as a lambda would keep the join from being compiled
+    differ = " + ".join(f"bit_count(coalesce(get(x.wide, {i}), 0L) ^ coalesce(get(y.wide, {i}), 0L))"
+                        for i in range(WIDE_LONGS))
+    wide = ("(x.wide IS NULL OR y.wide IS NULL OR size(x.wide) <> size(y.wide) OR "
+            f"(x.n + y.n - ({differ})) DIV 2 >= {need})")
     pairs = x.join(y, F.expr(f"x.word = y.word AND x.cls < y.cls AND {late}") & F.expr(fits)
                    & F.expr(reach) & F.expr(wide))
     # the same for all rows of a pair: sizes, and which of the two has to be settled
