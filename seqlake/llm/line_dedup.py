@@ -9,8 +9,8 @@ threshold; a line goes when its class has an earlier line or matches an earlier
   decides how many candidates there are. A counter of 1 proves that a word occurs in one line.
 * Prefix filter: two matching lines share a word among the first ``n - ceil(t n) + 1`` words of
   each. Length filter, positional filter, and an upper bound of the overlap from word parity
-  marks (128 bits, and for lines over ``WIDE_FROM`` words as many as they need) and from the number
-  of shared prefix words. None of them loses a match.
+  marks (128 bits, 512 for lines over ``WIDE_FROM`` words) and from the number of shared prefix
+  words. None of them loses a match.
 * Groups of near copies of one line would give quadratically many pairs. So each class is first
   compared with the earliest class under its rarest frequent prefix words; where one verifies,
   the class is settled. Further pairs are looked for only where the class that may be the later
@@ -37,25 +37,23 @@ COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any siz
 FREQUENT = 64          # lines from which a prefix word's earliest class is tried first
 TRIED = 2              # so many of a line's frequent prefix words, rarest first, are tried
 WIDE_FROM = 192        # words from which 128 parity bits say too little
-WIDE_LONGS = 16        # 64-bit words of the longer marks that are compared at most
+WIDE_LONGS = 8         # 64-bit words of their longer marks, which tell lines of up to about 1,000 apart
 
 CLASS_SCHEMA = ("cls bigint, row_key bigint, doc_id bigint, line int, n int, mark0 bigint, "
-                "mark1 bigint, prefix array<int>, frequent array<int>, wide array<bigint>")
+                "mark1 bigint, prefix array<int>, frequent array<int>, "
+                "wide struct<w0:bigint,w1:bigint,w2:bigint,w3:bigint,w4:bigint,w5:bigint,w6:bigint,w7:bigint>")
 
 
-def _wide_marks(flat: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    """Parity marks of the lines over ``WIDE_FROM`` words, null for the others: a power of two of
-    bits, one to two per word up to ``64 * WIDE_LONGS``."""
-    marks = []
-    for i in range(len(n)):
-        if n[i] <= WIDE_FROM:
-            marks.append(None)
-            continue
-        bits = min(1 << int(n[i] - 1).bit_length(), 64 * WIDE_LONGS)
-        own = np.bincount((flat[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.int64) & (bits - 1),
-                          minlength=bits) & 1
-        marks.append(np.packbits(own.astype(np.uint8)).view(np.int64))
-    return pa.array(marks, pa.list_(pa.int64()))
+def _wide_marks(flat: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> pa.StructArray:
+    """512 parity marks of the lines over ``WIDE_FROM`` words, null for the others."""
+    marks = np.zeros((len(n), WIDE_LONGS), dtype=np.int64)
+    long = n > WIDE_FROM
+    for i in np.flatnonzero(long).tolist():
+        own = (flat[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.int64) & (64 * WIDE_LONGS - 1)
+        odd = np.bincount(own, minlength=64 * WIDE_LONGS) & 1
+        marks[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(marks[:, k]) for k in range(WIDE_LONGS)],
+                                      names=[f"w{k}" for k in range(WIDE_LONGS)], mask=pa.array(~long))
 
 
 def _line_sets(texts: list[str | None]):
@@ -225,11 +223,8 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     x, y = rows.alias("x"), rows.alias("y")
     reach = f"least(x.j, y.j) + least(x.n - x.j, y.n - y.j) >= {need}"
     late = "((x.open AND y.doc <= x.doc) OR (y.open AND x.doc <= y.doc))"
-    # written out, as a lambda would keep the join from being compiled
-    differ = " + ".join(f"bit_count(coalesce(get(x.wide, {i}), 0L) ^ coalesce(get(y.wide, {i}), 0L))"
-                        for i in range(WIDE_LONGS))
-    wide = ("(x.wide IS NULL OR y.wide IS NULL OR size(x.wide) <> size(y.wide) OR "
-            f"(x.n + y.n - ({differ})) DIV 2 >= {need})")
+    differ = " + ".join(f"bit_count(x.wide.w{i} ^ y.wide.w{i})" for i in range(WIDE_LONGS))
+    wide = f"(x.wide IS NULL OR y.wide IS NULL OR (x.n + y.n - ({differ})) DIV 2 >= {need})"
     pairs = x.join(y, F.expr(f"x.word = y.word AND x.cls < y.cls AND {late}") & F.expr(fits)
                    & F.expr(reach) & F.expr(wide))
     # the same for all rows of a pair: sizes, and which of the two has to be settled
