@@ -36,7 +36,7 @@ from seqlake.llm.near_dedup import verify
 COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any size of the corpus)
 FREQUENT = 64          # lines from which a prefix word's earliest class is tried first
 TRIED = 2              # so many of a line's frequent prefix words, rarest first, are tried
-WIDE_FROM = 192        # words from which 128 parity bits say too little
+WIDE_FROM = 256        # words from which 128 parity bits say too little
 WIDE_LONGS = 8         # 64-bit words of their longer marks, which tell lines of up to about 1,000 apart
 
 CLASS_SCHEMA = ("cls bigint, row_key bigint, doc_id bigint, line int, n int, mark0 bigint, "
