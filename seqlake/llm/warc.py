@@ -215,11 +215,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def read_archives(segments: DataFrame) -> DataFrame:
     """The chunked record table of the archives: ``CHUNKS``. A record has at least one chunk,
-    an empty one if it has no payload; revisit records have no payload. One task per segment
-    (several per task beyond ``READ_TASKS`` of them): the number is given, for the rows are so
-    small that adaptive execution would put them all into one task."""
+    an empty one if it has no payload; revisit records have no payload. As many tasks as
+    segments read them (``READ_TASKS`` at most), dealt by place: the number is given, for the rows
+    are so small that adaptive execution would put them all into one task."""
     tasks = max(1, min(segments.count(), READ_TASKS))
-    return segments.repartition(tasks).mapInArrow(_read, CHUNKS)
+    return segments.repartitionByRange(tasks, "archive", "start").mapInArrow(_read, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
