@@ -90,15 +90,12 @@ def block_positions(df: DataFrame, logits: dict[str, str], ids_col: str = "input
     keep = [c for c in df.columns if c not in (ids_col, "block", *logits.values())]
     width = len(classes)
 
-    def one(i):
-        return F.struct(F.get(ids_col, i).cast("bigint").alias("tok"), *[
-            F.get(column, i * width + j).cast("double").alias(f"{prefix}_c{k}")
-            for prefix, column in logits.items() for j, k in enumerate(classes)])
-
-    n = F.size(ids_col)
-    each = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one))
-    out = df.select(*keep, "block", F.posexplode(each).alias("_i", "_z"))
-    return out.select(*keep, (F.col("block") * F.lit(block) + F.col("_i")).alias("pos"), "_z.*")
+    # the arrays are indexed after the explode, in generated code: no row holds its positions as structs
+    out = df.select(*keep, "block", *logits.values(), F.posexplode(ids_col).alias("_i", "_tok"))
+    return out.select(*keep, (F.col("block") * F.lit(block) + F.col("_i")).alias("pos"),
+                      F.col("_tok").cast("bigint").alias("tok"), *[
+        F.get(column, F.col("_i") * F.lit(width) + F.lit(j)).cast("double").alias(f"{prefix}_c{k}")
+        for prefix, column in logits.items() for j, k in enumerate(classes)])
 
 
 def log_softmax_columns(df: DataFrame, prefix: str, temperature: float = 1.0,

@@ -28,6 +28,8 @@ from seqlake.operators.labels import label_gate
 from seqlake.operators.metrics import evaluate, results_long
 from seqlake.session import scratch_path
 
+OUT_BYTES = 4 << 20             # of position outputs per Arrow batch
+
 
 def score_batches(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
                   input_col: str, width: int, output_col: str = "score",
@@ -56,11 +58,20 @@ def score_token_positions(df: DataFrame, make_predict_fn: Callable[[], Callable[
         T.StructField("block", T.IntegerType()), T.StructField("input_ids", T.ArrayType(T.IntegerType())),
         T.StructField("logits", T.ArrayType(T.FloatType()))])
 
-    def lists(values: np.ndarray) -> pa.Array:
-        flat = values.reshape(len(values), int(np.prod(values.shape[1:])))
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate([p.reshape(len(p), int(np.prod(p.shape[1:]))) for p in parts])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]),
                                         pa.array(flat.ravel()))
 
+    def blocks_of(batch: pa.RecordBatch, rows: np.ndarray, x: list[np.ndarray], y: list[np.ndarray],
+                  length: int) -> Iterator[pa.RecordBatch]:
+        kept = [batch.column(c).take(pa.array(rows)) for c in range(len(names))]
+        for b in range(max(-(-length // block), 1)):
+            part = slice(b * block, (b + 1) * block)
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.full(len(rows), b, dtype=np.int32)), lists([v[:, part] for v in x]),
+                 lists([v[:, part] for v in y])], names=[*names, "block", "input_ids", "logits"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make_predict_fn()
         for batch in batches:
@@ -68,19 +79,18 @@ def score_token_positions(df: DataFrame, make_predict_fn: Callable[[], Callable[
             lens = np.array([len(s) for s in ids])
             for length in np.unique(lens).tolist():
                 rows = np.flatnonzero(lens == length)
+                first, held, xs, ys = 0, 0, [], []      # the model's batches are small: sent on together
                 for i in range(0, len(rows), batch_size):
                     some = rows[i:i + batch_size]
                     x = np.frombuffer("".join(ids[r] for r in some).encode("ascii"), dtype=np.uint8)
                     x = x.reshape(len(some), length).astype(np.int32) - 48
                     y = np.asarray(fn(x), dtype=np.float32) if length else np.empty((len(some), 0, 0), np.float32)
-                    kept = [batch.column(c).take(pa.array(some)) for c in range(len(names))]
-                    for b in range(max(-(-length // block), 1)):
-                        part = slice(b * block, (b + 1) * block)
-                        yield pa.RecordBatch.from_arrays(
-                            [*kept, pa.array(np.full(len(some), b, dtype=np.int32)),
-                             lists(x[:, part]),
-                             lists(y[:, part])],
-                            names=[*names, "block", "input_ids", "logits"])
+                    xs.append(x)
+                    ys.append(y)
+                    held += x.nbytes + y.nbytes
+                    if held >= OUT_BYTES or i + batch_size >= len(rows):
+                        yield from blocks_of(batch, rows[first:i + batch_size], xs, ys, length)
+                        first, held, xs, ys = i + batch_size, 0, [], []
 
     return df.select(*names, ids_col).mapInArrow(run, schema)
 

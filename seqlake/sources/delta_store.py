@@ -105,9 +105,25 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame:
 def conflicts(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The keys stored more than once, with the row that wins (``_last``): the one of the last
     commit, inside a commit the one with the greatest ``order`` columns, then by place."""
-    rows = stored_rows(spark, path)
+    rows, again = stored_rows(spark, path), repeated_keys(spark, path, key)
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
     last = F.max(F.struct("_folder", *order, "_place")).alias("_last")
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), last).filter("_n > 1").drop("_n")
+    return rows.join(again.select(*[F.col(c).alias(f"_key_{c}") for c in key]), same, "left_semi") \
+        .groupBy(*key).agg(last)
+
+
+def repeated_keys(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
+    """The keys stored more than once: a count over the key columns, nothing else is read. They
+    are written once and read back, so that both of their uses cost no second count."""
+    live = _live(spark, path)
+    if not live:
+        raise ValueError(f"{path} has no finished commit")
+    found = scratch_path(spark, "store-repeats")
+    spark.read.parquet(*[f"{path}/data/{r.folder}" for r in live]).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n").write.parquet(found)
+    return spark.read.parquet(found)
 
 
 def read_soft_labels(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -116,12 +132,13 @@ def read_soft_labels(spark: SparkSession, path: str, key: Sequence[str], order:
     The conflicts are found when this is called, by a job that reads key (and ``order``)
     columns only. Without any, the result is a plain scan of the committed files.
     """
-    found = scratch_path(spark, "store-conflicts")
-    conflicts(spark, path, key, order).write.parquet(found)
-    again, rows = spark.read.parquet(found), stored_rows(spark, path)
+    rows = stored_rows(spark, path)
     cols = [c for c in rows.columns if c not in ("_folder", "_place")]
-    if again.isEmpty():
+    if repeated_keys(spark, path, key).isEmpty():
         return rows.select(*cols)
+    found = scratch_path(spark, "store-conflicts")
+    conflicts(spark, path, key, order).write.parquet(found)
+    again = spark.read.parquet(found)
     side = again.select(*[F.col(c).alias(f"_key_{c}") for c in key], "_last")
     same = F.lit(True)
     for c in key:
