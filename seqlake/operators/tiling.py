@@ -132,9 +132,12 @@ def tile_reasons(tile_len: int, segment: int = MAX_ALLOWED_LENGTH, ids_col: str
     checks |= contract_checks(tile_len, segment, None, pad_tail)
     checks |= {"bad_token_count": F.length(ids) != F.lit(tile_len),
                "all_pad": (F.length(ids) > 0) & is_all_pad(ids)}
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+    text = F.concat_ws(",", *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()])
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))
 
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 REASONS = ("bad_bounds", "bad_segment_length", "tile_past_interval_end", "tile_before_interval_start",
            "negative_start", "tile_past_contig_end", "unknown_contig", "bad_token_count", "all_pad")
 
@@ -156,12 +159,19 @@ def enforce_contract(tiles: DataFrame, path: str, tile_len: int, segment: int =
     watched = flagged.observe(
         seen, F.count(F.lit(1)).alias("n_tiles"), F.count_if(~F.col("kept")).alias("n_rejected"),
         *[F.count_if(F.array_contains("reasons", r)).alias(r) for r in REASONS])
-    watched.write.partitionBy("kept").parquet(path)
+    # two open files per task, one for each folder, instead of a sort of all tiles by folder
+    spark = tiles.sparkSession
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, "2")
+    try:
+        watched.write.partitionBy("kept").parquet(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
     counts = {k: int(v) for k, v in seen.get.items()}
     if strict and counts["n_rejected"]:
         raise ValueError(f"{counts['n_rejected']} of {counts['n_tiles']} tiles violate the contract: "
                          f"{ {r: counts[r] for r in REASONS if counts[r]} }")
-    back = tiles.sparkSession.read.schema(flagged.schema).parquet(path)
+    back = spark.read.schema(flagged.schema).parquet(path)
     return back.filter("kept").drop("kept", "reasons"), back.filter("NOT kept").drop("kept"), counts
 
 

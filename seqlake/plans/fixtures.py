@@ -81,10 +81,12 @@ OVERLAP = TILE - 1
 BATCH = 8
 
 
-def contig_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contig_sequences(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """``documents`` as contigs: name = doc_id, sequence = text with every character that is
-    not an ASCII letter replaced by ``N`` (so FASTA lines stay plain ASCII)."""
-    d = table(spark, sf_dir, "documents")
+    not an ASCII letter replaced by ``N`` (so FASTA lines stay plain ASCII). ``in_order``: sorted
+    by doc_id, before the texts are rewritten, which the sort's sampling would do once more."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.orderBy("doc_id") if in_order else d
     return d.select("doc_id", F.col("doc_id").cast("string").alias("contig"),
                     F.regexp_replace("text", "[^A-Za-z]", "N").alias("seq"))
 
@@ -117,9 +119,13 @@ def whole_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The intervals plus, per document of at least 256 characters, one interval running past
-    the contig end, one starting at -1, one of length 255 and one on an unknown contig."""
-    good = intervals(spark, sf_dir)
+    """The intervals plus the broken ones."""
+    return intervals(spark, sf_dir).unionByName(broken_intervals(spark, sf_dir))
+
+
+def broken_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document of at least 256 characters, one interval running past the contig end, one
+    starting at -1, one of length 255 and one on an unknown contig."""
     d = table(spark, sf_dir, "documents").filter(F.col("n_chars") >= SEGMENT) \
         .select("doc_id", "n_chars")
     name = F.col("doc_id").cast("string")
@@ -134,8 +140,8 @@ def bad_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(0).cast("long").alias("start"), F.lit(SEGMENT).cast("long").alias("end"),
                  F.lit("train").alias("split")),
     ]
-    out = good
-    for e in extra:
+    out = extra[0]
+    for e in extra[1:]:
         out = out.unionByName(e)
     return out
 
@@ -168,7 +174,7 @@ def fasta_file(spark: SparkSession, sf_dir: str) -> str:
     from seqlake.sources.stores import is_done, mark_done
     path = derived_path(spark, sf_dir, "fasta", width=60)
     if not is_done(spark, path):
-        write_fasta(contig_sequences(spark, sf_dir), path, 60, order_by=["doc_id"])
+        write_fasta(contig_sequences(spark, sf_dir, in_order=True), path, 60)
         mark_done(spark, path)
     return path
 

@@ -12,8 +12,8 @@ from seqlake.operators import losses as L
 from seqlake.operators import probes as PR
 from seqlake.operators import tiling as TL
 from seqlake.plans import sqlgen as Q
-from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bad_intervals, bed_file,
-                                    contig_length_table, intervals, round6, table, token_chunk_table,
+from seqlake.plans.fixtures import (BATCH, CHUNK, OVERLAP, SEGMENT, TILE, bed_file, broken_intervals,
+                                    contig_length_table, round6, table, token_chunk_table,
                                     whole_intervals)
 from seqlake.plans.q_tiling import BAD_IV, IV_WHOLE, SEQS, TRAIN_IDX
 from seqlake.plans.registry import query
@@ -47,11 +47,12 @@ _IDS_SQL = f"""translate(translate(regexp_replace(translate(substring(seqs.seq,
 
 
 def label_tiles(spark, sf, intervals, path, strict=False):
-    """Tiles with their token ids, checked: D1 -> C2 -> C1 + E1-E3 -> E2 -> B2, B5 and C1's guard
+    """Tiles with their token ids, checked: C2 -> D1 -> C1 + E1-E3 -> E2 -> B2, B5 and C1's guard
     -> kept tiles, quarantined tiles and counts (:func:`enforce_contract`). Tails of contigs are
-    padded. The genome is tokenized once (read-through), tiles are cut from the token string."""
-    tiles = TL.contig_bounds(TL.tile(intervals, TILE, SEGMENT, interval_idx="interval_idx"),
-                             contig_length_table(spark, sf))
+    padded. The genome is tokenized once (read-through), tiles are cut from the token string. The
+    lengths are joined to the intervals, of which there are fewer than tiles."""
+    tiles = TL.tile(TL.contig_bounds(intervals, contig_length_table(spark, sf)), TILE, SEGMENT,
+                    interval_idx="interval_idx")
     tok = TL.tile_tokens(tiles, token_chunk_table(spark, sf), CHUNK, OVERLAP, TILE, tokenized=True, how="left")
     inside = (F.col("start") >= 0) & (F.length("ids") > 0)      # an empty or foreign piece is not padded
     tok = tok.withColumn("ids", F.when(inside, TK.pad_truncate(F.col("ids"), TILE)))
@@ -108,8 +109,7 @@ c AS (SELECT *, {_reasons_sql()} AS reasons FROM i)"""
 
 def _tested_intervals(spark, sf):
     """Whole documents, and the intervals that break the contract."""
-    extra = bad_intervals(spark, sf).exceptAll(intervals(spark, sf).select("doc_id", "chr_name", "start", "end", "split"))
-    return whole_intervals(spark, sf).unionByName(extra)
+    return whole_intervals(spark, sf).unionByName(broken_intervals(spark, sf))
 
 
 def _tested(spark, sf):

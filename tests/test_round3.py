@@ -82,3 +82,35 @@ def test_repeated_keys_are_found_by_counting(spark):
     assert again.columns == ["sample", "block"] and sorted(r.sample or 0 for r in again.collect()) == [0, 2]
     assert {r.sample: r.v for r in DS.read_soft_labels(spark, store, ["sample", "block"]).collect()} == \
         {1: "a", 2: "b", None: "b"}
+
+
+def test_contract_writes_both_folders_without_a_sort(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+    conf, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **kw):
+        seen.append(spark.conf.get(conf))
+        return write(self, path, *a, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get(conf)
+    tiles = spark.createDataFrame([(0, 64, 0, 64, 64, "7" * 64), (0, 64, 0, 64, 64, "4" * 64)], "interval_start bigint, "
+                                  "interval_end bigint, start bigint, end bigint, contig_len bigint, ids string")
+    kept, rejected, _ = TL.enforce_contract(tiles, scratch_path(spark, "contract"), 64, 64)
+    assert seen == ["2"] and spark.conf.get(conf) == before
+    assert kept.count() == 1 and [r.reasons for r in rejected.collect()] == [["all_pad"]]
+
+
+def test_lengths_are_joined_before_tiles_are_cut(spark, monkeypatch):
+    from seqlake.plans import q_workflows as W
+    seen, bounds = [], TL.contig_bounds
+    monkeypatch.setattr(W.TL, "contig_bounds", lambda df, *a: seen.append(df.columns) or bounds(df, *a))
+    W.q_workflow_reasons(spark, SF_SMALL)
+    assert len(seen) == 1 and "tile_idx" not in seen[0]
+
+
+def test_broken_intervals_are_what_bad_ones_add(spark):
+    from seqlake.plans import fixtures as X
+    broken = X.broken_intervals(spark, SF_SMALL)
+    want = X.bad_intervals(spark, SF_SMALL).exceptAll(X.intervals(spark, SF_SMALL))
+    assert broken.exceptAll(want).isEmpty() and want.exceptAll(broken).isEmpty() and broken.count()
