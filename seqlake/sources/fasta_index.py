@@ -30,6 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 32 << 20          # of a file per input partition
 BATCH_BYTES = 4 << 20           # of chunk text per Arrow batch
+READ_BYTES = 4 << 20            # of a file held by a task at once
+INDEX_GROUP = 1 << 20           # bytes per row group of the index: a task decodes those of its range
 
 INDEX_COLUMNS = ("contig", "length", "offset", "line_bases", "line_width", "file")
 _PIECES = ("file string, lo bigint, ord int, header boolean, closed boolean, contig string, offset bigint, "
@@ -81,7 +83,8 @@ def range_pieces(data: bytes, lo: int, first: int, tail: int, at_end: bool, cr:
     b = np.frombuffer(data, dtype=np.uint8)
     if first >= len(b):
         return []
-    breaks = np.flatnonzero(b[first:] == 10) + first
+    breaks = np.concatenate([np.flatnonzero(b[i:i + READ_BYTES] == 10) + i
+                             for i in range(first, len(b), READ_BYTES)])
     start = np.concatenate(([first], breaks + 1))
     start = start[start < len(b)]
     end = np.concatenate((breaks, [len(b)]))[:len(start)]
@@ -119,12 +122,11 @@ class _PieceReader(DataSourceReader):
         system, inner = _open_fs(file)
         with system.open_input_file(inner) as f:
             f.seek(max(lo - 1, 0))
-            data = f.read(hi - max(lo - 1, 0))
+            starts = not lo or f.read(1) == b"\n"
+            data = f.read(hi - lo)
             first = 0
-            if lo:          # a line belongs to the range in which it starts
-                first = data.find(b"\n")
-                first = len(data) if first < 0 else first
-                data = data[1:]
+            if not starts:  # a line belongs to the range in which it starts
+                first = data.find(b"\n") + 1 or len(data)
             tail, last, at_end = 0, b"", hi >= size
             if first < len(data) and not data.endswith(b"\n"):
                 named = data[max(first, data.rfind(b"\n") + 1):][:1] == b">"
@@ -170,7 +172,7 @@ def _placed(index: DataFrame, out: str) -> DataFrame:
     stop = F.when(F.col("length") > 0, F.expr(
         "offset + (length - 1) DIV line_bases * line_width + (length - 1) % line_bases + 1"))
     index.withColumn("stop", stop).repartitionByRange("file", "offset") \
-        .sortWithinPartitions("file", "offset").write.parquet(out)
+        .sortWithinPartitions("file", "offset").write.option("parquet.block.size", INDEX_GROUP).parquet(out)
     return index.sparkSession.read.parquet(out)
 
 
@@ -235,7 +237,8 @@ class _ChunkReader(DataSourceReader):
         system, inner = _open_fs(self.index)
         f = pc.field
         rows = ds.dataset(inner, filesystem=system, format="parquet").to_table(
-            columns=["contig", "length", "offset", "line_bases", "line_width"],
+            columns=["contig", "length", "offset", "line_bases", "line_width"], use_threads=False,
+            batch_readahead=1, fragment_readahead=1,
             filter=(f("file") == file) & (f("offset") < hi) & (f("stop") > lo))
         return sorted(zip(*(c.to_pylist() for c in rows.columns)), key=lambda r: r[2])
 
@@ -259,27 +262,31 @@ class _ChunkReader(DataSourceReader):
         def stop(length, k1):
             return min(k1 * self.chunk + self.overlap, length)
 
-        begin = owned[0][4](owned[0][2] * self.chunk)
         end = max(byte(stop(length, k1) - 1) + 1 for _, length, _, k1, byte in owned)
+        run = max(READ_BYTES // self.chunk, 1)
         system, inner = _open_fs(file)
-        with system.open_input_file(inner) as f:
-            f.seek(begin)
-            data = f.read(end - begin)
+        begin, data = 0, b""
         rows, held = ([], [], [], []), 0
-        for contig, length, k0, k1, byte in owned:
-            i, j = k0 * self.chunk, stop(length, k1)
-            seq = data[byte(i) - begin:byte(j - 1) + 1 - begin].translate(None, b"\r\n")
-            if len(seq) != j - i or b">" in seq:
-                raise ValueError(f"{file}: record {contig!r} is not laid out as its index says")
-            for k in range(k0, k1):
-                at = k * self.chunk
-                piece = seq[at - i:at - i + self.chunk + self.overlap]
-                for col, v in zip(rows, (contig, k, at, piece)):
-                    col.append(v)
-                held += len(piece)
-                if held >= BATCH_BYTES:
-                    yield self._batch(pa, rows)
-                    rows, held = ([], [], [], []), 0
+        with system.open_input_file(inner) as f:
+            for contig, length, k0, k1, byte in ((c, n, k, min(k + run, k1), byte) for c, n, k0, k1, byte in owned
+                                                 for k in range(k0, k1, run)):
+                i, j = k0 * self.chunk, stop(length, k1)
+                lo, hi = byte(i), byte(j - 1) + 1
+                if lo < begin or hi > begin + len(data):
+                    f.seek(lo)
+                    begin, data = lo, f.read(max(hi - lo, min(READ_BYTES, end - lo)))
+                seq = data[lo - begin:hi - begin].translate(None, b"\r\n")
+                if len(seq) != j - i or b">" in seq:
+                    raise ValueError(f"{file}: record {contig!r} is not laid out as its index says")
+                for k in range(k0, k1):
+                    at = k * self.chunk
+                    piece = seq[at - i:at - i + self.chunk + self.overlap]
+                    for col, v in zip(rows, (contig, k, at, piece)):
+                        col.append(v)
+                    held += len(piece)
+                    if held >= BATCH_BYTES:
+                        yield self._batch(pa, rows)
+                        rows, held = ([], [], [], []), 0
         if rows[0]:
             yield self._batch(pa, rows)
 

@@ -114,3 +114,64 @@ def test_broken_intervals_are_what_bad_ones_add(spark):
     broken = X.broken_intervals(spark, SF_SMALL)
     want = X.bad_intervals(spark, SF_SMALL).exceptAll(X.intervals(spark, SF_SMALL))
     assert broken.exceptAll(want).isEmpty() and want.exceptAll(broken).isEmpty() and broken.count()
+
+
+@pytest.mark.parametrize("split", [500, 1 << 20])
+def test_a_chunk_task_holds_little_of_its_range(spark, tmp_path, monkeypatch, split):
+    rng = np.random.default_rng(3)
+    seqs = {f"c{i}": "".join(rng.choice(list("ACGTN"), n)) for i, n in enumerate((1, 59, 60, 61, 700, 2000, 13))}
+    path = str(tmp_path / "x.fa")
+    with open(path, "w") as f:
+        for name, s in seqs.items():
+            f.write(f">{name}\n" + "".join(s[i:i + 60] + "\n" for i in range(0, len(s), 60)))
+    index = scratch_path(spark, "index")
+    FI.build_index(spark, path, index, split)
+    taken, open_fs = [], FI._open_fs
+
+    class File:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            taken.append(n)
+            return self.f.read(n)
+
+    class System:
+        def __init__(self, system):
+            self.system = system
+
+        def open_input_file(self, inner):
+            return File(self.system.open_input_file(inner))
+
+    def opened(p):
+        system, inner = open_fs(p)
+        return (System(system) if p.endswith("x.fa") else system), inner
+
+    monkeypatch.setattr(FI, "READ_BYTES", 128)
+    reader = FI._ChunkReader({"path": path, "index": index, "chunk_size": "40", "overlap": "7", "split_bytes": str(split)})
+    parts = reader.partitions()
+    monkeypatch.setattr(FI, "_open_fs", opened)
+    rows = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(rows) == sorted((c, k, 40 * k, s[40 * k:40 * k + 47]) for c, s in seqs.items()
+                                  for k in range(-(-len(s) // 40)))
+    assert max(taken) <= 140
+
+
+def test_index_has_small_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.dataset as ds
+    monkeypatch.setattr(FI, "INDEX_GROUP", 4096)
+    path, out = str(tmp_path / "y.fa"), str(tmp_path / "index")
+    with open(path, "w") as f:
+        f.writelines(f">n{i * 7919 % 5000}\nACGT\n" for i in range(5000))
+    FI.build_index(spark, path, out)
+    groups = sum(f.num_row_groups for f in ds.dataset(out, format="parquet").get_fragments())
+    assert groups > 1 and spark.read.parquet(out).select(F.count_distinct("contig")).first()[0] == 5000
