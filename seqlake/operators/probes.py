@@ -178,8 +178,10 @@ def score_probes(features: DataFrame, path: str, fitters: dict[str, Fitter]) ->
     for task in sorted(r.task_name for r in gate if r.status == "ok"):
         ds = features.filter(F.col("task_name") == task)
         ds = ds.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
-        for name, fit in fitters.items():
-            scored = fit(ds.filter(F.col("split") == "train"))(ds).withColumn("model", F.lit(name))
+        # all fits come first: one that fails leaves no scores of the task behind
+        models = {name: fit(ds.filter(F.col("split") == "train")) for name, fit in fitters.items()}
+        for name, model in models.items():
+            scored = model(ds).withColumn("model", F.lit(name))
             scored.select(*[F.col(c).cast(kinds.schema[c].dataType) for c in SCORE_COLUMNS]) \
                 .write.mode("append").parquet(path)
     return features.sparkSession.read.schema(kinds.schema).parquet(path)
