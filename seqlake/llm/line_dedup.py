@@ -8,14 +8,18 @@ threshold; a line goes when its class has an earlier line or matches an earlier
   counters). Any total order of the words gives exact results; how rare words come out only
   decides how many candidates there are. A counter of 1 proves that a word occurs in one line.
 * Prefix filter: two matching lines share a word among the first ``n - ceil(t n) + 1`` words of
-  each. Length filter, positional filter, and an upper bound of the overlap from word parity
-  marks (128 bits, 512 for lines over ``WIDE_FROM`` words) and from the number of shared prefix
-  words. None of them loses a match.
+  each, and behind their first shared word either has as many words as they must share. Length
+  filter, and an upper bound of the overlap from word parity marks (128 bits, 512 for lines over
+  ``WIDE_FROM`` words). None of them loses a match.
 * Groups of near copies of one line would give quadratically many pairs. So each class is first
-  compared with the earliest class under its rarest frequent prefix words; where one verifies,
-  the class is settled. Further pairs are looked for only where the class that may be the later
-  one is not settled, and of those the most promising one of each class is verified first: whole
-  sets travel for one pair per class, and for the other pairs of classes that this leaves open.
+  compared with the ``HEADS`` earliest classes under its most frequent prefix words (a large
+  group makes its words frequent), and the one closest by its marks is verified; where it
+  matches, the class is settled. Further pairs are
+  looked for only where the class that may be the later one is not settled, and of those the
+  closest one of each class is verified first: whole sets travel for one pair per class, and for
+  the other pairs of classes that this leaves open.
+* Classes meet the few that are settled or looked up through the bounded filter of
+  :func:`~seqlake.llm.common.flag_among`, so that the others need no shuffle.
 """
 
 from __future__ import annotations
@@ -24,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from seqlake.llm import words
-from seqlake.llm.common import (SLICE, SLICE_SCHEMA, fresh, maybe_among, row_key, slices_of, stored,
-                                summed)
+from seqlake.llm.common import (SLICE, SLICE_SCHEMA, flag_among, fresh, maybe_among, row_key, slices_of,
+                                stored, summed)
 from seqlake.llm.near_dedup import verify
 
 COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any size of the corpus)
-FREQUENT = 64          # lines from which a prefix word's earliest class is tried first
-TRIED = 2              # so many of a line's frequent prefix words, rarest first, are tried
+FREQUENT = 64          # lines from which a prefix word's earliest classes are tried first
+HEADS = 32             # so many of them per word and length band
+TRIED = 2              # so many of a line's frequent prefix words, most frequent first, are tried
 WIDE_FROM = 256        # words from which 128 parity bits say too little
 WIDE_LONGS = 8         # 64-bit words of their longer marks, which tell lines of up to about 1,000 apart
 
@@ -117,7 +122,7 @@ def _classes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, threshold: i
                 pa.array(at, pa.int32()), pa.array(pre, pa.int32(), mask=pre_often < 2))
             hot = pre_often >= frequent_from
             seen = np.concatenate(([0], np.cumsum(hot)))
-            hot &= seen[:-1] - np.repeat(seen[at[:-1]], size[full]) < TRIED
+            hot &= np.repeat(seen[at[1:]], size[full]) - seen[1:] < TRIED
             hot_at = np.concatenate(([0], np.cumsum(hot)))[at]
             frequent = pa.ListArray.from_arrays(pa.array(hot_at, pa.int32()),
                                                 pa.array(pre[hot], pa.int32()))
@@ -195,45 +200,44 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table.destroy()             # the lines are stored, nothing reads it again
 
     need = f"((({t} * (x.n + y.n)) + {t + 99}) DIV {100 + t})"
-    fits = (f"100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n) AND "
-            "(x.n + y.n - bit_count(x.mark0 ^ y.mark0) - bit_count(x.mark1 ^ y.mark1)) DIV 2 >= "
-            + need)
-    # overlap <= shared prefix words + words after the shorter reach of the two prefixes
-    enough = (f"shared + ({t} * greatest(x_n, y_n) + 99) DIV 100 - 1 >= "
-              f"(({t} * (x_n + y_n)) + {t + 99}) DIV {100 + t}")
+    sized = f"100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
+    differ = "bit_count(x.mark0 ^ y.mark0) + bit_count(x.mark1 ^ y.mark1)"
+    marked = f"(x.n + y.n - ({differ})) DIV 2 >= {need}"
+    doc = F.coalesce(F.col("place.doc_id"), F.lit(-(1 << 63))).alias("doc")     # a null id sorts first
 
-    # 1. the earliest class under frequent prefix words
+    # 1. the earliest classes under frequent prefix words
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / t))).cast("int").alias("band")
-    often = classes.select("cls", "place", "n", "mark0", "mark1", band,
-                           F.explode("frequent").alias("word"))
-    head = often.groupBy("word", "band").agg(
-        F.min(F.struct("place", "cls", "n", "mark0", "mark1")).alias("h")) \
-        .selectExpr("word", "band", "h.cls", "h.n", "h.mark0", "h.mark1")
-    tried = often.alias("x").join(head.alias("y"), ["word", "band"]).filter("x.cls <> y.cls AND " + fits) \
-        .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).count() \
-        .groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    often = classes.select("cls", doc, "n", "mark0", "mark1", band, F.explode("frequent").alias("word"))
+    early = Window.partitionBy("word", "band").orderBy("doc", "cls")
+    heads = often.withColumn("rank", F.row_number().over(early)).filter(F.col("rank") <= HEADS).drop("rank")
+    tried = often.alias("x").join(heads.alias("y"), ["word", "band"]) \
+        .filter(f"x.cls <> y.cls AND y.doc <= x.doc AND {sized} AND {marked}") \
+        .groupBy(F.col("x.cls").alias("a")).agg(
+            F.max_by("y.cls", F.struct(-F.expr(differ) / F.expr("x.n + y.n"), "y.cls")).alias("b"))
     found = _verified(spark, src, classes, stored(tried, "tried"), t)
-    settled = found.select(F.col("later").alias("cls"), F.lit(True).alias("settled")).distinct()
+    settled = found.select(F.col("later").alias("cls")).distinct()
 
     # 2. all pairs of which a class that may be the later one is not settled
-    doc = F.coalesce(F.col("place.doc_id"), F.lit(-(1 << 63)))      # a null id sorts first
-    rows = classes.join(settled, "cls", "left").select(
-        "cls", "n", "mark0", "mark1", "wide", doc.alias("doc"), F.col("settled").isNull().alias("open"),
-        F.posexplode("prefix").alias("j", "word")).filter("word IS NOT NULL")
+    flagged = flag_among(classes, "cls", settled, "open")
+    opened = flagged.filter("NOT open").withColumn("open", F.lit(True)).unionByName(
+        flagged.filter("open").drop("open").join(settled.withColumn("settled", F.lit(True)), "cls", "left")
+        .withColumn("open", F.col("settled").isNull()).drop("settled"))
+    rows = opened.select("cls", "n", "mark0", "mark1", "wide", doc, "open",
+                         F.posexplode("prefix").alias("j", "word")).filter("word IS NOT NULL")
     x, y = rows.alias("x"), rows.alias("y")
-    reach = f"least(x.j, y.j) + least(x.n - x.j, y.n - y.j) >= {need}"
+    # holds where the first word lies that the two lines share
+    reach = f"{100 + t}L * least(x.n - x.j, y.n - y.j) >= {t}L * (x.n + y.n)"
     late = "((x.open AND y.doc <= x.doc) OR (y.open AND x.doc <= y.doc))"
-    differ = " + ".join(f"bit_count(x.wide.w{i} ^ y.wide.w{i})" for i in range(WIDE_LONGS))
-    wide = f"(x.wide IS NULL OR y.wide IS NULL OR (x.n + y.n - ({differ})) DIV 2 >= {need})"
-    pairs = x.join(y, F.expr(f"x.word = y.word AND x.cls < y.cls AND {late}") & F.expr(fits)
-                   & F.expr(reach) & F.expr(wide))
-    # the same for all rows of a pair: sizes, and which of the two has to be settled
+    differ_wide = " + ".join(f"bit_count(x.wide.w{i} ^ y.wide.w{i})" for i in range(WIDE_LONGS))
+    wide = f"(x.wide IS NULL OR y.wide IS NULL OR (x.n + y.n - ({differ_wide})) DIV 2 >= {need})"
+    pairs = x.join(y, F.expr(f"x.word = y.word AND x.cls < y.cls AND {reach} AND {sized} AND {late} "
+                             f"AND {marked} AND {wide}"))
+    # the same for all rows of a pair: how close its marks are, and which of the two has to be settled
     pairs = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.any_value("x.n").alias("x_n"), F.any_value("y.n").alias("y_n"),
         F.any_value(F.expr("x.open AND y.doc <= x.doc")).alias("for_a"),
-        F.any_value(F.expr("y.open AND x.doc <= y.doc")).alias("for_b")).filter(enough)
-    pairs = stored(pairs.select("a", "b", "for_a", "for_b", (F.col("shared") / (F.col("x_n") + F.col("y_n"))).alias("hope")),
-                   "pairs")
+        F.any_value(F.expr("y.open AND x.doc <= y.doc")).alias("for_b"),
+        F.any_value(-F.coalesce(F.expr(differ_wide), F.expr(differ)) / F.expr("x.n + y.n")).alias("hope"))
+    pairs = stored(pairs, "pairs")
     ends = pairs.filter("for_a").selectExpr("a AS cls", "a", "b", "hope").unionAll(
         pairs.filter("for_b").selectExpr("b AS cls", "a", "b", "hope"))
     best = ends.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("hope", "a", "b")).alias("p"))
@@ -251,7 +255,7 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _verified(spark, src: DataFrame, classes: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
     """The pairs confirmed on the whole sets, as ``(later, earlier)`` by place."""
     wanted = pairs.selectExpr("a AS cls").unionAll(pairs.selectExpr("b AS cls")).distinct()
-    at = stored(classes.join(wanted, "cls", "left_semi").select("cls", "place"), "wanted")
+    at = stored(maybe_among(classes.select("cls", "place"), "cls", wanted).join(wanted, "cls", "left_semi"), "wanted")
     per_doc = at.groupBy(F.col("place.row_key").alias("row_key")).agg(
         F.sort_array(F.collect_list("place.line")).alias("lines"))
     texts = maybe_among(src.select("row_key", "text"), "row_key", per_doc.select("row_key"))
@@ -288,7 +292,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if c.lower() in taken:
             raise ValueError(f"column {c!r} exists already")
     classes, matches = matching_lines(docs, id_col, text_col, threshold)
-    stay = classes.join(matches.select(F.col("later").alias("cls")).distinct(), "cls", "left_anti")
+    gone = matches.select(F.col("later").alias("cls")).distinct()
+    flagged = flag_among(classes.select("cls", "place"), "cls", gone, "maybe")
+    stay = flagged.filter("NOT maybe").unionByName(flagged.filter("maybe").join(gone, "cls", "left_anti"))
     key, keep = fresh(docs, "_key"), fresh(docs, "_keep")
     stay = stay.groupBy(F.col("place.row_key").alias(key)).agg(
         F.collect_list("place.line").alias(keep))

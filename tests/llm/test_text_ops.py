@@ -261,6 +261,31 @@ def test_family_of_near_copies_is_verified_once_per_line(spark, monkeypatch):
     assert sum(seen) <= 3 * 400
 
 
+def test_family_whose_earliest_lines_match_few(spark, monkeypatch):
+    """A group of near copies behind a few far ones: candidate pairs of the whole join grow with
+    the group, not with its square. Fails if only the earliest line under a word is tried."""
+    rng = __import__("random").Random(10)
+    base, rows, seen = [f"w{i}" for i in range(60)], [], {}
+    for i in range(300):
+        line = list(base)
+        for k in rng.sample(range(60), 11 if i < 3 else 3):     # 49 of 71 words: below the threshold
+            line[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(line)))
+    stored = line_dedup.stored
+
+    def count(df, name):
+        out = stored(df, name)
+        seen.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", count)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_lines(rows, lambda r: r[0])
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == want
+    assert sum(v[1] for v in want.values()) >= 290
+    assert seen["pairs"] <= 5 * 300
+
+
 def test_names_that_clash_by_case(spark):
     df = spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, N_Lines int")
     with pytest.raises(ValueError):
