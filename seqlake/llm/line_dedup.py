@@ -38,7 +38,7 @@ from seqlake.llm.common import (SLICE, SLICE_SCHEMA, flag_among, fresh, maybe_am
 from seqlake.llm.near_dedup import verify
 
 COUNTERS = 1 << 22     # counters of the rarity table (32-bit: 16 MB, at any size of the corpus)
-FREQUENT = 64          # lines from which a prefix word's earliest classes are tried first
+FREQUENT = 16          # lines from which a prefix word's earliest classes are tried first
 HEADS = 32             # so many of them per word and length band
 TRIED = 2              # so many of a line's frequent prefix words, most frequent first, are tried
 WIDE_FROM = 256        # words from which 128 parity bits say too little
