@@ -101,16 +101,16 @@ class _Stream:
         self.raw, self.data = b"", b""
 
     def _more(self) -> bool:
-        if self.z.eof:
-            self.raw = self.z.unused_data + self.raw
-            self.z = zlib.decompressobj(31)
         if not self.raw:
             self.raw = self.source.read(min(CHUNK, self.left))
             self.left -= len(self.raw)
             if not self.raw:
                 return False
+        if self.z.eof:
+            self.z = zlib.decompressobj(31)
         self.data += self.z.decompress(self.raw, CHUNK)
-        self.raw = self.z.unconsumed_tail
+        # at the end of a member that took several calls, unconsumed_tail repeats unused_data
+        self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
         return True
 
     def upto(self, n: int) -> bytes:

@@ -232,6 +232,27 @@ def test_small_chunks_and_segments(tmp_path, monkeypatch):
         assert own[-1]["digest"] == hashlib.sha1(d).hexdigest()
 
 
+@pytest.mark.parametrize("segment", [1, 1000, 3000, warc.SEGMENT])
+def test_records_behind_a_payload_of_many_chunks(tmp_path, monkeypatch, segment):
+    """What follows a payload that is decompressed in several steps is read once and whole."""
+    monkeypatch.setattr(warc, "SEGMENT", segment)
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 400_000, dtype=np.uint8).tobytes()
+    data = [b"a", b"<p>text</p>" * 60_000, b"b" * 2000, noise[:3000], b"c" * 3 * warc.CHUNK, b"",
+            noise + b"d" * 900_000, *(noise[i:i + 5000] for i in range(0, 395_000, 5000)), b"<b>" * 200_000, b"e"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(data)), pa.int64()), pa.array(["u"] * len(data)), pa.array(data, pa.binary()),
+         pa.array([hashlib.sha1(d).hexdigest() for d in data]), pa.array([None] * len(data), pa.int64())],
+        names=["page_id", "url", "payload", "digest", "refers_to"])
+    segments = list(warc._write(iter([batch]), str(tmp_path), "2024-01-01T00:00:00Z"))
+    rows = [r for b in warc._read(iter(segments)) for r in b.to_pylist()]
+    payload = defaultdict(bytes)
+    for r in rows:
+        payload[r["record_id"], r["page_id"]] += r["chunk"]
+    assert sorted((i, p) for (_, i), p in payload.items()) == list(enumerate(data))
+    assert sorted(r["page_id"] for r in rows if r["last"]) == list(range(len(data)))
+
+
 # ---------------------------------------------------------------- shards
 
 def test_longest_first_is_lpt():
