@@ -18,10 +18,11 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import flag_among, stored
@@ -32,6 +33,9 @@ SEGMENT = 32 << 20      # bytes of archive read by one task
 READ_TASKS = 100_000     # tasks that read archives back, at most
 BATCH = 4 << 20         # payload bytes per Arrow batch
 LEAST = 1000            # payloads from this size on are written once
+READ_ROWS = 64          # pages that the Parquet reader holds at a time
+ROWS_CONF = "spark.sql.parquet.columnarReaderBatchSize"
+ROWS_DEFAULT = "4096"   # Spark's own value of it
 
 CHUNKS = ("record_id string, page_id bigint, record_type string, refers_to bigint, url string, "
           "full_bytes bigint, chunk_no int, chunk binary, digest string, last boolean")
@@ -183,6 +187,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Parquet is read ``READ_ROWS`` rows at a time unless the session sets its own number: by
+    Spark's number a batch of long pages takes a whole row group, several times over while it grows."""
+    if spark.conf.get(ROWS_CONF) != ROWS_DEFAULT:
+        yield
+        return
+    spark.conf.set(ROWS_CONF, str(READ_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_CONF, ROWS_DEFAULT)
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One record per row of ``pages``; returns the segments ``archive, start, length``.
@@ -197,9 +215,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
                        payload.alias("payload"), F.sha1(payload).alias("digest"))
     src = src.withColumn("_k", F.xxhash64("digest"))
-    groups = stored(src.filter(F.octet_length("payload") >= LEAST).groupBy("digest", "_k").agg(
-        F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1 AND refers_to IS NOT NULL").drop("n"), "groups")
+    with _few_rows(pages.sparkSession):
+        groups = stored(src.filter(F.octet_length("payload") >= LEAST).groupBy("digest", "_k").agg(
+            F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+            .filter("n > 1 AND refers_to IS NOT NULL").drop("n"), "groups")
     # only payloads that may be repeated are shuffled
     flagged = flag_among(src, "_k", groups, "_maybe")
     mark = F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to"))
@@ -209,8 +228,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = alone.unionByName(maybe, allowMissingColumns=True)
     rows = rows.select("page_id", "url", "payload", "digest", "refers_to")
     folder = scratch_path(pages.sparkSession, "warc")
-    return stored(rows.mapInArrow(lambda it: _write(it, folder, date),
-                                  "archive string, start bigint, length bigint"), "segments")
+    with _few_rows(pages.sparkSession):
+        return stored(rows.mapInArrow(lambda it: _write(it, folder, date),
+                                      "archive string, start bigint, length bigint"), "segments")
 
 
 def read_archives(segments: DataFrame) -> DataFrame:

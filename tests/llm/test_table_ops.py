@@ -253,6 +253,26 @@ def test_records_behind_a_payload_of_many_chunks(tmp_path, monkeypatch, segment)
     assert sorted(r["page_id"] for r in rows if r["last"]) == list(range(len(data)))
 
 
+def test_pages_are_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """The Parquet reader's batches are small while pages are read, the session's are kept."""
+    seen = []
+    stored = warc.stored
+    monkeypatch.setattr(warc, "stored", lambda df, name: seen.append(spark.conf.get(warc.ROWS_CONF)) or stored(df, name))
+    spark.createDataFrame([(i, "u", f"page {i}" * 200) for i in range(300)], "page_id bigint, url string, html string") \
+        .coalesce(1).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    before = spark.conf.get(warc.ROWS_CONF)
+    assert before == warc.ROWS_DEFAULT
+    assert warc.records(warc.read_archives(warc.write_archives(pages))).count() == 300
+    assert seen == [str(warc.READ_ROWS)] * 2 and spark.conf.get(warc.ROWS_CONF) == before
+    try:
+        spark.conf.set(warc.ROWS_CONF, "100")
+        warc.write_archives(pages)
+        assert seen[2:] == ["100"] * 2 and spark.conf.get(warc.ROWS_CONF) == "100"
+    finally:
+        spark.conf.set(warc.ROWS_CONF, before)
+
+
 # ---------------------------------------------------------------- shards
 
 def test_longest_first_is_lpt():
