@@ -50,11 +50,15 @@ def run_to_parquet(stream: DataFrame, sink: str, checkpoint: str, mode: str = "a
 
 def late_rows(log: DataFrame, report: DataFrame, interval: str) -> DataFrame:
     """What the watermark cost: ``window_start, n_logged, n_counted, n_late`` of the windows that
-    an append-mode ``report`` has closed and that miss rows of the ``log`` they were made from.
+    an append-mode ``report`` has closed (those up to its last one, also if all their rows came
+    late) and that miss rows of the ``log`` they were made from.
     Late rows leave no trace in the stream; the log, which stays, still has them."""
     logged = log.groupBy(F.window("ts", interval)["start"].alias("window_start")).agg(
         F.count(F.lit(1)).alias("n_logged"))
-    both = logged.join(report.select("window_start", F.col("n_batches").alias("n_counted")), "window_start")
+    closed = logged.join(F.broadcast(report.agg(F.max("window_start").alias("_last"))),
+                         F.col("window_start") <= F.col("_last")).drop("_last")
+    counted = report.select("window_start", F.col("n_batches").alias("n_counted"))
+    both = closed.join(counted, "window_start", "left").fillna(0, ["n_counted"])
     return both.withColumn("n_late", F.col("n_logged") - F.col("n_counted")).filter("n_late > 0")
 
 

@@ -10,7 +10,7 @@ from seqlake.operators import probes as PR
 from seqlake.session import scratch_path
 from seqlake.sources import delta_store as DS
 from seqlake.streaming.soft_labels import run_soft_label_stream
-from seqlake.streaming.throughput import file_stream, run_to_parquet, throughput_stream
+from seqlake.streaming.throughput import file_stream, late_rows, run_to_parquet, throughput_stream
 
 SCHEMA = "ts timestamp, n_tokens long"
 
@@ -37,6 +37,16 @@ def test_append_mode_drops_rows_behind_the_watermark(spark):
     assert got == {0: 2, 1: 1, 2: 1, 3: 1}
 
 
+def test_late_rows_of_windows_that_were_never_reported(spark):
+    """A closed window whose rows all came late counts none; windows behind the last one are open."""
+    day = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(day + dt.timedelta(minutes=m), 1) for m in (10, 20, 70, 80, 150, 200)], SCHEMA)
+    report = spark.createDataFrame([(day, 1), (day + dt.timedelta(hours=2), 1)], "window_start timestamp, n_batches long")
+    got = {(r.window_start.hour, r.n_logged, r.n_counted, r.n_late) for r in late_rows(log, report, "1 hour").collect()}
+    assert got == {(0, 2, 1, 1), (1, 2, 0, 2)}
+    assert late_rows(log, report.limit(0), "1 hour").count() == 0
+
+
 def test_soft_label_stream_replay_is_idempotent(spark):
     src = scratch_path(spark, "t2-src")
     df = spark.range(0, 200).select(F.col("id").alias("sample"),
